@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import secret_scan
+from . import secret_scan, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
+    "op9_simhash": simhash.query,
     "op10_secret_scan": secret_scan.query,
 }
 
