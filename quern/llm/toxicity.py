@@ -12,7 +12,7 @@ The classifier is fitted on a bounded sample of labelled rows (``max_toxic`` and
 ``max_clean`` rows, least hash of the id first): word prefixes and whole words
 that occur in toxic documents in several different contexts (so that copies of
 one document count once) get a log-odds weight, and a logistic curve over the
-three strongest weights of a document gives the score. The sample is fitted in
+strongest weights of a document gives the score. The sample is fitted in
 one task; everything else reads every row, and whole texts.
 
 Null and empty texts hold no word and get the score of no evidence. Without
@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, map_batches, table
 
-EDGE = ".,;:!?\"'()[]{}<>|&#%~^=/\\`"
+EDGE = "*.,;:!?\"'()[]{}<>|&#%~^=/\\`"
 SPACED = re.compile(r"(?:(?<=\s)|^)[\w@$!](?: [\w@$!]){2,}(?=\s|$)")
 TRIPLE = re.compile(r"(.)\1\1")
+TAIL = re.compile(r"([^\w\s])\1{2,}$")
 #: Letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = " .-_*~'`,"
@@ -153,13 +154,11 @@ class Restorer:
     def __call__(self, token: str) -> tuple[str, ...]:
         found = self.cache.get(token)
         if found is None:
-            core = token.strip(EDGE)
+            token_ = TAIL.sub("", token)  # an ornament after the word
+            core = token_.strip(EDGE)
             found = (core,) if core else ()
             if core and obfuscated(core):
                 found += tuple(self.model.decode(core).split())
-            whole = token.rstrip(".,;:?\"'")
-            if whole != core and whole and not whole.isalpha() and whole[-1] in LEET and obfuscated(whole) and core.isalpha() is False:
-                found += tuple(self.model.decode(whole).split())
             if len(self.cache) >= self.most:
                 self.cache.clear()
             self.cache[token] = found
@@ -175,41 +174,46 @@ def features(word: str) -> tuple[str, ...]:
     return (f"={word}", *(word[:k] for k in range(3, min(6, len(word)) + 1)))
 
 
+def combined(weights: list[float]) -> float:
+    """The strongest weight counts whole, the next two a quarter each."""
+    best = sorted(weights, reverse=True)[:3]
+    return float(sum(w if k == 0 else w / 4 for k, w in enumerate(best)))
+
+
 def evidence(words, weights: dict[str, float]) -> float:
-    best = sorted((max((weights.get(f, 0.0) for f in features(w)), default=0.0) for w in words), reverse=True)[:3]
-    return float(sum(best))
+    return combined([max((weights.get(f, 0.0) for f in features(w)), default=0.0) for w in words])
 
 
 def fit(rows: list[tuple[str, int]], restorer: Restorer, support: int = 6, most: int = 20_000) -> dict[str, float]:
     """Feature weights, and the logistic curve's two numbers under "a" and "b" with a leading NUL."""
-    toxic: Counter = Counter()
-    clean: Counter = Counter()
     n = [sum(1 - y for _, y in rows), sum(y for _, y in rows)]
-    contexts: dict[str, set] = defaultdict(set)
     docs = []
     for text, y in rows:
         low = text.lower()
-        tokens = low.split()
-        words = {w for t in set(tokens) for w in restorer(t)} | set(restorer.spaced(low))
-        docs.append((words, y))
-        own = {f for w in words for f in features(w)}
-        (toxic if y else clean).update(own)
-        if y:
-            before = ""
-            for t in tokens:
-                for w in restorer(t):
-                    for f in features(w):
-                        if len(c := contexts[f]) < support:
-                            c.add(before)
-                before = t
-    weights = {}
-    if min(n) > 0:
-        for f, t in toxic.items():
-            c = clean[f]
-            w = math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
-            if t >= support and len(contexts[f]) >= support and w >= 3.0:
-                weights[f] = w
-        weights = dict(sorted(weights.items(), key=lambda x: (-toxic[x[0]] * x[1], x[0]))[:most])
+        docs.append(({w for t in set(low.split()) for w in restorer(t)} | set(restorer.spaced(low)), y))
+    toxic = Counter(f for words, y in docs if y for f in {f for w in words for f in features(w)})
+    toxic = Counter({f: t for f, t in toxic.items() if t >= support})
+    own: dict[str, tuple] = {}
+
+    def wanted(word: str) -> tuple:
+        if word not in own:
+            own[word] = tuple(f for f in features(word) if f in toxic)
+        return own[word]
+
+    clean = Counter(f for words, y in docs if not y for f in {f for w in words for f in wanted(w)})
+    weights = {f: math.log((t + 0.5) / (n[1] + 1)) - math.log((clean[f] + 0.5) / (n[0] + 1)) for f, t in toxic.items()} if min(n) > 0 else {}
+    weights = {f: w for f, w in weights.items() if w >= 3.0}
+    contexts: dict[str, set] = defaultdict(set)
+    for text, y in rows:
+        before = ""
+        for t in text.lower().split() if y else ():
+            for w in restorer(t):
+                for f in wanted(w):
+                    if f in weights:
+                        contexts[f].add(before)
+            before = t
+    weights = {f: w for f, w in weights.items() if len(contexts[f]) >= support}
+    weights = dict(sorted(weights.items(), key=lambda x: (-toxic[x[0]] * x[1], x[0]))[:most])
     x = np.array([evidence(w, weights) for w, _ in docs], np.float64)
     y = np.array([y for _, y in docs], np.float64)
     a, b = 0.0, -1.0
@@ -242,12 +246,13 @@ class Scorer:
         tokens, known = set(low.split()), self.known
         if len(known) > self.most:
             known.clear()
-        for t in tokens - known.keys():
-            known[t] = self.weight(t)
+        for t in tokens:
+            if t not in known:
+                known[t] = self.weight(t)
         hits = [w for w in map(known.__getitem__, tokens) if w]
         for w in self.restorer.spaced(low):
             hits.append(max((self.weights.get(f, 0.0) for f in features(w)), default=0.0))
-        e = sum(sorted(hits, reverse=True)[:3])
+        e = combined(hits)
         return 1 / (1 + math.exp(-min(max(self.a * e + self.b, -30), 30)))
 
 
