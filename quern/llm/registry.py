@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import secret_scan, simhash, toxicity
+from . import decontaminate, langid, packing, secret_scan, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_token_store": token_store.query,
+    "op5_packing": packing.query,
+    "op7_langid": langid.query,
+    "op8_decontaminate": decontaminate.query,
     "op9_simhash": simhash.query,
     "op10_secret_scan": secret_scan.query,
 }
