@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_batches, parts, table
-from .tokens import Encoder
+from .tokens import Encoder, encoder
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -118,18 +118,18 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, length: int, tokenizer
     """(doc_id, start, length, ids_crc32, doc_tokens) for every piece."""
     end = int(end_id).to_bytes(4, "little")
 
-    def run(batch: pa.RecordBatch, encoder: Encoder):
+    def run(batch: pa.RecordBatch, codec: Encoder):
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         for at in range(0, batch.num_rows, 1024):
             rows = []
-            for d, data in zip(ids[at : at + 1024], encoder.encode(texts.slice(at, 1024).to_pylist()), strict=True):
+            for d, data in zip(ids[at : at + 1024], codec.encode(texts.slice(at, 1024).to_pylist()), strict=True):
                 data += end
                 n = len(data) // 4
                 rows += [(d, s, min(length, n - s), zlib.crc32(data[4 * s : 4 * (s + length)]), n) for s in range(0, n, length)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", lambda: Encoder(tokenizer))
+    return map_batches(rows, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", lambda: encoder(tokenizer))
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, width: int = 8, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, packing, secret_scan, simhash, token_store, toxicity
+from . import decontaminate, hmm, itq, langid, packing, secret_scan, simhash, suffix_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_token_store": token_store.query,
+    "op3_hmm": hmm.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_packing": packing.query,
+    "op6_itq": itq.query,
     "op7_langid": langid.query,
     "op8_decontaminate": decontaminate.query,
     "op9_simhash": simhash.query,

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, parts, table
-from .tokens import Encoder
+from .tokens import encoder
 
 BLOCK, CHUNK = 16_384, 262_144
 CHUNKS = "shard int, chunk int, before long, n_ids long, first_doc long, last_doc long, n_docs int, planes string, doc_ids binary, doc_known binary, doc_lens binary, plane_sizes array<int>, payload binary"
@@ -79,7 +79,7 @@ def encode_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encoder, shard, chunk, before = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        codec, shard, chunk, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         docs: list = []
         held: list[bytes] = []
         size = 0
@@ -99,7 +99,7 @@ def encode_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
             for at in range(0, b.num_rows, 256):
-                for d, data in zip(ids[at : at + 256], encoder.encode(texts.slice(at, 256).to_pylist()), strict=True):
+                for d, data in zip(ids[at : at + 256], codec.encode(texts.slice(at, 256).to_pylist()), strict=True):
                     docs.append(d)
                     held.append(data + end)
                     size += len(data) // 4 + 1

@@ -86,3 +86,13 @@ class Encoder:
         cut, piece = self.cuts.__getitem__, known.__getitem__
         rest = iter(self._whole([t for t, x in zip(texts, split, strict=True) if x is None]))
         return [next(rest) if x is None else b"".join([*map(cut, x[0]), *map(piece, x[1])]) for x in split]
+
+
+_ENCODERS: dict[str | None, Encoder] = {}
+
+
+def encoder(path: str | None = None) -> Encoder:
+    """The process's encoder for a file, so that a Python worker keeps its cache from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
