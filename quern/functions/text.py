@@ -82,9 +82,8 @@ def keyword_similarity(query: Column, keywords: Column) -> Column:
 def keywords(c: Column, limit: int = 8) -> Column:
     """The first distinct keywords (compared without case, written as first seen)."""
     found = F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({KEYWORD})"), F.lit(1)), lambda t: ~F.lower(t).isin(*KEYWORD_STOPWORDS))
-    low = F.transform(found, F.lower)
-    first = F.filter(F.transform(found, lambda t, i: F.struct(t.alias("t"), (F.array_position(low, F.lower(t)) == i + 1).alias("f"))), lambda s: s["f"])
-    return F.slice(F.transform(first, lambda s: s["t"]), 1, limit)
+    add = lambda acc, t: F.when((F.size(acc) < limit) & ~F.exists(acc, lambda k: F.lower(k) == F.lower(t)), F.array_append(acc, t)).otherwise(acc)
+    return F.aggregate(found, F.array().cast("array<string>"), add)
 
 
 def added_identifiers(patch: Column, limit: int = 40) -> Column:

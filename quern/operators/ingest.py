@@ -15,12 +15,15 @@ from ..functions import text as tx
 ADAPTED = ["source_code", "pr_diff", "review_comment", "has_issue"]
 
 
-@F.pandas_udf("string")
-def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    """A unified diff of each pair; empty where either side is."""
+def _diffs(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series(["\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), lineterm="")) if a and b else "" for a, b in zip(before.fillna(""), after.fillna(""), strict=True)])
 
 
+def unified_diff(before, after):
+    """A unified diff of each pair; empty where either side is."""
+    return F.pandas_udf(_diffs, "string")(before, after)
+
+
 def adapt_review_comments(df: DataFrame) -> DataFrame:
     """diff_hunk and code_review_comment: comments of 15 characters and more on hunks of at most 4000."""
     kept = df.where((F.length(tx.strip(F.col("code_review_comment"))) >= 15) & (F.length("diff_hunk") <= 4000))
