@@ -9,9 +9,11 @@ with the text of a special token, goes to the tokenizer whole.
 
 from __future__ import annotations
 
+import gc
 import re
+import sys
+from array import array
 
-import numpy as np
 import regex
 
 from .common import prefer_local_threads
@@ -19,7 +21,9 @@ from .common import prefer_local_threads
 #: Fixed value: the byte-level pattern by which this vocabulary's texts are cut.
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 UNUSUAL = re.compile(r"[^\t\n\r -~\u00a0-\u024f]")
-SPACE_BEFORE_SPACE = re.compile(r"\s ")
+#: Bytes of texts that need no closer look: printable ASCII, tab, line ends, and the letters up to U+023F.
+PLAIN = bytes([9, 10, 13, *range(32, 127), *range(128, 192), *range(0xC3, 0xC9)])
+BEFORE_SPACE = ("  ", "\n ", "\t ", "\r ", "\u00a0 ")
 
 
 def default_path() -> str:
@@ -28,65 +32,102 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others as letters from 256 on, in order."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in same]
+    return {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _bytes(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder != "little":
+        a.byteswap()
+    return a.tobytes()
+
+
+class _Cache(dict):
+    """A bounded dict of two generations that makes what it lacks; what is not asked for while the young one fills is forgotten."""
+
+    def __init__(self, most: int, make):
+        super().__init__()
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str | None = None, most: int = 400_000):
+    def __init__(self, path: str | None = None, most: int = 500_000):
         prefer_local_threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.most = most
-        self.pieces: dict[str, bytes] = {}  # what stands between two single spaces, with its space before it
-        self.cuts: dict[str, bytes] = {}
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else re.compile(r"(?!)")
+        self.model = self.tokenizer.model
+        self.pieces = _Cache(most, self._piece)  # what stands between two single spaces, with the space before it
+        self.cuts = _Cache(most // 4, self._cut)  # other cuts
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [_bytes(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _merge(self, letters: str) -> bytes:
+        """The ids of one cut: the model's merges alone, without the rest of the tokenizer's work on a text."""
+        return _bytes([t.id for t in self.model.tokenize(letters)])
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Puts the ids of pieces, each after a space, into the cache."""
-        cut = [CUT.findall(" " + p) for p in pieces]
-        self._learn_cuts({c for x in cut for c in x})
-        get = self.cuts.__getitem__
-        self.pieces.update((p, b"".join(map(get, x))) for p, x in zip(pieces, cut, strict=True))
+    def _cut(self, cut: str) -> bytes:
+        return self._merge(cut.encode().decode("latin-1").translate(BYTE_LETTERS))
 
-    def _learn_cuts(self, cuts: set[str]) -> None:
-        new = [c for c in cuts if c not in self.cuts]
-        self.cuts.update(zip(new, self._whole(new), strict=True))
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece after a space; one of letters is a single cut."""
+        if piece.isalpha():
+            return self._merge("Ġ" + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)))
+        word = piece.rstrip(".,;:!?")
+        if word.isalpha():
+            return self.pieces[word] + self.cuts[piece[len(word) :]]
+        return b"".join([self.pieces[c[1:]] if c[0] == " " and c[1:].isalpha() else self.cuts[c] for c in CUT.findall(" " + piece)])
 
-    def encode(self, texts: list[str | None], block: int = 1 << 20) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none)."""
-        out: list[bytes] = []
-        at, size = 0, 0
-        for k, t in enumerate(texts):
-            size += len(t or "")
-            if size >= block or k + 1 == len(texts):
-                out += self._encode([x or "" for x in texts[at : k + 1]])
-                at, size = k + 1, 0
+        piece, cut, out, later = self.pieces.__getitem__, self.cuts.__getitem__, [], []
+        collecting = gc.isenabled()
+        gc.disable()  # many short lists and no cycles
+        try:
+            for k, t in enumerate(texts):
+                if not t:
+                    out.append(b"")
+                    continue
+                self.pieces.turn()
+                self.cuts.turn()
+                if (t.encode().translate(None, PLAIN) and UNUSUAL.search(t)) or any(a in t for a in self.added):
+                    out.append(b"")
+                    later.append(k)
+                elif any(s in t for s in BEFORE_SPACE):
+                    out.append(b"".join(map(cut, CUT.findall(t))))
+                else:
+                    first, *rest = t.split(" ")
+                    out.append(b"".join([*map(cut, CUT.findall(first)), *map(piece, rest)]))
+        finally:
+            if collecting:
+                gc.enable()
+        for k, ids in zip(later, self._whole([texts[k] for k in later]), strict=True):
+            out[k] = ids
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.pieces, self.cuts):
-            if len(cache) > self.most:
-                cache.clear()
-        split: list = []
-        for t in texts:
-            if UNUSUAL.search(t) or self.special.search(t):
-                split.append(None)
-            elif SPACE_BEFORE_SPACE.search(t):
-                split.append((CUT.findall(t), []))
-            else:
-                first, *rest = t.split(" ")
-                split.append((CUT.findall(first), rest))
-        self._learn_cuts({c for x in split if x for c in x[0]})
-        known = self.pieces
-        self._learn([p for p in {p for x in split if x for p in x[1]} if p not in known])
-        cut, piece = self.cuts.__getitem__, known.__getitem__
-        rest = iter(self._whole([t for t, x in zip(texts, split, strict=True) if x is None]))
-        return [next(rest) if x is None else b"".join([*map(cut, x[0]), *map(piece, x[1])]) for x in split]
-
 
 _ENCODERS: dict[str | None, Encoder] = {}
 
