@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import text as tx
 from ..operators import evaluate as ev
-from ..operators import ingest, jobs, judges, measure, metrics, normalize, projects, prompt
+from ..operators import ann, ingest, jobs, judges, measure, metrics, normalize, offline, projects, prompt
 from ..operators.confidence import confidence, mean_confidence
 from ..operators.filtering import context_filter, filter_outcome
 from ..operators.retrieval import merge_sources, sufficiency, vector_topk
@@ -537,6 +537,32 @@ def metric_mean(spark, d):
     return read_table(spark, d, "events").where("event_type in ('click', 'view')").groupBy("user_id").agg(F.count("*").alias("n"), metrics.mean_metric(F.col("value")).alias("mean"))
 
 
+NAMES = "n AS (SELECT n_nationkey AS chunk_id, [n_name, left(n_name, 2), left(n_name, 1)] AS kws FROM nation)"
+
+
+@query(f"""WITH {NAMES}, c AS (SELECT conv_id * 100 + turn AS query_id, array_to_string(list_transform(regexp_extract_all(text, '({tx.FIXTURE_TOKEN})', 1), lambda t: lower(t)), ' ') AS q FROM conversations WHERE conv_id % 20 = 0),
+s AS (SELECT query_id, chunk_id, round(len(list_filter(kws, lambda k: contains(q, lower(k)))) / len(kws)::DOUBLE, 4) AS score FROM c, n) SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s) WHERE r <= 5""")
+def keyword_retrieval(spark, d):
+    cases = read_table(spark, d, "conversations").where("conv_id % 20 = 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    corpus = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("chunk_id"), F.array("n_name", F.left("n_name", F.lit(2)), F.left("n_name", F.lit(1))).alias("keywords"))
+    return offline.keyword_topk(cases, corpus, 5).select("query_id", "chunk_id", "score")
+
+
+@query(f"WITH {HITS}, {FILTERED} SELECT query_id, round(0.7 * coalesce(max(score) FILTER (kept), 0.0) + 0.3 * (count(*) FILTER (kept) / count(*)::DOUBLE), 4) AS confidence FROM f GROUP BY query_id")
+def confidence_simple(spark, d):
+    return offline.simple_confidence(context_filter(_hits(spark, d), "on", SIM))
+
+
+@query(f"WITH {HITS}, {FILTERED}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM f WHERE kept) SELECT query_id, string_agg('chunk ' || chunk_id, ' ' ORDER BY n) AS answer FROM k WHERE n <= 3 GROUP BY query_id")
+def template_answer(spark, d):
+    return offline.template_answer(context_filter(_hits(spark, d), "on", SIM).withColumn("text", F.concat(F.lit("chunk "), "chunk_id")))
+
+
+@query()
+def approx_topk(spark, d):
+    return ann.approx_topk(_asked(spark, d), _vectors(spark, d), K)
+
+
 @query()
 def chunk_text(spark, d):
     return ingest.chunk_words(read_table(spark, d, "documents").select("doc_id", "text"))
