@@ -45,7 +45,7 @@ def to_planes(ids: np.ndarray, planes: str = "byte") -> np.ndarray:
 def from_planes(rows: np.ndarray, n: int, planes: str = "byte") -> np.ndarray:
     if planes == "byte":
         return np.ascontiguousarray(rows.T).view("<u4").ravel()
-    return np.packbits(np.unpackbits(rows, axis=1)[:, :n].T, axis=1).view(">u4").ravel().astype("<u4")
+    return np.ascontiguousarray(np.packbits(np.unpackbits(rows, axis=1)[:, :n].T, axis=1)).view(">u4").ravel().astype("<u4")
 
 
 def encode_ids(ids: np.ndarray, planes: str = "byte", level: int = 1) -> tuple[list[int], bytes]:
