@@ -91,3 +91,15 @@ def silver_gold(hits: DataFrame, threshold: float = DEFAULTS.silver_threshold, m
     """The first hits that reach the threshold, at most so many; the best hit where none does."""
     ok = F.col("score") >= threshold
     return hits.where((ok & (F.col("rank") <= most)) | ((F.col("rank") == 1) & ~ok))
+
+
+def reference_free(hits: DataFrame, queries: DataFrame, threshold: float = DEFAULTS.sim_threshold) -> DataFrame:
+    """Without gold only the failure flag is known: (query_id, failed)."""
+    got = hits.groupBy("query_id").agg(F.count_if(F.col("score") >= threshold).alias("n"))
+    return queries.select("query_id").join(got, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) == 0).alias("failed"))
+
+
+def with_execution_errors(stages: DataFrame, errors: DataFrame) -> DataFrame:
+    """Cases that failed to run get the stage Execution; the others keep theirs."""
+    got = stages.join(errors.select("query_id", "error").dropDuplicates(["query_id"]), "query_id", "full_outer")
+    return got.select("query_id", F.when(F.col("error").isNotNull(), "Execution").otherwise(F.col("stage")).alias("stage"), "error")

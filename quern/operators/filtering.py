@@ -37,3 +37,17 @@ def filter_outcome(filtered: DataFrame, threshold: float = DEFAULTS.sim_threshol
         F.round(F.coalesce(F.count_if(~kept & high) / F.nullif(F.count_if(high), F.lit(0)), F.lit(0.0)), 4).alias("information_loss"),
         F.bool_or(kept & (F.col("rank") == 1)).alias("top1_preserved"),
     )
+
+
+REPLY = "decisions array<struct<chunk_id:string,keep:boolean>>"
+
+
+def llm_decisions(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From a model's replies (query_id, raw): (decisions for context_filter, mode of each query).
+
+    A decision without keep keeps. A reply that is missing or holds no list gives no decisions, so the threshold
+    decides, and its mode is llm_fallback.
+    """
+    read = replies.select("query_id", F.from_json("raw", REPLY)["decisions"].alias("d"))
+    made = read.select("query_id", F.explode("d").alias("x")).select("query_id", "x.chunk_id", F.coalesce("x.keep", F.lit(True)).alias("keep"))
+    return made.dropDuplicates(["query_id", "chunk_id"]), read.select("query_id", F.when(F.col("d").isNull(), "llm_fallback").otherwise("llm").alias("mode"))

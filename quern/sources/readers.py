@@ -71,3 +71,14 @@ def tracked_files(spark: SparkSession, root: str) -> DataFrame | None:
     """Files that git tracks under root; None outside a repository."""
     got = subprocess.run(["git", "-C", root, "ls-files"], capture_output=True, text=True)
     return None if got.returncode else spark.createDataFrame([(x,) for x in got.stdout.splitlines()], "file_path string")
+
+
+def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """(registry for project_info, default fields) of a YAML file with ``default`` and ``projects``."""
+    import yaml  # optional: only this source needs it
+
+    with open(path, encoding="utf-8") as f:
+        data = yaml.safe_load(f) or {}
+    names = ("name", "description", "purpose", "language")
+    rows = [(k, *(None if v.get(n) is None else str(v.get(n)) for n in names)) for k, v in (data.get("projects") or {}).items()]
+    return spark.createDataFrame(rows, "key string, name string, description string, purpose string, language string"), {n: data.get("default", {}).get(n) for n in names}
