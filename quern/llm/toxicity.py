@@ -256,7 +256,7 @@ class Scorer:
         return 1 / (1 + math.exp(-min(max(self.a * e + self.b, -30), 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out, max_toxic: int = 4000, max_clean: int = 8000) -> tuple[np.ndarray, dict[str, float]]:
+def train(docs: DataFrame, labels: DataFrame, held_out, max_toxic: int = 2500, max_clean: int = 4000) -> tuple[np.ndarray, dict[str, float]]:
     """The character model's log table and the classifier's weights, from rows (doc_id, text) that are not held out."""
     learn = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
 
