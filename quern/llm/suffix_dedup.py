@@ -18,7 +18,7 @@ sorted without sorting the whole corpus:
    give each suffix's longest earlier factor; where it has L bytes, the string goes.
 4. Each document unites its removed ranges.
 
-Equal hashes of 18 bytes stand for equal surroundings in step 2; step 3 compares
+Equal hashes of 15 bytes stand for equal surroundings in step 2; step 3 compares
 bytes. Rows without an id are no source and keep all; rows of the same id are
 not earlier than each other; null texts are empty; a group of copies is never
 compared pairwise.
@@ -30,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,18 +101,32 @@ def _anchors(texts: list[bytes], chosen: list[int]) -> tuple[np.ndarray, ...]:
     return np.array(chosen)[doc], pos, a, around, lo, hi
 
 
+def top(x: np.ndarray, n: int) -> bytes:
+    """The n highest bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - n :]).tobytes()
+
+
+def from_top(b: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(b) // n, 8), np.uint8)
+    out[:, 8 - n :] = np.frombuffer(b, np.uint8).reshape(-1, n)
+    return out.view("<u8").ravel()
+
+
 def six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+    return top(x, 6)
 
 
 def from_six(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    return from_top(b, 6)
+
+
+def steps(pos: np.ndarray) -> bytes:
+    """Positions as compressed differences."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(pos, prepend=0).astype("<i4").tobytes())
 
 
-def four(x: np.ndarray) -> bytes:
-    return (x >> np.uint64(32)).astype("<u4").tobytes()
+def from_steps(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<i4"), dtype=np.int32)
 
 
 DEALT = "bucket int, batch long, keys binary, docs binary, ids binary, runs binary, pos binary, a binary, c binary, l binary, r binary"
@@ -142,7 +157,7 @@ def _deal(buckets: int):
                         first = np.flatnonzero(np.diff(doc[s], prepend=-1))
                         runs = np.diff(np.append(first, len(s)))
                         d = doc[s][first]
-                        out.append({"bucket": n, "batch": batch, "docs": d.astype("<i4").tobytes(), "ids": ids[d].astype("<i8").tobytes(), "runs": runs.astype("<i4").tobytes(), "pos": pos[s].astype("<i4").tobytes(), "a": six(a[s]), "c": four(c[s]), "l": four(left[s]), "r": four(right[s])})
+                        out.append({"bucket": n, "batch": batch, "docs": d.astype("<i4").tobytes(), "ids": ids[d].astype("<i8").tobytes(), "runs": runs.astype("<i4").tobytes(), "pos": steps(pos[s]), "a": six(a[s]), "c": top(c[s], 3), "l": top(left[s], 3), "r": top(right[s], 3)})
                     yield _rows(out, DEALT_NAMES, DEALT_TYPES)
                 batch += 1
 
@@ -162,16 +177,22 @@ def _first_doc(order: np.ndarray, keys: list[np.ndarray], doc: np.ndarray) -> tu
 
 
 def judge(a, c, left, right, doc) -> tuple[np.ndarray, np.ndarray]:
-    """(gone, open) for the anchors of a bucket."""
+    """(gone, open) for the anchors of a bucket.
+
+    Of equal surroundings only those in their first document remain, and these are open if other surroundings that
+    remain share a half with them: whatever a later copy could match, its first document matches too.
+    """
     order = np.lexsort((doc, right, left, c, a))
     least, _ = _first_doc(order, [a, c, left, right], doc)
     gone = doc > least
+    rest = np.flatnonzero(~gone)
     other = np.zeros(len(a), bool)
-    for half in (left, right):
+    a, doc = a[rest], doc[rest]
+    for half in (left[rest], right[rest]):
         order = np.lexsort((doc, half, a))
         low, high = _first_doc(order, [a, half], doc)
-        other |= low != high
-    return gone, ~gone & other
+        other[rest] |= low != high
+    return gone, other
 
 
 ANSWER = "batch long, keys binary, docs binary, pos binary, a binary"
@@ -199,9 +220,9 @@ def _judge_buckets(batches):
         rows = [r for r in rows if r[1] is None]
         if rows:
             load = lambda i, t: [np.frombuffer(r[i], t) for r in rows]  # noqa: E731,B023
-            docs, ids, runs, pos = load(2, "<i4"), load(3, "<i8"), load(4, "<i4"), load(5, "<i4")
+            docs, ids, runs, pos = load(2, "<i4"), load(3, "<i8"), load(4, "<i4"), [from_steps(r[5]) for r in rows]
             a = [from_six(r[6]) for r in rows]
-            gone, is_open = judge(np.concatenate(a), *(np.concatenate(load(i, "<u4")) for i in (7, 8, 9)), np.concatenate([np.repeat(x, n) for x, n in zip(ids, runs, strict=True)]))
+            gone, is_open = judge(np.concatenate(a), *(np.concatenate([from_top(r[i], 3) for r in rows]) for i in (7, 8, 9)), np.concatenate([np.repeat(x, n) for x, n in zip(ids, runs, strict=True)]))
             at = 0
             for r, d, n, p, x in zip(rows, docs, runs, pos, a, strict=True):
                 g, o = gone[at : at + len(p)], is_open[at : at + len(p)]
