@@ -184,7 +184,7 @@ def evidence(words, weights: dict[str, float]) -> float:
     return combined([max((weights.get(f, 0.0) for f in features(w)), default=0.0) for w in words])
 
 
-def fit(rows: list[tuple[str, int]], restorer: Restorer, support: int = 6, most: int = 20_000) -> dict[str, float]:
+def fit(rows: list[tuple[str, int]], restorer: Restorer, support: int = 4, most: int = 20_000) -> dict[str, float]:
     """Feature weights, and the logistic curve's two numbers under "a" and "b" with a leading NUL."""
     n = [sum(1 - y for _, y in rows), sum(y for _, y in rows)]
     docs = []
