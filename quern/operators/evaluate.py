@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import text as tx
 from .confidence import confidence, mean_confidence
-from .filtering import context_filter
 from .metrics import below, filter_metrics, mean_metric, retrieval_metrics
 
 #: The stages an error can be put down to, in order.
@@ -27,18 +25,29 @@ class Run:
 
 
 def evaluate(hits: DataFrame, gold: DataFrame, runs: list[Run], settings: Settings = DEFAULTS) -> DataFrame:
-    """One row a run and query. hits are scored once and shared by all runs."""
-
-    def one(run: Run) -> DataFrame:
-        s = Settings(**{**settings.__dict__, "sim_threshold": run.threshold})
-        filtered = context_filter(hits, run.mode, run.threshold)
-        conf = mean_confidence(filtered) if run.mean_form else confidence(filtered, s, use_information_loss=False).select("query_id", "confidence", "evidence_count", "kept_count", "filter_ratio")
-        before = retrieval_metrics(hits, gold, s.eval_k, s.sim_threshold)
-        after = retrieval_metrics(filtered, gold, s.eval_k, s.sim_threshold, F.col("kept")).select("query_id", F.col("precision_at_k").alias("post_precision"), F.col("recall_at_k").alias("post_recall"))
-        kept = filter_metrics(filtered, gold, s.eval_k).select("query_id", F.col("filter_ratio").alias("ratio"), "false_deletion", "recall_delta", "gold_retained", "retrieved_gold")
-        return before.join(after, "query_id").join(kept, "query_id").join(conf.drop("filter_ratio"), "query_id").withColumnRenamed("ratio", "filter_ratio").withColumn("run", F.lit(run.name))
-
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(one, runs))
+    """One row a run and query, from one plan.
+
+    Scoring is the dear part, so hits and gold (queries x k rows) are kept once computed, and the runs are rows: each
+    hit is repeated for every run under the key (run, query), and all metrics group by that key.
+    """
+    hits, gold = hits.persist(), gold.select("query_id", "chunk_id").persist()
+    config = F.explode(F.array(*(F.struct(F.lit(r.name).alias("run"), F.lit(r.mode).alias("mode"), F.lit(float(r.threshold)).alias("threshold"), F.lit(r.mean_form).alias("mean_form")) for r in runs))).alias("r")
+    key = F.struct(F.col("r.run").alias("run"), F.col("query_id").alias("query")).alias("query_id")
+    h = hits.select("*", config).select(key, "chunk_id", "score", "rank", "r.mode", "r.threshold", "r.mean_form")
+    g = gold.select("*", config).select(key, "chunk_id")
+    threshold, k = F.col("threshold"), settings.eval_k
+    filtered = h.withColumn("kept", (F.col("mode") == "off") | (F.col("rank") == 1) | F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    plain = confidence(filtered, replace(settings, sim_threshold=threshold), use_information_loss=False).select("query_id", F.col("confidence").alias("_plain"), "evidence_count", "kept_count")
+    mean = mean_confidence(filtered).withColumnRenamed("confidence", "_mean")
+    form = h.groupBy("query_id").agg(F.first("mean_form").alias("_form"))
+    before = retrieval_metrics(h, g, k, threshold)
+    after = retrieval_metrics(filtered, g, k, threshold, F.col("kept")).select("query_id", F.col("precision_at_k").alias("post_precision"), F.col("recall_at_k").alias("post_recall"))
+    kept = filter_metrics(filtered, g, k).select("query_id", "filter_ratio", "false_deletion", "recall_delta", "gold_retained", "retrieved_gold")
+    got = before
+    for part in (after, kept, plain, mean, form):
+        got = got.join(part, "query_id")
+    got = got.withColumn("confidence", F.when(F.col("_form"), F.col("_mean")).otherwise(F.col("_plain"))).drop("_plain", "_mean", "_form")
+    return got.select(F.col("query_id.run").alias("run"), F.col("query_id.query").alias("query_id"), *(c for c in got.columns if c != "query_id"))
 
 
 def aggregate_runs(cases: DataFrame) -> DataFrame:
