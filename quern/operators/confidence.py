@@ -34,7 +34,8 @@ def confidence(filtered: DataFrame, settings: Settings = DEFAULTS, use_informati
     loss = F.col("information_loss") if use_information_loss else F.col("filter_ratio")
     target = F.lit(float(settings.evidence_target))
     parts = {"top": F.col("top_score"), "evidence": F.least(F.col("evidence_count") / target, F.lit(1.0)), "strong": F.least(F.col("strong_count") / target, F.lit(1.0)), "retention": F.greatest(F.lit(0.0), 1 - loss)}
-    value = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), weighted(parts, weights_of(settings)))), 4)
+    # The nudge: a sum like 0.48724999999999996 stands for 0.48725, and halves go up whatever the order of the sum.
+    value = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), weighted(parts, weights_of(settings)))) + 1e-9, 4)
     got = got.withColumn("confidence", F.when(F.col("kept_count") == 0, 0.0).otherwise(value))
     warn = F.col("filter_ratio") >= settings.filter_ratio_warn
     return got.withColumns({"quality_warning": warn, "needs_confirmation": (F.col("kept_count") == 0) | (F.col("confidence") < settings.confirm_threshold) | warn})

@@ -77,7 +77,7 @@ def retrieval_signals(filtered: DataFrame, strong: float = DEFAULTS.strong_evide
 
 def mean_metric(c: Column) -> Column:
     """The mean of what is known, to four places; 0 if nothing is."""
-    return F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
+    return F.round(F.coalesce(F.avg(c), F.lit(0.0)) + 1e-9, 4)
 
 
 def hallucination_flag(hallucination: Column, groundedness: Column, faithfulness: Column, limit: float = DEFAULTS.score_pass) -> Column:

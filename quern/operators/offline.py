@@ -31,7 +31,7 @@ def template_answer(kept: DataFrame) -> DataFrame:
 def simple_confidence(filtered: DataFrame) -> DataFrame:
     """0.7 of the best kept score and 0.3 of the share that was kept."""
     got = filtered.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("kept"), F.col("score"))), F.lit(0.0)).alias("t"), (F.count_if("kept") / F.count("*")).alias("r"))
-    return got.select("query_id", F.round(0.7 * F.col("t") + 0.3 * F.col("r"), 4).alias("confidence"))
+    return got.select("query_id", F.round(0.7 * F.col("t") + 0.3 * F.col("r") + 1e-9, 4).alias("confidence"))
 
 
 def failing(column: Column, message: str = "retrieval failed") -> Column:

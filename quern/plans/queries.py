@@ -63,7 +63,7 @@ FILTERED = f"""f AS (SELECT *, (rank = 1 OR score >= {SIM}) AS kept FROM h)"""
 
 def CONF(loss: str, src: str = "f", sim: float = SIM) -> str:
     return f"""SELECT query_id, top_score, kept_count, evidence_count, strong_count, filter_ratio, information_loss, confidence, filter_ratio >= 0.8 AS quality_warning, (confidence < 0.6 OR filter_ratio >= 0.8) AS needs_confirmation FROM (
-SELECT *, round(greatest(0.0, least(1.0, (0.5 * top_score + 0.2 * least(evidence_count / 3.0::DOUBLE, 1.0) + 0.2 * least(strong_count / 3.0::DOUBLE, 1.0) + 0.1 * greatest(0.0, 1 - {loss})) / (0.5 + 0.2 + 0.2 + 0.1))), 4) AS confidence FROM (
+SELECT *, round(greatest(0.0, least(1.0, (0.5 * top_score + 0.2 * least(evidence_count / 3.0::DOUBLE, 1.0) + 0.2 * least(strong_count / 3.0::DOUBLE, 1.0) + 0.1 * greatest(0.0, 1 - {loss})) / (0.5 + 0.2 + 0.2 + 0.1))) + 1e-9, 4) AS confidence FROM (
 SELECT query_id, coalesce(max(score) FILTER (kept), 0.0) AS top_score, count(*) FILTER (kept) AS kept_count, count(*) FILTER (kept AND score >= {sim}) AS evidence_count, count(*) FILTER (kept AND score >= {STRONG}) AS strong_count,
 round(count(*) FILTER (NOT kept) / count(*)::DOUBLE, 4) AS filter_ratio, round(coalesce(count(*) FILTER (NOT kept AND score >= {sim}) / nullif(count(*) FILTER (score >= {sim}), 0)::DOUBLE, 0.0), 4) AS information_loss FROM {src} GROUP BY query_id))"""
 
@@ -190,7 +190,7 @@ c_{n} AS (SELECT '{n}' AS run, b.*, a.precision_at_k AS post_precision, a.recall
 
 
 MEANS = ("precision_at_k", "recall_at_k", "mrr", "hit_rate", "post_precision", "post_recall", "filter_ratio", "false_deletion", "recall_delta", "gold_retained", "confidence")
-COMPARE = f"WITH {HITS}, {GOLD}, {', '.join(map(_run_sql, RUNS))}, cases AS ({' UNION ALL BY NAME '.join(f'SELECT * FROM c_{r.name}' for r in RUNS)}), agg AS (SELECT run, count(*) AS case_count, {', '.join(f'round(coalesce(avg({m}), 0.0), 4) AS {m}' for m in MEANS)}, round(coalesce(avg(failed::INT::DOUBLE), 0.0), 4) AS failure_rate FROM cases GROUP BY run)"
+COMPARE = f"WITH {HITS}, {GOLD}, {', '.join(map(_run_sql, RUNS))}, cases AS ({' UNION ALL BY NAME '.join(f'SELECT * FROM c_{r.name}' for r in RUNS)}), agg AS (SELECT run, count(*) AS case_count, {', '.join(f'round(coalesce(avg({m}), 0.0) + 1e-9, 4) AS {m}' for m in MEANS)}, round(coalesce(avg(failed::INT::DOUBLE), 0.0) + 1e-9, 4) AS failure_rate FROM cases GROUP BY run)"
 
 
 def _aggregates(spark, d):
@@ -316,7 +316,7 @@ def context_relevance(spark, d):
 
 
 @query(f"""WITH {PAIRS}, t AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 1 - len(answer) % 10 / 10.0::DOUBLE END AS h, CASE WHEN conv_id % 3 = 1 THEN len(answer) % 10 / 10.0::DOUBLE END AS g FROM a),
-u AS (SELECT CASE WHEN h IS NOT NULL THEN round(h, 4) >= 0.6 WHEN g IS NOT NULL THEN round(g, 4) < 0.6 END AS bad FROM t) SELECT count(bad) AS judged, round(coalesce(avg(bad::INT::DOUBLE), 0.0), 4) AS hallucination_rate FROM u""")
+u AS (SELECT CASE WHEN h IS NOT NULL THEN round(h, 4) >= 0.6 WHEN g IS NOT NULL THEN round(g, 4) < 0.6 END AS bad FROM t) SELECT count(bad) AS judged, round(coalesce(avg(bad::INT::DOUBLE), 0.0) + 1e-9, 4) AS hallucination_rate FROM u""")
 def hallucination_rate(spark, d):
     share = F.length("answer") % 10 / 10.0
     flag = metrics.hallucination_flag(F.round(F.when(F.col("conv_id") % 3 == 0, 1 - share), 4), F.round(F.when(F.col("conv_id") % 3 == 1, share), 4), F.lit(None).cast("double"))
@@ -532,7 +532,7 @@ def project_lookup(spark, d):
     return projects.project_info(req, registry, {"name": "default"}).select("o_orderkey", "name")
 
 
-@query("SELECT user_id, count(*) AS n, round(avg(CASE WHEN value IS NOT NULL THEN value END), 4) AS mean FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, round(avg(CASE WHEN value IS NOT NULL THEN value END) + 1e-9, 4) AS mean FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
 def metric_mean(spark, d):
     return read_table(spark, d, "events").where("event_type in ('click', 'view')").groupBy("user_id").agg(F.count("*").alias("n"), metrics.mean_metric(F.col("value")).alias("mean"))
 
@@ -548,7 +548,7 @@ def keyword_retrieval(spark, d):
     return offline.keyword_topk(cases, corpus, 5).select("query_id", "chunk_id", "score")
 
 
-@query(f"WITH {HITS}, {FILTERED} SELECT query_id, round(0.7 * coalesce(max(score) FILTER (kept), 0.0) + 0.3 * (count(*) FILTER (kept) / count(*)::DOUBLE), 4) AS confidence FROM f GROUP BY query_id")
+@query(f"WITH {HITS}, {FILTERED} SELECT query_id, round(0.7 * coalesce(max(score) FILTER (kept), 0.0) + 0.3 * (count(*) FILTER (kept) / count(*)::DOUBLE) + 1e-9, 4) AS confidence FROM f GROUP BY query_id")
 def confidence_simple(spark, d):
     return offline.simple_confidence(context_filter(_hits(spark, d), "on", SIM))
 
