@@ -135,7 +135,7 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, length: int, tokenizer
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, width: int = 8, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
     """The pieces of every document with their sequence and their place in it."""
     spark = df.sparkSession
-    scratch, shards = Scratch(spark, "packing"), 8 * parts(spark)
+    scratch, shards = Scratch(spark, "packing"), max(4, parts(spark) // 4)
     shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("int")
     cls = F.ceil(F.col("length") / width).cast("int")
     pieces = scratch.write(cut_pieces(df, id_col, text_col, length, tokenizer, end_id).withColumns({"cls": cls, "shard": shard}))
