@@ -18,8 +18,8 @@ sorted without sorting the whole corpus:
    give each suffix's longest earlier factor; where it has L bytes, the string goes.
 4. Each document unites its removed ranges.
 
-Equal hashes of 15 bytes stand for equal surroundings in step 2; step 3 compares
-bytes. Rows without an id are no source and keep all; rows of the same id are
+In step 2 equal surroundings are equal 64-bit hashes of the anchor and all around
+it; the halves' 24 bits only open anchors, whose bytes step 3 compares. Rows without an id are no source and keep all; rows of the same id are
 not earlier than each other; null texts are empty; a group of copies is never
 compared pairwise.
 """
@@ -97,7 +97,7 @@ def _anchors(texts: list[bytes], chosen: list[int]) -> tuple[np.ndarray, ...]:
     # What lies beyond a text's end is the gap of zeros; the clipped sizes tell it from zeros of a text.
     lo = _mix(h16[at - HALF] + STEP[8] * np.minimum(left, HALF).astype(np.uint64))
     hi = _mix(h16[at + G - 1] + STEP[16] * np.minimum(right, G + HALF).astype(np.uint64))
-    around = _mix(_mix(h16[at - SIDE] + _mix(h16[at - 16]) * STEP[1]) + _mix(h16[at + G]) * STEP[4] + _mix(h16[at + L - 16]) * STEP[8] + (left * 64 + right).astype(np.uint64) * STEP[2])
+    around = _mix(_mix(h16[at - SIDE] + _mix(h16[at - 16]) * STEP[1]) + _mix(h16[at + G]) * STEP[4] + _mix(h16[at + L - 16]) * STEP[8] + (left * 64 + right).astype(np.uint64) * STEP[2] + a * STEP[16])
     return np.array(chosen)[doc], pos, a, around, lo, hi
 
 
@@ -120,13 +120,15 @@ def from_six(b: bytes) -> np.ndarray:
     return from_top(b, 6)
 
 
-def steps(pos: np.ndarray) -> bytes:
-    """Positions as compressed differences."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(pos, prepend=0).astype("<i4").tobytes())
+def squeeze(x: np.ndarray, kind: str) -> bytes:
+    """Numbers as compressed byte planes of their differences."""
+    x = np.diff(x.astype(kind), prepend=np.zeros(1, kind))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
-def from_steps(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<i4"), dtype=np.int32)
+def expand(b: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
 DEALT = "bucket int, batch long, keys binary, docs binary, ids binary, runs binary, pos binary, a binary, c binary, l binary, r binary"
@@ -157,7 +159,7 @@ def _deal(buckets: int):
                         first = np.flatnonzero(np.diff(doc[s], prepend=-1))
                         runs = np.diff(np.append(first, len(s)))
                         d = doc[s][first]
-                        out.append({"bucket": n, "batch": batch, "docs": d.astype("<i4").tobytes(), "ids": ids[d].astype("<i8").tobytes(), "runs": runs.astype("<i4").tobytes(), "pos": steps(pos[s]), "a": six(a[s]), "c": top(c[s], 3), "l": top(left[s], 3), "r": top(right[s], 3)})
+                        out.append({"bucket": n, "batch": batch, "docs": squeeze(d, "<i4"), "ids": squeeze(ids[d], "<i8"), "runs": squeeze(runs, "<i4"), "pos": squeeze(pos[s], "<i4"), "a": six(a[s]), "c": top(c[s], 8), "l": top(left[s], 3), "r": top(right[s], 3)})
                     yield _rows(out, DEALT_NAMES, DEALT_TYPES)
                 batch += 1
 
@@ -182,8 +184,8 @@ def judge(a, c, left, right, doc) -> tuple[np.ndarray, np.ndarray]:
     Of equal surroundings only those in their first document remain, and these are open if other surroundings that
     remain share a half with them: whatever a later copy could match, its first document matches too.
     """
-    order = np.lexsort((doc, right, left, c, a))
-    least, _ = _first_doc(order, [a, c, left, right], doc)
+    order = np.lexsort((doc, c, a))
+    least, _ = _first_doc(order, [a, c], doc)
     gone = doc > least
     rest = np.flatnonzero(~gone)
     other = np.zeros(len(a), bool)
@@ -219,10 +221,9 @@ def _judge_buckets(batches):
         out = [{"batch": r[0], "keys": r[1]} for r in rows if r[1] is not None]
         rows = [r for r in rows if r[1] is None]
         if rows:
-            load = lambda i, t: [np.frombuffer(r[i], t) for r in rows]  # noqa: E731,B023
-            docs, ids, runs, pos = load(2, "<i4"), load(3, "<i8"), load(4, "<i4"), [from_steps(r[5]) for r in rows]
+            docs, ids, runs, pos = ([expand(r[i], t) for r in rows] for i, t in ((2, "<i4"), (3, "<i8"), (4, "<i4"), (5, "<i4")))
             a = [from_six(r[6]) for r in rows]
-            gone, is_open = judge(np.concatenate(a), *(np.concatenate([from_top(r[i], 3) for r in rows]) for i in (7, 8, 9)), np.concatenate([np.repeat(x, n) for x, n in zip(ids, runs, strict=True)]))
+            gone, is_open = judge(np.concatenate(a), *(np.concatenate([from_top(r[i], w) for r in rows]) for i, w in ((7, 8), (8, 3), (9, 3))), np.concatenate([np.repeat(x, n) for x, n in zip(ids, runs, strict=True)]))
             at = 0
             for r, d, n, p, x in zip(rows, docs, runs, pos, a, strict=True):
                 g, o = gone[at : at + len(p)], is_open[at : at + len(p)]

@@ -55,3 +55,13 @@ def test_suffix_order():
     flat = sorted((bytes(around[i, j : j + sd.L]), int(ranks[i, j])) for i in range(40) for j in range(sd.SIDE + 1))
     for (x, r), (y, s) in zip(flat, flat[1:], strict=False):
         assert (x == y) == (r == s) and r <= s
+
+
+def test_outer_bytes_of_a_shared_passage_tell_surroundings_apart(spark):
+    """Of 20,000 documents around one passage, some agree in 24 bits of their surroundings' hash, and none in all."""
+    rng = np.random.default_rng(8)
+    outer = rng.integers(97, 123, (20_000, 60)).astype(np.uint8)
+    anchor = lambda p: sd.anchors([p])[0][1]
+    p = next(p for p in (sentence(k, 40).encode()[:62] for k in range(100)) if (abs(anchor(p) - 21) <= 6).all())  # 15 bytes to both sides in the passage
+    rows = [(i, (bytes(o[:30]) + p + bytes(o[30:])).decode()) for i, o in enumerate(outer)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
