@@ -52,53 +52,61 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
-    """Per block of texts: (text number, position, anchor hash, surroundings, left half, right half)."""
+    """Per block of texts: (text number, position, anchor hash, surroundings, left half, right half).
+
+    A text longer than BLOCK is taken in pieces of BLOCK windows, each with all bytes its anchors' surroundings reach; an
+    anchor of windows in two pieces comes twice, which changes no result.
+    """
     out, held, size = [], [], 0
     for k, t in enumerate(texts):
-        if len(t) >= L:
-            held.append(k)
-            size += len(t) + PAD
-        if held and (size >= BLOCK or k + 1 == len(texts)):
-            out.append(_anchors(texts, held))
-            held, size = [], 0
+        for lo in range(0, len(t) - L + 1, BLOCK):
+            held.append((k, lo))
+            size += min(len(t) - lo, BLOCK) + PAD
+            if size >= BLOCK:
+                out.append(_anchors(texts, held))
+                held, size = [], 0
+    if held:
+        out.append(_anchors(texts, held))
     return out
 
 
-def _anchors(texts: list[bytes], chosen: list[int]) -> tuple[np.ndarray, ...]:
+def _anchors(texts: list[bytes], pieces: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    """Anchors of the windows that start in BLOCK bytes from each (text number, first window)."""
     gap = bytes(PAD)
-    data = np.frombuffer(gap + b"".join(texts[k] + gap for k in chosen), np.uint8)
-    lengths = np.array([len(texts[k]) for k in chosen], np.int64)
-    starts = PAD + np.concatenate([[0], np.cumsum(lengths + PAD)[:-1]])
+    number, first = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+    whole = np.array([len(texts[k]) for k in number.tolist()], np.int64)
+    begin, stop = np.maximum(first - SIDE, 0), np.minimum(first + BLOCK - 1 + SIDE + L, whole)
+    data = np.frombuffer(gap + b"".join(texts[k][x:y] + gap for k, x, y in zip(number.tolist(), begin.tolist(), stop.tolist(), strict=True)), np.uint8)
+    starts = PAD + np.concatenate([[0], np.cumsum(stop - begin + PAD)[:-1]])
     h = {1: SPREAD[data]}
     for w in (1, 2, 4, 8):
         x = h[w]
         h[2 * w] = x[:-w] * STEP[w] + x[w:]
     n = len(data) - 3 * 16
     gram = _mix(h[16][:n] * STEP[4] + h[4][16 : 16 + n])
-    key = (gram & ~np.uint64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64)  # blocks of a long text stay below 2**24 bytes
-    if len(data) >= 1 << 24:
-        raise ValueError("a text of 16 MB or more")
+    key = (gram & ~np.uint64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64)  # a block stays below 2**24 bytes
     low = key
     for w in (1, 2, 4, 8):
         low = np.minimum(low[:-w], low[w:])
     reach = SIDE + 1 - 16
     low = np.minimum(low[:-reach], low[reach:])  # least of SIDE + 1 grams
     valid = np.zeros(len(data) + 1, np.int32)
-    np.add.at(valid, starts, 1)
-    np.add.at(valid, starts + lengths - L + 1, -1)
+    windows = starts + first - begin
+    np.add.at(valid, windows, 1)
+    np.add.at(valid, windows + np.minimum(whole - first - L + 1, BLOCK), -1)
     inside = np.cumsum(valid)[: len(low)] > 0
     at = low[inside] & np.uint64((1 << 24) - 1)
     at = at[np.concatenate([[True], at[1:] != at[:-1]])].astype(np.int64) if len(at) else at.astype(np.int64)
     doc = np.searchsorted(starts, at, side="right") - 1
-    pos = at - starts[doc]
-    left, right = np.minimum(pos, SIDE), np.minimum(lengths[doc] - pos, L)
+    pos = at - starts[doc] + begin[doc]
+    left, right = np.minimum(pos, SIDE), np.minimum(whole[doc] - pos, L)
     a = gram[at]
     h16 = h[16]
     # What lies beyond a text's end is the gap of zeros; the clipped sizes tell it from zeros of a text.
     lo = _mix(h16[at - HALF] + STEP[8] * np.minimum(left, HALF).astype(np.uint64))
     hi = _mix(h16[at + G - 1] + STEP[16] * np.minimum(right, G + HALF).astype(np.uint64))
     around = _mix(_mix(h16[at - SIDE] + _mix(h16[at - 16]) * STEP[1]) + _mix(h16[at + G]) * STEP[4] + _mix(h16[at + L - 16]) * STEP[8] + (left * 64 + right).astype(np.uint64) * STEP[2] + a * STEP[16])
-    return np.array(chosen)[doc], pos, a, around, lo, hi
+    return number[doc], pos, a, around, lo, hi
 
 
 def top(x: np.ndarray, n: int) -> bytes:
@@ -312,10 +320,14 @@ def _open_contexts(buckets: int):
                 doc_id, text = texts[0][0], texts[0][1]
                 a = np.concatenate([from_six(r[4]) for r in answers])
                 data = np.frombuffer(bytes(SIDE) + text + bytes(L), np.uint8)
-                around = data[pos[:, None] + np.arange(SIDE + L)]
-                clip = np.stack([SIDE - np.minimum(pos, SIDE), SIDE + np.minimum(len(text) - pos, L)], 1).astype(np.uint8)
-                contexts.append((np.full(len(pos), key), np.full(len(pos), doc_id), pos, a, around, clip))
-                size += around.size
+                for lo in range(0, len(pos), 50_000):
+                    p = pos[lo : lo + 50_000]
+                    around = data[p[:, None] + np.arange(SIDE + L)]
+                    clip = np.stack([SIDE - np.minimum(p, SIDE), SIDE + np.minimum(len(text) - p, L)], 1).astype(np.uint8)
+                    contexts.append((np.full(len(p), key), np.full(len(p), doc_id), p, a[lo : lo + 50_000], around, clip))
+                    size += around.size
+                    if size > 8_000_000:
+                        yield flush()
             if size > 8_000_000 or len(out) > 5000:
                 yield flush()
         if out or contexts:

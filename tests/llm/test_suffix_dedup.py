@@ -65,3 +65,22 @@ def test_outer_bytes_of_a_shared_passage_tell_surroundings_apart(spark):
     p = next(p for p in (sentence(k, 40).encode()[:62] for k in range(100)) if (abs(anchor(p) - 21) <= 6).all())  # 15 bytes to both sides in the passage
     rows = [(i, (bytes(o[:30]) + p + bytes(o[30:])).decode()) for i, o in enumerate(outer)]
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+
+
+def test_pieces_of_a_text_have_its_anchors(monkeypatch):
+    texts = [sentence(k, 300).encode() for k in range(3)] + [b"a" * 700]
+    found = lambda: {tuple(int(v) for v in r) for x in sd.anchors(texts) for r in zip(*x, strict=True)}
+    whole = found()
+    monkeypatch.setattr(sd, "BLOCK", 333)
+    assert found() == whole and max(r[1] for r in whole) > 333
+
+
+def test_text_above_16_mb(spark):
+    rng = np.random.default_rng(5)
+    long = bytes(rng.integers(97, 123, 17 << 20).astype(np.uint8))
+    cuts = [(5, 90), ((1 << 20) - 40, 100), ((16 << 20) + 77, 60)]
+    rows = [(k, long[at : at + n].decode()) for k, (at, n) in enumerate(cuts)] + [(9, long.decode())]
+    got = {r["doc_id"]: r for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[9]["n_removed"], got[9]["n_spans"]) == (250, 3)
+    kept = long[:5] + long[95 : cuts[1][0]] + long[cuts[1][0] + 100 : cuts[2][0]] + long[cuts[2][0] + 60 :]
+    assert got[9]["kept_sha256"] == hashlib.sha256(kept).hexdigest() and all(got[k]["n_removed"] == 0 for k in range(3))
