@@ -10,9 +10,13 @@ list the original vectors are compared in blocks by exact cosine in double
 precision. A pair is counted in the first table where it meets, so a list gives
 counts for each vector and the links of a spanning forest, not its pairs.
 
-k grows with the logarithm of the number of vectors so that lists of unrelated
-vectors stay short; T follows from k and the wanted recall at the threshold
-itself (closer pairs have more). Lists longer than ``block`` are dealt out as
+The axes keep their scale, so that bits differ by what differs in the vectors. T
+follows from the wanted recall, measured with the codes themselves on pairs at
+the threshold (closer pairs have more): sampled vectors with noise in all
+directions, with noise along the data, and pairs found in the sample; the worst
+kind counts. k, at most the logarithm of the number of vectors so that lists
+of unrelated vectors stay short, is where T postings and the lists measured on the
+sample cost least. Where no chunks reach the recall, all vectors are one list. Lists longer than ``block`` are dealt out as
 pairs of blocks. Copies of a vector are one entry with a count.
 
 Vectors that are null, zero, of another length than most, or hold null or
@@ -35,15 +39,13 @@ from .graph import components
 
 def learn_rotation(x: np.ndarray, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """Columns that turn centred rows into code bits by their signs."""
-    values, axes = np.linalg.eigh(x.T @ x)
+    axes = np.linalg.eigh(x.T @ x)[1]
     v = x @ axes
-    v /= np.sqrt(np.maximum(values, values.max(initial=0) * 1e-6) + 1e-30)  # whitened, so that no axis decides alone
-    scale = 1 / np.sqrt(np.maximum(values, values.max(initial=0) * 1e-6) + 1e-30)
     turn, _ = np.linalg.qr(rng.normal(size=(x.shape[1], x.shape[1])))
     for _ in range(rounds):
         left, _, right = np.linalg.svd(v.T @ np.where(v @ turn >= 0, 1.0, -1.0))
         turn = left @ right
-    return (axes * scale) @ turn
+    return axes @ turn
 
 
 def learn_codes(x: np.ndarray, bits: int, rounds: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +56,85 @@ def learn_codes(x: np.ndarray, bits: int, rounds: int = 30, seed: int = 11) -> t
     return mean, np.concatenate(out, axis=1)[:, :bits]
 
 
-def shape_of_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """(k, T): bits of a chunk, and tables, for n vectors."""
-    k = max(6, min(24, round(math.log2(max(n, 2) / 48))))
-    meet = (1 - math.acos(min(1.0, threshold)) / math.pi) ** k
-    return k, max(4, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+def max_bits(n: int) -> int:
+    """The most bits of a chunk for n vectors."""
+    return max(6, min(24, round(math.log2(max(n, 2) / 48))))
+
+
+def meeting(k: int, threshold: float) -> float:
+    """The chance that vectors at the threshold agree in k random bits."""
+    return min(1 - 1e-12, max(1e-12, (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** k))
+
+
+def near_pairs(x: np.ndarray, threshold: float, rng: np.random.Generator, n: int = 3000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Kinds of pairs of unit vectors at or near the threshold, made and found from sample rows of unit length."""
+    base = x[rng.permutation(len(x))[:n]]
+    out = []
+    for noise in (rng.normal(size=base.shape), x[rng.integers(len(x), size=len(base))] - x[rng.integers(len(x), size=len(base))]):
+        noise = noise - (noise * base).sum(1, keepdims=True) * base
+        size = np.sqrt((noise * noise).sum(1, keepdims=True))
+        ok = size[:, 0] > 1e-9
+        if ok.any():
+            out.append((base[ok], threshold * base[ok] + math.sqrt(max(0.0, 1 - threshold**2)) * noise[ok] / size[ok]))
+    found = []
+    for at in range(0, len(base), 500):
+        s = base[at : at + 500] @ x.T
+        i, j = np.nonzero((s >= threshold) & (s <= (1 + threshold) / 2))
+        found.append(np.stack([i + at, j]))
+    i, j = np.concatenate(found, axis=1)
+    if len(i) >= 100:
+        some = rng.permutation(len(i))[:n]
+        out.append((base[i[some]], x[j[some]]))
+    return out
+
+
+def learn_tables(x: np.ndarray, n: int, threshold: float, recall: float, rounds: int = 30, seed: int = 11, most: int = 128, posting: float = 1000.0) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(mean, projection, k, T) from sample rows of unit length, for n vectors; a posting costs as much as comparing that many vectors."""
+    rng, mean, columns = np.random.default_rng(seed), x.mean(0), []
+    pairs = near_pairs(x, threshold, np.random.default_rng(seed + 1))
+    some = x[np.random.default_rng(seed + 2).permutation(len(x))[:5000]]
+    equal, bits = [np.zeros((len(a), 0), bool) for a, _ in pairs], np.zeros((len(some), 0), bool)
+
+    def chunk(m: np.ndarray, k: int, t: int) -> np.ndarray:
+        return m[:, t * k : (t + 1) * k]
+
+    def tables(k: int) -> int | None:
+        nonlocal equal, bits
+        met = [np.zeros(len(e), bool) for e in equal]
+        for t in range(most):
+            while bits.shape[1] < (t + 1) * k:
+                r = learn_rotation(x - mean, rounds, rng)
+                columns.append(r)
+                equal = [np.hstack([e, ((a - mean) @ r >= 0) == ((b - mean) @ r >= 0)]) for e, (a, b) in zip(equal, pairs, strict=True)]
+                bits = np.hstack([bits, (some - mean) @ r >= 0])
+            met = [m | chunk(e, k, t).all(1) for m, e in zip(met, equal, strict=True)]
+            if all(m.mean() >= recall for m in met):
+                at_least = max(4, math.ceil(math.log(1 - recall) / math.log(1 - meeting(k, threshold))))
+                return max(t + 1, min(most, at_least))
+        return None
+
+    def listed(k: int) -> float:
+        share = []
+        for t in range(4):
+            c = np.unique(chunk(bits, k, t) @ (1 << np.arange(k)), return_counts=True)[1].astype(float)
+            share.append((c * (c - 1)).sum() / max(len(some) * (len(some) - 1), 1))
+        return float(np.mean(share)) * n
+
+    best = None
+    for k in range(6, max_bits(n) + 1):
+        t = tables(k)
+        if t is None or best and t * posting >= best[0]:
+            break
+        cost = t * (posting + listed(k))
+        if best is None or cost < best[0]:
+            best = (cost, k, t)
+    for k in range(5, 0, -1):
+        if best is None and (t := tables(k)):
+            best = (0.0, k, t)
+    _, k, t = best or (0.0, 0, 1)
+    while columns and sum(c.shape[1] for c in columns) < k * t:
+        columns.append(learn_rotation(x - mean, rounds, rng))
+    return mean, np.hstack([np.zeros((x.shape[1], 0)), *columns])[:, : k * t], k, t
 
 
 def _as_matrix(column, dim: int, kind: str) -> np.ndarray:
@@ -187,15 +263,15 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     usable = usable.where(F.length("vec") == dim * width)
     distinct = scratch.write(usable.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     total = distinct.count()
-    k, n_tables = shape_of_tables(total, threshold, recall)
 
     def learn(batches):
         x = _unit(np.concatenate([_as_matrix(b.column("vec"), dim, kind) for b in batches if b.num_rows] or [np.eye(dim, dtype=kind)]))
-        mean, projection = learn_codes(x[np.lexsort(x.T[:3])], k * n_tables)
-        yield pa.RecordBatch.from_pydict({"m": [np.vstack([mean, projection.T]).astype("<f8").tobytes()]})
+        mean, projection, k, n_tables = learn_tables(x[np.lexsort(x.T[:3])], total, threshold, recall)
+        yield pa.RecordBatch.from_pydict({"m": [np.vstack([mean, projection.T]).astype("<f8").tobytes()], "k": [k], "t": [n_tables]})
 
     chosen = distinct.orderBy(F.xxhash64("vec"), "rep").limit(min(sample, max(1000, 8_000_000 // dim))).select("vec")
-    model = np.frombuffer(chosen.repartition(1).mapInArrow(learn, "m binary").collect()[0]["m"], "<f8").reshape(-1, dim)
+    learnt = chosen.repartition(1).mapInArrow(learn, "m binary, k long, t long").collect()[0]
+    model, k, n_tables = np.frombuffer(learnt["m"], "<f8").reshape(-1, dim), learnt["k"], learnt["t"]
     shared = spark.sparkContext.broadcast(model)
     weights = 1 << np.arange(k, dtype=np.int64)
 

@@ -63,3 +63,21 @@ def test_codes_are_balanced():
     mean, p = itq.learn_codes(x, 40)
     share = ((x - mean) @ p >= 0).mean(0)
     assert p.shape == (16, 40) and (abs(share - 0.5) < 0.1).all()
+
+
+def test_recall_on_uneven_and_off_centre_vectors(spark):
+    """64 dimensions with deviations from 1 down to the given one around a mean, and pairs at cosine 0.95 or little more."""
+    rng = np.random.default_rng(6)
+    for least, shift in ((0.15, 0.0), (0.002, 0.0), (0.15, 0.5), (0.023, 0.3)):
+        x = rng.normal(size=(5000, 64)) * np.geomspace(1, least, 64) + shift
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        noise = rng.normal(size=(2000, 64))
+        noise -= (noise * x[:2000]).sum(1, keepdims=True) * x[:2000]
+        noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+        c = rng.uniform(0.9501, 0.96, (2000, 1))
+        x = np.vstack([x, c * x[:2000] + np.sqrt(1 - c**2) * noise])
+        want = int((x @ x.T >= 0.95).sum() - len(x))
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        got = {r["vec_id"]: r for r in itq.near_duplicates(df).collect()}
+        assert 0.97 * want <= sum(r["n_links"] for r in got.values()) <= want
+        assert sum(got[i]["component_id"] == got[5000 + i]["component_id"] for i in range(2000)) >= 0.97 * 2000
