@@ -1,8 +1,8 @@
 """Hidden Markov language model over words, with exact sequence likelihoods.
 
 Texts become sequences of words (A-Z lower-cased, split at ASCII white space) and
-one end. Frequent words (at most ``head`` of them, chosen on a bounded sample)
-are symbols of their own; all others are the symbol RARE, and which rare word it
+one end. The most frequent words by exact counts over all training texts (``head``
+of them, or as many as grow with the root of the training tokens) are symbols of their own; all others are the symbol RARE, and which rare word it
 is has the probability (c + 0.1) / (N_rare + 0.1 (V_rare + 1)) from exact counts over all
 training texts; an unseen word is the one extra. So the score of a text is the
 model's probability of exactly that text.
@@ -10,10 +10,11 @@ model's probability of exactly that text.
 One pass writes every text's symbols (compressed) and its rare words as (64-bit
 hash, text, count) in buckets of the hash. A bucket counts its words over all
 training texts and answers each text with its sum of log10(c + 0.1). Baum-Welch
-starts from an expectation maximisation on a bounded sample and then runs
-``rounds`` passes over all training texts: each task gathers expected counts
+starts from an expectation maximisation on a bounded sample and then runs over
+all training texts until a pass raises their log likelihood by less than the
+share ``settle`` (``rounds`` passes at most): each task gathers expected counts
 (long texts in segments), these are summed across tasks by blocks of symbols,
-and only the summed table, states x symbols, comes to the driver. Scoring is the
+and only the summed table, states x symbols, comes to the driver and goes out as single precision. Scoring is the
 scaled forward recursion over whole texts, many texts side by side.
 
 Null texts are empty and hold the end only. Repeated rows and ids get a result
@@ -98,12 +99,12 @@ class Model:
             alphas.append(a)
             scales.append(scale)
             seen.append(sym)
-        beta = np.ones((active[-1], len(self.start)))
+        beta = np.ones((active[-1], len(self.start)), self.emit.dtype)
         gammas = [None] * len(active)
         for t in range(len(active) - 1, -1, -1):
             n = active[t]
             if len(beta) < n:
-                beta = np.concatenate([beta, np.ones((n - len(beta), beta.shape[1]))])
+                beta = np.concatenate([beta, np.ones((n - len(beta), beta.shape[1]), beta.dtype)])
             gammas[t] = alphas[t] * beta
             if t:
                 w = self.emit[seen[t]] * beta / scales[t][:, None]
@@ -113,34 +114,36 @@ class Model:
         gamma, sym = np.concatenate(gammas), np.concatenate(seen)
         for k in range(gamma.shape[1]):
             emit[:, k] += np.bincount(sym, weights=gamma[:, k], minlength=len(emit))
-        return float(sum(np.log10(s).sum() for s in scales))
+        return float(sum(np.log10(s).sum(dtype=np.float64) for s in scales))
 
 
 def segments(symbols: np.ndarray) -> list[np.ndarray]:
     return [symbols[i : i + SEGMENT] for i in range(0, len(symbols), SEGMENT)]
 
 
-def expect_all(model: Model, texts, counts) -> None:
-    """model.expect over texts in groups of bounded size."""
-    held, first, size = [], [], 0
+def expect_all(model: Model, texts, counts) -> float:
+    """model.expect over texts in groups of bounded size; gives their log10 likelihood."""
+    held, first, size, total = [], [], 0, 0.0
     for symbols in texts:
         for k, s in enumerate(segments(symbols)):
             held.append(s)
             first.append(k == 0)
             size += len(s)
         if size >= GROUP:
-            model.expect(held, first, counts)
+            total += model.expect(held, first, counts)
             held, first, size = [], [], 0
     if held:
-        model.expect(held, first, counts)
+        total += model.expect(held, first, counts)
+    return total
 
 
 def pack_symbols(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.astype("<u2").tobytes())
+    kind = 2 if a.max(initial=0) < 1 << 16 else 4
+    return bytes([kind]) + zstandard.ZstdCompressor(level=1).compress(a.astype(f"<u{kind}").tobytes())
 
 
 def unpack_symbols(b: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<u2")
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), f"<u{b[0]}")
 
 
 ROWS = "row long, doc_id long, held_out boolean, n_tokens long, symbols binary, bucket int, base long, h binary, i binary, tf binary"
@@ -281,11 +284,16 @@ def _sum_table(rows: DataFrame, width: int, states: int) -> np.ndarray:
     return out[:width]
 
 
+def head_size(n_words: int) -> int:
+    """Words with emissions of their own, for so many training words."""
+    return max(60_000, int(7 * n_words**0.5))
+
+
 def held_out_tenth(doc_id):
     return crc_mod(doc_id, 10) == 0
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=held_out_tenth, states: int = 16, head: int = 60_000, sample: int = 3000, rounds: int = 2) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=held_out_tenth, states: int = 16, head: int | None = None, sample: int = 3000, rounds: int = 50, settle: float = 5e-4) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of df."""
     spark, scratch, n_parts = df.sparkSession, Scratch(df.sparkSession, "hmm"), parts(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
@@ -293,15 +301,23 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     def tally(batches):
         c: Counter = Counter()
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
         for b in batches:
             for t in b.column("text").to_pylist():
                 c.update(words_of(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
-
-    ids = learn.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    some = learn.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(tally, "w binary, n long")
-    frequent = some.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(head).toArrow().column("w").to_pylist()
-    numbers = {w: i for i, w in enumerate(frequent)}  # at most head words
+                if len(c) > 500_000:
+                    yield give()
+                    c.clear()
+        yield give()
+
+    words = scratch.write(learn.select("text").mapInArrow(tally, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    n_words = int(words.agg(F.sum("n")).collect()[0][0] or 0)
+    most = head or head_size(n_words)
+    sizes = words.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toArrow()  # one row for each count that occurs
+    over = np.cumsum(sizes.column("k").to_numpy()) >= most
+    least = int(sizes.column("n").to_numpy()[over.argmax()]) if over.any() else 0
+    frequent = words.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most).toArrow().column("w").to_pylist()
+    numbers = {w: i for i, w in enumerate(frequent)}  # at most ``most`` words
     rare, end, width = len(numbers), len(numbers) + 1, len(numbers) + 2
     shared = spark.sparkContext.broadcast(numbers)
     buckets = max(n_parts, 16)
@@ -346,17 +362,22 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     first = np.frombuffer(chosen.repartition(1).mapInArrow(first_model, "m binary").collect()[0]["m"], "<f8") if total else None
     cut = lambda a: Model(a[:states], a[states : states + states**2].reshape(states, states), a[states + states**2 :].reshape(width, states))
     model = cut(first) if total else Model.first(states, share)
+    last = None
     for _ in range(rounds if total else 0):
-        sent = spark.sparkContext.broadcast(model)
+        sent = spark.sparkContext.broadcast(Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit))))
 
         def expect(batches, sent=sent):
             counts = (np.zeros(states), np.zeros((states, states)), np.zeros((width, states)))
-            expect_all(sent.value, (unpack_symbols(s) for b in batches for s in b.column("symbols").to_pylist()), counts)
-            yield from put(np.vstack([counts[2], counts[0][None], counts[1]]))
+            likelihood = expect_all(sent.value, (unpack_symbols(s) for b in batches for s in b.column("symbols").to_pylist()), counts)
+            yield from put(np.vstack([counts[2], counts[0][None], counts[1], np.full((1, states), likelihood)]))
 
-        got = _sum_table(train.mapInArrow(expect, "part int, table binary"), width + 1 + states, states)
-        model = Model.of_counts(got[width], got[width + 1 :], got[:width], share)
+        got = _sum_table(train.mapInArrow(expect, "part int, table binary"), width + 2 + states, states)
+        model = Model.of_counts(got[width], got[width + 1 : -1], got[:width], share)
         sent.unpersist()
+        now = float(got[-1, 0])
+        if last is not None and now - last < settle * abs(now):
+            break
+        last = now
 
     sent = spark.sparkContext.broadcast((model, np.log10(c + 0.1), c > 0))
 

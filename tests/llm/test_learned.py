@@ -117,6 +117,18 @@ def test_base_scores_and_the_models_gain(documents, odd):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_words_outside_the_sample_have_emissions(spark):
+    """Four subjects of 150 words each, of which a sample of 12 texts knows a third at most."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{i % 4}x{k}" for k in rng.integers(0, 150, 20))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = [r for r in hmm.score_texts(df, states=4, sample=12).collect() if r["held_out"]]
+    assert sum(r["score"] - r["base_score"] for r in held) > 0.35 * sum(r["n_tokens"] for r in held)
+    assert hmm.head_size(5 * 10**9) > 4 * hmm.head_size(10**8) > 4 * 60_000
+    wide = np.array([3, 70_000, 65_535])
+    assert (hmm.unpack_symbols(hmm.pack_symbols(wide)) == wide).all()
+
+
 def test_language_model_without_training_rows(spark, empty):
     assert hmm.score_texts(empty).count() == 0
     alone = spark.createDataFrame([(i, "a b") for i in range(200) if rest(i, 10) == 0], "doc_id long, text string")
