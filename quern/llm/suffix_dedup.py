@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by longest-previous-factor arrays over suffixes sorted in buckets.
+"""Removal of repeated byte strings by winnowed anchors and equal windows of suffixes sorted in buckets.
 
 Every byte covered by a string of L bytes that also starts in a document with a
 smaller id is removed. The suffixes that could have such a match are found and
@@ -14,8 +14,9 @@ sorted without sorting the whole corpus:
    document's, is open.
 3. The surroundings of open anchors are sent to their bucket as bytes. There the
    suffixes that start in them are put in suffix order by prefix doubling up to
-   L bytes, equal ones by document. The previous and next smaller document in that order
-   give each suffix's longest earlier factor; where it has L bytes, the string goes.
+   L bytes, equal ones by document. Where the first document of a suffix's L bytes is
+   smaller than its own, the string goes. Only whether the longest previous factor has
+   L bytes matters, so no factor's length and no previous or next smaller value is computed.
 4. Each document unites its removed ranges.
 
 In step 2 equal surroundings are equal 64-bit hashes of the anchor and all around
