@@ -1,10 +1,10 @@
-"""Secret scan over a trigram inverted index.
+"""Secret scan by Boolean trigram queries.
 
 Every rule's regular expression is parsed and turned into a Boolean query over
 trigrams that any match must hold (AND of the trigrams of a mandatory literal,
-OR over alternatives). Each Arrow batch is one index segment: for the trigrams
-that the rules need it holds the posting list of the batch's documents, the
-query is answered by intersecting and uniting postings, and only candidates are
+OR over alternatives). There is no index of all trigrams: in each Arrow batch a
+substring scan of the documents still in question gives a trigram's list, the
+query is answered by intersecting and uniting these, and only candidates are
 verified with the rule itself. Rules without a mandatory trigram (runs of hex
 digits) scan every document. Nothing is shuffled.
 
