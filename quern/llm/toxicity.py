@@ -40,6 +40,9 @@ TRIPLE = re.compile(r"(.)\1\1")
 TAIL = re.compile(r"([^\w\s])\1{2,}$")
 #: Letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
+#: Edges that stand for no letter.
+ORNAMENT = "".join(c for c in EDGE if c not in LEET)
+NUMBER = re.compile(r"[$€£+(!|]*\d[\d.,:/%()+-]*[€£$%]?[)!|]*")
 SEPARATORS = " .-_*~'`,"
 SWAP, DROP, SPLIT, SHRINK, KEEP = 0.7, 0.5, 1.0, 0.3, 6.0
 SIZE = 64
@@ -141,8 +144,8 @@ class CharModel:
 def obfuscated(core: str) -> bool:
     if core.isalpha():
         return len(core) > 3 and TRIPLE.search(core) is not None
-    letters = sum(map(str.isalpha, core))
-    return 2 <= letters and len(core) - letters <= letters + 1
+    letters = sum(c.isalpha() or c in LEET for c in core)
+    return 2 <= letters and len(core) - letters <= letters + 1 and not NUMBER.fullmatch(core) and not all(c in EDGE for c in core)
 
 
 class Restorer:
@@ -157,8 +160,9 @@ class Restorer:
             token_ = TAIL.sub("", token)  # an ornament after the word
             core = token_.strip(EDGE)
             found = (core,) if core else ()
-            if core and obfuscated(core):
-                found += tuple(self.model.decode(core).split())
+            for form in dict.fromkeys((core, token_.strip(ORNAMENT))):  # edges may be letters too
+                if core and obfuscated(form):
+                    found += tuple(self.model.decode(form).split())
             if len(self.cache) >= self.most:
                 self.cache.clear()
             self.cache[token] = found

@@ -44,6 +44,15 @@ def test_words_are_restored(restorer, seen, meant):
     assert meant in restorer(seen)
 
 
+@pytest.mark.parametrize(("seen", "meant"), [("!d!0t", "idiot"), ("|d10+", "idiot"), ("57up1d", "stupid"), ("!d107", "idiot"), ("70$$", "toss")])
+def test_words_of_few_letters_are_restored(seen, meant):
+    counts = np.zeros(toxicity.SIZE**3, np.int64)
+    toxicity.count_trigrams(["the stupid idiot was a moron to toss worthless trash"] * 50, counts)
+    restorer = toxicity.Restorer(toxicity.CharModel(counts))
+    assert meant in restorer(seen)
+    assert restorer("1,000") == ("1,000",) and restorer("$455") == ("$455",) and restorer("(455)!") == ("455",)
+
+
 def test_plain_words_stay(restorer):
     assert restorer("the") == ("the",) and restorer("well,") == ("well",) and restorer("...") == ()
     assert "stupid" in restorer.spaced("you are s t u p i d indeed")
