@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by winnowed anchors and equal windows of suffixes sorted in buckets.
+"""Removal of repeated byte strings by longest previous factors over suffixes sorted in buckets.
 
 Every byte covered by a string of L bytes that also starts in a document with a
 smaller id is removed. The suffixes that could have such a match are found and
@@ -8,21 +8,31 @@ sorted without sorting the whole corpus:
    grams is an anchor, so two equal windows have the same anchor at the same
    place. For each anchor its hash and hashes of what stands around it are dealt
    into buckets by the anchor's hash (arrays, not rows).
-2. A bucket groups equal anchors. Where an anchor's whole surroundings (all
-   windows that hold it) also stand in a smaller document, all of it goes. An
-   anchor whose surroundings are first seen here, but share enough to one side with another
+2. A bucket is a sparse suffix order of its anchors: they are sorted by
+   fingerprints of all around them (every window that holds the anchor), then by
+   document. Neighbours of one fingerprint share SIDE + L bytes; the previous
+   place with a smaller document gives the earlier match, and the anchor goes
+   with all around it. What is first seen here, but shares a side with another
    document's, is open.
 3. The surroundings of open anchors are sent to their bucket as bytes. There the
    suffixes that start in them are put in suffix order by prefix doubling up to
-   L bytes, equal ones by document. Where the first document of a suffix's L bytes is
-   smaller than its own, the string goes. Only whether the longest previous factor has
-   L bytes matters, so no factor's length and no previous or next smaller value is computed.
+   L bytes, equal ones by document, with the common prefix of neighbours. A
+   suffix's longest previous factor is the greater of the least common prefixes
+   up to the previous and to the next place of a smaller document; where it has L
+   bytes, the string goes.
 4. Each document unites its removed ranges.
 
-In step 2 equal surroundings are equal 64-bit hashes of the anchor and all around
-it; the halves' 24 bits only open anchors, whose bytes step 3 compares. Rows without an id are no source and keep all; rows of the same id are
-not earlier than each other; null texts are empty; a group of copies is never
-compared pairwise.
+In step 2 surroundings are equal if 48 bits of the anchor's hash and 64 of a hash of
+it and all around it are; the sides' 24 bits only open anchors, whose bytes step 3
+compares. A run of one byte has one anchor for all its equal surroundings, and
+what goes there goes for the whole run.
+
+Null and empty texts and those under L bytes keep all; a text may have any length (it
+is cut in pieces of BLOCK windows). Rows without an id are no source and keep all;
+rows of the same id are not earlier than each other, so ties and repeated rows
+lose nothing to themselves and all the same to smaller ids; an empty table gives
+an empty result; columns other than the two named are left aside, whatever
+their names. A group of copies is never compared pairwise.
 """
 
 from __future__ import annotations
@@ -76,7 +86,7 @@ def _anchors(texts: list[bytes], pieces: list[tuple[int, int]]) -> tuple[np.ndar
     gap = bytes(PAD)
     number, first = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
     whole = np.array([len(texts[k]) for k in number.tolist()], np.int64)
-    begin, stop = np.maximum(first - SIDE, 0), np.minimum(first + BLOCK - 1 + SIDE + L, whole)
+    begin, stop = np.maximum(first - SIDE - 1, 0), np.minimum(first + BLOCK - 1 + SIDE + L, whole)
     data = np.frombuffer(gap + b"".join(texts[k][x:y] + gap for k, x, y in zip(number.tolist(), begin.tolist(), stop.tolist(), strict=True)), np.uint8)
     starts = PAD + np.concatenate([[0], np.cumsum(stop - begin + PAD)[:-1]])
     h = {1: SPREAD[data]}
@@ -107,6 +117,11 @@ def _anchors(texts: list[bytes], pieces: list[tuple[int, int]]) -> tuple[np.ndar
     lo = _mix(h16[at - HALF] + STEP[8] * np.minimum(left, HALF).astype(np.uint64))
     hi = _mix(h16[at + G - 1] + STEP[16] * np.minimum(right, G + HALF).astype(np.uint64))
     around = _mix(_mix(h16[at - SIDE] + _mix(h16[at - 16]) * STEP[1]) + _mix(h16[at + G]) * STEP[4] + _mix(h16[at + L - 16]) * STEP[8] + (left * 64 + right).astype(np.uint64) * STEP[2] + a * STEP[16])
+    # A run of one byte has the same all around each anchor but at its ends: the first stands for all.
+    same = np.maximum.accumulate(np.where(np.concatenate([[True], data[1:] != data[:-1]]), np.arange(len(data)), 0))
+    first_of = ~((pos > SIDE) & (pos + L <= whole[doc]) & (same[at + L - 1] < at - SIDE))
+    if not first_of.all():
+        doc, pos, a, around, lo, hi = (x[first_of] for x in (doc, pos, a, around, lo, hi))
     return number[doc], pos, a, around, lo, hi
 
 
@@ -187,6 +202,32 @@ def _first_doc(order: np.ndarray, keys: list[np.ndarray], doc: np.ndarray) -> tu
     return least, most
 
 
+def _reach(doc: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """The least common prefix from each place of a suffix order up to the previous place of a smaller document; 0 if under least.
+
+    Each place looks at the one before it and, where that is no smaller, goes on from where that one has got to: all between
+    are no smaller either. All places do so at once, so that chains shorten by halves.
+    """
+    low, at = np.where(lcp >= least, lcp, 0), np.arange(-1, len(doc) - 1)
+    todo = np.flatnonzero(low)
+    todo = todo[doc[at[todo]] >= doc[todo]]
+    while len(todo):
+        before = at[todo]
+        low[todo], at[todo] = np.minimum(low[todo], low[before]), at[before]
+        todo = todo[low[todo] > 0]
+        todo = todo[doc[at[todo]] >= doc[todo]]
+    return low
+
+
+def previous_factors(doc: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.ndarray:
+    """The longest previous factor of each place of a suffix order: the document it starts in is smaller. Those under least are 0.
+
+    doc: the place's document; lcp: the common prefix with the place before (0 at the first).
+    """
+    after = np.append(lcp[1:], 0)
+    return np.maximum(_reach(doc, lcp, least), _reach(doc[::-1], after[::-1], least)[::-1])
+
+
 def judge(a, c, left, right, doc) -> tuple[np.ndarray, np.ndarray]:
     """(gone, open) for the anchors of a bucket.
 
@@ -194,8 +235,10 @@ def judge(a, c, left, right, doc) -> tuple[np.ndarray, np.ndarray]:
     remain share a half with them: whatever a later copy could match, its first document matches too.
     """
     order = np.lexsort((doc, c, a))
-    least, _ = _first_doc(order, [a, c], doc)
-    gone = doc > least
+    same = np.zeros(len(order), np.int64)
+    same[1:] = ((a[order][1:] == a[order][:-1]) & (c[order][1:] == c[order][:-1])) * (SIDE + L)
+    gone = np.zeros(len(a), bool)
+    gone[order] = previous_factors(doc[order], same, SIDE + L) > 0
     rest = np.flatnonzero(~gone)
     other = np.zeros(len(a), bool)
     a, doc = a[rest], doc[rest]
@@ -275,13 +318,23 @@ CARRIED_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), *
 def finish(text: bytes, gone: np.ndarray, starts: np.ndarray) -> dict:
     """The result of a text from anchors gone with all around them, and starts of repeated strings."""
     n = len(text)
-    delta = np.zeros(n + 1, np.int32)
-    for lo, hi in ((np.maximum(gone - SIDE, 0), np.minimum(gone + L, n)), (starts, starts + L)):
-        np.add.at(delta, lo, 1)
-        np.add.at(delta, hi, -1)
+    data, delta = np.frombuffer(text, np.uint8), np.zeros(n + 1, np.int32)
+    lo = np.concatenate([np.maximum(gone - SIDE, 0), starts]).astype(np.int64)
+    hi = np.concatenate([np.minimum(gone + L, n), starts + L]).astype(np.int64)
+    if len(lo) and n > SIDE + L:  # in a run of one byte one anchor stands for all
+        first = np.flatnonzero(np.concatenate([[True], data[1:] != data[:-1]]))
+        end = np.append(first[1:], n)
+        long = end - first > SIDE + L
+        if long.any():
+            first, end = first[long], end[long]
+            run = np.searchsorted(first, lo, side="right") - 1
+            inside = (run >= 0) & (hi <= end[run])
+            hi[inside] = end[run][inside]
+    np.add.at(delta, lo, 1)
+    np.add.at(delta, hi, -1)
     mask = np.cumsum(delta[:n]) > 0
     spans = int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum())
-    kept = text if not spans else np.frombuffer(text, np.uint8)[~mask].tobytes()
+    kept = text if not spans else data[~mask].tobytes()
     return {"n_bytes": n, "n_removed": int(mask.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
 
@@ -337,40 +390,61 @@ def _open_contexts(buckets: int):
     return run
 
 
-def suffix_ranks(around: np.ndarray) -> np.ndarray:
-    """Ranks of the L-byte suffixes that start at each of the first SIDE + 1 places of each row, by prefix doubling."""
-    n, width = around.shape
-    padded = np.ascontiguousarray(around)
-    eight = np.zeros((n, width - 7), np.uint64)
-    for j in range(8):
-        eight = (eight << np.uint64(8)) | padded[:, j : j + width - 7].astype(np.uint64)
-
-    def dense(x: np.ndarray) -> np.ndarray:
-        return np.unique(x.ravel(), return_inverse=True)[1].reshape(x.shape).astype(np.uint64)
-
-    def double(r: np.ndarray, by: int, places: int) -> np.ndarray:
-        return dense((r[:, :places] << np.uint64(32)) | r[:, by : by + places])
-
-    r = dense(eight)
-    r = double(r, 8, width - 15)
-    r = double(r, 16, width - 31)
-    return double(r, L - 32, width - L + 1)
-
-
-def earlier_factor(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether the longest factor that also starts in a smaller document has L bytes, for suffixes given by rank.
-
-    The suffix order is (rank, doc). The next position with a smaller document is never of the same rank, the
-    previous one is if and only if the rank's first document is smaller; only then has the common prefix L bytes.
-    """
-    order = np.lexsort((doc, rank))
-    r, d = rank[order], doc[order]
-    head = np.ones(len(r), bool)
-    head[1:] = r[1:] != r[:-1]
-    first = d[np.maximum.accumulate(np.where(head, np.arange(len(r)), 0))]
-    out = np.zeros(len(r), bool)
-    out[order] = first < d
-    return out
+class Suffixes:
+    """The L-byte suffixes that start at the first SIDE + 1 places of rows of SIDE + L bytes, ranked by prefix doubling."""
+
+    def __init__(self, around: np.ndarray):
+        n, width = around.shape
+        padded = np.concatenate([around, np.zeros((n, 8), np.uint8)], axis=1)
+        self.eight = np.zeros((n, width + 1), np.uint64)  # eight bytes from each place, the first the highest
+        for j in range(8):
+            self.eight = (self.eight << np.uint64(8)) | padded[:, j : j + width + 1].astype(np.uint64)
+
+        def dense(x: np.ndarray) -> np.ndarray:
+            return np.unique(x.ravel(), return_inverse=True)[1].reshape(x.shape).astype(np.uint64)
+
+        def double(r: np.ndarray, by: int, places: int) -> np.ndarray:
+            return dense((r[:, :places] << np.uint64(32)) | r[:, by : by + places])
+
+        self.rank = {8: dense(self.eight[:, : width - 7])}
+        self.rank[16] = double(self.rank[8], 8, width - 15)
+        self.rank[32] = double(self.rank[16], 16, width - 31)
+        self.rank[L] = double(self.rank[32], L - 32, width - L + 1)
+
+    def order(self, i: np.ndarray, j: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The suffixes (row i, place j) in suffix order, equal ones by document."""
+        return np.lexsort((doc, self.rank[L][i, j]))
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The common prefix, at most L, of each suffix (row i, place j) with the one before; 0 at the first."""
+        out = np.zeros(len(i), np.int64)
+        whole = self.rank[L][i, j]
+        out[1:][whole[1:] == whole[:-1]] = L
+        at = np.flatnonzero(out[1:] == 0) + 1
+        (i, p), (j, q) = (i[at], i[at - 1]), (j[at], j[at - 1])
+        size = np.zeros(len(at), np.int64)
+        for w in (32, 16, 8):
+            known = size + w < L
+            same = self.rank[w][i, np.where(known, j + size, 0)] == self.rank[w][p, np.where(known, q + size, 0)]
+            size += w * (known & same)
+        x = self.eight[i, j + size] ^ self.eight[p, q + size]
+        for k in range(7):
+            size += x >> np.uint64(56 - 8 * k) == 0
+        out[at] = np.minimum(size + (x == 0), L)
+        return out
+
+
+def repeated(around: np.ndarray, clip: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the suffixes whose longest previous factor has L bytes; clip: each row's bytes that belong to its text."""
+    place = np.arange(SIDE + 1)
+    i, j = np.nonzero((place >= clip[:, :1]) & (place + L <= clip[:, 1:]))
+    if not len(i):
+        return i, j
+    suffixes = Suffixes(around)
+    order = suffixes.order(i, j, doc[i])
+    i, j = i[order], j[order]
+    hit = previous_factors(doc[i], suffixes.common(i, j), L) >= L
+    return i[hit], j[hit]
 
 
 def _sort_suffixes(batches):
@@ -379,12 +453,8 @@ def _sort_suffixes(batches):
         key, doc, pos = (np.concatenate(x) for x in zip(*(np.frombuffer(r[0], np.int64).reshape(3, -1) for r in rows), strict=True))
         around = np.concatenate([np.frombuffer(r[1], np.uint8).reshape(-1, SIDE + L) for r in rows])
         clip = np.concatenate([np.frombuffer(r[2], np.uint8).reshape(-1, 2) for r in rows]).astype(np.int64)
-        ranks = suffix_ranks(around)
-        place = np.arange(SIDE + 1)
-        real = (place >= clip[:, :1]) & (place + L <= clip[:, 1:])
-        i, j = np.nonzero(real)
-        hit = earlier_factor(ranks[i, j], doc[i])
-        i, start = i[hit], (pos[i] - SIDE + j)[hit]
+        i, j = repeated(around, clip, doc)
+        start = pos[i] - SIDE + j
         if not len(i):
             continue
         order = np.argsort(key[i], kind="stable")

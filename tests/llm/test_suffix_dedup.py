@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import numpy as np
 
@@ -47,14 +48,48 @@ def test_passages_in_other_surroundings(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
 
 
-def test_suffix_order():
+def test_suffix_order_and_common_prefixes():
     rng = np.random.default_rng(3)
     around = rng.integers(97, 99, (40, sd.SIDE + sd.L)).astype(np.uint8)
     around[5:20] = around[0]
-    ranks = sd.suffix_ranks(around)
-    flat = sorted((bytes(around[i, j : j + sd.L]), int(ranks[i, j])) for i in range(40) for j in range(sd.SIDE + 1))
-    for (x, r), (y, s) in zip(flat, flat[1:], strict=False):
-        assert (x == y) == (r == s) and r <= s
+    around[20:30, 7:70] = around[1, 7:70]
+    suffixes, (i, j) = sd.Suffixes(around), np.nonzero(np.ones((40, sd.SIDE + 1), bool))
+    order = suffixes.order(i, j, i)
+    i, j = i[order], j[order]
+    got = [bytes(around[x, y : y + sd.L]) for x, y in zip(i, j, strict=True)]
+    assert got == sorted(got)
+    lcp = suffixes.common(i, j).tolist()
+    assert lcp[0] == 0 and lcp[1:] == [len(os.path.commonprefix([x, y])) for x, y in zip(got, got[1:], strict=False)]
+
+
+def test_longest_previous_factors():
+    """Against the definition, over suffix orders of random texts with many ties of document and prefix."""
+    rng = np.random.default_rng(4)
+    for n, letters, docs in ((1, 2, 1), (60, 2, 5), (80, 3, 80), (50, 1, 10)):
+        texts = ["".join(chr(97 + c) for c in rng.integers(0, letters, 12)) for _ in range(n)]
+        doc = rng.integers(0, docs, n)
+        order = sorted(range(n), key=lambda k: (texts[k], doc[k]))  # noqa: B023
+        texts, doc = [texts[k] for k in order], doc[order]
+        shared = lambda x, y: len(os.path.commonprefix([texts[x], texts[y]]))  # noqa: B023, E731
+        lcp = np.array([0, *(shared(k - 1, k) for k in range(1, n))])
+        want = [max((shared(x, y) for y in range(n) if doc[y] < doc[x]), default=0) for x in range(n)]
+        assert sd.previous_factors(doc, lcp).tolist() == want
+        assert sd.previous_factors(doc, lcp, 5).tolist() == [w if w >= 5 else 0 for w in want]
+
+
+def test_one_byte_for_a_megabyte_has_few_anchors_and_goes_whole(spark):
+    assert len(sd.anchors([b"a" * 1_000_000])[0][0]) < 200
+    rows = [(1, "x" + "a" * 60), (2, "b" * 100_000 + "a" * 1_000_000 + "c"), (3, "b" * 70 + "é" * 50_000), (4, "a" * 49 + "b" * 49), (5, "é" * 26)]
+    got = {r["doc_id"]: r for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[k]["n_removed"], got[k]["n_spans"]) for k in range(1, 6)] == [(0, 0), (1_000_000, 1), (70, 1), (0, 0), (52, 1)]
+    assert got[2]["kept_sha256"] == hashlib.sha256(b"b" * 100_000 + b"c").hexdigest()
+
+
+def test_many_copies_of_one_row(spark):
+    text = sentence(3, 40)
+    rows = [(1, text)] * 5000 + [(2, text)] * 5000 + [(None, text)] * 10
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 5000), (2, len(text), 5000), (None, 0, 10)], key=str)
 
 
 def test_outer_bytes_of_a_shared_passage_tell_surroundings_apart(spark):
