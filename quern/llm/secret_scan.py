@@ -1,15 +1,18 @@
-"""Secret scan by Boolean trigram queries.
+"""Secret scan by a trigram inverted index and Boolean trigram queries.
 
 Every rule's regular expression is parsed and turned into a Boolean query over
-trigrams that any match must hold (AND of the trigrams of a mandatory literal,
-OR over alternatives). There is no index of all trigrams: in each Arrow batch a
-substring scan of the documents still in question gives a trigram's list, the
-query is answered by intersecting and uniting these, and only candidates are
-verified with the rule itself. Rules without a mandatory trigram (runs of hex
-digits) scan every document. Nothing is shuffled.
-
-Null texts count as empty; empty texts give no span; repeated rows and repeated
-ids give a result each; other columns are left aside.
+byte trigrams (A-Z lower-cased) that any match must hold: AND of the trigrams of a
+mandatory literal, OR over alternatives. Texts are indexed in segments of at
+most SEGMENT bytes: one pass over a segment's trigrams gives the posting lists of
+all that the rules ask for. A query is answered by intersecting and
+uniting lists, and only candidates are verified with the rule itself. Rules
+without a mandatory trigram (runs of hex digits) scan every document. Nothing is
+shuffled; a text longer than a segment is a segment of its own, whole.
+
+Null texts count as empty; empty texts give no span; of spans that start at one
+place the rule listed first comes first; a text that holds a span twice gives
+both; repeated rows and repeated ids give a result each; an empty table gives an
+empty result; other columns are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import re._constants as sre
 import re._parser as parser
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 ALL = ("all",)
+SEGMENT = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -64,50 +69,61 @@ def _or(qs):
     return next(iter(least)) if len(least) == 1 else ("or", frozenset(least))
 
 
+def _fold(text: str) -> bytes:
+    """UTF-8 with A-Z lower-cased; the index and the queries fold alike."""
+    return text.encode("utf-8", "replace").lower()
+
+
 def _strings(exact) -> tuple:
     return _or(_and(*(("tri", s[i : i + 3]) for i in range(len(s) - 2))) for s in exact)
 
 
-def _walk(tree, most: int = 64):
-    """(the exact strings that a tree can match, folded to lower case, or None; the query that every match satisfies)."""
-    run, query, broken = {""}, ALL, False
+def _walk(tree, flags: int, most: int = 64):
+    """(the exact byte strings that a tree can match, folded, or None; the query that every match satisfies)."""
+    run, query, broken = {b""}, ALL, False
     for op, arg in tree:
-        exact, q = _node(op, arg, most)
+        exact, q = _node(op, arg, flags, most)
         if exact is not None and len(run) * len(exact) <= most:
             run = {a + b for a in run for b in exact}
             continue
         query, broken = _and(query, _strings(run), q), True
-        run = set(exact) if exact is not None else {""}
+        run = set(exact) if exact is not None else {b""}
     return (None, _and(query, _strings(run))) if broken else (run, ALL)
 
 
-def _node(op, arg, most: int):
+def _letter(code: int, flags: int) -> set[bytes] | None:
+    """A character as the index holds it; None where other letters than its ASCII capital may stand for it."""
+    if flags & re.IGNORECASE and (code > 127 or not flags & re.ASCII and chr(code) in "iIkKsS"):
+        return None
+    return {_fold(chr(code))}
+
+
+def _node(op, arg, flags: int, most: int):
     if op is sre.LITERAL:
-        return {chr(arg).lower()}, ALL
+        return _letter(arg, flags), ALL
     if op is sre.AT:
-        return {""}, ALL
+        return {b""}, ALL
     if op is sre.IN:
         chars: set = set()
         for kind, value in arg:
-            if kind is sre.LITERAL:
-                chars.add(chr(value).lower())
-            elif kind is sre.RANGE and value[1] - value[0] < 8:
-                chars.update(chr(c).lower() for c in range(value[0], value[1] + 1))
-            else:
+            codes = [value] if kind is sre.LITERAL else range(value[0], value[1] + 1) if kind is sre.RANGE and value[1] - value[0] < 8 else None
+            each = [_letter(c, flags) for c in codes] if codes else [None]
+            if any(x is None for x in each):
                 return None, ALL
+            chars.update(*each)
         return (chars, ALL) if len(chars) <= 8 else (None, ALL)
     if op is sre.SUBPATTERN:
-        return _walk(arg[3], most)
+        return _walk(arg[3], (flags | arg[1]) & ~arg[2], most)
     if op is sre.BRANCH:
-        found = [_walk(x, most) for x in arg[1]]
+        found = [_walk(x, flags, most) for x in arg[1]]
         if all(e is not None for e, _ in found) and sum(len(e) for e, _ in found) <= most:
             return set().union(*(e for e, _ in found)), ALL
         return None, _or(q if e is None else _strings(e) for e, q in found)
     if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
         low, high, sub = arg
-        exact, q = _walk(sub, most)
+        exact, q = _walk(sub, flags, most)
         if low == 0:
-            return (exact | {""}, ALL) if high == 1 and exact is not None else (None, ALL)
+            return (exact | {b""}, ALL) if high == 1 and exact is not None else (None, ALL)
         if low == high == 1:
             return exact, q
         return None, (q if exact is None else _strings(exact))
@@ -116,47 +132,45 @@ def _node(op, arg, most: int):
 
 def trigram_query(pattern: str):
     """The Boolean trigram query of a regular expression; ``("all",)`` where no trigram is mandatory."""
-    exact, query = _walk(parser.parse(pattern))
+    tree = parser.parse(pattern)
+    exact, query = _walk(tree, tree.state.flags)
     return query if exact is None else _strings(exact)
 
 
-def trigrams_in(query) -> set[str]:
+def trigrams_in(query) -> set[bytes]:
     return set() if query == ALL else {query[1]} if query[0] == "tri" else set().union(*map(trigrams_in, query[1]))
 
 
-def _rarest_first(query) -> tuple:
-    """Trigrams with other than letters are rarer in prose; the order is fixed so that runs agree."""
-    return (0 if query[0] == "tri" and not query[1].isalpha() else 1, str(sorted(trigrams_in(query))))
-
-
-class Segment:
-    """The trigram postings of one batch of texts, built for the trigrams asked for."""
-
-    def __init__(self, texts: list[str]):
-        self.folded = [t.lower() for t in texts]
-        self.every = set(range(len(texts)))
-        self.lists: dict[str, set[int]] = {}
-
-    def postings(self, trigram: str, within: set[int]) -> set[int]:
-        """The posting list's part that lies in within; the whole list is built and kept when all documents are asked for."""
-        if trigram in self.lists:
-            return self.lists[trigram] & within
-        found = {i for i in within if trigram in self.folded[i]}
-        if len(within) == len(self.every):
-            self.lists[trigram] = found
-        return found
-
-    def answer(self, query, within: set[int] | None = None) -> set[int]:
-        within = self.every if within is None else within
+class TrigramIndex:
+    """Posting lists of one segment of texts for the trigrams that some queries ask for, made in one pass."""
+
+    def __init__(self, texts: list[str], number: np.ndarray, names: list[bytes]):
+        """number: of each of the 2**24 trigrams its place in names plus 1, or 0."""
+        folded = [_fold(t) for t in texts]
+        self.every = np.arange(len(texts))
+        data = np.frombuffer(b"\xff\xff".join([*folded, b""]), np.uint8).astype(np.int32)  # no text holds the byte FF
+        found = number[data[:-2] << 16 | data[1:-1] << 8 | data[2:]] if len(data) > 2 else np.zeros(0, number.dtype)
+        at = np.flatnonzero(found)
+        which = found[at].astype(np.int64) - 1
+        ends = np.cumsum([len(f) + 2 for f in folded])
+        doc = np.searchsorted(ends, at, side="right")
+        pairs = np.unique(which * len(texts) + doc)
+        cuts = np.searchsorted(pairs, np.arange(len(names) + 1) * len(texts))
+        self.lists = {t: pairs[lo:hi] % len(texts) for t, lo, hi in zip(names, cuts[:-1], cuts[1:], strict=True)}
+
+    def answer(self, query) -> np.ndarray:
+        """The documents that satisfy a query, ascending."""
         if query == ALL:
-            return within
+            return self.every
         if query[0] == "tri":
-            return self.postings(query[1], within)
-        if query[0] == "and":
-            for q in sorted(query[1], key=_rarest_first):
-                within = self.answer(q, within)
-            return within
-        return set().union(*(self.answer(q, within) for q in query[1]))
+            return self.lists[query[1]]
+        answers = sorted(map(self.answer, query[1]), key=len)
+        if query[0] == "or":
+            return np.unique(np.concatenate(answers))
+        out = answers[0]
+        for a in answers[1:]:
+            out = np.intersect1d(out, a, assume_unique=True)
+        return out
 
 
 class Scanner:
@@ -164,16 +178,29 @@ class Scanner:
 
     def __init__(self, rules=RULES):
         self.rules = [(i, r, re.compile(r.pattern), trigram_query(r.pattern)) for i, r in enumerate(rules)]
+        self.names = sorted(set().union(*(trigrams_in(q) for *_, q in self.rules)))
+        self.number = np.zeros(1 << 24, np.uint16)
+        for k, t in enumerate(self.names):
+            self.number[int.from_bytes(t, "big")] = k + 1
+
+    def candidates(self, texts: list[str]) -> list[tuple[int, Rule, re.Pattern, list[int]]]:
+        """Of each rule the texts that its trigrams allow."""
+        index = TrigramIndex(texts, self.number, self.names)
+        return [(i, rule, regex, index.answer(query).tolist()) for i, rule, regex, query in self.rules]
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """For each text (start, rule number, end), sorted."""
         out: list[list] = [[] for _ in texts]
-        segment = Segment(texts)
-        for i, rule, regex, query in self.rules:
-            for d in segment.answer(query):
-                for m in regex.finditer(texts[d]):
-                    if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                        out[d].append((m.start(), i, m.end()))
+        lo, size = 0, 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size >= SEGMENT or k + 1 == len(texts):
+                for i, rule, regex, found in self.candidates(texts[lo : k + 1]):
+                    for d in found:
+                        for m in regex.finditer(texts[lo + d]):
+                            if m.end(rule.group) - m.start(rule.group) >= rule.least:
+                                out[lo + d].append((m.start(), i, m.end()))
+                lo, size = k + 1, 0
         for x in out:
             x.sort()
         return out

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -31,14 +32,56 @@ def test_whole_documents(spark):
 
 def test_queries_hold_for_every_match():
     rng = __import__("random").Random(3)
-    for rule in sc.RULES:
-        q = sc.trigram_query(rule.pattern)
-        for text in filter(None, TEXTS):
-            padded = "".join(rng.choices("abc xyz", k=20)) + text
-            if re.search(rule.pattern, padded):
-                assert sc.Segment([padded]).answer(q) == {0}
+    padded = ["".join(rng.choices("abc xyz", k=20)) + text for text in filter(None, TEXTS)]
+    for _, rule, _, found in sc.Scanner().candidates(padded):
+        assert {k for k, t in enumerate(padded) if re.search(rule.pattern, t)} <= set(found)
     assert sc.trigram_query("[0-9a-f]{24,}") == sc.ALL and sc.trigram_query("(ab|cd)*") == sc.ALL
-    assert sc.trigram_query("abcd") == ("and", frozenset({("tri", "abc"), ("tri", "bcd")}))
+    assert sc.trigram_query("abcd") == ("and", frozenset({("tri", b"abc"), ("tri", b"bcd")}))
+    assert sc.trigram_query("(?i)skip") == sc.ALL  # other letters than S, K and I may match these
+    assert sc.trigram_query("(?ai:skip)") == ("and", frozenset({("tri", b"ski"), ("tri", b"kip")}))
+    assert sc.trigram_query("(?i)é12") == sc.ALL and sc.trigram_query("é1") == ("tri", "é1".encode())
+
+
+def test_posting_lists_are_those_of_a_plain_search():
+    rng = __import__("random").Random(5)
+    texts = ["".join(rng.choices("aBbé ", k=rng.randrange(9))) for _ in range(300)] + ["", "ab", "a", "b"]
+    names = [b"abb", b"b a", "éa".encode(), b"zzz"]
+    number = __import__("numpy").zeros(1 << 24, "u2")
+    for k, n in enumerate(names):
+        number[int.from_bytes(n, "big")] = k + 1
+    index = sc.TrigramIndex(texts, number, names)
+    want = {n: {k for k, t in enumerate(texts) if n in t.encode().lower()} for n in names}
+    assert {n: set(index.lists[n].tolist()) for n in names} == want and want[b"abb"]
+    both = ("or", frozenset({("and", frozenset({("tri", b"abb"), ("tri", b"b a")})), ("tri", "éa".encode())}))
+    assert set(index.answer(both).tolist()) == (want[b"abb"] & want[b"b a"]) | want["éa".encode()]
+
+
+def test_the_index_leaves_most_texts_unread(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for _, rule, regex, found in sc.Scanner().candidates(texts):
+        assert {k for k, t in enumerate(texts) if regex.search(t)} <= set(found)
+        assert len(found) == len(texts) if rule.kind == "hex" else len(found) < len(texts) / 10
+
+
+def test_segments_and_long_texts(monkeypatch):
+    texts = [*TEXTS, "x" * 5000 + " token = abcdef", None] * 3
+    whole = sc.Scanner().spans([t or "" for t in texts])
+    monkeypatch.setattr(sc, "SEGMENT", 40)
+    assert sc.Scanner().spans([t or "" for t in texts]) == whole and sc.Scanner().spans([]) == []
+
+
+def test_query_columns_against_brute_force(spark, tmp_path, odd):
+    rows = [(k, t) for k, t in enumerate(TEXTS)] + [(3, TEXTS[3]), (None, TEXTS[1] + " " + TEXTS[8])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sc.query(spark, str(tmp_path)).collect()
+    want = []
+    for d, t in rows:
+        base = brute(t)
+        n = [sum(x.startswith(k + ":") for x in base) for k, *_ in BASE]
+        more = [(m.start(), k, f"{r.kind}:{m.start()}:{m.end()}") for k, r in enumerate(sc.RULES) if not r.base for m in re.finditer(r.pattern, t or "")]
+        order = [(int(x.split(":")[1]), [r.kind for r in sc.RULES].index(x.split(":")[0]), x) for x in base]
+        want.append((d, *n, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(x for *_, x in sorted(order + more))))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
 def test_odd_rows(odd, empty):
