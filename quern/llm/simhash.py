@@ -2,21 +2,26 @@
 
 A fingerprint has 64 bits, eight bytes. Two fingerprints within three bits
 differ in at most three bytes, so at least five of their positional bytes
-agree; of the two halves of four bytes, one then has three that agree. The
-index therefore posts every distinct fingerprint under its eight positional
-byte triples (four in each half) and no pair within the distance is missed. In
-a posting list the shared positional bytes of a pair are tallied, pairs with
-fewer than the guaranteed five are dropped, and the rest are verified by
-Hamming distance.
-
-A posting list longer than ``hot`` is posted anew under the same triple and two
-further positional bytes (at least two of the other five agree), which spreads
-it over many lists; lists are compared in blocks, and a list gives the links of
-a spanning forest instead of all its pairs. Copies share a fingerprint and are
-one entry of the index.
-
-Null or empty texts have fingerprint zero and link like any other; repeated
-rows and equal ids keep their rows; an empty table gives an empty result.
+agree; of the two halves of four bytes, one then has three that agree. The posting
+list of one positional byte would hold a 256th of all fingerprints, so the index
+is dealt by the eight positional byte triples (four in each half): every
+distinct fingerprint goes to each of its triples, and no pair within the distance is
+missed. There the members are posted under their other positional bytes, the
+lists a fingerprint is in are tallied, those that share fewer than
+the guaranteed five bytes with it are dropped, and the rest are verified by Hamming distance.
+
+A triple with more than ``hot`` members is dealt anew by two further positional
+bytes (at least two of the other five agree). Where a list's members agree in five
+bytes or more, half bytes are posted and tallied instead (at least thirteen of
+sixteen agree), so that only lists of half bytes are read there too. A list
+gives the links of a spanning forest instead of all its pairs. Copies share a
+fingerprint and are one entry of the index.
+
+Null or empty texts have fingerprint zero and link like any other; a text may have
+any length (its shingles are counted in blocks); ties do not occur, as a bit is
+set by more than half; repeated rows and equal ids keep their rows; rows without
+an id get a component, and name none where another has one; an empty table gives
+an empty result; other columns are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,15 +81,43 @@ def _posting(fp, positions: tuple[int, ...], tag: int):
     return key
 
 
-def _links(fps: np.ndarray, least: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The links of a spanning forest of one posting list: every linked pair is joined by a path of them."""
+class Postings:
+    """The members of a list under their positional bytes, or half bytes where the bytes guarantee nothing."""
+
+    def __init__(self, fps: np.ndarray, radius: int):
+        units = fps.view(np.uint8).reshape(-1, 8)
+        self.units, self.need = self._varying(units, radius)
+        if self.need <= 0:
+            self.units, self.need = self._varying(np.concatenate([units >> 4, units & 15], axis=1), radius)
+        self.lists = []
+        for column in self.units.T:
+            order = np.argsort(column, kind="stable")
+            self.lists.append((order, np.searchsorted(column[order], np.arange(257))))
+
+    @staticmethod
+    def _varying(units: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
+        """The units in which members differ, and how many of them two members within the radius share at least."""
+        differ = (units != units[0]).any(axis=0)
+        return units[:, differ], int(differ.sum()) - radius
+
+    def candidates(self, k: int) -> np.ndarray:
+        """The members that share the guaranteed number of units with member k, by a tally over its lists."""
+        if self.need <= 0:  # at most radius half bytes differ at all
+            return np.arange(len(self.units))
+        found = [order[cuts[u] : cuts[u + 1]] for (order, cuts), u in zip(self.lists, self.units[k].tolist(), strict=True)]
+        members, tally = np.unique(np.concatenate(found), return_counts=True)
+        return members[tally >= self.need]
+
+
+def _links(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links of a spanning forest of one list of distinct fingerprints: every linked pair is joined by a path of them."""
     n = len(fps)
-    if n == 2:
+    if n == 2:  # most lists; the tally of two is what agrees
         x = fps[0] ^ fps[1]
         if int(x).bit_count() <= radius:
             yield fps[:1], fps[1:]
         return
-    seen, todo = np.zeros(n, bool), []
+    index, seen, todo = Postings(fps, radius), np.zeros(n, bool), []
     for root in range(n):
         if seen[root]:
             continue
@@ -92,21 +125,16 @@ def _links(fps: np.ndarray, least: int, radius: int) -> Iterator[tuple[np.ndarra
         todo.append(root)
         while todo:
             at = todo.pop()
-            rest = np.flatnonzero(~seen)
-            if not len(rest):
-                break
-            x = fps[rest] ^ fps[at]
-            tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            rest, x = rest[tally >= least], x[tally >= least]
-            rest = rest[np.bitwise_count(x) <= radius]
+            rest = index.candidates(at)
+            rest = rest[~seen[rest]]
+            rest = rest[np.bitwise_count(fps[rest] ^ fps[at]) <= radius]
             if len(rest):
                 seen[rest] = True
                 todo.extend(rest.tolist())
                 yield np.full(len(rest), fps[at]), fps[rest]
-        todo.clear()
 
 
-def _search(radius: int, least: int):
+def _search(radius: int):
     """Reads rows (key, fp) sorted by key and gives links; a posting list may lie over several Arrow batches."""
 
     def run(batches):
@@ -119,7 +147,7 @@ def _search(radius: int, least: int):
                 starts, ends = starts[:-1], ends[:-1]
             a, b = [], []
             for i in np.flatnonzero(ends - starts > 1):
-                for x, y in _links(fps[starts[i] : ends[i]].view(np.uint64), least, radius):
+                for x, y in _links(np.ascontiguousarray(fps[starts[i] : ends[i]]).view(np.uint64), radius):
                     a.append(x)
                     b.append(y)
             if a:
@@ -152,7 +180,7 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, radius: int = 3, ho
 
     fine = again.select("fp", F.explode(F.coalesce(*(F.when(F.col("t") == i, finer(i)) for i in range(8)))).alias("key"))
     light = posted.join(heavy, "key", "left_anti").select("key", "fp")
-    search = lambda x: x.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_search(radius, 8 - radius), "a long, b long")
+    search = lambda x: x.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_search(radius), "a long, b long")
     found = search(light)
     return found if heavy.isEmpty() else found.unionByName(search(fine.select("key", "fp")))
 

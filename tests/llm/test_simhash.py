@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import xxhash
 
 from quern.llm import simhash as sh
@@ -66,6 +67,32 @@ def test_no_link_is_lost_in_dense_sets(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_the_tally_keeps_what_shares_enough_bytes():
+    """Candidates are exactly the members with at least five bytes (thirteen half bytes) in common, and hold all within the radius."""
+    rng = np.random.default_rng(2)
+    for fixed in (3, 5, 7):
+        fps = np.unique(rng.integers(0, 4, (400, 8)).astype(np.uint8) * np.uint8(65), axis=0)
+        fps[:, :fixed] = 9
+        if fixed > 3:
+            fps[:, fixed:] = rng.integers(0, 256, (len(fps), 8 - fixed))
+        fps = np.unique(fps, axis=0)
+        values = np.ascontiguousarray(fps).view(np.uint64).ravel()
+        index = sh.Postings(values, 3)
+        half = np.concatenate([fps >> 4, fps & 15], axis=1)
+        for k in range(0, len(values), 7):
+            shared = (fps == fps[k]).sum(1) >= 5 if fixed == 3 else (half == half[k]).sum(1) >= 13
+            near = np.bitwise_count(values ^ values[k]) <= 3
+            assert set(index.candidates(k).tolist()) == set(np.flatnonzero(shared).tolist()) and not (near & ~shared).any()
+        assert any(len(index.candidates(k)) < len(values) / 2 for k in range(len(values))) or fixed == 7
+
+
+def test_query_columns_against_brute_force(spark, tmp_path, odd):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(r["doc_id"], brute_print(r["text"])) for r in odd.collect()]
+    want = sorted(((d, f"{fp:016x}", c) for d, fp, c in brute_components(rows, lambda a, b: (a ^ b).bit_count() <= 3)), key=str)
+    assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in sh.query(spark, str(tmp_path)).collect()), key=str) == want
+
+
 def test_components_of_a_chain(spark):
     scratch = Scratch(spark, "chain")
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
