@@ -17,16 +17,24 @@ directions, with noise along the data, and pairs found in the sample; the worst
 kind counts. k, at most the logarithm of the number of vectors so that lists
 of unrelated vectors stay short, is where T postings and the lists measured on the
 sample cost least. Where no chunks reach the recall, all vectors are one list. Lists longer than ``block`` are dealt out as
-pairs of blocks. Copies of a vector are one entry with a count.
-
-Vectors that are null, zero, of another length than most, or hold null or
-non-finite components link with nothing, and neither do rows without an id. An
-empty table gives an empty result.
+pairs of blocks; a pair of vectors whose codes agree in the first chunk is compared in the
+first table only, so a dense cluster is not compared again in each. Copies of a vector are one entry with a count.
+
+Vectors of different length have no cosine and never link; the most frequent length
+and each with more than ``block`` different vectors have codes of their own, the others are
+lists of at most that many, compared without codes. Rows are scaled by a power of two before their norm is taken, so
+that very small and very large ones neither vanish nor overflow.
+
+Vectors that are null, empty, zero, or hold null or non-finite components link with
+nothing, and neither do rows without an id: they keep their own id as component. Ties do not
+matter (links are counted, not ranked); rows of one id and vector are copies that link with each other; an
+empty table gives an empty result; other columns are left aside, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -142,17 +150,31 @@ def _as_matrix(column, dim: int, kind: str) -> np.ndarray:
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of unit length; a power of two takes out their size first, so that no square is lost."""
     m = m.astype(np.float64)
+    m = np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True, initial=0))[1])
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
 def _lists(dim: int, kind: str, k: int, n_tables: int, threshold: float, block: int):
-    """Reads rows (key, part, a, b, rep, n, codes, vec) sorted by (key, a, b) and gives (rep, links, other)."""
+    """Reads rows (t, key, part, a, b, rep, n, code, vec) sorted by (t, key, a, b) and gives (rep, links, other); without dim the key is the length."""
 
     def compare(t: int, same: bool, left, right, degree: dict, links: list):
+        """Pairs of left and right (of one block, if same), but for those whose codes agree in a table before t."""
+        if not t:
+            return tile(0, same, left, right, degree, links)
+        left, right = ([x[o] for x in side] for side in (left, right) for o in [np.argsort(side[2][:, 0], kind="stable")])
+        first, begin = np.unique(left[2][:, 0], return_index=True)
+        for value, lo, hi in zip(first.tolist(), begin.tolist(), [*begin[1:].tolist(), len(left[0])], strict=True):
+            a, b = np.searchsorted(right[2][:, 0], [value, value + 1]).tolist()
+            mine = [x[lo:hi] for x in left]
+            for rest in ([x[b:] for x in right],) if same else ([x[:a] for x in right], [x[b:] for x in right]):
+                if len(rest[0]):
+                    tile(t, False, mine, rest, degree, links)
+
+    def tile(t: int, same: bool, left, right, degree: dict, links: list):
         ids_l, n_l, code_l, vec_l = left
         ids_r, n_r, code_r, vec_r = right
-        done = np.zeros(len(ids_r), bool)
         for at in range(0, len(ids_l), 512):
             s = vec_l[at : at + 512] @ vec_r.T >= threshold
             i, j = np.nonzero(s)
@@ -200,8 +222,7 @@ def _lists(dim: int, kind: str, k: int, n_tables: int, threshold: float, block:
                 continue
             keys = [batch.column(c).to_numpy() for c in ("t", "key", "a", "b")]
             cols = [batch.column(c).to_numpy() for c in ("part", "rep", "n")]
-            code = np.frombuffer(b"".join(batch.column("code").to_pylist()), "<i4").reshape(-1, n_tables)
-            vec = _unit(_as_matrix(batch.column("vec"), dim, kind))
+            codes, vecs = batch.column("code"), batch.column("vec")
             change = np.flatnonzero(np.any([np.diff(x) != 0 for x in keys], axis=0)) + 1
             for lo, hi in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
                 key = tuple(int(x[lo]) for x in keys)
@@ -211,7 +232,9 @@ def _lists(dim: int, kind: str, k: int, n_tables: int, threshold: float, block:
                         yield out(degree, links)
                     held = []
                 held_key = key
-                held.append((cols[0][lo:hi], cols[1][lo:hi], cols[2][lo:hi], code[lo:hi], vec[lo:hi]))
+                code = np.frombuffer(b"".join(codes.slice(lo, hi - lo).to_pylist()), "<i4").reshape(hi - lo, n_tables)
+                vec = _unit(_as_matrix(vecs.slice(lo, hi - lo), dim or key[1], kind))
+                held.append((cols[0][lo:hi], cols[1][lo:hi], cols[2][lo:hi], code, vec))
         if held:
             degree, links = flush()
             if degree:
@@ -255,14 +278,30 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     made = scratch.write(map_batches(rows, to_bytes, "vec_id long, vec binary"))
     usable = made.where("vec is not null and vec_id is not null")
-    lengths = usable.groupBy(F.length("vec").alias("l")).count().orderBy(F.desc("count"), "l").limit(1).collect()
-    alone = lambda x: x.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not lengths:
-        return alone(made)
-    dim = lengths[0]["l"] // width
-    usable = usable.where(F.length("vec") == dim * width)
     distinct = scratch.write(usable.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    total = distinct.count()
+    sizes = distinct.groupBy(F.length("vec").alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l")
+    many = [(r["l"] // width, r["n"]) for r in sizes.limit(1).unionByName(sizes.where(F.col("n") > block)).distinct().collect()]  # at most rows / block lengths
+    found = [_linked_by_codes(distinct.where(F.length("vec") == dim * width), dim, total, kind, threshold, recall, sample, block, scratch) for dim, total in many]
+    few = distinct.where(~F.length("vec").isin([dim * width for dim, _ in many])) if many else distinct
+    one_list = few.select(F.lit(0).alias("t"), (F.length("vec") / width).cast("long").alias("key"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("part"), "rep", "n", F.lit(b"").alias("code"), "vec")
+    by_length = one_list.repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(_lists(None, kind, 0, 0, threshold, block), FOUND)
+    found = scratch.write(reduce(DataFrame.unionByName, found, by_length))
+    degree = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
+    label = components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")), scratch)
+    joined = scratch.write(distinct.join(degree, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("vec", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "rep").alias("label")))
+    least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = joined.join(least, "label").select("vec", "n_links", "component_id")
+    linked = usable.join(named, "vec").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    alone = made.where(F.col("vec").isNull() | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
+
+
+FOUND = "rep long, links long, other long"
+
+
+def _linked_by_codes(distinct: DataFrame, dim: int, total: int, kind: str, threshold: float, recall: float, sample: int, block: int, scratch: Scratch) -> DataFrame:
+    """Counts and links of different vectors of one length, total of them, through Hamming tables learnt on them."""
+    spark = distinct.sparkSession
 
     def learn(batches):
         x = _unit(np.concatenate([_as_matrix(b.column("vec"), dim, kind) for b in batches if b.num_rows] or [np.eye(dim, dtype=kind)]))
@@ -295,15 +334,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         dealt = cut.withColumns({"a": F.least("part", "o"), "b": F.greatest("part", "o")})
     keys = ["t", "key", "a", "b"]
     lists = dealt.select(*keys, "part", "rep", "n", "code", "vec").repartition(parts(spark), *keys).sortWithinPartitions(*keys)
-    found = scratch.write(lists.mapInArrow(_lists(dim, kind, k, n_tables, threshold, block), "rep long, links long, other long"))
-    degree = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    label = components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")), scratch)
-    joined = scratch.write(distinct.join(degree, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("vec", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "rep").alias("label")))
-    least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = joined.join(least, "label").select("vec", "n_links", "component_id")
-    linked = usable.join(named, "vec").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    rest = made.where((F.col("vec").isNull() | F.col("vec_id").isNull()) | (F.length("vec") != dim * width))
-    return linked.unionByName(alone(rest))
+    return lists.mapInArrow(_lists(dim, kind, k, n_tables, threshold, block), FOUND)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,9 +4,12 @@ from quern.llm import itq
 
 
 def brute(rows, threshold=0.95):
-    ok = [i for i, (k, v) in enumerate(rows) if k is not None and v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    unit = {i: np.array(rows[i][1]) / np.linalg.norm(rows[i][1]) for i in ok}
-    near = {i: [j for j in ok if j != i and float(unit[i] @ unit[j]) >= threshold] for i in ok}
+    ok = [i for i, (k, v) in enumerate(rows) if k is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    unit = {}
+    for i in ok:
+        v = np.array([float(x) for x in rows[i][1]]) / max(abs(x) for x in rows[i][1])
+        unit[i] = v / np.linalg.norm(v)
+    near = {i: [j for j in ok if j != i and len(unit[i]) == len(unit[j]) and float(unit[i] @ unit[j]) >= threshold] for i in ok}
     out, done = [], {}
     for i in ok:
         if i in done:
@@ -43,6 +46,33 @@ def test_links_components_and_odd_rows(spark):
         assert sum(g == w for g, w in zip(got, want, strict=True)) >= 0.97 * len(want)
 
 
+def test_lengths_and_magnitudes(spark):
+    """Each length links within itself; rows far too small or large for their squares to be held link as others do."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(40, 8))
+    rows = [(i, v) for i, v in enumerate(base.tolist())]
+    rows += [(100 + i, [1e-200 * x for x in v]) for i, v in enumerate(base[:5].tolist())] + [(110 + i, [1e200 * x for x in v]) for i, v in enumerate(base[:5].tolist())]
+    rows += [(120, [5e-324] + [0.0] * 7), (121, [1.7e308] * 8), (122, [1.0] + [0.0] * 7), (123, [2.0] * 8)]
+    rows += [(200 + i, [1.0, 2.0, 3.0]) for i in range(2)] + [(202, [1.0, 2.0, 3.1]), (203, [-1.0, 2.0, 3.0]), (204, [7.0]), (205, [1e-300]), (206, [-7.0])]
+    rows += [(300 + i, v) for i, v in enumerate(rng.normal(size=(30, 12)).tolist())] + [(340, rows[-1][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows)
+    for block in (4096, 8):
+        assert sorted(map(tuple, itq.near_duplicates(df, recall=0.9999, block=block).collect()), key=str) == want
+
+
+def test_a_dense_cluster_has_exact_counts(spark):
+    """Over 1000 different vectors, nearly all linked with all, in lists far longer than the limit."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=64) + rng.normal(scale=0.12, size=(1200, 64)), rng.normal(size=(300, 64))])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in itq.near_duplicates(df, block=200).collect()}
+    have = np.array([got[i] for i in range(len(x))])
+    assert want.max() > 1000 and (have <= want).all() and have.sum() >= 0.99 * want.sum()
+
+
 def test_empty_and_unusable(spark):
     assert itq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     bad = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "vec_id long, embedding array<float>")
