@@ -7,22 +7,32 @@ similarity of ``least`` over five-word shingles: the sum of the smaller counts
 over the sum of the larger. An item of fewer than five words is one shingle of
 its own length.
 
-Such a window holds at least ``least`` times the item's shingles, so windows
-with fewer are left out by a running count. The others get a SimHash; a
-multi-index of Hamming blocks gives the items of that length within ``radius``
-bits (a block of eight within radius/8 bits is guaranteed), and these are
-verified exactly. Items are read in blocks of ``block`` items whose index is
-broadcast, so its size has a bound; documents are scanned once a block, whole,
-and never shuffled.
+Every item has a fingerprint of BITS bits, the SimHash of its shingles, where the
+second occurrence of a shingle is a feature of its own, and so on; so similar
+counts are always similar sets. A window of a document gets one for each length of
+items, unless too few of its shingles occur in any item at all for the wanted similarity to any
+(a necessary condition that names no item). The fingerprints of a length's items
+lie in a multi-index of Hamming tables: BITS / 16 blocks of 16 bits, each item posted under
+all values within ``radius`` // blocks bits of its own, so that looking up a
+window's blocks gives every item within ``radius`` (of unrelated items a sixth
+meet, and the whole fingerprint leaves none of these). Each window and
+item found is verified exactly. At a similarity of 0.8 a fingerprint differs in 39 bits of 256 with
+a deviation of 6, so that one in 100,000 lies beyond 63.
+
+Items are read in blocks of ``block`` items whose index is broadcast, so its size
+has a bound; documents are scanned once a block, whole, in slices of bounded size, and never shuffled.
 
 Null or empty documents and items without words match nothing; repeated rows
-give a result each; ties between windows go to the first.
+give a result each; ties between windows go to the first; texts may have any
+length; empty tables give an empty result; other columns are left aside (kept by
+drop_leaks), whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+import uuid
+from collections import Counter
 from functools import reduce
 from itertools import islice, repeat
 
@@ -35,7 +45,8 @@ from .common import map_batches, table
 
 WORDS = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SHINGLE = 5
+SHINGLE, BITS = 5, 256
+SALTS = [np.uint64(0x2545F4914F6CDD1D * (2 * k + 1) & (2**64 - 1)) for k in range(BITS // 64)]
 
 
 def words(text: str | None) -> list[str]:
@@ -56,58 +67,106 @@ def codes(ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def simhashes(shingles: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of the windows of size shingles that begin at starts."""
-    bits = np.unpackbits(shingles.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
-    sums = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-    return np.packbits(sums[starts + size] - sums[starts] > 0, axis=1).view(">u8").ravel().astype(np.uint64)
+def _feature_bits(features: np.ndarray) -> np.ndarray:
+    """BITS bits of each 64-bit feature."""
+    words = np.stack([_mix(features ^ salt) for salt in SALTS], axis=1)
+    return np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(features), -1), axis=1)
+
+
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of shingle codes, each occurrence a feature of its own, as rows of 16-bit blocks."""
+    order = np.argsort(shingles, kind="stable")
+    x = shingles[order]
+    first = np.concatenate([[True], x[1:] != x[:-1]])
+    at = np.arange(len(x))
+    occurrence = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+    return _signs(_feature_bits(x + occurrence * MIX).sum(axis=0, dtype=np.int64)[None], np.array([len(x)]))[0]
+
+
+def _signs(ones: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.packbits(2 * ones > size[:, None], axis=1).view(">u2").astype(np.uint16)
+
+
+def window_fingerprints(shingles: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+    """fingerprint() of every window, by differences of running sums; windows in ascending order of start."""
+    order = np.argsort(shingles, kind="stable")
+    before = np.full(len(shingles), -1, np.int64)  # the last place of the same shingle
+    same = shingles[order][1:] == shingles[order][:-1]
+    before[order[1:][same]] = order[:-1][same]
+    latest = np.maximum.accumulate(before) if len(before) else before
+    out = np.zeros((len(starts), BITS // 16), np.uint16)
+    lo = 0
+    while lo < len(starts):
+        hi = min(int(np.searchsorted(starts, starts[lo] + most)), lo + most)
+        base, end = int(starts[lo]), int((starts[lo:hi] + sizes[lo:hi]).max())
+        sums = np.zeros((end - base + 1, BITS), np.int32)
+        np.cumsum(_feature_bits(shingles[base:end]), axis=0, dtype=np.int32, out=sums[1:])
+        s, n = starts[lo:hi] - base, sizes[lo:hi]
+        out[lo:hi] = _signs(sums[s + n] - sums[s], n)
+        lo = hi
+    for w in np.flatnonzero(latest[starts + sizes - 1] >= starts).tolist():  # a shingle occurs twice
+        out[w] = fingerprint(shingles[starts[w] : starts[w] + sizes[w]])
+    return out
+
+
+def neighbours(bits: int) -> np.ndarray:
+    """The 16-bit words with at most so many ones."""
+    x = np.arange(1 << 16, dtype=np.uint16)
+    return x[np.bitwise_count(x) <= bits]
 
 
 class HammingIndex:
-    """Eight blocks of eight bits: any fingerprint within radius agrees with a query in some block up to radius // 8 bits."""
+    """Tables of 16-bit blocks: each fingerprint is posted under all values near its block, so that one look-up a block finds all within the radius."""
 
     def __init__(self, prints: np.ndarray, radius: int):
+        blocks = prints.shape[1]
         self.prints, self.radius = prints, radius
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None]) <= radius // 8
-        self.tables = [near[:, ((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)] for b in range(8)]
-
-    def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = neighbours(radius // blocks)
+        self.tables = []
+        for b in range(blocks):
+            keys = (prints[:, b, None] ^ near[None]).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((keys[order], (order // len(near)).astype(np.int32)))
+
+    def meet(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, fingerprint number) of every pair that meets in a table, once each."""
+        found = []
+        for b, (keys, owner) in enumerate(self.tables):
+            lo = np.searchsorted(keys, queries[:, b])
+            n = np.searchsorted(keys, queries[:, b], side="right") - lo
+            q = np.repeat(np.arange(len(queries)), n)
+            found.append(q * len(self.prints) + owner[np.repeat(lo, n) + np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(self.prints), pairs % len(self.prints)
+
+    def search(self, queries: np.ndarray, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
         """(query number, fingerprint number) of every pair within the radius."""
-        maybe = np.zeros((len(queries), len(self.prints)), bool)
-        for b, t in enumerate(self.tables):
-            maybe |= t[((queries >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)]
-        q, p = np.nonzero(maybe)
-        ok = np.bitwise_count(queries[q] ^ self.prints[p]) <= self.radius
-        return q[ok], p[ok]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for lo in range(0, len(queries), most):
+            q, p = self.meet(queries[lo : lo + most])
+            ok = np.bitwise_count(queries[lo + q] ^ self.prints[p]).sum(axis=1, dtype=np.int64) <= self.radius
+            found.append((lo + q[ok], p[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class ItemIndex:
-    """The items of one block: vocabulary, shingle postings, and a Hamming index for each length."""
+    """The items of one block: vocabulary, known shingles, and a Hamming index for each length."""
 
     def __init__(self, items: list[tuple[int, str]], least: float, radius: int):
         self.least = least
         texts = [(i, w) for i, t in items if (w := words(t))]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
         self.ids = np.array([i for i, _ in texts], np.int64)
-        self.n_words = np.array([len(w) for _, w in texts], np.int64)
-        self.k = np.minimum(self.n_words, SHINGLE)
-        shingles = [codes(np.array([self.vocabulary[x] for x in w], np.int64), int(k)) for (_, w), k in zip(texts, self.k, strict=True)]
+        n_words = np.array([len(w) for _, w in texts], np.int64)
+        shingles = [codes(np.array([self.vocabulary[x] for x in w], np.int64), min(len(w), SHINGLE)) for _, w in texts]
         self.counts = [Counter(s.tolist()) for s in shingles]
-        self.size = np.array([len(s) for s in shingles], np.int64)
-        owners: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for j, c in enumerate(self.counts):
-            for s in c:
-                owners[int(self.k[j])][s].append(j)
-        self.postings = {}
-        for k, at in owners.items():
-            keys = np.array(sorted(at), np.uint64)
-            lists = [at[int(x)] for x in keys]
-            self.postings[k] = (keys, np.cumsum([0, *map(len, lists)]), np.concatenate(lists).astype(np.int64))
-        self.index = {}
-        prints = np.array([simhashes(s, np.zeros(1, np.int64), len(s))[0] for s in shingles], np.uint64)
-        for n in np.unique(self.n_words):
-            at = np.flatnonzero(self.n_words == n)
-            self.index[int(n)] = (at, HammingIndex(prints[at], radius))
+        prints = np.array([fingerprint(s) for s in shingles]).reshape(len(shingles), BITS // 16)
+        self.known: dict[int, np.ndarray] = {}
+        self.lengths: dict[int, dict[int, tuple[np.ndarray, HammingIndex]]] = {}  # by words a shingle, then by words
+        for k in np.unique(np.minimum(n_words, SHINGLE)).tolist():
+            mine = np.minimum(n_words, SHINGLE) == k
+            self.known[k] = np.unique(np.concatenate([shingles[j] for j in np.flatnonzero(mine)]))
+            self.lengths[k] = {int(n): (at := np.flatnonzero(n_words == n), HammingIndex(prints[at], radius)) for n in np.unique(n_words[mine])}
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, float, int]]:
         """(text number, item id, similarity, first word) of the best window of every leaked item."""
@@ -119,57 +178,76 @@ class ItemIndex:
             ends.append(at)
         ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         ends_a = np.array(ends, np.int64)
-        found = []
-        for k, (keys, offsets, items) in self.postings.items():
-            if len(ids) < k:
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for k, lengths in self.lengths.items():
+            held, own = [], {}
+            for d, marks in self._known(ids, ends_a, k):
+                begin = ends[d - 1] if d else 0
+                shingles = codes(ids[begin : ends[d]], k)
+                found = self._windows(shingles, marks - begin, k)
+                if found:
+                    own[d] = shingles
+                    held.append((np.full(len(found[0]), d), *found))
+            if not held:
                 continue
-            whole = np.ones(len(ids) - k + 1, bool)
-            for j in range(k):
-                whole &= ids[j : j + len(whole)] > 0
-            where = np.flatnonzero(whole)
-            doc = np.searchsorted(ends_a, where, side="right")
-            inside = where + k <= ends_a[doc]
-            where, doc = where[inside], doc[inside]
-            if not len(where):
+            doc, starts, sizes, n_words, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+            for n in np.unique(n_words).tolist():
+                mine = np.flatnonzero(n_words == n)
+                members, index = lengths[n]
+                q, p = index.search(prints[mine])
+                for d, s, w, j in zip(doc[mine[q]].tolist(), starts[mine[q]].tolist(), sizes[mine[q]].tolist(), members[p].tolist(), strict=True):
+                    sim = self._similarity(own[d][s : s + w], j)
+                    if sim >= self.least - 1e-9 and (sim, -s) > best.get((d, j), (0.0, 0)):
+                        best[d, j] = (sim, -s)
+        return [(d, int(self.ids[j]), sim, -s) for (d, j), (sim, s) in sorted(best.items())]
+
+    def _known(self, ids: np.ndarray, ends: np.ndarray, k: int):
+        """(text, places of shingles that some item has) of the texts with any."""
+        if len(ids) < k:
+            return
+        whole = np.ones(len(ids) - k + 1, bool)
+        for j in range(k):
+            whole &= ids[j : j + len(whole)] > 0
+        where = np.flatnonzero(whole)
+        doc = np.searchsorted(ends, where, side="right")
+        inside = where + k <= ends[doc]
+        where, doc = where[inside], doc[inside]
+        hit = np.isin(codes_at(ids, where, k), self.known[k])
+        where, doc = where[hit], doc[hit]
+        cuts = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(doc[lo]), where[lo:hi]
+
+    def _windows(self, shingles: np.ndarray, marks: np.ndarray, k: int) -> tuple[np.ndarray, ...] | None:
+        """(first shingle, shingles, words of the item's length, fingerprint) of the windows that may reach the similarity to any item."""
+        flags = np.zeros(len(shingles) + 1, np.int64)
+        flags[marks + 1] = 1
+        sums = np.cumsum(flags)
+        found = []
+        for n in self.lengths[k]:
+            size = n - k + 1
+            w = min(size, len(shingles))
+            need = self.least * (w + size) / (1 + self.least)  # what a window must share with an item of that size
+            if len(marks) < need - 1e-9:
                 continue
-            code = codes_at(ids, where, k)
-            slot = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-            hit = keys[slot] == code
-            where, doc, slot = where[hit], doc[hit], slot[hit]
-            n = offsets[slot + 1] - offsets[slot]
-            rows = np.repeat(np.arange(len(slot)), n)
-            item = items[np.repeat(offsets[slot], n) + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)]
-            pair, inverse, count = np.unique(doc[rows] * np.int64(len(self.ids)) + item, return_inverse=True, return_counts=True)
-            enough = count >= self.least * self.size[pair % len(self.ids)] - 1e-9
-            for p in np.flatnonzero(enough):
-                d, j = int(pair[p] // len(self.ids)), int(pair[p] % len(self.ids))
-                start = ends[d - 1] if d else 0
-                best = self._best(ids[start : ends[d]], where[rows[inverse == p]] - start, j)
-                if best:
-                    found.append((d, int(self.ids[j]), *best))
-        return found
-
-    def _best(self, doc: np.ndarray, hits: np.ndarray, j: int) -> tuple[float, int] | None:
-        n, k = int(self.n_words[j]), int(self.k[j])
-        shingles = codes(doc, k)
-        size = min(n - k + 1, len(shingles))
-        marks = np.zeros(len(shingles) + 1, np.int64)
-        marks[hits + 1] = 1
-        sums = np.cumsum(marks)
-        starts = np.flatnonzero(sums[size:] - sums[: len(sums) - size] >= self.least * self.size[j] - 1e-9)
-        if not len(starts):
+            s = np.flatnonzero(sums[w:] - sums[: len(sums) - w] >= need - 1e-9)
+            found.append(np.stack([s, np.full(len(s), w), np.full(len(s), n)]))
+        if not sum(x.shape[1] for x in found):
             return None
-        low, high = int(starts[0]), int(starts[-1]) + size
-        members, index = self.index[n]
-        q, p = index.search(simhashes(shingles[low:high], starts - low, size))
-        best = None
-        for s in starts[q[members[p] == j]].tolist():
-            c = Counter(shingles[s : s + size].tolist())
-            shared = sum(min(v, self.counts[j].get(x, 0)) for x, v in c.items())
-            sim = shared / (size + int(self.size[j]) - shared)
-            if sim >= self.least - 1e-9 and (best is None or sim > best[0]):
-                best = (sim, s)
-        return best
+        starts, sizes, n_words = np.concatenate(found, axis=1)
+        order = np.lexsort((sizes, starts))
+        starts, sizes, n_words = starts[order], sizes[order], n_words[order]
+        # Only what some window covers gets features; windows stay in one piece there.
+        cover = np.zeros(len(shingles) + 1, np.int64)
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, starts + sizes, -1)
+        covered = np.cumsum(cover[:-1]) > 0
+        place = np.cumsum(covered) - 1
+        return starts, sizes, n_words, window_fingerprints(shingles[covered], place[starts], sizes)
+
+    def _similarity(self, window: np.ndarray, j: int) -> float:
+        shared = sum(min(v, self.counts[j].get(x, 0)) for x, v in Counter(window.tolist()).items())
+        return shared / (len(window) + self.counts[j].total() - shared)
 
 
 def codes_at(ids: np.ndarray, where: np.ndarray, k: int) -> np.ndarray:
@@ -179,13 +257,25 @@ def codes_at(ids: np.ndarray, where: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block: int, least: float, radius: int):
-    """Broadcast indexes over at most block items each; the driver holds one block of items at a time."""
+_INDEXES: dict[str, ItemIndex] = {}
+
+
+def _index(shared, least: float, radius: int) -> ItemIndex:
+    """The process's index of a broadcast block of items: a Python worker keeps the last one from task to task."""
+    key, items = shared.value
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = ItemIndex(items, least, radius)
+    return _INDEXES[key]
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, block: int):
+    """Broadcasts of at most block items each, named; the driver holds one block of items at a time."""
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator()
     while part := [(r["i"], r["t"]) for r in islice(rows, block)]:
-        index = ItemIndex(part, least, radius)
-        if len(index.ids):
-            yield items.sparkSession.sparkContext.broadcast(part)
+        part = [(i, t) for i, t in part if WORDS.search(t)]
+        if part:
+            yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, part))
 
 
 def _scan(texts: list[str | None], index: ItemIndex, most: int = 4_000_000):
@@ -199,7 +289,7 @@ def _scan(texts: list[str | None], index: ItemIndex, most: int = 4_000_000):
             at, size = k + 1, 0
 
 
-def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.8, radius: int = 24, block: int = 5000) -> DataFrame:
+def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.8, radius: int = 63, block: int = 1000) -> DataFrame:
     """(doc_id, item_id, similarity, first_word) for every item that a row of df leaks."""
     schema = "doc_id long, item_id long, similarity double, first_word long"
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -210,21 +300,21 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
             found = [(ids[d], *rest) for d, *rest in _scan(batch.column("text").to_pylist(), index)]
             return pa.RecordBatch.from_pydict(dict(zip(("doc_id", "item_id", "similarity", "first_word"), zip(*found, strict=True), strict=True))) if found else None
 
-        return map_batches(rows, run, schema, lambda: ItemIndex(shared.value, least, radius))
+        return map_batches(rows, run, schema, lambda: _index(shared, least, radius))
 
-    found = [scan(s) for s in _blocks(items, item_id, item_text, block, least, radius)]
+    found = [scan(s) for s in _blocks(items, item_id, item_text, block)]
     return reduce(DataFrame.unionByName, found) if found else df.sparkSession.createDataFrame([], schema)
 
 
-def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.8, radius: int = 24, block: int = 5000) -> DataFrame:
+def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.8, radius: int = 63, block: int = 1000) -> DataFrame:
     """df without the rows that leak an item; all columns stay."""
-    for shared in _blocks(items, item_id, item_text, block, least, radius):
+    for shared in _blocks(items, item_id, item_text, block):
 
         def run(batch: pa.RecordBatch, index: ItemIndex):
             bad = {d for d, *_ in _scan(batch.column(text_col).to_pylist(), index)}
             return batch.filter(pa.array([i not in bad for i in range(batch.num_rows)]))
 
-        df = map_batches(df, run, df.schema, lambda shared=shared: ItemIndex(shared.value, least, radius))
+        df = map_batches(df, run, df.schema, lambda shared=shared: _index(shared, least, radius))
     return df
 
 
