@@ -13,12 +13,16 @@ training texts and answers each text with its sum of log10(c + 0.1). Baum-Welch
 starts from an expectation maximisation on a bounded sample and then runs over
 all training texts until a pass raises their log likelihood by less than the
 share ``settle`` (``rounds`` passes at most): each task gathers expected counts
-(long texts in segments), these are summed across tasks by blocks of symbols,
+over whole texts, these are summed across tasks by blocks of symbols, a few tasks at a time,
 and only the summed table, states x symbols, comes to the driver and goes out as single precision. Scoring is the
-scaled forward recursion over whole texts, many texts side by side.
-
-Null texts are empty and hold the end only. Repeated rows and ids get a result
-each. Without training texts N and V are 0 and only the unseen word is left.
+scaled forward recursion over whole texts, many texts side by side. A text of more than LONG
+words is cut into segments that go side by side too; the matrices of the
+segments, multiplied, give each the exact states before and after it, so that nothing is cut off.
+
+Null and empty texts hold the end only. Repeated rows and ids get a result
+each, and learn as often as they occur. Of equally frequent words the smaller bytes come first into the head. Without
+training texts N and V are 0 and only the unseen word is left; an empty table
+gives an empty result; other columns are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, crc_mod, parts, table, words_of
 
-SEGMENT, GROUP, PART = 1024, 300_000, 4096
+SEGMENT, GROUP, LONG, PART = 1024, 400_000, 1 << 17, 4096
 TINY = 1e-30
 
 
@@ -44,6 +48,15 @@ class Model:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
+        self.most = emit.max(axis=1) + emit.dtype.type(TINY)
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, rows: int, kind=None) -> np.ndarray:
+        """An array of rows x states, used again from call to call: fresh memory costs more than the sums in it."""
+        room = self.rooms.get(name)
+        if room is None or len(room) < rows:
+            room = self.rooms[name] = np.empty((rows * 5 // 4, len(self.start)), kind or self.emit.dtype)
+        return room[:rows]
 
     @staticmethod
     def first(states: int, share: np.ndarray, seed: int = 5) -> Model:
@@ -61,79 +74,169 @@ class Model:
         return Model(s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(0, keepdims=True))
 
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """log10 likelihood of each (non-empty) sequence: the scaled forward recursion, longest first."""
-        lengths = np.array([len(s) for s in sequences])
-        order = np.argsort(-lengths, kind="stable")
-        out = np.zeros(len(sequences))
-        flat = np.concatenate([sequences[i] for i in order]).astype(np.int64)
-        at = np.concatenate([[0], np.cumsum(lengths[order])[:-1]])
-        active = np.searchsorted(-lengths[order], -np.arange(1, lengths.max() + 1), side="right")
-        total = np.zeros(len(sequences))
-        alpha = None
-        for t, n in enumerate(active.tolist()):
-            b = self.emit[flat[at[:n] + t]]
-            alpha = (self.start * b) if t == 0 else (alpha[:n] @ self.move) * b
-            scale = alpha.sum(1) + TINY
-            alpha /= scale[:, None]
-            total[:n] += np.log10(scale)
-        out[order] = total
+        """log10 likelihood of each (non-empty) sequence: the scaled forward recursion, longest first; very long ones by segments."""
+        out, short = np.zeros(len(sequences)), []
+        for k, s in enumerate(sequences):
+            if len(s) > LONG:
+                out[k] = self.borders(s)[2]
+            else:
+                short.append(k)
+        if short:
+            steps = Steps([sequences[k] for k in short])
+            total = np.zeros(len(short))
+            alpha = None
+            for t, n in enumerate(steps.active):
+                b = self.emit[steps.symbols[steps.at[t] : steps.at[t] + n]]
+                alpha = (self.start * b) if t == 0 else (alpha[:n] @ self.move) * b
+                scale = alpha.sum(1) + TINY
+                alpha /= scale[:, None]
+                total[:n] += np.log10(scale)
+            out[np.array(short)[steps.order]] = total
         return out
 
-    def expect(self, sequences: list[np.ndarray], first: list[bool], counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
-        """Adds the expected counts (start, move, emit) of sequences of at most SEGMENT symbols; gives their log10 likelihood."""
+    def borders(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """For the SEGMENT symbols from each multiple of SEGMENT: the shares of the states before the first, given all before;
+        the values of the states after the last, given all after; and the log10 likelihood of the whole.
+
+        A segment is a matrix from the states before it to those after it, and all segments go step by step side by side; the
+        chain of the matrices then gives exactly what one recursion over the whole text gives.
+        """
+        n, k = -(-len(symbols) // SEGMENT), len(self.start)
+        through, logs = np.empty((n, k, k)), np.empty(n)
+        for lo in range(0, n, 256):  # blocks of bounded size
+            part = symbols[lo * SEGMENT : (lo + 256) * SEGMENT].astype(np.int64)
+            m = -(-len(part) // SEGMENT)
+            x, size = np.broadcast_to(np.eye(k), (m, k, k)).copy(), np.zeros(m)
+            for t in range(min(SEGMENT, len(part))):
+                b = self.emit[part[t::SEGMENT]].astype(np.float64)
+                r = len(b)
+                y = (x[:r] * b[:, None]) @ self.move
+                scale = y.sum((1, 2)) + TINY
+                x[:r] = y / scale[:, None, None]
+                size[:r] += np.log10(scale)
+            through[lo : lo + m], logs[lo : lo + m] = x, size
+        before, after = np.empty((n, k)), np.empty((n, k))
+        q, total = self.start.astype(np.float64), float(logs.sum())
+        for i in range(n):
+            before[i] = q
+            q = q @ through[i]
+            total += float(np.log10(q.sum() + TINY))
+            q /= q.sum() + TINY
+        u = np.ones(k)
+        for i in range(n - 1, -1, -1):
+            after[i] = u
+            u = through[i] @ u
+            u /= u.sum() + TINY
+        return before, after, total
+
+    def expect(self, sequences: list[np.ndarray], counts: tuple[np.ndarray, np.ndarray, np.ndarray], before: np.ndarray | None = None, after: np.ndarray | None = None, opens: bool = True, closes: bool = True) -> float:
+        """Adds the expected counts (start, move, emit) of whole sequences, exactly; gives their log10 likelihood.
+
+        With before and after (rows of borders) the sequences are segments of one text in their order; opens and
+        closes say whether the text's first and last are among them. Their likelihood is that of borders.
+        """
         start, move, emit = counts
-        lengths = np.array([len(s) for s in sequences])
-        order = np.argsort(-lengths, kind="stable")
-        lengths, fresh = lengths[order], np.array(first)[order]
-        flat = np.concatenate([sequences[i] for i in order]).astype(np.int64)
-        at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        active = np.searchsorted(-lengths, -np.arange(1, lengths.max() + 1), side="right").tolist()
-        begin = np.where(fresh[:, None], self.start, 1 / len(self.start))
-        alphas, scales, seen = [], [], []
-        for t, n in enumerate(active):
-            sym = flat[at[:n] + t]
-            b = self.emit[sym]
-            a = begin * b if t == 0 else (alphas[-1][:n] @ self.move) * b
-            scale = a.sum(1) + TINY
-            a /= scale[:, None]
-            alphas.append(a)
-            scales.append(scale)
-            seen.append(sym)
-        beta = np.ones((active[-1], len(self.start)), self.emit.dtype)
-        gammas = [None] * len(active)
+        steps, k = Steps(sequences), len(self.start)
+        at, active, last, n = steps.at, steps.active, steps.last, len(steps.symbols)
+        own, alpha, beta, weight = (self._room(x, n) for x in ("own", "alpha", "beta", "weight"))
+        np.take(self.emit, steps.symbols, axis=0, out=own)
+        top = self.most[steps.symbols]
+        own /= top[:, None]  # so that every other step needs no scaling
+        ones, scales = np.ones(k, own.dtype), np.ones(n, own.dtype)
+        prior = np.broadcast_to(self.start, (len(sequences), k)) if before is None else before[steps.order].astype(own.dtype)
+        for t, m in enumerate(active):
+            lo = at[t]
+            a = alpha[lo : lo + m]
+            if t == 0:
+                np.multiply(prior, own[:m], out=a)
+            else:
+                np.matmul(alpha[at[t - 1] : at[t - 1] + m], self.move, out=a)
+                a *= own[lo : lo + m]
+            if t % 2 == 0:
+                s = a @ ones + TINY
+                a /= s[:, None]
+                scales[lo : lo + m] = s
+        back = np.ascontiguousarray(self.move.T)
+        follows = np.ones((len(sequences), k), own.dtype) if after is None else after[steps.order].astype(own.dtype)
         for t in range(len(active) - 1, -1, -1):
-            n = active[t]
-            if len(beta) < n:
-                beta = np.concatenate([beta, np.ones((n - len(beta), beta.shape[1]), beta.dtype)])
-            gammas[t] = alphas[t] * beta
-            if t:
-                w = self.emit[seen[t]] * beta / scales[t][:, None]
-                move += self.move * (alphas[t - 1][:n].T @ w)
-                beta = w @ self.move.T
-        start += gammas[0][fresh].sum(0)
-        gamma, sym = np.concatenate(gammas), np.concatenate(seen)
-        for k in range(gamma.shape[1]):
-            emit[:, k] += np.bincount(sym, weights=gamma[:, k], minlength=len(emit))
-        return float(sum(np.log10(s).sum(dtype=np.float64) for s in scales))
-
-
-def segments(symbols: np.ndarray) -> list[np.ndarray]:
-    return [symbols[i : i + SEGMENT] for i in range(0, len(symbols), SEGMENT)]
+            m, lo = active[t], at[t]
+            going = active[t + 1] if t + 1 < len(active) else 0
+            b = beta[lo : lo + m]
+            if going:
+                np.matmul(weight[at[t + 1] : at[t + 1] + going], back, out=b[:going])
+                if t % 2:
+                    b[:going] /= (b[:going] @ ones + TINY)[:, None]
+            if going < m:
+                b[going:] = follows[going:m] @ back
+            np.multiply(own[lo : lo + m], b, out=weight[lo : lo + m])
+        gamma = np.multiply(alpha, beta, out=own)
+        z = gamma @ ones + TINY
+        gamma /= z[:, None]
+        if len(active) > 1:
+            first = at[1]
+            weight[first:] /= (scales * z)[first:, None]
+            previous = np.arange(first, n) - np.repeat(active[:-1], active[1:])
+            move += self.move * (np.take(alpha, previous, axis=0, out=beta[first:]).T @ weight[first:])
+        if after is None:
+            start += gamma[: active[0]].sum(0)
+        else:
+            if closes:
+                follows[np.argmax(steps.order)] = 0
+            if opens:
+                start += gamma[np.argmin(steps.order)]
+            move += self.move * (alpha[last].T @ (follows / z[last][:, None]))
+        for j in range(k):
+            emit[:, j] += np.bincount(steps.symbols, weights=gamma[:, j], minlength=len(emit))
+        end = alpha[last].sum(1, dtype=np.float64)
+        return float(np.log10(scales).sum(dtype=np.float64) + np.log10(top).sum(dtype=np.float64) + np.log10(end + TINY).sum())
+
+
+class Steps:
+    """Sequences side by side, longest first: the symbols of each step lie together.
+
+    order: the sequence at each place; active: how many have a step; at: where a step begins; last: where each place's last symbol is.
+    """
+
+    def __init__(self, sequences: list[np.ndarray]):
+        lengths = np.array([len(s) for s in sequences])
+        self.order = np.argsort(-lengths, kind="stable")
+        lengths = lengths[self.order]
+        active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
+        at = np.concatenate([[0], np.cumsum(active)[:-1]])
+        flat = np.concatenate([sequences[i] for i in self.order])
+        step = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.symbols = np.empty(len(flat), np.int32)
+        self.symbols[at[step] + np.repeat(np.arange(len(lengths)), lengths)] = flat
+        self.last = at[lengths - 1] + np.arange(len(lengths))
+        self.active, self.at = active.tolist(), at.tolist()
 
 
 def expect_all(model: Model, texts, counts) -> float:
-    """model.expect over texts in groups of bounded size; gives their log10 likelihood."""
-    held, first, size, total = [], [], 0, 0.0
+    """model.expect over texts, short and long ones apart, in groups of bounded size; gives their log10 likelihood."""
+    pools, total = {False: [], True: []}, 0.0
+    size, longest = dict.fromkeys(pools, 0), dict.fromkeys(pools, 1)
     for symbols in texts:
-        for k, s in enumerate(segments(symbols)):
-            held.append(s)
-            first.append(k == 0)
-            size += len(s)
-        if size >= GROUP:
-            total += model.expect(held, first, counts)
-            held, first, size = [], [], 0
-    if held:
-        total += model.expect(held, first, counts)
+        if len(symbols) > LONG:
+            total += _expect_long(model, symbols, counts)
+            continue
+        pool = len(symbols) > SEGMENT
+        pools[pool].append(symbols)
+        size[pool] += len(symbols)
+        longest[pool] = max(longest[pool], len(symbols))
+        if size[pool] >= min(2 * GROUP, max(GROUP, 100 * longest[pool])):  # long steps want many texts side by side
+            total += model.expect(pools[pool], counts)
+            pools[pool], size[pool], longest[pool] = [], 0, 1
+    return total + sum(model.expect(p, counts) for p in pools.values() if p)
+
+
+def _expect_long(model: Model, symbols: np.ndarray, counts) -> float:
+    """model.expect of one text of any length, its segments side by side in blocks of bounded size."""
+    before, after, total = model.borders(symbols)
+    n, each = len(before), GROUP // SEGMENT
+    for lo in range(0, n, each):
+        hi = min(n, lo + each)
+        whole = [symbols[i * SEGMENT : (i + 1) * SEGMENT] for i in range(lo, hi)]
+        model.expect(whole, counts, before[lo:hi], after[lo:hi], lo == 0, hi == n)
     return total
 
 
@@ -263,24 +366,36 @@ def _gather(batches):
         yield flush(now, held)
 
 
-def _sum_table(rows: DataFrame, width: int, states: int) -> np.ndarray:
-    """Adds (part, table) rows part by part across tasks, and gives all parts: at most states x symbols numbers."""
+def _sum_table(rows: DataFrame, width: int, states: int, fan: int = 32) -> np.ndarray:
+    """Adds (task, part, table) rows part by part across tasks, and gives all parts: at most states x symbols numbers.
+
+    Tables of fan tasks are added first, then those sums by fan, until few are left, so that no reducer reads more than
+    fan tables of a part.
+    """
 
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
+    def add(batches, kind):
+        sums: dict[tuple, np.ndarray] = {}
         for b in batches:
-            for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zstandard.ZstdDecompressor().decompress(t), "<f4").astype(np.float64)
-                sums[p] = sums[p] + x if p in sums else x
-        for p, x in sums.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "table": pa.array([x.tobytes()], pa.binary())})
-
-    n_parts = -(-width // PART)
-    got = rows.repartition(min(n_parts, parts(rows.sparkSession)), "part").mapInArrow(add, "part int, table binary").toArrow()
+            for k, p, t in zip(*(b.column(c).to_pylist() for c in ("task", "part", "table")), strict=True):
+                x = np.frombuffer(zstandard.ZstdDecompressor().decompress(t), kind).astype(np.float64)
+                if (k, p) in sums:
+                    sums[k, p] += x
+                else:
+                    sums[k, p] = x
+        for (k, p), x in sums.items():
+            yield pa.RecordBatch.from_pydict({"task": pa.array([k], pa.int32()), "part": pa.array([p], pa.int32()), "table": pa.array([zstandard.ZstdCompressor(level=1).compress(x.tobytes())], pa.binary())})
+
+    n_parts, tasks, most = -(-width // PART), rows.rdd.getNumPartitions(), parts(rows.sparkSession)
+    kind = "<f4"  # single tasks' tables; sums have double precision
+    while tasks > 1:
+        tasks = -(-tasks // fan)
+        dealt = rows.withColumn("task", F.expr(f"task div {fan}").cast("int")).repartition(min(n_parts * tasks, most), "task", "part")
+        rows, kind = dealt.mapInArrow(lambda it, kind=kind: add(it, kind), "task int, part int, table binary"), "<f8"
+    got = rows.select("part", "table").toArrow()
     out = np.zeros((n_parts * PART, states))
     for p, t in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-        x = np.frombuffer(t, np.float64).reshape(-1, states)
-        out[p * PART : p * PART + len(x)] = x
+        x = np.frombuffer(zstandard.ZstdDecompressor().decompress(t), kind).reshape(-1, states)
+        out[p * PART : p * PART + len(x)] += x
     return out[:width]
 
 
@@ -332,7 +447,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     def put(table_: np.ndarray):
         for p in range(0, len(table_), PART):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([p // PART], pa.int32()), "table": pa.array([zstandard.ZstdCompressor(level=1).compress(table_[p : p + PART].astype("<f4").tobytes())], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int32()), "part": pa.array([p // PART], pa.int32()), "table": pa.array([zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(table_[p : p + PART], "<f4").tobytes())], pa.binary())})
 
     def count_exact(batches):
         c = np.zeros(width, np.int64)
@@ -353,7 +468,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         texts = [unpack_symbols(s) for b in batches for s in b.column("symbols").to_pylist()]
         model = Model.first(states, share)
         for _ in range(20):
-            counts = (np.zeros(states), np.zeros((states, states)), np.zeros((width, states)))
+            counts = (np.zeros(states), np.zeros((states, states)), np.zeros((width, states), order="F"))
             expect_all(model, texts, counts)
             model = Model.of_counts(*counts, share)
         yield pa.RecordBatch.from_pydict({"m": [np.concatenate([model.start, model.move.ravel(), model.emit.ravel()]).astype("<f8").tobytes()]})
@@ -367,11 +482,11 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         sent = spark.sparkContext.broadcast(Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit))))
 
         def expect(batches, sent=sent):
-            counts = (np.zeros(states), np.zeros((states, states)), np.zeros((width, states)))
+            counts = (np.zeros(states), np.zeros((states, states)), np.zeros((width, states), order="F"))
             likelihood = expect_all(sent.value, (unpack_symbols(s) for b in batches for s in b.column("symbols").to_pylist()), counts)
             yield from put(np.vstack([counts[2], counts[0][None], counts[1], np.full((1, states), likelihood)]))
 
-        got = _sum_table(train.mapInArrow(expect, "part int, table binary"), width + 2 + states, states)
+        got = _sum_table(train.mapInArrow(expect, "task int, part int, table binary"), width + 2 + states, states)
         model = Model.of_counts(got[width], got[width + 1 : -1], got[:width], share)
         sent.unpersist()
         now = float(got[-1, 0])

@@ -160,14 +160,82 @@ def test_forward_is_the_sum_over_paths():
         assert abs(got - math.log10(total)) < 1e-9
 
 
-def test_expectation_raises_the_likelihood():
+def some_model(seed, states, symbols):
+    rng = np.random.default_rng(seed)
+    return hmm.Model(rng.dirichlet(np.ones(states)), rng.dirichlet(np.ones(states), states), rng.dirichlet(np.ones(symbols), states).T)
+
+
+def no_counts(states, symbols):
+    return np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states), order="F")
+
+
+def test_expected_counts_are_those_over_all_paths():
+    model, rng, want, likelihood = some_model(5, 3, 5), np.random.default_rng(6), no_counts(3, 5), 0.0
+    seqs = [rng.integers(0, 5, n) for n in (1, 2, 7, 5, 3)]
+    for s in seqs:
+        total, mine = 0.0, no_counts(3, 5)
+        for path in np.ndindex(*[3] * len(s)):
+            p = model.start[path[0]] * model.emit[s[0], path[0]]
+            for t in range(1, len(s)):
+                p *= model.move[path[t - 1], path[t]] * model.emit[s[t], path[t]]
+            total += p
+            mine[0][path[0]] += p
+            for t, z in enumerate(path):
+                mine[2][s[t], z] += p
+                if t:
+                    mine[1][path[t - 1], z] += p
+        likelihood += math.log10(total)
+        for w, m in zip(want, mine, strict=True):
+            w += m / total
+    got = no_counts(3, 5)
+    assert abs(model.expect(seqs, got) - likelihood) < 1e-9
+    assert all(np.allclose(g, w, atol=1e-9) for g, w in zip(got, want, strict=True))
+
+
+def test_a_long_text_is_cut_nowhere(monkeypatch):
+    """Texts beyond SEGMENT in their pool, and one beyond LONG by segments, give what one recursion over each gives."""
+    model, rng = some_model(7, 4, 6), np.random.default_rng(8)
+    seqs = [rng.integers(0, 6, n) for n in (5000, 1024, 1025, 3, 2048, 4999)]
+    want = no_counts(4, 6)
+    likelihood = sum(model.expect([s], want) for s in seqs)
+    for long, segment, group in ((1 << 17, 1024, 400_000), (900, 64, 700), (900, 1000, 1500)):
+        monkeypatch.setattr(hmm, "LONG", long)
+        monkeypatch.setattr(hmm, "SEGMENT", segment)
+        monkeypatch.setattr(hmm, "GROUP", group)
+        got = no_counts(4, 6)
+        assert abs(hmm.expect_all(model, iter(seqs), got) - likelihood) < 1e-6
+        assert all(np.allclose(g, w, atol=1e-6) for g, w in zip(got, want, strict=True))
+        assert abs(model.log10(seqs).sum() - likelihood) < 1e-6
+
+
+def test_the_likelihood_never_falls():
+    """Baum-Welch without smoothing, by the definition, in single and double precision."""
     rng = np.random.default_rng(4)
-    share = np.full(6, 1 / 6)
     seqs = [np.repeat(rng.integers(0, 6, 5), 4) for _ in range(30)]
-    model, last = hmm.Model.first(3, share), -1e9
+    for kind, slack in ((np.float64, 1e-9), (np.float32, 1e-3)):
+        model, last = some_model(9, 3, 6), -1e9
+        for _ in range(15):
+            counts = no_counts(3, 6)
+            now = hmm.Model(*(x.astype(kind) for x in (model.start, model.move, model.emit))).expect(seqs, counts)
+            assert abs(counts[2].sum() - sum(map(len, seqs))) < 1e-2 and abs(counts[0].sum() - 30) < 1e-3
+            assert now >= last - slack
+            start, move, emit = counts
+            last, model = now, hmm.Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0, keepdims=True))
+
+
+def test_smoothed_counts_gain_on_the_first_model():
+    rng, share = np.random.default_rng(4), np.full(6, 1 / 6)
+    seqs = [np.repeat(rng.integers(0, 6, 5), 4) for _ in range(30)]
+    model = first = hmm.Model.first(3, share)
     for _ in range(6):
-        counts = (np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3)))
-        now = model.expect(seqs, [True] * 30, counts)
-        assert abs(counts[2].sum() - sum(map(len, seqs))) < 1e-6 and abs(counts[0].sum() - 30) < 1e-6
-        assert now >= last - 2
-        last, model = now, hmm.Model.of_counts(*counts, share)
+        counts = no_counts(3, 6)
+        model.expect(seqs, counts)
+        model = hmm.Model.of_counts(*counts, share)
+    assert model.log10(seqs).sum() > first.log10(seqs).sum() + 10
+
+
+def test_tables_are_summed_by_levels(spark):
+    rows = [(k, p, hmm.zstandard.ZstdCompressor().compress(np.full(hmm.PART * 2, k + p, "<f4").tobytes())) for k in range(70) for p in (0, 1)]
+    df = spark.createDataFrame(rows, "task int, part int, table binary").repartition(70, "task")
+    out = hmm._sum_table(df, hmm.PART + 5, 2, fan=4)
+    assert out.shape == (hmm.PART + 5, 2) and (out[: hmm.PART] == sum(range(70))).all() and (out[hmm.PART :] == sum(range(70)) + 70).all()
