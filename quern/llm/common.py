@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import re
 import tempfile
@@ -24,24 +26,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Taken from ``spark.checkpoint.dir``; only where that is unset (local runs,
-    tests) a temporary folder is made and set.
+    Taken from ``spark.checkpoint.dir``; only where that is unset in a local run
+    (tests) a temporary folder is made and set. On a cluster a folder of this
+    machine would be another one on each executor, so it must be set there.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if at.isDefined():
             return at.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 
 
 class Scratch:
-    """Written tables in the shared folder, so that lineage is cut and a lost executor loses nothing."""
+    """Written tables in the shared folder, so that lineage is cut and a lost executor loses nothing.
+
+    Results are lazy and may read them as long as the session lives; when the driver's process ends, they are deleted.
+    """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}", 0
+        atexit.register(self.close)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def close(self) -> None:
+        """Deletes all tables; of no effect where the session has ended before."""
+        with contextlib.suppress(Exception):
+            self._delete(self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -54,8 +72,7 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later step reads."""
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch_path)
 
 
 def parts(spark: SparkSession) -> int:

@@ -4,14 +4,17 @@ A text's UTF-8 bytes (ASCII capitals folded, digits and signs merged) are cut
 into windows of a fixed length that cover all of it. Byte embeddings go through
 filters of several widths, a rectifier, a maximum over the window, and a softmax
 layer. The network is trained with numpy on windows of a bounded sample of
-labelled rows (``sample`` rows, least hash of the id first). For prediction, the
+labelled rows (``sample`` ids, least hash of the id first, one row an id, and of each at most ``per_row`` windows spread over
+its length, so that long texts do not outweigh others). For prediction, the
 embedding and each filter are folded into tables over single bytes and byte
 pairs, so that a window needs table look-ups and sums only. A text's language is
 the one with the highest probability averaged over its windows, by length.
 
 Null texts and texts without a letter are ``und`` with score 0; so is every text
-when no labelled row may be learnt from. Rows of unknown language, repeated rows
-and null ids are predicted like others.
+when no labelled row may be learnt from. Of equally likely languages the first by name
+wins. A text may have any length: all its windows count, in batches of bounded size. Rows of unknown language, repeated rows
+and null ids are predicted like others; of an id's rows the first by text and language is learnt from. An empty table gives an empty
+result; other columns are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -177,7 +180,7 @@ def train(rows: DataFrame, sample: int, per_row: int = 4) -> tuple[list[str], di
                     out.append((lang, x[i].tobytes()))
         return pa.RecordBatch.from_pydict({"lang": [r[0] for r in out], "x": pa.array([r[1] for r in out], pa.binary())}) if out else None
 
-    got = map_batches(known.join(F.broadcast(ids), "doc_id").select("text", "lang"), cut, "lang string, x binary").toArrow()  # sample * per_row * WINDOW bytes at most
+    got = map_batches(known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x")).select("x.text", "x.lang"), cut, "lang string, x binary").toArrow()  # sample * per_row * WINDOW bytes at most
     pairs = sorted(zip(got.column("lang").to_pylist(), got.column("x").to_pylist(), strict=True))
     classes = sorted({lang for lang, _ in pairs})
     network = Network(len(classes))

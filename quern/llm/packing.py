@@ -10,8 +10,9 @@ the pieces, ranked within their class over the whole table, take the slots of
 the patterns. The driver sees only the histogram (at most length/width rows);
 ranks come from counts by class and shard, never from one task's sort.
 
-Null and empty texts are one end id. Repeated rows and ids are packed each;
-other columns are left aside; an empty table gives no pieces.
+Null and empty texts are one end id; a text may have any length. Repeated rows and ids are
+packed each; equal pieces of equal ids are ranked in any order, which gives the same rows. Other columns are left
+aside, whatever their names; an empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -11,9 +11,10 @@ finds a document's chunk without touching others. Shards are ranges of document
 ids; a table is the carrier of the rows because its commit survives lost
 executors and repeated tasks.
 
-Null texts count as empty; a document without tokens still has its end id;
-null ids come first; repeated ids keep all their rows; an empty table gives an
-empty store.
+Null and empty texts have their end id only; a text may have any length (a chunk is at least
+one document). Null ids come first; rows of one id follow each other by text, so
+ties have one order; repeated rows keep all their rows; an empty table gives an
+empty store; other columns are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def encode_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield emit()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(parts(df.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    dealt = rows.repartitionByRange(parts(df.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return dealt.mapInArrow(run, CHUNKS)
 
 
@@ -123,8 +124,8 @@ def write_store(df: DataFrame, path: str, **options) -> str:
     return path
 
 
-def read_store(spark: SparkSession, path: str, each=None, schema: str = "doc_id long, start long, ids array<long>") -> DataFrame:
-    """Every document of a store: doc_id, the ids of all documents before it, and each(ids) (by default the ids)."""
+def read_store(spark: SparkSession, path: str, each=None, schema: str = "doc_id long, start long, ids array<long>", only=None) -> DataFrame:
+    """Every document of a store: doc_id, the ids of all documents before it, and each(ids) (by default the ids). only: a condition on the chunks to read."""
     each = each or (lambda ids: (ids.tolist(),))
     totals = sorted(spark.read.parquet(f"{path}/index").groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())  # one row a shard
     base, at = {}, 0
@@ -143,7 +144,19 @@ def read_store(spark: SparkSession, path: str, each=None, schema: str = "doc_id
                 rows = [(int(d) if w else None, int(first + e - n), *each(ids[e - n : e])) for d, w, n, e in zip(docs, known, lens.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)))
 
-    return spark.read.parquet(f"{path}/chunks").select("shard", "before", "n_ids", "planes", "plane_sizes", "payload", "doc_ids", "doc_known", "doc_lens").mapInArrow(run, schema)
+    chunks = spark.read.parquet(f"{path}/chunks")
+    return (chunks if only is None else chunks.where(only)).select("shard", "before", "n_ids", "planes", "plane_sizes", "payload", "doc_ids", "doc_known", "doc_lens").mapInArrow(run, schema)
+
+
+def read_documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """(doc_id, start, ids) of the documents with the given ids, from the chunks that the index says may hold them."""
+    index = spark.read.parquet(f"{path}/index")
+    wanted = F.lit(False)
+    for i in ids:
+        wanted = wanted | ((F.col("first_doc") <= i) & (F.col("last_doc") >= i))
+    chunks = [(r["shard"], r["chunk"]) for r in index.where(wanted).select("shard", "chunk").collect()]  # few for each id
+    named = F.struct("shard", "chunk").isin(*(F.struct(F.lit(s), F.lit(c)) for s, c in chunks)) if chunks else F.lit(False)
+    return read_store(spark, path, only=named).where(F.col("doc_id").isin(*ids))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,12 +4,14 @@ The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``. Byte-
 first cuts a text by a pattern and then merges within each cut, so a cut's ids do
 not depend on its neighbours; most words recur, and a bounded cache of their ids
 saves most of the merging. A text with characters outside plain Latin ranges, or
-with the text of a special token, goes to the tokenizer whole.
+with the text of a special token, goes to the tokenizer whole, and so does every text if
+the file is of another kind than byte-level BPE with this cut and no normaliser.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import re
 import sys
 from array import array
@@ -69,6 +71,14 @@ class _Cache(dict):
             self.clear()
 
 
+def byte_level(file: dict) -> bool:
+    """Whether a tokenizers file cuts and merges as CUT and _merge do."""
+    pre, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    bpe = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    return bool(plain and bpe and not file.get("normalizer") and not file.get("truncation") and not file.get("padding"))
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
@@ -78,6 +88,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.model = self.tokenizer.model
+        self.by_cuts = byte_level(json.loads(self.tokenizer.to_str()))
         self.pieces = _Cache(most, self._piece)  # what stands between two single spaces, with the space before it
         self.cuts = _Cache(most // 4, self._cut)  # other cuts
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -103,6 +114,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none)."""
+        if not self.by_cuts:
+            return self._whole([t or "" for t in texts])
         piece, cut, out, later = self.pieces.__getitem__, self.cuts.__getitem__, [], []
         collecting = gc.isenabled()
         gc.disable()  # many short lists and no cycles

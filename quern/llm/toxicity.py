@@ -9,7 +9,7 @@ character model picks the restored spelling. A plain word's lattice has one
 path, the word itself. All words, as written and as restored, are scored.
 
 The classifier is fitted on a bounded sample of labelled rows (``max_toxic`` and
-``max_clean`` rows, least hash of the id first): word prefixes and whole words
+``max_clean`` ids, least hash of the id first, one row an id): word prefixes and whole words
 that occur in toxic documents in several different contexts (so that copies of
 one document count once) get a log-odds weight, and a logistic curve over the
 strongest weights of a document gives the score. The sample is fitted in
@@ -17,8 +17,12 @@ one task; everything else reads every row, and whole texts.
 
 Null and empty texts hold no word and get the score of no evidence. Without
 labels of both classes every score is 0.5 or less and nothing is rejected.
-Repeated rows get a result each; ids may be null (they count as training rows
-of the character model).
+A text may have any length; each different token is decoded once. Of paths of equal cost the
+last state in order wins, and of ids of equal hash the smaller is sampled. An id labelled
+both ways counts as toxic. Repeated rows get a result each, and of an id's
+rows the first text in order is learnt from; ids may be null (they count as training rows
+of the character model). An empty table gives an empty result; other columns are left
+aside (kept by drop_toxic), whatever their names.
 """
 
 from __future__ import annotations
@@ -188,7 +192,7 @@ def evidence(words, weights: dict[str, float]) -> float:
     return combined([max((weights.get(f, 0.0) for f in features(w)), default=0.0) for w in words])
 
 
-def fit(rows: list[tuple[str, int]], restorer: Restorer, support: int = 4, most: int = 20_000) -> dict[str, float]:
+def fit(rows: list[tuple[str, int]], restorer: Restorer, support: int = 4) -> dict[str, float]:
     """Feature weights, and the logistic curve's two numbers under "a" and "b" with a leading NUL."""
     n = [sum(1 - y for _, y in rows), sum(y for _, y in rows)]
     docs = []
@@ -217,7 +221,6 @@ def fit(rows: list[tuple[str, int]], restorer: Restorer, support: int = 4, most:
                         contexts[f].add(before)
             before = t
     weights = {f: w for f, w in weights.items() if len(contexts[f]) >= support}
-    weights = dict(sorted(weights.items(), key=lambda x: (-toxic[x[0]] * x[1], x[0]))[:most])
     x = np.array([evidence(w, weights) for w, _ in docs], np.float64)
     y = np.array([y for _, y in docs], np.float64)
     a, b = 0.0, -1.0
@@ -287,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out, max_toxic: int = 2500, m
         found = fit([(t, y) for _, t, y in rows], Restorer(model))
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.float64())], ["feature", "weight"])
 
-    fitted = sample.select("doc_id", "text", "toxic").repartition(1).mapInArrow(fit_all, "feature string, weight double").toArrow()
+    fitted = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).repartition(1).mapInArrow(fit_all, "feature string, weight double").toArrow()
     weights = dict(zip(fitted.column("feature").to_pylist(), fitted.column("weight").to_pylist(), strict=True))
     return log, weights or {"\0a": 0.0, "\0b": -1.0}
 
@@ -304,7 +307,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """(doc_id, held_out, score) for every row of df; no held-out row is learnt from."""
     spark = df.sparkSession
     log, weights = _model(df, labels, id_col, text_col, held_out)
-    shared = spark.sparkContext.broadcast((log, weights))  # 1 MB of table, at most 20,000 weights
+    shared = spark.sparkContext.broadcast((log, weights))  # 1 MB of table and the weights of a bounded sample's words
 
     def run(batch: pa.RecordBatch, scorer: Scorer):
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([scorer.score(t) for t in batch.column("text").to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])

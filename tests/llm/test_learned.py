@@ -239,3 +239,66 @@ def test_tables_are_summed_by_levels(spark):
     df = spark.createDataFrame(rows, "task int, part int, table binary").repartition(70, "task")
     out = hmm._sum_table(df, hmm.PART + 5, 2, fan=4)
     assert out.shape == (hmm.PART + 5, 2) and (out[: hmm.PART] == sum(range(70))).all() and (out[hmm.PART :] == sum(range(70)) + 70).all()
+
+
+def test_decoding_is_the_best_of_all_paths():
+    """Viterbi against every path through the lattices of short tokens."""
+    counts = np.zeros(toxicity.SIZE**3, np.int64)
+    toxicity.count_trigrams(["the stupid idiot was a moron to toss worthless trash"] * 20, counts)
+    model = toxicity.CharModel(counts)
+    classes = lambda ch: int(toxicity.CLASSES[min(ord(ch), len(toxicity.CLASSES) - 1)])
+
+    def paths(token, i):
+        if i == len(token):
+            yield "", 0.0
+            return
+        for step, out, cost in model._arcs(token, i):
+            for rest_, more in paths(token, i + step):
+                yield out + rest_, cost + more
+
+    def value(text, cost):
+        a = b = 0
+        for c in [*map(classes, text), 0]:
+            cost, a, b = cost - float(model.log[a, b, c]), b, c
+        return -cost
+
+    for token in ("1d10t", "$tup1d", "s.t.u", "moooo0n", "7r4$h!", "a1|", "t0 s5", "x", "!!", "€3é"):
+        found = {}
+        for text, cost in paths(token, 0):
+            found[text] = max(found.get(text, -1e9), value(text, cost))
+        assert found[model.decode(token)] >= max(found.values()) - 1e-5
+
+
+def test_toxicity_query_columns(spark, tmp_path, odd, labels):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.unionByName(spark.createDataFrame([(1, None, 1), (5, 1, None), (None, 0, 1), (5, 0, 1)], labels.schema)).write.parquet(str(tmp_path / "labels.parquet"))
+    rows = toxicity.query(spark, str(tmp_path)).collect()
+    assert len(rows) == odd.count() and all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 and r["held_out"] == (rest(r["doc_id"], 3) == 1) for r in rows)
+
+
+def test_language_query_is_the_mean_over_a_texts_windows(spark, tmp_path, odd, documents):
+    """Against the network itself, window by window, for whole texts."""
+    docs = documents.limit(60).unionByName(odd.select(documents.columns))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    read = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    classes, p = langid.train(read.where(~langid.held_out_third(F.col("doc_id"))).select("doc_id", "text", "lang"), 3000)
+    net = langid.Network(len(classes))
+    net.p = p
+    want = []
+    for r in read.collect():
+        lang, score = "und", 0.0
+        if re.search(r"[^\W\d_]", r["text"] or ""):
+            data = langid.BYTES[np.frombuffer(r["text"].encode(), np.uint8)]
+            total = np.zeros(len(classes))
+            for lo in range(0, len(data), langid.WINDOW):
+                piece = data[lo : lo + langid.WINDOW]
+                x = np.zeros((1, langid.WINDOW), np.uint8)
+                x[0, : len(piece)] = piece
+                z = (np.maximum(net.maxima(x)[0], 0) @ p["V"] + p["b"])[0]
+                e = np.exp(z - z.max())
+                total += len(piece) * e / e.sum()
+            lang, score = classes[int(total.argmax())], float(total.max() / total.sum())
+        want.append((r["doc_id"], rest(r["doc_id"], 3) == 1, lang, round(score, 3)))
+    got = [(r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 3)) for r in langid.query(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, (x[:3] for x in got))) == sorted(map(str, (x[:3] for x in want)))
+    assert all(abs(g[3] - w[3]) <= 0.002 for g, w in zip(sorted(got, key=str), sorted(want, key=str), strict=True))

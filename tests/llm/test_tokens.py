@@ -101,3 +101,32 @@ def test_cutting_stock_beats_first_fit():
     thirds = packing.solve(np.array([21, 22]), np.array([2000, 1000]), 64)  # two of one and one of the other fill a sequence
     assert sum(k for _, k in thirds) <= 1002
     assert packing.solve(np.zeros(0, int), np.zeros(0, int), 64) == []
+
+
+def test_a_file_of_another_kind_is_encoded_by_the_library():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, codec = Tokenizer.from_file(path), Encoder(path)
+    texts = ["Some words, don't  stop", "", None, "日本語 é"]
+    assert not codec.by_cuts and Encoder().by_cuts
+    assert [np.frombuffer(g, "<u4").tolist() for g in codec.encode(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_documents_through_the_index(spark, documents, plain, tmp_path):
+    path = token_store.write_store(documents, str(tmp_path / "s"))
+    some = {r["doc_id"]: r["text"] for r in documents.where("doc_id % 7 = 3").collect()}
+    got = {r["doc_id"]: r["ids"] for r in token_store.read_documents(spark, path, [*some, 10**9]).collect()}
+    assert got == {d: [*plain(t), 0] for d, t in some.items()}
+    assert token_store.read_documents(spark, path, [10**9]).count() == 0
+
+
+def test_store_query_columns(spark, odd, plain, tmp_path):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in token_store.query(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    want, at = [], 0
+    for d, t in sorted(((r["doc_id"], r["text"]) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = [*plain(t), 0]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(got, key=lambda r: r[1]) == want
