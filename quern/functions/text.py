@@ -8,8 +8,9 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"[A-Za-z_][A-Za-z0-9_./#-]{1,}|[가-힣]{2,}|[0-9]+"
-FIXTURE_TOKEN = r"[A-Za-z_][A-Za-z0-9_./#+-]{1,}|[가-힣]{2,}|[0-9]+"
+#: What counts as a token, as a keyword, as an identifier.
+TOKEN = r"[A-Za-z_][A-Za-z0-9_./#-]{1,}|[가-힣]{2,}|\p{Nd}+"
+FIXTURE_TOKEN = r"[A-Za-z_][A-Za-z0-9_./#+-]{1,}|[가-힣]{2,}|\p{Nd}+"
 KEYWORD = r"[A-Za-z_][A-Za-z0-9_./#-]{2,}"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{3,}"
 #: Spellings that mean "no value".
@@ -31,13 +32,25 @@ LOW_VALUE_NAMES = (
     "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock",
     "Pipfile.lock", "Gemfile.lock", "composer.lock", "Cargo.lock", "go.sum",
 )
+#: Their endings and folders.
 LOW_VALUE_SUFFIXES = (".min.js", ".min.css", ".map")
 LOW_VALUE_MARKERS = ("/vendor/", "/node_modules/", "/dist/", "/build/", "/generated/")
 
 
+#: White space of all of Unicode, as a class that Java and RE2 read alike.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A number as text.
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end (trim() takes off spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def round4(c: Column) -> Column:
+    """Four places, halves up, of the value at twelve places: sums of the same terms in another order round alike."""
+    return F.round(c.cast("decimal(20,12)"), 4).cast("double")
 
 
 def truthy(*columns: Column) -> Column:
@@ -53,7 +66,7 @@ def nullish(c: Column) -> Column:
 
 def normalized(c: Column) -> Column:
     """White space runs as one space, stripped, lower-cased."""
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(c, f"{SPACE}+", " ")))
 
 
 def tokens(c: Column, pattern: str = TOKEN) -> Column:
@@ -66,10 +79,10 @@ def content_tokens(c: Column) -> Column:
 
 
 def coverage(needles: Column, haystack: Column) -> Column:
-    """Share of needles (stripped, lower-cased, non-empty, repeats count) that the haystack holds; null without needles."""
+    """Share of needles (stripped, lower-cased, non-empty, repeats count) that the haystack holds; 0 without needles."""
     clean = F.filter(F.transform(needles, lambda n: F.lower(strip(n))), lambda n: n != "")
     low = F.lower(F.coalesce(haystack, F.lit("")))
-    return F.size(F.filter(clean, lambda n: F.contains(low, n))) / F.nullif(F.size(clean), F.lit(0))
+    return F.coalesce(F.size(F.filter(clean, lambda n: F.contains(low, n))) / F.nullif(F.size(clean), F.lit(0)), F.lit(0.0))
 
 
 def keyword_similarity(query: Column, keywords: Column) -> Column:
@@ -97,14 +110,6 @@ def exact_match(answer: Column, reference: Column) -> Column:
     return F.when((ref != "") & (normalized(F.coalesce(answer, F.lit(""))) == ref), 1.0).otherwise(0.0)
 
 
-def token_f1(answer: Column, reference: Column) -> Column:
-    """Harmonic mean of token precision and recall, each token as often as in both; 0 if either has none."""
-    a, r = tokens(answer), tokens(reference)
-    count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, t: acc + F.least(count(a, t), count(r, t)))
-    return F.when((F.size(a) == 0) | (F.size(r) == 0) | (both == 0), 0.0).otherwise(F.round(2.0 * both / (F.size(a) + F.size(r)), 4))
-
-
 def low_value_file(path: Column, change_type: Column, patch: Column) -> Column:
     name, low = F.element_at(F.split(path, "/"), -1), F.lower(path)
     any_of = lambda tests: reduce(or_, tests)
@@ -117,14 +122,25 @@ def low_value_file(path: Column, change_type: Column, patch: Column) -> Column:
     )
 
 
+def _number(c: Column) -> Column:
+    """A text's value as a double; null where it is no number."""
+    return F.when(strip(c).rlike(NUMBER), strip(c).try_cast("double"))
+
+
 def nullable_int(c: Column) -> Column:
-    """A number's whole part, or null where the text is no number."""
-    return c.try_cast("double").try_cast("int")
+    """A number's whole part, or null where the text is no number (or beyond 64 bits)."""
+    return _number(c).try_cast("bigint")
+
+
+def positive_int(c: Column) -> Column:
+    """nullable_int, null unless above 0."""
+    n = nullable_int(c)
+    return F.when(n > 0, n)
 
 
 def risk_score(c: Column) -> Column:
-    """A whole number held to 0..100; nothing counts as 0."""
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(c.try_cast("double").try_cast("int"), F.lit(0))))
+    """A whole number held to 0..100, however large; nothing counts as 0."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(_number(c), F.lit(0.0)))).cast("int")
 
 
 def without_nul(c: Column) -> Column:

@@ -18,6 +18,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _matrix(column) -> np.ndarray:
+    """Rows as doubles; straight from the Arrow values where all rows are of one length and nothing is null."""
+    values = column.flatten()
+    sizes = np.diff(column.offsets.to_numpy())
+    if len(sizes) and not column.null_count and not values.null_count and (sizes == sizes[0]).all():
+        return values.to_numpy().astype(np.float64).reshape(len(column), -1)
     rows = column.to_pylist()
     width = max((len(r) for r in rows if r is not None), default=0)
     out = np.full((len(rows), width), np.nan)
@@ -58,24 +63,27 @@ def best_candidates(corpus: DataFrame, queries: DataFrame, k: int, keys: tuple[s
             for b in batches:
                 if not b.num_rows:
                     continue
-                s = vectors @ _unit(_matrix(b.column("embedding"))).T
-                chunk = b.column("chunk_id").to_numpy(zero_copy_only=False)
-                s[ids[:, None] == chunk[None]] = np.nan
-                if keys:
-                    theirs = list(zip(*(b.column(c).to_pylist() for c in keys), strict=True))
-                    number = {x: i for i, x in enumerate(dict.fromkeys([*own, *theirs]))}
-                    s[np.array([number[x] for x in own])[:, None] != np.array([number[x] for x in theirs])[None]] = np.nan
-                s = np.where(np.isnan(s), -np.inf, s)
-                m = min(k, s.shape[1])
-                least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
-                q, c = np.nonzero((s >= least[:, None] - 1e-4) & np.isfinite(s))
-                kept = np.concatenate([kept, np.stack([q, chunk[c], s[q, c]], 1)])
-                if len(kept) > 8 * k * len(ids):
-                    kept = _shrink(kept, k)
+                for lo in range(0, b.num_rows, 2048):  # tiles of bounded size
+                    kept = _add(kept, b.slice(lo, 2048), ids, vectors, own)
             kept = _shrink(kept, k)
             if len(kept):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[kept[:, 0].astype(int)]), pa.array(kept[:, 1].astype(np.int64)), pa.array(kept[:, 2])], ["query_id", "chunk_id", "similarity"])
 
+        def _add(kept, b, ids, vectors, own):
+            s = vectors @ _unit(_matrix(b.column("embedding"))).T
+            chunk = b.column("chunk_id").to_numpy(zero_copy_only=False)
+            s[ids[:, None] == chunk[None]] = np.nan
+            if keys:
+                theirs = list(zip(*(b.column(c).to_pylist() for c in keys), strict=True))
+                number = {x: i for i, x in enumerate(dict.fromkeys([*own, *theirs]))}
+                s[np.array([number[x] for x in own])[:, None] != np.array([number[x] for x in theirs])[None]] = np.nan
+            s[np.isnan(s)] = -np.inf
+            m = min(k, s.shape[1])
+            least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+            q, c = np.nonzero((s >= least[:, None] - 1e-4) & np.isfinite(s))
+            kept = np.concatenate([kept, np.stack([q, chunk[c], s[q, c]], 1)])
+            return _shrink(kept, k) if len(kept) > 8 * k * len(ids) else kept
+
         return corpus.select("chunk_id", "embedding", *keys).mapInArrow(score, schema)
 
     for r in rows:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..functions.text import round4
 
 
 def weighted(parts: dict[str, Column], weights: dict[str, float]) -> Column:
@@ -34,8 +35,7 @@ def confidence(filtered: DataFrame, settings: Settings = DEFAULTS, use_informati
     loss = F.col("information_loss") if use_information_loss else F.col("filter_ratio")
     target = F.lit(float(settings.evidence_target))
     parts = {"top": F.col("top_score"), "evidence": F.least(F.col("evidence_count") / target, F.lit(1.0)), "strong": F.least(F.col("strong_count") / target, F.lit(1.0)), "retention": F.greatest(F.lit(0.0), 1 - loss)}
-    # The nudge: a sum like 0.48724999999999996 stands for 0.48725, and halves go up whatever the order of the sum.
-    value = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), weighted(parts, weights_of(settings)))) + 1e-9, 4)
+    value = round4(F.greatest(F.lit(0.0), F.least(F.lit(1.0), weighted(parts, weights_of(settings)))))
     got = got.withColumn("confidence", F.when(F.col("kept_count") == 0, 0.0).otherwise(value))
     warn = F.col("filter_ratio") >= settings.filter_ratio_warn
     return got.withColumns({"quality_warning": warn, "needs_confirmation": (F.col("kept_count") == 0) | (F.col("confidence") < settings.confirm_threshold) | warn})
@@ -43,4 +43,4 @@ def confidence(filtered: DataFrame, settings: Settings = DEFAULTS, use_informati
 
 def mean_confidence(filtered: DataFrame) -> DataFrame:
     """The mean score of what was kept: a form that filtering alone can raise, kept for comparison."""
-    return filtered.groupBy("query_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("kept"), F.col("score"))), F.lit(0.0)), 4).alias("confidence"))
+    return filtered.groupBy("query_id").agg(round4(F.coalesce(F.avg(F.when(F.col("kept"), F.col("score"))), F.lit(0.0))).alias("confidence"))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text as tx
-from .confidence import confidence, mean_confidence
-from .metrics import below, filter_metrics, mean_metric, retrieval_metrics
+from .confidence import weighted, weights_of
+from .metrics import below, mean_metric, share
 
 #: The stages an error can be put down to, in order.
 STAGES = ("Retrieval", "Ranking", "Filter", "Context", "Interpretation", "Generation", "Hallucination")
@@ -25,29 +25,52 @@ class Run:
 
 
 def evaluate(hits: DataFrame, gold: DataFrame, runs: list[Run], settings: Settings = DEFAULTS) -> DataFrame:
-    """One row a run and query, from one plan.
+    """One row a run and query, from one plan over hits that are marked with gold once.
 
-    Scoring is the dear part, so hits and gold (queries x k rows) are kept once computed, and the runs are rows: each
-    hit is repeated for every run under the key (run, query), and all metrics group by that key.
+    The runs are rows: each hit is repeated for every run, and all metrics are conditional aggregates of one grouping by
+    (run, query), whose window and sums share its shuffle.
     """
-    hits, gold = hits.persist(), gold.select("query_id", "chunk_id").persist()
+    gold = gold.select("query_id", "chunk_id").distinct()
+    totals = gold.groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    marked = hits.join(gold.withColumn("g", F.lit(True)), ["query_id", "chunk_id"], "left").join(totals, "query_id", "left")
     config = F.explode(F.array(*(F.struct(F.lit(r.name).alias("run"), F.lit(r.mode).alias("mode"), F.lit(float(r.threshold)).alias("threshold"), F.lit(r.mean_form).alias("mean_form")) for r in runs))).alias("r")
-    key = F.struct(F.col("r.run").alias("run"), F.col("query_id").alias("query")).alias("query_id")
-    h = hits.select("*", config).select(key, "chunk_id", "score", "rank", "r.mode", "r.threshold", "r.mean_form")
-    g = gold.select("*", config).select(key, "chunk_id")
-    threshold, k = F.col("threshold"), settings.eval_k
-    filtered = h.withColumn("kept", (F.col("mode") == "off") | (F.col("rank") == 1) | F.coalesce(F.col("score") >= threshold, F.lit(False)))
-    plain = confidence(filtered, replace(settings, sim_threshold=threshold), use_information_loss=False).select("query_id", F.col("confidence").alias("_plain"), "evidence_count", "kept_count")
-    mean = mean_confidence(filtered).withColumnRenamed("confidence", "_mean")
-    form = h.groupBy("query_id").agg(F.first("mean_form").alias("_form"))
-    before = retrieval_metrics(h, g, k, threshold)
-    after = retrieval_metrics(filtered, g, k, threshold, F.col("kept")).select("query_id", F.col("precision_at_k").alias("post_precision"), F.col("recall_at_k").alias("post_recall"))
-    kept = filter_metrics(filtered, g, k).select("query_id", "filter_ratio", "false_deletion", "recall_delta", "gold_retained", "retrieved_gold")
-    got = before
-    for part in (after, kept, plain, mean, form):
-        got = got.join(part, "query_id")
-    got = got.withColumn("confidence", F.when(F.col("_form"), F.col("_mean")).otherwise(F.col("_plain"))).drop("_plain", "_mean", "_form")
-    return got.select(F.col("query_id.run").alias("run"), F.col("query_id.query").alias("query_id"), *(c for c in got.columns if c != "query_id"))
+    h = marked.select("query_id", "chunk_id", "score", "rank", F.coalesce("g", F.lit(False)).alias("g"), F.coalesce("n_gold", F.lit(0)).alias("n_gold"), config).select("*", "r.*").drop("r")
+    k, score, g = settings.eval_k, F.coalesce("score", F.lit(0.0)), F.col("g")
+    h = h.withColumn("kept", (F.col("mode") == "off") | (F.col("rank") == 1) | (score >= F.col("threshold")))
+    kept, high, top = F.col("kept"), score >= F.col("threshold"), F.col("rank") <= k
+    place = Window.partitionBy("run", "query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    h = h.withColumn("place", F.when(kept, F.sum(F.when(kept, 1).otherwise(0)).over(place)))
+    ids = lambda test: F.count_distinct(F.when(test, F.col("chunk_id")))
+    n = h.groupBy("run", "query_id").agg(
+        F.max("n_gold").alias("n_gold"), F.first("mean_form").alias("mean_form"), F.count("*").alias("n"), F.count_if(kept).alias("n_kept"),
+        F.count_if(top).alias("n_top"), F.count_if(top & g).alias("n_hit"), ids(top & g).alias("n_found"), F.min(F.when(g, F.col("rank"))).alias("first_gold"), F.count_if(F.col("score") >= F.col("threshold")).alias("n_above"),
+        F.count_if(kept & top).alias("after_top"), F.count_if(kept & top & g).alias("after_hit"), ids(kept & top & g).alias("after_found"),
+        ids(g).alias("retrieved_gold"), ids(g & kept).alias("kept_gold"), ids(g & (F.col("place") <= k)).alias("cut_found"),
+        F.coalesce(F.max(F.when(kept, score)), F.lit(0.0)).alias("top_score"), F.count_if(kept & high).alias("evidence_count"), F.count_if(kept & (score >= settings.strong_evidence)).alias("strong_count"), F.avg(F.when(kept, F.col("score"))).alias("mean"),
+    )
+    c, r4 = F.col, lambda x: F.round(x, 4)
+    target, ratio = F.lit(float(settings.evidence_target)), r4((c("n") - c("n_kept")) / c("n"))
+    parts = {"top": c("top_score"), "evidence": F.least(c("evidence_count") / target, F.lit(1.0)), "strong": F.least(c("strong_count") / target, F.lit(1.0)), "retention": F.greatest(F.lit(0.0), 1 - ratio)}
+    plain = F.when(c("n_kept") == 0, 0.0).otherwise(tx.round4(F.greatest(F.lit(0.0), F.least(F.lit(1.0), weighted(parts, weights_of(settings))))))
+    return n.select(
+        "run",
+        "query_id",
+        r4(share(c("n_hit"), c("n_top"))).alias("precision_at_k"),
+        r4(share(c("n_found"), c("n_gold"))).alias("recall_at_k"),
+        r4(F.coalesce(1.0 / c("first_gold"), F.lit(0.0))).alias("mrr"),
+        F.when(c("n_found") > 0, 1.0).otherwise(0.0).alias("hit_rate"),
+        (c("n_above") == 0).alias("failed"),
+        r4(share(c("after_hit"), c("after_top"))).alias("post_precision"),
+        r4(share(c("after_found"), c("n_gold"))).alias("post_recall"),
+        ratio.alias("filter_ratio"),
+        r4(share(c("retrieved_gold") - c("kept_gold"), c("retrieved_gold"))).alias("false_deletion"),
+        r4(share(c("cut_found"), c("n_gold")) - share(c("n_found"), c("n_gold"))).alias("recall_delta"),
+        r4(F.when(c("n_gold") == 0, 1.0).otherwise(share(c("kept_gold"), c("n_gold")))).alias("gold_retained"),
+        "retrieved_gold",
+        "evidence_count",
+        c("n_kept").alias("kept_count"),
+        F.when(c("mean_form"), tx.round4(F.coalesce("mean", F.lit(0.0)))).otherwise(plain).alias("confidence"),
+    )
 
 
 def aggregate_runs(cases: DataFrame) -> DataFrame:

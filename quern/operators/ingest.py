@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
@@ -24,31 +24,64 @@ def unified_diff(before, after):
     return F.pandas_udf(_diffs, "string")(before, after)
 
 
-def adapt_review_comments(df: DataFrame) -> DataFrame:
+def adapt_review_comments(df: DataFrame, *carried: Column) -> DataFrame:
     """diff_hunk and code_review_comment: comments of 15 characters and more on hunks of at most 4000."""
     kept = df.where((F.length(tx.strip(F.col("code_review_comment"))) >= 15) & (F.length("diff_hunk") <= 4000))
-    return kept.select(F.col("diff_hunk").alias("source_code"), F.col("diff_hunk").alias("pr_diff"), F.col("code_review_comment").alias("review_comment"), F.lit(True).alias("has_issue"))
+    return kept.select(F.col("diff_hunk").alias("source_code"), F.col("diff_hunk").alias("pr_diff"), F.col("code_review_comment").alias("review_comment"), F.lit(True).alias("has_issue"), *carried)
 
 
-def adapt_contextual(df: DataFrame) -> DataFrame:
+def adapt_contextual(df: DataFrame, *carried: Column) -> DataFrame:
     """comment, method_body and method_body_after: the diff is computed."""
     kept = df.where(F.length(tx.strip(F.col("comment"))) >= 15)
-    return kept.select(F.col("method_body").alias("source_code"), unified_diff("method_body", "method_body_after").alias("pr_diff"), F.col("comment").alias("review_comment"), F.lit(True).alias("has_issue"))
+    return kept.select(F.col("method_body").alias("source_code"), unified_diff("method_body", "method_body_after").alias("pr_diff"), F.col("comment").alias("review_comment"), F.lit(True).alias("has_issue"), *carried)
 
 
-def adapt_classified(df: DataFrame) -> DataFrame:
+def adapt_classified(df: DataFrame, *carried: Column) -> DataFrame:
     """msg, oldf, patch and y: an issue where y is 1."""
     kept = df.where(F.length(tx.strip(F.col("msg"))) >= 6)
-    return kept.select(F.col("oldf").alias("source_code"), F.col("patch").alias("pr_diff"), F.col("msg").alias("review_comment"), F.coalesce(F.col("y") == 1, F.lit(False)).alias("has_issue"))
+    return kept.select(F.col("oldf").alias("source_code"), F.col("patch").alias("pr_diff"), F.col("msg").alias("review_comment"), F.coalesce(F.col("y") == 1, F.lit(False)).alias("has_issue"), *carried)
 
 
-ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {"review_comments": adapt_review_comments, "contextual": adapt_contextual, "classified": adapt_classified}
+ADAPTERS: dict[str, Callable[..., DataFrame]] = {"review_comments": adapt_review_comments, "contextual": adapt_contextual, "classified": adapt_classified}
 
 
-def adapt(source: str, df: DataFrame) -> DataFrame:
+def adapt(source: str, df: DataFrame, position: str | None = None) -> DataFrame:
+    """The corpus in the common form; with position that column is kept as orig_idx, the place in the raw file."""
     if source not in ADAPTERS:
         raise ValueError(f"no adapter for {source!r}; there are {sorted(ADAPTERS)}")
-    return ADAPTERS[source](df)
+    return ADAPTERS[source](df, *([F.col(position).cast("long").alias("orig_idx")] if position else []))
+
+
+def review_cases(df: DataFrame, least: int = 15) -> DataFrame:
+    """Evaluation cases of a review corpus (idx, repo_name, pr_id, diff_hunk, code_review_comment): the comment is the reference answer, its keywords are the reference's."""
+    comment, diff = tx.strip(F.coalesce("code_review_comment", F.lit(""))), tx.strip(F.coalesce("diff_hunk", F.lit("")))
+    idx = F.col("idx").cast("string")
+    case_id = F.concat(F.coalesce("repo_name", F.lit("unknown")), F.lit("#"), F.coalesce(F.col("pr_id").cast("string"), idx), F.lit("-"), idx)
+    return df.where((F.length(comment) >= least) & (diff != "")).select(case_id.alias("case_id"), diff.alias("query"), F.array(F.concat(F.lit("cr-"), idx)).alias("gold_chunks"), comment.alias("reference_answer"), tx.keywords(comment).alias("reference_keywords"))
+
+
+def repair_join(rows: DataFrame, raw: DataFrame, idx: str = "orig_idx") -> DataFrame:
+    """rows with the place of their texts (pr_diff, review_comment) in raw; of equal texts the last place."""
+    key = F.concat_ws("|||", tx.strip(F.coalesce("pr_diff", F.lit(""))), tx.strip(F.coalesce("review_comment", F.lit(""))))
+    places = raw.groupBy(key.alias("_key")).agg(F.max(idx).alias(idx))
+    return rows.drop(idx).withColumn("_key", key).join(places, "_key").drop("_key")
+
+
+def gold_overlap(cases: DataFrame, corpus: DataFrame) -> DataFrame:
+    """One row: gold chunks of the cases (gold_chunks), how many of them the corpus (chunk_id) has, and whether there are some but none is there."""
+    gold = cases.select(F.explode("gold_chunks").alias("chunk_id")).distinct()
+    got = gold.join(corpus.select("chunk_id").distinct().withColumn("there", F.lit(True)), "chunk_id", "left").agg(F.count("*").alias("gold"), F.count("there").alias("shared"))
+    return got.withColumn("mismatch", (F.col("gold") > 0) & (F.col("shared") == 0))
+
+
+def random_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """n rows in the order of a digest of seed and key: the same ones on every run and partitioning."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def vector_literal(embedding: Column, places: int = 6) -> Column:
+    """A vector as text, as vector stores read it."""
+    return F.concat(F.lit("["), F.array_join(F.transform(embedding.cast("array<double>"), lambda x: F.format_string(f"%.{places}f", x)), ","), F.lit("]"))
 
 
 def not_yet_saved(rows: DataFrame, saved: DataFrame, key: str = "orig_idx") -> DataFrame:
@@ -65,9 +98,12 @@ def count_deleted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(keys.select(*on).distinct(), on, "left_semi").agg(F.count("*").alias("deleted"))
 
 
-def upsert_latest(rows: DataFrame, key: list[str], newest: list) -> DataFrame:
-    """The newest row of each key."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*newest))).where("_r = 1").drop("_r")
+def upsert_latest(rows: DataFrame, key: list[str], newest: list[str]) -> DataFrame:
+    """Of each key the row that is greatest in the columns newest."""
+    kept = [c for c in rows.columns if c not in key]
+    order = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(newest)))
+    best = rows.groupBy(*key).agg(F.max_by(F.struct(*kept), order).alias("_row"))  # combines before the shuffle
+    return best.select(*key, "_row.*").select(*rows.columns)
 
 
 def sanitize(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import COMPLETED, DEFAULTS, FAILED, PROCESSING, TERMINAL
 
+TIMED_OUT = "the job ran out of time"
+JOB = "job_id string, analysis_id long, status string, started_at timestamp, completed_at timestamp, error_message string"
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -48,6 +50,12 @@ def reap_stale(jobs: DataFrame, now: Column, minutes: int = DEFAULTS.job_timeout
     return jobs.select(*[c for c in jobs.columns if c not in ("status", "completed_at")], F.when(stale, FAILED).otherwise(F.col("status")).alias("status"), F.when(stale, now).otherwise(F.col("completed_at")).alias("completed_at"), stale.alias("reaped"))
 
 
+def read_job(jobs: DataFrame, ids: DataFrame, now: Column, minutes: int = DEFAULTS.job_timeout_minutes) -> DataFrame:
+    """The asked jobs (job_id) as a reader sees them: one that ran out of time has failed already, though no sweep came by."""
+    seen = reap_stale(jobs.join(ids.select("job_id").distinct(), "job_id", "left_semi"), now, minutes)
+    return seen.select("job_id", "status", iso(F.col("started_at")).alias("started_at"), iso(F.col("completed_at")).alias("completed_at"), F.when(F.col("reaped"), TIMED_OUT).alias("error_message"))
+
+
 def purge_old(jobs: DataFrame, now: Column, days: int = DEFAULTS.job_retention_days) -> DataFrame:
     """Jobs without the terminal ones completed before the retention; 0 days keeps all."""
     if days <= 0:
@@ -63,6 +71,12 @@ def maintenance(jobs: DataFrame, now: Column, minutes: int = DEFAULTS.job_timeou
     return reaped.agg(F.count_if("reaped").alias("reaped"), F.count_if(old).alias("purged"), F.count("*").alias("jobs"))
 
 
+def init_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """The job table at path, made empty if there is none."""
+    spark.createDataFrame([], JOB).write.mode("ignore").parquet(path)
+    return spark.read.schema(JOB).parquet(path)
+
+
 def classify_failure(error: Column) -> Column:
     """The failure code of an error's class name."""
     return F.when(error == "RetrievalError", "RETRIEVAL_FAILED").when(error == "LLMResponseParseError", "LLM_RESPONSE_INVALID").otherwise("ANALYSIS_FAILED")

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-
-
-def upper_median(c: Column) -> Column:
-    """The value at position n // 2 of the sorted values; not interpolated."""
-    values = F.array_sort(F.collect_list(c))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+from ..functions.text import round4
 
 
 def upper_median_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Upper medians without collecting a group: values are counted first, and the running count finds the place."""
-    from pyspark.sql import Window
-
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys)
     run = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
@@ -48,3 +41,9 @@ def cost_estimate(df: DataFrame, text: str, usd_per_million: float = 0.02) -> Da
     """Rows, characters, a quarter of them as tokens, and what these cost."""
     tokens = F.floor(F.coalesce(F.sum(F.length(text)), F.lit(0)) / 4).cast("long")
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars"), tokens.alias("tokens"), F.round(tokens / 1_000_000 * usd_per_million, 4).alias("usd"))
+
+
+def variant_stats(rows: DataFrame, variant: str, score: str, high: float = 0.8, fair: float = 0.6) -> DataFrame:
+    """Of each variant how many scores, their mean and upper median, and how many reach the two marks."""
+    got = rows.groupBy(variant).agg(F.count(score).alias("n"), round4(F.avg(score)).alias("mean"), F.count_if(F.col(score) >= high).alias("n_high"), F.count_if(F.col(score) >= fair).alias("n_fair"))
+    return got.join(upper_median_by(rows, [variant], score).withColumnRenamed("upper_median", "median"), variant, "left")

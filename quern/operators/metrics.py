@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..functions import text as tx
 
 
 def share(a: Column, b: Column) -> Column:
@@ -72,12 +73,12 @@ def filter_metrics(filtered: DataFrame, gold: DataFrame, k: int = DEFAULTS.eval_
 
 def retrieval_signals(filtered: DataFrame, strong: float = DEFAULTS.strong_evidence) -> DataFrame:
     """Max, mean, count and strong count of the kept scores; all kept hits are evidence here."""
-    return filtered.where("kept").groupBy("query_id").agg(F.max("score").alias("top_score"), F.round(F.avg("score"), 4).alias("mean_score"), F.count("*").alias("evidence_count"), F.count_if(F.col("score") >= strong).alias("strong_count"))
+    return filtered.where("kept").groupBy("query_id").agg(F.max("score").alias("top_score"), tx.round4(F.avg("score")).alias("mean_score"), F.count("*").alias("evidence_count"), F.count_if(F.col("score") >= strong).alias("strong_count"))
 
 
 def mean_metric(c: Column) -> Column:
     """The mean of what is known, to four places; 0 if nothing is."""
-    return F.round(F.coalesce(F.avg(c), F.lit(0.0)) + 1e-9, 4)
+    return tx.round4(F.coalesce(F.avg(c), F.lit(0.0)))
 
 
 def hallucination_flag(hallucination: Column, groundedness: Column, faithfulness: Column, limit: float = DEFAULTS.score_pass) -> Column:
@@ -88,3 +89,20 @@ def hallucination_flag(hallucination: Column, groundedness: Column, faithfulness
 def below(score: Column, threshold: float) -> Column:
     """An unknown score is not below."""
     return F.coalesce(score < threshold, F.lit(False))
+
+
+def token_f1(pairs: DataFrame, key: list[str], answer: str, reference: str) -> DataFrame:
+    """(key, f1): the harmonic mean of token precision and recall, each token as often as in both; 0 if either has none.
+
+    Rows are dealt by their key once, and both counts, a token's and a row's, are made there, so the work grows with the tokens.
+    """
+    side = lambda c, mine, theirs: F.transform(tx.tokens(F.col(c)), lambda t: F.struct(t.alias("t"), F.lit(mine).alias("a"), F.lit(theirs).alias("r")))
+    one = pairs.select(*key, F.explode_outer(F.concat(side(answer, 1, 0), side(reference, 0, 1))).alias("x")).repartition(*key)
+    counted = one.groupBy(*key, F.col("x.t").alias("t")).agg(F.sum("x.a").alias("a"), F.sum("x.r").alias("r"))
+    got = counted.groupBy(*key).agg(F.sum(F.least("a", "r")).alias("both"), F.sum("a").alias("a"), F.sum("r").alias("r"))
+    return got.select(*key, F.coalesce(tx.round4(2.0 * F.col("both") / F.nullif(F.when((F.col("a") > 0) & (F.col("r") > 0), F.col("a") + F.col("r")), F.lit(0))), F.lit(0.0)).alias("f1"))
+
+
+def aggregate_signals(signals: DataFrame, names: list[str]) -> DataFrame:
+    """One row: the mean of what is known of each signal, 0 where nothing is."""
+    return signals.agg(*(mean_metric(F.col(c).cast("double")).alias(c) for c in names))

@@ -26,8 +26,10 @@ ROLE_ALIASES = {
 }
 #: Keys that stand for no single role.
 AMBIGUOUS_ROLES = ("pm", "manager", "매니저", "ui", "유아이", "웹", "web", "풀스택", "fullstack", "개발", "리더", "leader", "팀장")
+#: What is taken out of role names, what an impact may rest on, and where evidence comes from.
 SEPARATORS = r"[\s_\-/·.,()\[\]]+"
-BASIS = ("diff", "context", "inferred")
+BASIS = ("확인된 사실", "변경 기반 예상")
+FROM_DIFF, FROM_CONTEXT = "pr_diff", "context"
 
 RECORD = (
     "summary string, purpose string, changeReason string, before string, after string, relatedFeatures array<string>, affectedRoles array<string>, "
@@ -43,34 +45,47 @@ def parse_record(raw: Column) -> Column:
     return F.when(ok, F.from_json(raw, RECORD))
 
 
-def role_key(c: Column, normal_form: bool = False) -> Column:
-    """Lower-cased, separators out, the first matching ending off if something is left.
-
-    normal_form applies NFKC first, which has no built-in function and goes through Arrow.
-    """
-    text = F.regexp_replace(F.lower(tx.strip(nfkc(c) if normal_form else F.coalesce(c, F.lit("")))), SEPARATORS, "")
+def _key(text: Column) -> Column:
+    text = F.regexp_replace(F.lower(tx.strip(F.coalesce(text, F.lit("")))), SEPARATORS, "")
     out = text
     for s in reversed(ROLE_SUFFIXES):
         out = F.when(text.endswith(s) & (F.char_length(text) > len(s)), F.left(text, F.char_length(text) - len(s))).otherwise(out)
     return out
 
 
+def _role(key: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for role, names in ROLE_ALIASES.items():
+        out = F.when(key.isin(*names), role).otherwise(out)
+    return F.when((key == "") | key.isin(*AMBIGUOUS_ROLES), F.lit(None).cast("string")).otherwise(out)
+
+
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.fillna("").map(lambda t: unicodedata.normalize("NFKC", t))
 
 
+def _nfkc_all(s: pd.Series) -> pd.Series:
+    return s.map(lambda ts: [unicodedata.normalize("NFKC", t or "") for t in ts] if ts is not None else [])
+
+
 def nfkc(c: Column) -> Column:
-    """Unicode normal form KC; null gives ""."""
+    """Unicode normal form KC, for which there is no built-in function (it goes through Arrow); null gives ""."""
     return F.pandas_udf(_nfkc, "string")(c)
 
 
-def normalize_role(c: Column, normal_form: bool = False) -> Column:
+def nfkc_all(c: Column) -> Column:
+    """nfkc of each text of an array; null gives an empty one."""
+    return F.pandas_udf(_nfkc_all, "array<string>")(c)
+
+
+def role_key(c: Column) -> Column:
+    """NFKC, lower-cased, separators out, the first matching ending off if something is left."""
+    return _key(nfkc(c))
+
+
+def normalize_role(c: Column) -> Column:
     """The role a name stands for, or null."""
-    key = role_key(c, normal_form)
-    out = F.lit(None).cast("string")
-    for role, names in ROLE_ALIASES.items():
-        out = F.when(key.isin(*names), role).otherwise(out)
-    return F.when((key == "") | key.isin(*AMBIGUOUS_ROLES), F.lit(None).cast("string")).otherwise(out)
+    return _role(role_key(c))
 
 
 def role_of(text: str | None) -> str | None:
@@ -82,12 +97,13 @@ def role_of(text: str | None) -> str | None:
 
 def resolved_roles(roles: Column) -> Column:
     """Distinct roles in first-seen order; unresolved names are left out."""
-    return F.array_distinct(F.filter(F.transform(F.coalesce(roles, F.array().cast("array<string>")), lambda r: normalize_role(r)), lambda r: r.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(nfkc_all(roles), lambda r: _role(_key(r))), lambda r: r.isNotNull()))
 
 
 def unresolved_roles(roles: Column) -> Column:
-    clean = F.filter(F.transform(F.coalesce(roles, F.array().cast("array<string>")), tx.strip), lambda r: r != "")
-    return F.array_distinct(F.filter(clean, lambda r: normalize_role(r).isNull()))
+    """Distinct names, stripped, that stand for no role."""
+    pairs = F.zip_with(F.coalesce(roles, F.array().cast("array<string>")), nfkc_all(roles), lambda r, n: F.struct(tx.strip(r).alias("r"), _role(_key(n)).alias("role")))
+    return F.array_distinct(F.transform(F.filter(pairs, lambda p: (F.coalesce(p["r"], F.lit("")) != "") & p["role"].isNull()), lambda p: p["r"]))
 
 
 def allowed_roles(roles: Column, team: Column) -> Column:
@@ -97,49 +113,75 @@ def allowed_roles(roles: Column, team: Column) -> Column:
 
 
 def string_list(items: Column) -> Column:
-    """Stripped, blanks out; null gives none."""
-    return F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), tx.strip), lambda x: x != "")
+    """Blanks out; null gives none."""
+    return F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.coalesce(tx.strip(x), F.lit("")) != "")
 
 
 def role_impacts(items: Column) -> Column:
     """Impacts with a known role; a basis outside the set becomes null."""
-    made = F.transform(items, lambda x: F.struct(normalize_role(x["role"]).alias("role"), x["impact"].alias("impact"), F.when(x["basis"].isin(*BASIS), x["basis"]).alias("basis"), x["evidenceRefs"].alias("evidenceRefs")))
+    there = F.coalesce(items, F.array())
+    roles = nfkc_all(F.transform(there, lambda x: x["role"]))
+    made = F.zip_with(there, roles, lambda x, r: F.struct(_role(_key(r)).alias("role"), F.coalesce(x["impact"], F.lit("")).alias("impact"), F.when(tx.nullish(x["basis"]).isin(*BASIS), tx.nullish(x["basis"])).alias("basis"), string_list(x["evidenceRefs"]).alias("evidenceRefs")))
     return F.filter(made, lambda x: x["role"].isNotNull())
 
 
+REFS = "array<string>"
+
+
 def follow_up_tasks(items: Column) -> Column:
-    """From an array of JSON texts, each a string or an object: blank tasks out, unknown roles null."""
+    """From an array of JSON texts, each a string or an object: blank tasks out, unknown roles null, references kept."""
+    there = F.coalesce(items, F.array().cast("array<string>"))
+    roles = nfkc_all(F.transform(there, lambda v: F.get_json_object(v, "$.role")))
     task = lambda v: F.coalesce(F.get_json_object(v, "$.task"), F.when(~v.rlike(r"^\s*\{"), F.regexp_replace(v, r'^\s*"|"\s*$', "")))
-    made = F.transform(items, lambda v: F.struct(normalize_role(F.get_json_object(v, "$.role")).alias("role"), tx.strip(task(v)).alias("task")))
+    refs = lambda v: F.coalesce(F.from_json(F.get_json_object(v, "$.evidenceRefs"), REFS), F.array().cast(REFS))
+    made = F.zip_with(there, roles, lambda v, r: F.struct(_role(_key(r)).alias("role"), tx.strip(task(v)).alias("task"), string_list(refs(v)).alias("evidenceRefs")))
     return F.filter(made, lambda x: F.coalesce(x["task"], F.lit("")) != "")
 
 
 def evidence_refs(cited: DataFrame, kept: DataFrame) -> DataFrame:
-    """(query_id, ref_id, chunk_id, cited): the model's citations by position, then kept hits that none cites.
+    """(query_id, place, ref_id, source, location, description, chunk_id, similarity_score): the model's citations, then kept hits that none cites.
 
-    cited: query_id, pos, id, location; kept: query_id, rank, chunk_id. Ids that are taken are stepped over.
+    cited: query_id, pos (from 1), id, source, location, description; kept: query_id, rank (from 1), chunk_id, file_path,
+    score. A citation without an id is e and its place; a kept hit is c and its place among all kept ones, moved on by
+    their number as long as a citation has that id. Places of kept hits differ by less than that number, so they never
+    meet each other. A query's citations and kept hits are few, and their ids are gathered a query.
     """
-    mine = cited.select("query_id", F.lit(0).alias("o"), F.col("pos").alias("p"), F.nullif("id", F.lit("")).alias("id"), F.col("location").alias("chunk_id"))
-    rest = kept.join(cited.select("query_id", F.col("location").alias("chunk_id")).distinct(), ["query_id", "chunk_id"], "left_anti").select("query_id", F.lit(1).alias("o"), F.col("rank").alias("p"), F.lit(None).cast("string").alias("id"), "chunk_id")
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["o", "p", "chunk_id"])
-        taken, names = {i for i in pdf["id"] if isinstance(i, str)}, []
-        counts = {0: 0, 1: 0}
-        for o, i in zip(pdf["o"], pdf["id"], strict=True):
-            if isinstance(i, str):
-                names.append(i)
-                continue
-            while True:
-                counts[o] += 1
-                name = f"{'ec'[o]}{counts[o]}"
-                if name not in taken:
-                    break
-            taken.add(name)
-            names.append(name)
-        return pd.DataFrame({"query_id": pdf["query_id"], "ref_id": names, "chunk_id": pdf["chunk_id"], "cited": pdf["o"] == 0})
-
-    return mine.unionByName(rest).groupBy("query_id").applyInPandas(number, "query_id long, ref_id string, chunk_id string, cited boolean")
+    mine = cited.select("query_id", "pos", tx.nullish(F.col("location")).alias("location"), tx.nullish(F.col("source")).alias("s"), F.coalesce(tx.nullish(F.col("id")), F.concat(F.lit("e"), F.col("pos").cast("string"))).alias("ref_id"), tx.nullish(F.col("description")).alias("description"))
+    known = kept.select("query_id", F.col("chunk_id").alias("location"), "chunk_id", F.col("score").alias("similarity_score"))
+    first = mine.join(known, ["query_id", "location"], "left").select(
+        "query_id", F.col("pos").cast("long").alias("place"), "ref_id", F.coalesce("s", F.when(F.col("chunk_id").isNotNull(), FROM_CONTEXT).otherwise(FROM_DIFF)).alias("source"), "location", "description", "chunk_id", "similarity_score"
+    )
+    taken = first.groupBy("query_id").agg(F.collect_set("ref_id").alias("taken"), F.max("place").alias("cited"))
+    numbered = kept.join(kept.groupBy("query_id").agg(F.count("*").alias("n")), "query_id").join(taken, "query_id", "left")
+    used = F.coalesce("taken", F.array().cast("array<string>"))
+    tries = F.transform(F.sequence(F.lit(0), F.size(used)), lambda m: F.concat(F.lit("c"), (F.col("rank") + m * F.col("n")).cast("string")))
+    rest = numbered.withColumn("ref_id", F.filter(tries, lambda x: ~F.array_contains(used, x))[0]).join(first.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
+    second = rest.select(
+        "query_id", (F.coalesce("cited", F.lit(0)) + F.col("rank")).cast("long").alias("place"), "ref_id", F.lit(FROM_CONTEXT).alias("source"), F.coalesce(F.nullif("file_path", F.lit("")), "chunk_id").alias("location"), F.lit(None).cast("string").alias("description"), "chunk_id", F.col("score").alias("similarity_score")
+    )
+    return first.unionByName(second)
+
+
+def evidences(kept: DataFrame) -> DataFrame:
+    """Kept hits (query_id, rank, id, chunk_id, source_code, pr_diff, review_comment, score, source_type, file_path) as evidence records: a missing id is the chunk's, a missing score 0."""
+    return kept.select("query_id", "rank", F.coalesce("id", "chunk_id", F.lit("")).alias("id"), "source_code", "pr_diff", "review_comment", F.coalesce("score", F.lit(0.0)).alias("similarity_score"), "chunk_id", "source_type", "file_path")
+
+
+def legacy_changes(refs: Column, changes: Column) -> Column:
+    """What changed, as (file_path, description): the references that come from the diff, or else the draft's own list."""
+    text = lambda c, other: F.coalesce(c, F.lit(other))
+    mine = F.filter(F.coalesce(refs, F.array()), lambda e: (e["source"] == FROM_DIFF) & (e["location"].isNotNull() | e["description"].isNotNull()))
+    one = F.transform(mine, lambda e: F.struct(text(e["location"], "unknown").alias("file_path"), text(e["description"], "").alias("description")))
+    two = F.transform(F.coalesce(changes, F.array()), lambda c: F.struct(text(tx.nullish(c["filePath"]), "unknown").alias("file_path"), text(c["description"], "").alias("description")))
+    return F.when(F.size(one) > 0, one).otherwise(two)
+
+
+def legacy_lines(given: Column, items: Column, role: str, text: str) -> Column:
+    """A plain list if the draft has one, else "role: text" of each item (the text alone without a role)."""
+    clean = string_list(given)
+    there = F.filter(F.coalesce(items, F.array()), lambda x: F.coalesce(x[text], F.lit("")) != "")
+    made = F.transform(there, lambda x: F.when(F.coalesce(x[role], F.lit("")) != "", F.concat(x[role], F.lit(": "), x[text])).otherwise(x[text]))
+    return F.when(F.size(clean) > 0, clean).otherwise(made)
 
 
 def confirmation_items(items: Column, quality_warning: Column, needs: Column, warning_text: str, default_text: str) -> Column:

@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as tx
+from .normalize import BASIS
 
 TRUNCATED = "\n... (patch truncated)"
-EMPTY_CONTEXT = "(no related context)"
+#: What a prompt says where something is missing, and the layout of a context item.
+EMPTY_CONTEXT = "관련 기존 컨텍스트 없음"
+NOTHING_KNOWN, NO_ITEMS, NO_DIFF = "(정보 없음)", "  - (없음)", "(diff 없음)"
+CONTEXT_ITEM = "[%s] (출처: %s, similarity: %.4f)\n"
+#: The parts of a user prompt, in order; a template of one's own may name them as well.
+USER_TEMPLATE = (
+    "<project>\nname: {project_name}\ndescription: {project_description}\npurpose: {project_purpose}\nfeatures: {project_features}\nroles: {project_roles}\nlanguage: {language}\n</project>\n"
+    "<pull_request>\ntitle: {title}\nbody: {body}\nfiles:\n{files}\ndiff:\n{diff}\ncommits:\n{commits}\nissues:\n{issues}\n</pull_request>\n"
+    "<context>\n{context}\n</context>\n<output>\n{schema}\n</output>"
+)
+SYSTEM_TEMPLATE = "Describe the change only from its diff and the numbered context. What neither shows is \"{unknown}\". An impact rests on \"{confirmed}\" or \"{expected}\". Write in {language}."
 
 
 class PromptTooLarge(ValueError):
@@ -33,14 +44,47 @@ def assemble_diff(files: DataFrame, key: str = "pr_id", order: str = "ord", most
 
 
 def context_section(kept: DataFrame, most: int = DEFAULTS.context_chars) -> DataFrame:
-    """One text a query from its kept hits in rank order (query_id, rank, chunk_id, source, score, text)."""
-    block = F.concat(F.format_string("[%s] (source: %s, similarity: %.4f)\n", "chunk_id", F.coalesce("source", F.lit("")), F.col("score")), F.left(F.coalesce("text", F.lit("")), F.lit(most)))
+    """One text a query from its kept hits in rank order: query_id, rank, chunk_id, score and text, and if there are such columns id, source, file_path, source_code and review_comment to fall back on."""
+    either = lambda *names: tx.truthy(*(F.col(c) for c in names if c in kept.columns))
+    known = lambda *names: F.coalesce(F.nullif(either(*names), F.lit("")), F.lit("unknown"))
+    head = F.format_string(CONTEXT_ITEM, known("chunk_id", "id"), known("source", "file_path"), F.coalesce("score", F.lit(0.0)))
+    block = F.concat(head, F.left(either("text", "source_code", "review_comment"), F.lit(most)))
     got = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("x"))
     return got.select("query_id", F.coalesce(F.nullif(F.array_join(F.transform("x", lambda s: s["b"]), "\n\n"), F.lit("")), F.lit(EMPTY_CONTEXT)).alias("context"))
 
 
-def bullet_list(items: Column, fallback: str = "-") -> Column:
-    return F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise(fallback)
+def bullet_list(items: Column, fallback: str = NO_ITEMS) -> Column:
+    return F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x: F.concat(F.lit("  - "), x)), "\n")).otherwise(fallback)
+
+
+def or_placeholder(c: Column, placeholder: str = NOTHING_KNOWN) -> Column:
+    """The stripped text, or what stands for a missing one."""
+    return F.coalesce(F.nullif(tx.strip(c), F.lit("")), F.lit(placeholder))
+
+
+def filled(template: str, parts: dict[str, Column]) -> Column:
+    """A template with its {names} replaced, in one pass, so that braces in a part stay as they are."""
+    pieces, rest = [], template
+    while (at := rest.find("{")) >= 0:
+        end = rest.index("}", at)
+        pieces += [F.lit(rest[:at]), parts[rest[at + 1 : end]]]
+        rest = rest[end + 1 :]
+    return F.concat(*pieces, F.lit(rest))
+
+
+def system_prompt(language: Column, template: str = SYSTEM_TEMPLATE) -> Column:
+    """The system prompt; English for "en" in any case, else Korean."""
+    name = F.when(F.lower(language) == "en", "English").otherwise("한국어")
+    return filled(template, {"unknown": F.lit("확인 필요"), "confirmed": F.lit(BASIS[0]), "expected": F.lit(BASIS[1]), "language": name})
+
+
+def user_prompt(schema: str = "", template: str = USER_TEMPLATE, context: str = "context") -> Column:
+    """The user prompt from columns project_*, title, body, files, diff, commits, issues, language and the context section."""
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(NOTHING_KNOWN)
+    parts = {c: or_placeholder(F.col(c)) for c in ("project_name", "project_description", "project_purpose", "title", "body")}
+    parts |= {c: joined(F.col(c)) for c in ("project_features", "project_roles")} | {c: bullet_list(F.col(c)) for c in ("files", "commits", "issues")}
+    parts |= {"language": or_placeholder(F.col("language"), "ko"), "diff": or_placeholder(F.col("diff"), NO_DIFF), "context": F.coalesce(F.col(context), F.lit(EMPTY_CONTEXT)), "schema": F.lit(schema)}
+    return filled(template, parts)
 
 
 def query_text(title: Column, diff: Column, most: int = DEFAULTS.query_diff_chars) -> Column:

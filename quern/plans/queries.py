@@ -57,13 +57,14 @@ ALL_SCORES = """q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FR
 s AS (SELECT q.query_id, e.vec_id AS chunk_id, q.ql, e.label AS cl, round(list_cosine_similarity(q.qe::DOUBLE[], e.embedding::DOUBLE[]), 4) AS score FROM q JOIN embeddings e ON e.vec_id <> q.query_id)"""
 HITS = f"""{ALL_SCORES},
 h AS (SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= {K})"""
+R4 = lambda x: f"round(CAST({x} AS DECIMAL(20, 12)), 4)::DOUBLE"
 GOLD = """g AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s WHERE ql = cl) WHERE r <= 3)"""
 FILTERED = f"""f AS (SELECT *, (rank = 1 OR score >= {SIM}) AS kept FROM h)"""
 
 
 def CONF(loss: str, src: str = "f", sim: float = SIM) -> str:
     return f"""SELECT query_id, top_score, kept_count, evidence_count, strong_count, filter_ratio, information_loss, confidence, filter_ratio >= 0.8 AS quality_warning, (confidence < 0.6 OR filter_ratio >= 0.8) AS needs_confirmation FROM (
-SELECT *, round(greatest(0.0, least(1.0, (0.5 * top_score + 0.2 * least(evidence_count / 3.0::DOUBLE, 1.0) + 0.2 * least(strong_count / 3.0::DOUBLE, 1.0) + 0.1 * greatest(0.0, 1 - {loss})) / (0.5 + 0.2 + 0.2 + 0.1))) + 1e-9, 4) AS confidence FROM (
+SELECT *, CASE WHEN kept_count = 0 THEN 0.0 ELSE {R4(f"greatest(0.0, least(1.0, (0.5 * top_score + 0.2 * least(evidence_count / 3.0::DOUBLE, 1.0) + 0.2 * least(strong_count / 3.0::DOUBLE, 1.0) + 0.1 * greatest(0.0, 1 - {loss})) / (0.5 + 0.2 + 0.2 + 0.1)))")} END AS confidence FROM (
 SELECT query_id, coalesce(max(score) FILTER (kept), 0.0) AS top_score, count(*) FILTER (kept) AS kept_count, count(*) FILTER (kept AND score >= {sim}) AS evidence_count, count(*) FILTER (kept AND score >= {STRONG}) AS strong_count,
 round(count(*) FILTER (NOT kept) / count(*)::DOUBLE, 4) AS filter_ratio, round(coalesce(count(*) FILTER (NOT kept AND score >= {sim}) / nullif(count(*) FILTER (score >= {sim}), 0)::DOUBLE, 0.0), 4) AS information_loss FROM {src} GROUP BY query_id))"""
 
@@ -138,7 +139,7 @@ def confidence_eval_form(spark, d):
     return confidence(context_filter(_hits(spark, d), "on", SIM), SETTINGS, use_information_loss=False)
 
 
-@query(f"WITH {HITS}, {FILTERED} SELECT query_id, round(avg(score) FILTER (kept), 4) AS confidence FROM f GROUP BY query_id")
+@query(f"WITH {HITS}, {FILTERED} SELECT query_id, {R4('avg(score) FILTER (kept)')} AS confidence FROM f GROUP BY query_id")
 def confidence_mean_vulnerable(spark, d):
     return mean_confidence(context_filter(_hits(spark, d), "on", SIM))
 
@@ -167,7 +168,7 @@ def filter_metrics(spark, d):
     return metrics.filter_metrics(context_filter(_hits(spark, d), "on", SIM), _gold(spark, d), K)
 
 
-@query(f"WITH {HITS}, {FILTERED} SELECT query_id, max(score) AS top_score, round(avg(score), 4) AS mean_score, count(*) AS evidence_count, count(*) FILTER (score >= {STRONG}) AS strong_count FROM f WHERE kept GROUP BY query_id")
+@query(f"WITH {HITS}, {FILTERED} SELECT query_id, max(score) AS top_score, {R4('avg(score)')} AS mean_score, count(*) AS evidence_count, count(*) FILTER (score >= {STRONG}) AS strong_count FROM f WHERE kept GROUP BY query_id")
 def retrieval_signals(spark, d):
     return metrics.retrieval_signals(context_filter(_hits(spark, d), "on", SIM), STRONG)
 
@@ -184,13 +185,13 @@ RUNS = [ev.Run("off", "off", SIM), ev.Run("on", "on", SIM), ev.Run("strict", "on
 def _run_sql(run: ev.Run) -> str:
     n, t = run.name, run.threshold
     kept = "true" if run.mode == "off" else f"(rank = 1 OR score >= {t})"
-    conf = f"(SELECT query_id, round(avg(score) FILTER (kept), 4) AS confidence FROM f_{n} GROUP BY 1)" if run.mean_form else f"({CONF('filter_ratio', f'f_{n}', t)})"
+    conf = f"(SELECT query_id, {R4('avg(score) FILTER (kept)')} AS confidence FROM f_{n} GROUP BY 1)" if run.mean_form else f"({CONF('filter_ratio', f'f_{n}', t)})"
     return f"""f_{n} AS (SELECT *, {kept} AS kept FROM h), k_{n} AS (SELECT query_id, chunk_id, score, rank FROM f_{n} WHERE kept),
 c_{n} AS (SELECT '{n}' AS run, b.*, a.precision_at_k AS post_precision, a.recall_at_k AS post_recall, m.filter_ratio, m.false_deletion, m.recall_delta, m.gold_retained, c.confidence FROM ({IR('h', t)}) b JOIN ({IR(f'k_{n}', t)}) a USING (query_id) JOIN ({FM(f'f_{n}')}) m USING (query_id) JOIN {conf} c USING (query_id))"""
 
 
 MEANS = ("precision_at_k", "recall_at_k", "mrr", "hit_rate", "post_precision", "post_recall", "filter_ratio", "false_deletion", "recall_delta", "gold_retained", "confidence")
-COMPARE = f"WITH {HITS}, {GOLD}, {', '.join(map(_run_sql, RUNS))}, cases AS ({' UNION ALL BY NAME '.join(f'SELECT * FROM c_{r.name}' for r in RUNS)}), agg AS (SELECT run, count(*) AS case_count, {', '.join(f'round(coalesce(avg({m}), 0.0) + 1e-9, 4) AS {m}' for m in MEANS)}, round(coalesce(avg(failed::INT::DOUBLE), 0.0) + 1e-9, 4) AS failure_rate FROM cases GROUP BY run)"
+COMPARE = f"WITH {HITS}, {GOLD}, {', '.join(map(_run_sql, RUNS))}, cases AS ({' UNION ALL BY NAME '.join(f'SELECT * FROM c_{r.name}' for r in RUNS)}), agg AS (SELECT run, count(*) AS case_count, {', '.join(f'{R4(f"coalesce(avg({m}), 0.0)")} AS {m}' for m in MEANS)}, {R4('coalesce(avg(failed::INT::DOUBLE), 0.0)')} AS failure_rate FROM cases GROUP BY run)"
 
 
 def _aggregates(spark, d):
@@ -241,7 +242,7 @@ def silver_labels(spark, d):
     return ev.silver_gold(_hits(spark, d), STRONG).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-STRIP = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+STRIP = lambda c: f"regexp_replace({c}, '^{tx.SPACE}+|{tx.SPACE}+$', '', 'g')"
 
 
 @query(f"SELECT 'case-' || doc_id AS case_id, {STRIP('text')} AS query, ['cr-' || doc_id] AS gold_chunks FROM documents WHERE {STRIP('text')} <> ''")
@@ -285,12 +286,12 @@ def _pairs(spark, d):
 
 @query(f"""WITH {PAIRS}, t AS (SELECT conv_id, turn, {TOKENS('answer')} AS x, {TOKENS('question')} AS y FROM a),
 u AS (SELECT conv_id, turn, len(x) AS nx, len(y) AS ny, list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w))))) AS n_both FROM t)
-SELECT conv_id, turn, CASE WHEN nx = 0 OR ny = 0 OR coalesce(n_both, 0) = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * n_both / (nx + ny), 4) END AS f1 FROM u""")
+SELECT conv_id, turn, CASE WHEN nx = 0 OR ny = 0 OR coalesce(n_both, 0) = 0 THEN 0.0::DOUBLE ELSE {R4('2.0::DOUBLE * n_both / (nx + ny)')} END AS f1 FROM u""")
 def token_f1(spark, d):
-    return _pairs(spark, d).select("conv_id", "turn", tx.token_f1(F.col("answer"), F.col("question")).alias("f1"))
+    return metrics.token_f1(_pairs(spark, d), ["conv_id", "turn"], "answer", "question")
 
 
-NORM = lambda c: f"lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
+NORM = lambda c: f"lower(trim(regexp_replace({c}, '{tx.SPACE}+', ' ', 'g')))"
 
 
 @query(f"WITH {PAIRS} SELECT conv_id, turn, CASE WHEN {NORM('question')} <> '' AND {NORM('answer')} = {NORM('question')} THEN 1.0::DOUBLE ELSE 0.0 END AS em FROM a")
@@ -299,24 +300,37 @@ def exact_match(spark, d):
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
-COVER = lambda needles, hay: f"len(list_filter({needles}, lambda n: contains(lower({hay}), n)))::DOUBLE / nullif(len({needles}), 0)"
+COVER = lambda needles, hay: f"coalesce(len(list_filter({needles}, lambda n: contains(lower({hay}), n)))::DOUBLE / nullif(len({needles}), 0), 0.0)"
 
 
-@query(f"""WITH {PAIRS}, t AS (SELECT *, list_filter({TOKENS('answer')}, lambda t: NOT list_contains({STOP}, t)) AS xa, list_filter({TOKENS('question')}, lambda t: NOT list_contains({STOP}, t)) AS xq FROM a)
-SELECT conv_id, turn, round({COVER('xa', 'question')}, 4) AS groundedness, round(1 - {COVER('xa', 'question')}, 4) AS hallucination, round({COVER('xq', 'answer')}, 4) AS answer_relevance FROM t""")
+# Some answers and questions hold no token at all, and some no reference: what the offline judge says then is part of the check.
+JUDGED = f"""{PAIRS}, b AS (SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN '!!' ELSE answer END AS answer, CASE WHEN conv_id % 13 = 0 THEN chr(12288) || '?' ELSE question END AS question, CASE WHEN conv_id % 3 = 0 THEN ['Release', ' ', 'notes '] ELSE [] END AS ref FROM a),
+t AS (SELECT *, list_filter({TOKENS('answer')}, lambda t: NOT list_contains({STOP}, t)) AS xa, list_filter({TOKENS('question')}, lambda t: NOT list_contains({STOP}, t)) AS xq, ['release', 'notes'] AS xr FROM b)"""
+
+
+def _judged(spark, d):
+    b = _pairs(spark, d).select("conv_id", "turn", F.when(F.col("conv_id") % 11 == 0, "!!").otherwise(F.col("answer")).alias("answer"), F.when(F.col("conv_id") % 13 == 0, "\u3000?").otherwise(F.col("question")).alias("question"))
+    b = b.withColumn("ref", F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("Release"), F.lit(" "), F.lit("notes "))).otherwise(F.array().cast("array<string>")))
+    t = b.withColumns({"xa": tx.content_tokens(F.col("answer")), "xq": tx.content_tokens(F.col("question"))})
+    return t, judges.generation_judge(F.col("question"), F.lit(""), F.col("answer"), F.col("ref"), F.col("xa"), F.col("xq"))
+
+
+@query(f"""WITH {JUDGED} SELECT conv_id, turn, {R4(COVER('xa', 'question'))} AS groundedness, {R4(COVER('xa', 'question'))} AS faithfulness, {R4('1 - ' + COVER('xa', 'question'))} AS hallucination,
+CASE WHEN len(ref) > 0 THEN {R4(COVER('xr', 'answer'))} END AS completeness, CASE WHEN len(ref) > 0 THEN {R4(COVER('xr', 'answer'))} WHEN len(xq) > 0 THEN {R4(COVER('xq', 'answer'))} END AS answer_relevance FROM t""")
 def coverage_judge(spark, d):
-    s = judges.generation_judge(F.lit(""), F.col("question"), F.col("answer"), tx.content_tokens(F.col("question")))
-    return _pairs(spark, d).select("conv_id", "turn", *(s[c].alias(c) for c in ("groundedness", "hallucination", "answer_relevance")))
+    t, s = _judged(spark, d)
+    return t.select("conv_id", "turn", *(s[c].alias(c) for c in ("groundedness", "faithfulness", "hallucination", "completeness", "answer_relevance")))
 
 
-@query(f"""WITH {PAIRS}, t AS (SELECT *, list_filter({TOKENS('question')}, lambda t: NOT list_contains({STOP}, t)) AS xq FROM a) SELECT conv_id, turn, round({COVER('xq', 'answer')}, 4) AS context_relevance FROM t""")
+@query(f"""WITH {JUDGED} SELECT conv_id, turn, {R4(COVER('xq', 'answer'))} AS context_relevance FROM t""")
 def context_relevance(spark, d):
-    s = judges.generation_judge(F.col("question"), F.col("answer"), F.col("answer"), F.array().cast("array<string>"))
-    return _pairs(spark, d).select("conv_id", "turn", s["context_relevance"].alias("context_relevance"))
+    t, _ = _judged(spark, d)
+    s = judges.generation_judge(F.col("question"), F.col("answer"), F.col("answer"), F.col("ref"), F.col("xa"), F.col("xq"))
+    return t.select("conv_id", "turn", s["context_relevance"].alias("context_relevance"))
 
 
 @query(f"""WITH {PAIRS}, t AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 1 - len(answer) % 10 / 10.0::DOUBLE END AS h, CASE WHEN conv_id % 3 = 1 THEN len(answer) % 10 / 10.0::DOUBLE END AS g FROM a),
-u AS (SELECT CASE WHEN h IS NOT NULL THEN round(h, 4) >= 0.6 WHEN g IS NOT NULL THEN round(g, 4) < 0.6 END AS bad FROM t) SELECT count(bad) AS judged, round(coalesce(avg(bad::INT::DOUBLE), 0.0) + 1e-9, 4) AS hallucination_rate FROM u""")
+u AS (SELECT CASE WHEN h IS NOT NULL THEN round(h, 4) >= 0.6 WHEN g IS NOT NULL THEN round(g, 4) < 0.6 END AS bad FROM t) SELECT count(bad) AS judged, {R4('coalesce(avg(bad::INT::DOUBLE), 0.0)')} AS hallucination_rate FROM u""")
 def hallucination_rate(spark, d):
     share = F.length("answer") % 10 / 10.0
     flag = metrics.hallucination_flag(F.round(F.when(F.col("conv_id") % 3 == 0, 1 - share), 4), F.round(F.when(F.col("conv_id") % 3 == 1, share), 4), F.lit(None).cast("double"))
@@ -360,17 +374,17 @@ def keyword_report(spark, d):
     return got.groupBy("keyword").agg(F.count("*").alias("n"), F.min("event_id").alias("first_seen")).where(f"n >= {DEFAULTS.recurring_keyword}")
 
 
-@query("SELECT event_id, CASE WHEN lower(s) IN ('null', 'none', 'nil', 'n/a', 'na', '-', '') THEN NULL ELSE s END AS value FROM (SELECT event_id, regexp_replace(CASE event_id % 5 WHEN 0 THEN ' N/A ' WHEN 1 THEN event_type || ' ' WHEN 2 THEN 'None' WHEN 3 THEN '' ELSE event_type END, '^\\s+|\\s+$', '', 'g') AS s FROM events)")
+@query(f"SELECT event_id, CASE WHEN lower(s) IN ('null', 'none', 'nil', 'n/a', 'na', '-', '') THEN NULL ELSE s END AS value FROM (SELECT event_id, {STRIP("CASE event_id % 5 WHEN 0 THEN chr(12288) || 'N/A' || chr(160) WHEN 1 THEN event_type || ' ' || chr(12288) WHEN 2 THEN 'None' WHEN 3 THEN '' ELSE event_type END")} AS s FROM events)")
 def nullish_normalize(spark, d):
     e = F.col("event_id") % 5
-    raw = F.when(e == 0, " N/A ").when(e == 1, F.concat("event_type", F.lit(" "))).when(e == 2, "None").when(e == 3, "").otherwise(F.col("event_type"))
+    raw = F.when(e == 0, "\u3000N/A\u00a0").when(e == 1, F.concat("event_type", F.lit(" \u3000"))).when(e == 2, "None").when(e == 3, "").otherwise(F.col("event_type"))
     return read_table(spark, d, "events").select("event_id", tx.nullish(raw).alias("value"))
 
 
-@query("SELECT event_id, greatest(0, least(100, coalesce(trunc(try_cast(s AS DOUBLE))::INT, 0))) AS risk FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN '-5' ELSE round(value, 2)::VARCHAR END AS s FROM events)")
+@query("SELECT event_id, trunc(greatest(0.0, least(100.0, coalesce(try_cast(s AS DOUBLE), 0.0))))::INT AS risk FROM (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'null' WHEN 1 THEN '-5' WHEN 2 THEN '1e12' WHEN 3 THEN '99999999999' ELSE round(value, 2)::VARCHAR END AS s FROM events)")
 def risk_clamp(spark, d):
-    e = F.col("event_id") % 4
-    return read_table(spark, d, "events").select("event_id", tx.risk_score(F.when(e == 0, "null").when(e == 1, "-5").otherwise(F.round("value", 2).cast("string"))).alias("risk"))
+    e = F.col("event_id") % 7
+    return read_table(spark, d, "events").select("event_id", tx.risk_score(F.when(e == 0, "null").when(e == 1, "-5").when(e == 2, "1e12").when(e == 3, "99999999999").otherwise(F.round("value", 2).cast("string"))).alias("risk"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -386,10 +400,10 @@ def role_normalize(spark, d):
     return read_table(spark, d, "customer").select("c_custkey", normalize.normalize_role(F.expr(ROLE_OF.format(c="c_mktsegment"))).alias("role"))
 
 
-@query()
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '백엔드' WHEN 'BUILDING' THEN NULL WHEN 'FURNITURE' THEN 'QA' WHEN 'HOUSEHOLD' THEN '기획' WHEN 'MACHINERY' THEN NULL ELSE 'AI' END AS role FROM customer")
 def role_normalize_nfkc(spark, d):
-    wide = F.translate(F.expr(ROLE_OF.format(c="c_mktsegment")), "ae", "ａｅ")
-    return read_table(spark, d, "customer").select("c_custkey", normalize.normalize_role(wide, normal_form=True).alias("role"))
+    wide = F.translate(F.expr(ROLE_OF.format(c="c_mktsegment")), "aeBQAML _", "ａｅＢＱＡＭＬ\u3000＿")
+    return read_table(spark, d, "customer").select("c_custkey", normalize.normalize_role(wide).alias("role"))
 
 
 FILES = """p AS (SELECT page_id, page_id // 10 AS pr_id, CASE page_id % 6 WHEN 0 THEN 'src/package-lock.json' WHEN 1 THEN 'web/dist/app.js' WHEN 2 THEN 'a/b.min.js' WHEN 3 THEN 'src/m' || page_id || '.py' WHEN 4 THEN 'lib/r.py' ELSE 'x/y.ts' END AS path, CASE WHEN page_id % 6 = 4 THEN 'RENAMED' ELSE 'MODIFIED' END AS change_type, CASE WHEN page_id % 7 = 0 THEN '  ' ELSE html END AS patch FROM pages),
@@ -413,7 +427,7 @@ def diff_assembly(spark, d):
     return prompt.assemble_diff(_files(spark, d), "pr_id", "page_id")
 
 
-@query(f"WITH {HITS} SELECT query_id, string_agg('[cr-' || chunk_id || '] (source: kb, similarity: ' || printf('%.4f', score) || ')' || chr(10) || 'chunk ' || chunk_id, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY 1")
+@query(f"WITH {HITS} SELECT query_id, string_agg('[cr-' || chunk_id || '] (출처: kb, similarity: ' || printf('%.4f', score) || ')' || chr(10) || 'chunk ' || chunk_id, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY 1")
 def context_section(spark, d):
     hits = _hits(spark, d)
     return prompt.context_section(hits.select("query_id", "rank", F.concat(F.lit("cr-"), "chunk_id").alias("chunk_id"), F.lit("kb").alias("source"), "score", F.concat(F.lit("chunk "), "chunk_id").alias("text")))
@@ -483,21 +497,20 @@ def delete_set(spark, d):
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def upsert_latest(spark, d):
-    return ingest.upsert_latest(read_table(spark, d, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
+    return ingest.upsert_latest(read_table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
 NOW = "TIMESTAMP '2024-01-20 00:00:00'"
-JOBS = """e AS (SELECT 'job-' || user_id AS job_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' WHEN 'click' THEN CASE WHEN user_id % 3 = 0 THEN 'PROCESSING' ELSE 'COMPLETED' END ELSE 'PROCESSING' END AS status FROM events WHERE user_id % 4 <> 1 OR event_type NOT IN ('purchase', 'click', 'error')),
+JOBS = """e AS (SELECT 'job-' || user_id AS job_id, event_id, ts, CASE WHEN user_id % 4 = 1 THEN 'PROCESSING' WHEN event_type = 'purchase' THEN 'COMPLETED' WHEN event_type = 'error' THEN 'FAILED' WHEN event_type = 'click' AND user_id % 3 <> 0 THEN 'COMPLETED' ELSE 'PROCESSING' END AS status FROM events),
 a AS (SELECT job_id, min((ts, event_id)) FILTER (status = 'PROCESSING') AS f, max((ts, event_id, status)) FILTER (status IN ('COMPLETED', 'FAILED')) AS l, count(*) AS n_events FROM e GROUP BY job_id),
 j AS (SELECT job_id, CASE WHEN l IS NOT NULL AND (l[1] > f[1] OR (l[1] = f[1] AND l[2] > f[2])) THEN l[3] ELSE 'PROCESSING' END AS status, f[1] AS started_at, CASE WHEN l IS NOT NULL AND (l[1] > f[1] OR (l[1] = f[1] AND l[2] > f[2])) THEN l[1] END AS completed_at, n_events FROM a WHERE f IS NOT NULL)"""
 TS = "strftime({c}, '%Y-%m-%dT%H:%M:%SZ')"
 
 
 def _job_events(spark, d):
-    e = read_table(spark, d, "events").where("user_id % 4 <> 1 or event_type not in ('purchase', 'click', 'error')")
-    t = F.col("event_type")
-    status = F.when(t == "purchase", "COMPLETED").when(t == "error", "FAILED").when(t == "click", F.when(F.col("user_id") % 3 == 0, "PROCESSING").otherwise("COMPLETED")).otherwise("PROCESSING")
-    return e.select(F.concat(F.lit("job-"), "user_id").alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
+    t, u = F.col("event_type"), F.col("user_id")
+    status = F.when(u % 4 == 1, "PROCESSING").when(t == "purchase", "COMPLETED").when(t == "error", "FAILED").when((t == "click") & (u % 3 != 0), "COMPLETED").otherwise("PROCESSING")
+    return read_table(spark, d, "events").select(F.concat(F.lit("job-"), "user_id").alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
 
 
 @query(f"WITH {JOBS} SELECT job_id, status, {TS.format(c='started_at')} AS started_at, {TS.format(c='completed_at')} AS completed_at, n_events FROM j")
@@ -532,9 +545,10 @@ def project_lookup(spark, d):
     return projects.project_info(req, registry, {"name": "default"}).select("o_orderkey", "name")
 
 
-@query("SELECT user_id, count(*) AS n, round(avg(CASE WHEN value IS NOT NULL THEN value END) + 1e-9, 4) AS mean FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, round(CAST(coalesce(avg(CASE WHEN event_type IN ('click', 'view') THEN value END), 0.0) AS DECIMAL(20, 12)), 4)::DOUBLE AS mean FROM events GROUP BY user_id")
 def metric_mean(spark, d):
-    return read_table(spark, d, "events").where("event_type in ('click', 'view')").groupBy("user_id").agg(F.count("*").alias("n"), metrics.mean_metric(F.col("value")).alias("mean"))
+    known = F.when(F.col("event_type").isin("click", "view"), F.col("value"))
+    return read_table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), metrics.mean_metric(known).alias("mean"))
 
 
 NAMES = "n AS (SELECT n_nationkey AS chunk_id, [n_name, left(n_name, 2), left(n_name, 1)] AS kws FROM nation)"
@@ -548,7 +562,7 @@ def keyword_retrieval(spark, d):
     return offline.keyword_topk(cases, corpus, 5).select("query_id", "chunk_id", "score")
 
 
-@query(f"WITH {HITS}, {FILTERED} SELECT query_id, round(0.7 * coalesce(max(score) FILTER (kept), 0.0) + 0.3 * (count(*) FILTER (kept) / count(*)::DOUBLE) + 1e-9, 4) AS confidence FROM f GROUP BY query_id")
+@query(f"WITH {HITS}, {FILTERED} SELECT query_id, {R4('0.7 * coalesce(max(score) FILTER (kept), 0.0) + 0.3 * (count(*) FILTER (kept) / count(*)::DOUBLE)')} AS confidence FROM f GROUP BY query_id")
 def confidence_simple(spark, d):
     return offline.simple_confidence(context_filter(_hits(spark, d), "on", SIM))
 
@@ -563,7 +577,11 @@ def approx_topk(spark, d):
     return ann.approx_topk(_asked(spark, d), _vectors(spark, d), K)
 
 
-@query()
+WORDS = lambda c: f"list_filter(regexp_split_to_array({c}, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {WORDS('text')} AS ws FROM documents), s AS (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 50, 1), 462)) AS st FROM w WHERE len(ws) > 0)
+SELECT doc_id, (st // 462)::INT AS chunk_idx, array_to_string(ws[st + 1:st + 512], ' ') AS chunk FROM s""")
 def chunk_text(spark, d):
     return ingest.chunk_words(read_table(spark, d, "documents").select("doc_id", "text"))
 
@@ -574,16 +592,31 @@ def unified_diff(spark, d):
     return talk.select("conv_id", "turn", ingest.unified_diff("question", "answer").alias("diff"))
 
 
-@query()
+@query(f"SELECT doc_id, coalesce(array_to_string({WORDS('text')}[1:100], ' '), '') AS text FROM documents")
 def token_truncate(spark, d):
     return read_table(spark, d, "documents").select("doc_id", ingest.token_truncate(100)("text").alias("text"))
 
 
-@query()
+# Citations of every query: one names an id that a kept hit would get, one has none, one is of the diff, one says nothing.
+CITED = """c AS (SELECT query_id, 1 AS pos, 'c2' AS id, ' null ' AS source, 'cr-' || chunk_id AS location, 'x' AS description FROM h WHERE rank = 4
+UNION ALL SELECT query_id, 2, NULL, 'pr_diff', 'src/a.py', '-' FROM h WHERE rank = 1 UNION ALL SELECT query_id, 4, ' ', NULL, 'cr-' || chunk_id, NULL FROM h WHERE rank = 2 AND query_id % 40 = 0
+UNION ALL SELECT query_id, 5, 'c7', '', NULL, 'y' FROM h WHERE rank = 1)"""
+
+
+@query(f"""WITH {HITS}, {CITED}, nul(x) AS (VALUES ('null'), ('none'), ('nil'), ('n/a'), ('na'), ('-'), ('')),
+m AS (SELECT query_id, pos, CASE WHEN lower(trim(location)) NOT IN (FROM nul) THEN trim(location) END AS location, CASE WHEN lower(trim(source)) NOT IN (FROM nul) THEN trim(source) END AS s, CASE WHEN id IS NULL OR lower(trim(id)) IN (FROM nul) THEN 'e' || pos ELSE trim(id) END AS ref_id, CASE WHEN lower(trim(description)) NOT IN (FROM nul) THEN trim(description) END AS description FROM c),
+one AS (SELECT m.query_id, pos::BIGINT AS place, ref_id, coalesce(s, CASE WHEN h.chunk_id IS NULL THEN 'pr_diff' ELSE 'context' END) AS source, location, description, 'cr-' || h.chunk_id AS chunk_id, h.score AS similarity_score FROM m LEFT JOIN h ON h.query_id = m.query_id AND 'cr-' || h.chunk_id = m.location),
+u AS (SELECT query_id, list(ref_id) AS ids, max(place) AS cited FROM one GROUP BY 1), n AS (SELECT query_id, count(*) AS n FROM h GROUP BY 1)
+SELECT * FROM one UNION ALL SELECT h.query_id, cited + rank, list_filter(list_transform(range(0, len(ids) + 1), lambda k: 'c' || (rank + k * n)), lambda x: NOT list_contains(ids, x))[1], 'context', CASE WHEN h.chunk_id % 2 = 0 THEN 'f' || h.chunk_id ELSE 'cr-' || h.chunk_id END, NULL, 'cr-' || h.chunk_id, h.score
+FROM h JOIN u USING (query_id) JOIN n USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.query_id = h.query_id AND one.chunk_id = 'cr-' || h.chunk_id)""")
 def evidence_refs(spark, d):
     hits = _hits(spark, d)
-    kept = hits.select("query_id", "rank", F.concat(F.lit("cr-"), "chunk_id").alias("chunk_id"))
-    cited = kept.where("rank % 2 = 0").select("query_id", F.col("rank").alias("pos"), F.when(F.col("rank") == 2, "e1").alias("id"), F.col("chunk_id").alias("location"))
+    kept = hits.select("query_id", "rank", F.concat(F.lit("cr-"), "chunk_id").alias("chunk_id"), F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("f"), "chunk_id")).otherwise("").alias("file_path"), "score")
+    said = lambda pos, i, source, location, text: (F.lit(pos).alias("pos"), F.lit(i).cast("string").alias("id"), F.lit(source).cast("string").alias("source"), location.alias("location"), F.lit(text).cast("string").alias("description"))
+    cited = kept.where("rank = 4").select("query_id", *said(1, "c2", " null ", F.col("chunk_id"), "x"))
+    cited = cited.unionByName(kept.where("rank = 1").select("query_id", *said(2, None, "pr_diff", F.lit("src/a.py"), "-")))
+    cited = cited.unionByName(kept.where("rank = 2 and query_id % 40 = 0").select("query_id", *said(4, " ", None, F.col("chunk_id"), None)))
+    cited = cited.unionByName(kept.where("rank = 1").select("query_id", *said(5, "c7", "", F.lit(None).cast("string"), "y")))
     return normalize.evidence_refs(cited, kept)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -26,8 +28,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def broken_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, text) of lines that are no JSON: for error reports, so the lines are numbered per file."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "text"))
-    return lines.where((tx.strip(F.col("text")) != "") & F.try_parse_json("text").isNull()).select("file", (F.col("n") + 1).alias("line"), "text")
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("text"))
+    bad = lines.where((tx.strip(F.col("text")) != "") & F.try_parse_json("text").isNull())
+    # Lines of a file are read in order, over ascending partitions: a broken one's number is the count of lines up to it.
+    order = Window.partitionBy("file").orderBy("n")
+    return lines.join(F.broadcast(bad.select("file").distinct()), "file", "left_semi").withColumn("line", F.row_number().over(order)).join(bad.select("file", "n"), ["file", "n"], "left_semi").select("file", "line", "text")
 
 
 def read_first(spark: SparkSession, path: str, schema: str, n: int) -> DataFrame:
@@ -67,6 +72,30 @@ def read_source_files(spark: SparkSession, root: str, extensions: tuple[str, ...
     return files.where(ok).where(F.is_valid_utf8("content")).select(rel.alias("file_path"), F.decode("content", "UTF-8").alias("content")).where(tx.strip(F.col("content")) != "")
 
 
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A file that is one JSON array over many lines."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+PULL = "repo_name string, number long, title string, body string, diff string, error string"
+
+
+def fetch_pull_requests(spark: SparkSession, repos: list[str], fetch: Callable[[str], list[dict]], per_task: int = 1) -> DataFrame:
+    """Pull requests of repositories through an injected fetcher, from the executors; a failing one gives a row with its error."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for repo in pdf["repo_name"]:
+                try:
+                    rows += [{"repo_name": repo, "error": None, **{k: p.get(k) for k in ("number", "title", "body", "diff")}} for p in fetch(repo)]
+                except Exception as e:  # one repository's failure leaves the others alone
+                    rows.append({"repo_name": repo, "error": str(e)})
+            yield pd.DataFrame(rows, columns=["repo_name", "number", "title", "body", "diff", "error"])
+
+    return spark.createDataFrame([(r,) for r in repos], "repo_name string").repartition(max(1, len(repos) // per_task)).mapInPandas(run, PULL)
+
+
 def tracked_files(spark: SparkSession, root: str) -> DataFrame | None:
     """Files that git tracks under root; None outside a repository."""
     got = subprocess.run(["git", "-C", root, "ls-files"], capture_output=True, text=True)

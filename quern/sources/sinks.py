@@ -36,20 +36,45 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
 def merge_keyed(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """New rows replace old ones of their key."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return upsert_latest(both, key, [F.desc("_new")]).drop("_new")
+    return upsert_latest(both, key, ["_new"]).drop("_new")
+
+
+def few(df: DataFrame, most: int = 10_000) -> list:
+    """The rows of a report, which one reads: more than most are refused, none is left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows; write the table instead")
+    return rows
+
+
+def write_parquet(df: DataFrame, path: str) -> int:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path).count()
+
+
+def keyword_text_report(report: dict) -> str:
+    """The keyword report (a row of keyword_report and its recurring keywords) for people."""
+    lines = [f"PRs: {report['pr_count']}", f"keywords: {report['total_keywords']}", f"failed calls: {report['error_count']}", f"important: {report['important_rate'] * 100:.1f}%", f"from background knowledge: {report['background_inference_rate'] * 100:.1f}%", "", "important in several PRs:"]
+    return "\n".join(lines + ([f"  - {k} ({n})" for k, n in report["recurring"]] or ["  (none)"]))
+
+
+def measurement_dump(df: DataFrame, path: str) -> int:
+    """Measurement rows as JSON lines, nulls kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    return df.sparkSession.read.json(path).count()
 
 
 def text_report(aggregates: DataFrame, verdicts: DataFrame) -> str:
     """A Markdown table of a few runs and their verdicts."""
-    rows = [r.asDict() for r in aggregates.orderBy("run").limit(1000).collect()]
+    rows = [r.asDict() for r in few(aggregates.orderBy("run"))]
     names = list(rows[0]) if rows else []
     show = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)] + ["| " + " | ".join(show(r[n]) for n in names) + " |" for r in rows]
-    return "\n".join(lines + [f"- {r['run']}: {r['verdict']}" for r in verdicts.orderBy("run").limit(1000).collect()])
+    return "\n".join(lines + [f"- {r['run']}: {r['verdict']}" for r in few(verdicts.orderBy("run"))])
 
 
 def json_report(aggregates: DataFrame, verdicts: DataFrame) -> str:
-    rows = lambda df: [r.asDict(True) for r in df.orderBy("run").limit(1000).collect()]
+    rows = lambda df: [r.asDict(True) for r in few(df.orderBy("run"))]
     return json.dumps({"runs": rows(aggregates), "verdicts": rows(verdicts)}, ensure_ascii=False, default=str)
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.operators import ingest, judges, normalize, prompt
-from quern.operators.measure import upper_median, upper_median_by
+from quern.operators.measure import upper_median_by
+from quern.operators.metrics import token_f1
 from quern.operators.projects import project_info
 
 
@@ -14,7 +15,7 @@ def value(spark, column, **cells):
     return spark.createDataFrame([tuple(cells.values()) or (1,)], ", ".join(f"{n} string" for n in names) if cells else "_x int").select(column).first()[0]
 
 
-@pytest.mark.parametrize(("raw", "want"), [("45", 45), ("150", 100), ("-5", 0), ("null", 0), (None, 0)])
+@pytest.mark.parametrize(("raw", "want"), [("45", 45), ("150", 100), ("-5", 0), ("null", 0), (None, 0), ("1e12", 100), ("99999999999", 100), ("-1e300", 0), (" 7.9 ", 7), ("x7", 0), ("7d", 0)])
 def test_risk(spark, raw, want):
     assert value(spark, tx.risk_score(F.col("a")), a=raw) == want
 
@@ -24,7 +25,7 @@ def test_nullable_int(spark, raw, want):
     assert value(spark, tx.nullable_int(F.col("a")), a=raw) == want
 
 
-@pytest.mark.parametrize(("raw", "want"), [(" N/A ", None), ("-", None), ("", None), (None, None), ("\t x \n", "x")])
+@pytest.mark.parametrize(("raw", "want"), [(" N/A ", None), ("-", None), ("", None), (None, None), ("\t x \n", "x"), ("\u3000\u00a0x\u3000", "x"), ("\u3000-", None)])
 def test_nullish(spark, raw, want):
     assert value(spark, tx.nullish(F.col("a")), a=raw) == want
 
@@ -32,7 +33,7 @@ def test_nullish(spark, raw, want):
 @pytest.mark.parametrize(("a", "b", "em", "f1"), [(" Foo  BAR ", "foo bar", 1.0, 1.0), ("alpha beta", "gamma", 0.0, 0.0), ("aa bb cc", "aa bb dd", 0.0, 0.6667), ("", "", 0.0, 0.0), ("xx xx", "xx", 0.0, 0.6667), (None, None, 0.0, 0.0)])
 def test_match(spark, a, b, em, f1):
     assert value(spark, tx.exact_match(F.col("a"), F.col("b")), a=a, b=b) == em
-    assert value(spark, tx.token_f1(F.col("a"), F.col("b")), a=a, b=b) == f1
+    assert token_f1(spark.createDataFrame([(1, a, b)], "k int, a string, b string"), ["k"], "a", "b").first()["f1"] == f1
 
 
 def test_keywords_keep_the_first_spelling(spark):
@@ -50,7 +51,7 @@ def test_low_value(spark, path, change, patch, low):
 
 @pytest.mark.parametrize(("raw", "want"), [("백엔드 개발자", "백엔드"), ("Front-End", "프론트엔드"), ("QA team", "QA"), ("Product Owner", "기획"), ("PM", None), ("full stack", None), ("plumber", None), ("", None), (None, None), ("ＡＩ", "AI")])
 def test_roles(spark, raw, want):
-    assert value(spark, normalize.normalize_role(F.col("a"), normal_form=True), a=raw) == want
+    assert value(spark, normalize.normalize_role(F.col("a")), a=raw) == want
     assert normalize.role_of(raw) == want
 
 
@@ -72,10 +73,24 @@ def test_follow_up_tasks_take_texts_and_objects(spark):
     assert [(x["role"], x["task"]) for x in row.select(normalize.follow_up_tasks(F.col("t"))).first()[0]] == [(None, "write docs"), ("QA", "test")]
 
 
-def test_evidence_ids_step_over_taken_ones(spark):
-    kept = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c")], "query_id long, rank int, chunk_id string")
-    cited = spark.createDataFrame([(1, 1, "c1", "b")], "query_id long, pos int, id string, location string")
-    assert sorted((r["ref_id"], r["chunk_id"]) for r in normalize.evidence_refs(cited, kept).collect()) == [("c1", "b"), ("c2", "a"), ("c3", "c")]
+def test_evidence_ids_go_by_place(spark):
+    """An unnamed citation is e and its place; a kept hit c and its place among all kept ones, moved on by their number where that id is cited."""
+    kept = spark.createDataFrame([(1, 1, "a", "f.py", 0.9), (1, 2, "b", None, 0.8), (1, 3, "c", "", 0.7), (2, 1, "z", None, 0.5)], "query_id long, rank int, chunk_id string, file_path string, score double")
+    cited = spark.createDataFrame([(1, 1, "c1", None, "b", "null"), (1, 2, None, None, "x.py", "why"), (1, 4, "c4", "context", None, None)], "query_id long, pos int, id string, source string, location string, description string")
+    got = [(r["query_id"], r["ref_id"], r["source"], r["location"], r["description"], r["chunk_id"]) for r in normalize.evidence_refs(cited, kept).orderBy("query_id", "place").collect()]
+    assert got == [(1, "c1", "context", "b", None, "b"), (1, "e2", "pr_diff", "x.py", "why", None), (1, "c4", "context", None, None, None), (1, "c7", "context", "f.py", None, "a"), (1, "c3", "context", "c", None, "c"), (2, "c1", "context", "z", None, "z")]
+
+
+def test_a_judge_without_tokens_says_zero(spark):
+    s = judges.generation_judge(F.col("q"), F.col("c"), F.col("a"), F.array().cast("array<string>"))
+    row = spark.createDataFrame([("?", "text", "!!")], "q string, c string, a string").select(*(v.alias(n) for n, v in s.items())).first()
+    assert (row["groundedness"], row["faithfulness"], row["hallucination"], row["context_relevance"], row["completeness"], row["answer_relevance"]) == (0.0, 0.0, 1.0, 0.0, None, None)
+
+
+def test_model_scores(spark):
+    rows = [(1, "groundedness", '{"score": 0.5, "reason": "r"}', None), (2, "groundedness", '{"score": "high"}', None), (3, "groundedness", "{bad", None), (4, "groundedness", None, "timeout"), (5, "taste", '{"score": 1}', None), (6, "groundedness", '{"reason": "r"}', None), (7, "groundedness", '{"score": "0.25"}', None)]
+    got = {r["query_id"]: (r["score"], r["error"]) for r in judges.model_scores(spark.createDataFrame(rows, "query_id long, criterion string, raw string, error string")).collect()}
+    assert got == {1: (0.5, None), 2: (None, "invalid_score"), 3: (None, "invalid_reply"), 4: (None, "timeout"), 5: (None, "unsupported_criterion"), 6: (None, None), 7: (0.25, None)}
 
 
 def test_diff_assembly(spark):
@@ -98,7 +113,7 @@ def test_offline_keywords(spark, word, label):
 
 def test_upper_median_is_not_interpolated(spark):
     df = spark.createDataFrame([(1, x) for x in (1.0, 2.0, 3.0, 4.0)] + [(2, 5.0), (2, 5.0), (2, 1.0)], "k int, x double")
-    assert dict(df.groupBy("k").agg(upper_median("x")).collect()) == {1: 3.0, 2: 5.0} == dict(upper_median_by(df, ["k"], "x").collect())
+    assert {1: 3.0, 2: 5.0} == dict(upper_median_by(df, ["k"], "x").collect())
 
 
 def test_project_lookup_prefers_the_full_name(spark):
