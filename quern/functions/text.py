@@ -39,13 +39,15 @@ LOW_VALUE_MARKERS = ("/vendor/", "/node_modules/", "/dist/", "/build/", "/genera
 
 #: White space of all of Unicode, as a class that Java and RE2 read alike.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters, one by one.
+WHITE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: A number as text.
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end (trim() takes off spaces only)."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def round4(c: Column) -> Column:

@@ -1,5 +1,6 @@
 """Registered queries and the DuckDB SQL that checks them."""
 
+from . import records  # noqa: F401  registers its queries
 from .queries import ORACLE_SQL, QUERIES, flagship
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -107,3 +107,46 @@ def test_reports(spark):
     ver = spark.createDataFrame([("on", "no_gain")], "run string, verdict string")
     assert "| off | 0.500 |" in sinks.text_report(agg, ver) and "| on | - |" in sinks.text_report(agg, ver)
     assert json.loads(sinks.json_report(agg, ver))["verdicts"] == [{"run": "on", "verdict": "no_gain"}]
+
+
+def test_pull_requests_come_through_an_injected_fetcher(spark):
+    def fetch(repo):
+        if repo == "o/bad":
+            raise RuntimeError("no access")
+        return [{"number": n, "title": f"t{n}", "diff": "+x"} for n in (1, 2)]
+
+    got = sorted((r["repo_name"], r["number"], r["title"], r["error"]) for r in readers.fetch_pull_requests(spark, ["o/a", "o/bad"], fetch).collect())
+    assert got == [("o/a", 1, "t1", None), ("o/a", 2, "t2", None), ("o/bad", None, None, "no access")]
+
+
+def test_files_of_json(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n {"x": 1},\n {"x": 2}\n]')
+    assert sorted(r["x"] for r in readers.read_json_array(spark, str(tmp_path / "a.json"), "x int").collect()) == [1, 2]
+    (tmp_path / "b.jsonl").write_text('{"x": 1}\n\n{bad\n{"x": 2}\nworse\n')
+    assert [(r["line"], r["text"]) for r in readers.broken_lines(spark, str(tmp_path / "b.jsonl")).orderBy("line").collect()] == [(3, "{bad"), (5, "worse")]
+
+
+def test_reports_are_whole_or_refused(spark, tmp_path):
+    assert len(sinks.few(spark.range(50), 50)) == 50
+    with pytest.raises(ValueError):
+        sinks.few(spark.range(51), 50)
+    assert sinks.write_parquet(spark.range(7), str(tmp_path / "p")) == 7 == sinks.measurement_dump(spark.range(7), str(tmp_path / "m"))
+    text = sinks.keyword_text_report({"pr_count": 2, "total_keywords": 5, "error_count": 1, "important_rate": 0.5, "background_inference_rate": 0.25, "recurring": [("jwt", 2)]})
+    assert "50.0%" in text and "jwt (2)" in text and "(none)" not in text
+
+
+def test_job_table_is_made_once(spark, tmp_path):
+    path = str(tmp_path / "jobs")
+    assert jobs.init_jobs(spark, path).count() == 0
+    spark.createDataFrame([("j", 1, "PROCESSING", None, None, None)], jobs.JOB).write.mode("append").parquet(path)
+    assert jobs.init_jobs(spark, path).count() == 1
+
+
+def test_approximate_search_finds_most(spark, tiny):
+    from quern.operators.ann import approx_topk
+    from quern.operators.retrieval import vector_topk
+
+    e = spark.read.parquet(f"{tiny}/embeddings.parquet")
+    q, c = e.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding"), e.selectExpr("vec_id as chunk_id", "embedding")
+    exact = vector_topk(q, c, 5).select("query_id", "chunk_id")
+    assert approx_topk(q, c, 5).join(exact, ["query_id", "chunk_id"], "left_semi").count() >= 0.9 * exact.count()
