@@ -91,7 +91,7 @@ def fetch_pull_requests(spark: SparkSession, repos: list[str], fetch: Callable[[
                     rows += [{"repo_name": repo, "error": None, **{k: p.get(k) for k in ("number", "title", "body", "diff")}} for p in fetch(repo)]
                 except Exception as e:  # one repository's failure leaves the others alone
                     rows.append({"repo_name": repo, "error": str(e)})
-            yield pd.DataFrame(rows, columns=["repo_name", "number", "title", "body", "diff", "error"])
+            yield pd.DataFrame(rows, columns=["repo_name", "number", "title", "body", "diff", "error"]).astype({"number": "Int64"})
 
     return spark.createDataFrame([(r,) for r in repos], "repo_name string").repartition(max(1, len(repos) // per_task)).mapInPandas(run, PULL)
 
