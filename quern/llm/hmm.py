@@ -12,7 +12,8 @@ hash, text, count) in buckets of the hash. A bucket counts its words over all
 training texts and answers each text with its sum of log10(c + 0.1). Baum-Welch
 starts from an expectation maximisation on a bounded sample and then runs over
 all training texts until a pass raises their log likelihood by less than the
-share ``settle`` (``rounds`` passes at most): each task gathers expected counts
+share ``settle`` (``rounds`` passes at most). Steps after the first go ``reach`` times as far as
+plain ones, and a plain one follows a fall; the rise is compared with that of so many plain steps. Each task gathers expected counts
 over whole texts, these are summed across tasks by blocks of symbols, a few tasks at a time,
 and only the summed table, states x symbols, comes to the driver and goes out as single precision. Scoring is the
 scaled forward recursion over whole texts, many texts side by side. A text of more than LONG
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, crc_mod, parts, table, words_of
 
-SEGMENT, GROUP, LONG, PART = 1024, 400_000, 1 << 17, 4096
+SEGMENT, GROUP, LONG, PART = 1024, 300_000, 1 << 17, 4096
 TINY = 1e-30
 
 
@@ -73,6 +74,14 @@ class Model:
         e = emit + (np.minimum(emit, 1.0).sum(0) + 1.0) * share[:, None]
         return Model(s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(0, keepdims=True))
 
+    def beyond(self, new: Model, by: float) -> Model:
+        """The model by times as far from this one as new is, in logarithms: an over-relaxed step of Baum-Welch."""
+        def mix(a: np.ndarray, b: np.ndarray, axis: int) -> np.ndarray:
+            x = np.exp((1 - by) * np.log(np.maximum(a, TINY)) + by * np.log(np.maximum(b, TINY)))
+            return x / x.sum(axis, keepdims=True)
+
+        return Model(mix(self.start, new.start, 0), mix(self.move, new.move, 1), mix(self.emit, new.emit, 0))
+
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """log10 likelihood of each (non-empty) sequence: the scaled forward recursion, longest first; very long ones by segments."""
         out, short = np.zeros(len(sequences)), []
@@ -366,7 +375,7 @@ def _gather(batches):
         yield flush(now, held)
 
 
-def _sum_table(rows: DataFrame, width: int, states: int, fan: int = 32) -> np.ndarray:
+def _sum_table(rows: DataFrame, width: int, states: int, fan: int = 64) -> np.ndarray:
     """Adds (task, part, table) rows part by part across tasks, and gives all parts: at most states x symbols numbers.
 
     Tables of fan tasks are added first, then those sums by fan, until few are left, so that no reducer reads more than
@@ -408,7 +417,7 @@ def held_out_tenth(doc_id):
     return crc_mod(doc_id, 10) == 0
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=held_out_tenth, states: int = 16, head: int | None = None, sample: int = 3000, rounds: int = 50, settle: float = 5e-4) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=held_out_tenth, states: int = 16, head: int | None = None, sample: int = 3000, rounds: int = 50, settle: float = 5e-4, reach: float = 1.8) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of df."""
     spark, scratch, n_parts = df.sparkSession, Scratch(df.sparkSession, "hmm"), parts(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
@@ -477,7 +486,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     first = np.frombuffer(chosen.repartition(1).mapInArrow(first_model, "m binary").collect()[0]["m"], "<f8") if total else None
     cut = lambda a: Model(a[:states], a[states : states + states**2].reshape(states, states), a[states + states**2 :].reshape(width, states))
     model = cut(first) if total else Model.first(states, share)
-    last = None
+    last, far = None, 1.0
     for _ in range(rounds if total else 0):
         sent = spark.sparkContext.broadcast(Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit))))
 
@@ -487,12 +496,15 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             yield from put(np.vstack([counts[2], counts[0][None], counts[1], np.full((1, states), likelihood)]))
 
         got = _sum_table(train.mapInArrow(expect, "task int, part int, table binary"), width + 2 + states, states)
-        model = Model.of_counts(got[width], got[width + 1 : -1], got[:width], share)
         sent.unpersist()
-        now = float(got[-1, 0])
-        if last is not None and now - last < settle * abs(now):
+        spark._jvm.System.gc()  # lets go of the tables that the pass shuffled
+        step, now = Model.of_counts(got[width], got[width + 1 : -1], got[:width], share), float(got[-1, 0])
+        fell = last is not None and now < last
+        if last is not None and not fell and now - last < settle * far * abs(now):
+            model = step
             break
-        last = now
+        far = 1.0 if last is None or fell else reach  # the first step is long by itself; after a fall a plain one
+        model, last = model.beyond(step, far) if far > 1 else step, now
 
     sent = spark.sparkContext.broadcast((model, np.log10(c + 0.1), c > 0))
 
