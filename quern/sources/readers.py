@@ -5,7 +5,7 @@ from __future__ import annotations
 import subprocess
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,22 +78,23 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 PULL = "repo_name string, number long, title string, body string, diff string, error string"
+PULL_ROW = pa.schema([(n, pa.int64() if n == "number" else pa.string()) for n in ("repo_name", "number", "title", "body", "diff", "error")])
 
 
 def fetch_pull_requests(spark: SparkSession, repos: list[str], fetch: Callable[[str], list[dict]], per_task: int = 1) -> DataFrame:
     """Pull requests of repositories through an injected fetcher, from the executors; a failing one gives a row with its error."""
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for repo in pdf["repo_name"]:
+            for repo in batch.column("repo_name").to_pylist():
                 try:
                     rows += [{"repo_name": repo, "error": None, **{k: p.get(k) for k in ("number", "title", "body", "diff")}} for p in fetch(repo)]
                 except Exception as e:  # one repository's failure leaves the others alone
                     rows.append({"repo_name": repo, "error": str(e)})
-            yield pd.DataFrame(rows, columns=["repo_name", "number", "title", "body", "diff", "error"]).astype({"number": "Int64"})
+            yield pa.RecordBatch.from_pylist(rows, PULL_ROW)
 
-    return spark.createDataFrame([(r,) for r in repos], "repo_name string").repartition(max(1, len(repos) // per_task)).mapInPandas(run, PULL)
+    return spark.createDataFrame([(r,) for r in repos], "repo_name string").repartition(max(1, len(repos) // per_task)).mapInArrow(run, PULL)
 
 
 def tracked_files(spark: SparkSession, root: str) -> DataFrame | None:
