@@ -42,6 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+@contextlib.contextmanager
+def session_conf(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the plans that run inside; the earlier ones come back."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Shuffle files go as soon as the written table is there, since nothing else reads them.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 class Scratch:
     """Written tables in the shared folder, so that lineage is cut and a lost executor loses nothing.
 
@@ -69,6 +86,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def settle(self, df: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
+        """write(), after which the shuffle files of df are deleted."""
+        with session_conf(self.spark, TIDY | (settings or {})):
+            return self.write(df)
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later step reads."""
         for df in frames:
