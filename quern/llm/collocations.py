@@ -30,7 +30,7 @@ LONGEST = 4
 ENDS, GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 _TABLE = bytes(BREAK[0] if c in ENDS else 32 if c in GAPS else c for c in range(256))
 #: About so many keys meet in a range, and so many batches show their keys for the bounds of ranges.
-RANGE_KEYS, SHOWN = 2_000_000, 1024
+RANGE_KEYS, SHOWN = 1_000_000, 1024
 W = [f"w{k}" for k in range(1, LONGEST + 1)]
 MASK = np.uint64(0xFFFFFFFF)
 KEYS = np.dtype([("hi", ">u8"), ("lo", ">u8")])
@@ -245,12 +245,15 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int =
 
     first = dictionary.select(F.col("id").alias("i1"), "lang", F.col("word").alias("p1"))
     rows = kept.withColumn("i1", F.get("key", F.lit(0))).join(first, "i1")
-    by_lang = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    rows = rows.withColumn("rank", F.rank().over(by_lang)).filter(F.col("rank") <= top).drop("rank")
+    # Ranked in salted groups first, so that no task gets all phrases of a language.
+    best, salted = [F.desc("score"), F.desc("a")], ["lang", F.pmod(F.xxhash64("key"), F.lit(64))]
+    rows = rows.withColumn("rank", F.rank().over(Window.partitionBy(*salted).orderBy(*best))).filter(F.col("rank") <= top).drop("rank")
     for k in range(2, LONGEST + 1):
         rows = rows.withColumn(f"i{k}", F.get("key", F.lit(k - 1))).join(dictionary.select(F.col("id").alias(f"i{k}"), F.col("word").alias(f"p{k}")), f"i{k}", "left")
     rows = rows.withColumn("phrase", F.concat_ws(" ", *[f"p{k}" for k in range(1, LONGEST + 1)]))
-    last = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+    best = [*best, F.asc("phrase")]
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*salted).orderBy(*best))).filter(F.col("rank") <= top)
+    last = Window.partitionBy("lang").orderBy(*best)
     rows = rows.withColumn("rank", F.row_number().over(last).cast("long")).filter(F.col("rank") <= top)
     return rows.join(F.broadcast(sizes), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
