@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, collocations, decontaminate, hmm, itq, langid, packing, secret_scan, simhash, suffix_dedup, token_store, toxicity
+from . import align, collocations, decontaminate, hmm, html_extract, itq, langid, packing, secret_scan, simhash, suffix_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.query,
     "op10_secret_scan": secret_scan.query,
     "op11_align": align.query,
+    "op12_html_extract": html_extract.query,
     "op13_collocations": collocations.query,
 }
 
