@@ -21,6 +21,7 @@ and repeated doc_ids give a row each; other columns are left aside. Empty table:
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -59,20 +60,27 @@ class Pair:
 
     def __init__(self, path_a: str | None = None, path_b: str | None = None):
         import sentencepiece
-        from tokenizers import Tokenizer
 
         path_a, path_b = path_a or default_path(), path_b or piece_path()
         self.words = Encoder(path_a, 50_000)
-        self.whole = Tokenizer.from_file(path_a)
-        self.whole.encode_special_tokens = True  # their strings are plain text here
+        self.path_a = path_a
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = {c: b for b, c in BYTE_LETTERS.items()}
-        self.bytes_a = {k: bytes(letters[c] for c in t) for t, k in self.whole.get_vocab(with_added_tokens=False).items() if all(c in letters for c in t)}
+        self.bytes_a = {k: bytes(letters[c] for c in t) for t, k in self.words.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in letters for c in t)}
         self.bytes_b = [self._piece(k) for k in range(self.b.get_piece_size())]
         pieces = [self.b.id_to_piece(k).replace("▁", " ") for k in range(self.b.get_piece_size()) if not self.b.is_control(k)]
         if not self.words.by_cuts or any(" " in p.lstrip(" ") for p in pieces):
             raise ValueError("these tokenizers do not both cut before a lone space")
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer of A for which the strings of special tokens are plain text."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path_a)
+        whole.encode_special_tokens = True
+        return whole
+
     def _piece(self, k: int) -> bytes:
         piece = self.b.id_to_piece(k)
         if self.b.is_byte(k):
@@ -84,8 +92,9 @@ class Pair:
         given = [" " + w for w in words]
         special = [k for k, t in enumerate(given) if any(s in t for s in self.words.added)]
         out = [np.frombuffer(x, "<u4").tolist() for x in self.words.encode([None if k in set(special) else t for k, t in enumerate(given)] if special else given)]
-        for k, e in zip(special, self.whole.encode_batch([given[k] for k in special], add_special_tokens=False), strict=True):
-            out[k] = e.ids
+        if special:
+            for k, e in zip(special, self.whole.encode_batch([given[k] for k in special], add_special_tokens=False), strict=True):
+                out[k] = e.ids
         return out
 
     def encode_b(self, words: list[str]) -> list[list[int]]:
@@ -186,7 +195,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     spark, paths = docs.sparkSession, (path_a, path_b)
     scratch = Scratch(spark, "align")
     n = parts(spark)
-    coded = scratch.write(code_batches(docs, _splitter(paths), most_bytes=batch_bytes))
+    coded = scratch.settle(code_batches(docs, _splitter(paths), most_bytes=batch_bytes))
     places = batch_words(coded).drop("tag")
     words = scratch.settle(_encode(places.groupBy("word").agg(F.sum("n").alias("n")), paths).withColumn("word_id", F.monotonically_increasing_id()))
     # Dealt by stretch once, for the first windows and both sides of the join; the full join's rows are dealt once more.
@@ -194,7 +203,8 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     aligned = scratch.settle(align_words(words.repartition(n, "word_id")), once)
     scratch.drop(words)
     numbers = scratch.settle(_with_counts(scratch, aligned))
-    info = aligned.select("word", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups").join(numbers, "word")
+    info = scratch.settle(aligned.select("word", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups").join(numbers, "word"))
+    scratch.drop(aligned, numbers)
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     found = places.drop("n").join(info, "word").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("code", "groups", *names))).alias("x"))
     found = found.select("batch", *[F.col(f"x.{c}").alias(f"w_{c}") for c in ("groups", *names)])

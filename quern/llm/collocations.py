@@ -196,7 +196,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, scratch: Scratch | None = No
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "collocations")
     named = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    coded = scratch.write(code_batches(named, words_and_breaks, "lang"))
+    coded = scratch.settle(code_batches(named, words_and_breaks, "lang"))
     words = batch_words(coded).withColumnRenamed("tag", "lang")
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     dictionary = scratch.write(_dictionary(scratch, words, least))

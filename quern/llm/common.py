@@ -87,8 +87,8 @@ class Scratch:
         return out
 
     def settle(self, df: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
-        """write(), after which the shuffle files of df are deleted."""
-        with session_conf(self.spark, TIDY | (settings or {})):
+        """write(), more densely, after which the shuffle files of df are deleted."""
+        with session_conf(self.spark, TIDY | {"spark.sql.parquet.compression.codec": "zstd"} | (settings or {})):
             return self.write(df)
 
     def drop(self, *frames: DataFrame) -> None:
