@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,69 +39,134 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm > 0, norm, np.nan)
 
 
-def best_candidates(corpus: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = (), block: int = 4096) -> DataFrame:
+def _ids(column: pa.Array) -> np.ndarray:
+    """Ids as they are: whole numbers in 64 bits, never as floating-point numbers; all else as objects."""
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
+class Scorer:
+    """The best rows for a block of queries, fed with batches of a corpus; holds a bounded number of rows a query."""
+
+    def __init__(self, queries: pa.Table, k: int, keys: tuple[str, ...] = (), skip_self: bool = False):
+        queries = queries.combine_chunks()
+        column = lambda c: pa.concat_arrays(queries.column(c).chunks) if queries.num_rows else pa.array([], queries.schema.field(c).type)
+        self.k, self.keys, self.skip_self = k, keys, skip_self
+        self.ids, self.vectors = _ids(column("query_id")), _unit(_matrix(column("embedding")))
+        self.own = list(zip(*(column(c).to_pylist() for c in keys), strict=True))
+        self.q, self.s, self.chunk = np.zeros(0, np.int64), np.zeros(0), None
+
+    def add(self, rows: pa.RecordBatch | pa.Table) -> None:
+        """Scores rows (chunk_id, embedding, keys) in tiles of bounded size."""
+        for b in rows.to_batches() if isinstance(rows, pa.Table) else [rows]:
+            for lo in range(0, b.num_rows, 2048):
+                self._tile(b.slice(lo, 2048))
+
+    def _tile(self, b: pa.RecordBatch) -> None:
+        if not len(self.ids):
+            return
+        b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column("embedding")), self.vectors.shape[1]), False))
+        if not b.num_rows:
+            return
+        theirs = _unit(_matrix(b.column("embedding")))
+        s, chunk = self.vectors @ theirs.T, _ids(b.column("chunk_id"))
+        if self.skip_self:
+            s[self.ids[:, None] == chunk[None]] = np.nan
+        if self.keys:
+            of = list(zip(*(b.column(c).to_pylist() for c in self.keys), strict=True))
+            number = {x: i for i, x in enumerate(dict.fromkeys([*self.own, *of]))}
+            s[np.array([number[x] for x in self.own])[:, None] != np.array([number[x] for x in of])[None]] = np.nan
+        s[np.isnan(s)] = -np.inf
+        m = min(self.k, s.shape[1])
+        least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+        q, c = np.nonzero((s >= least[:, None] - SLACK) & np.isfinite(s))
+        self.q, self.s = np.concatenate([self.q, q]), np.concatenate([self.s, s[q, c]])
+        self.chunk = chunk[c] if self.chunk is None else np.concatenate([self.chunk, chunk[c]])
+        if len(self.q) > 8 * self.k * len(self.ids):
+            self._shrink()
+
+    def _shrink(self) -> None:
+        """Keeps the k best rows of each query and those within rounding of the k-th."""
+        order = np.lexsort((-self.s, self.q))
+        q, s = self.q[order], self.s[order]
+        first, last = np.searchsorted(q, q, "left"), np.searchsorted(q, q, "right")
+        keep = s >= s[np.minimum(first + self.k - 1, last - 1)] - SLACK
+        self.q, self.s, self.chunk = q[keep], s[keep], self.chunk[order][keep]
+
+    def best(self, types: dict[str, pa.DataType]) -> pa.RecordBatch | None:
+        if not len(self.q):
+            return None
+        self._shrink()
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.q], types["query_id"]), pa.array(self.chunk, types["chunk_id"]), pa.array(self.s, pa.float64())], ["query_id", "chunk_id", "similarity"])
+
+
+#: Scores closer than this to the k-th are kept, so that rounding to four places decides later on all that it may touch.
+SLACK = 1e-4
+#: Most bytes of query vectors that are sent to every task at once.
+SENT_BYTES = 64 << 20
+
+
+def unpacked(packed: pa.Table) -> pa.Table | None:
+    """Queries from the column that packs them; None for a side without rows, which comes without columns."""
+    if "asked" not in packed.schema.names:
+        return None
+    return pa.Table.from_batches([pa.RecordBatch.from_struct_array(c) for c in packed.column("asked").chunks])
+
+
+def _schema(queries: DataFrame, corpus: DataFrame) -> tuple[str, dict[str, pa.DataType]]:
+    kinds = {c: df.schema[c].dataType for df, c in ((queries, "query_id"), (corpus, "chunk_id"))}
+    return f"query_id {kinds['query_id'].simpleString()}, chunk_id {kinds['chunk_id'].simpleString()}, similarity double", {c: to_arrow_type(t) for c, t in kinds.items()}
+
+
+def best_candidates(corpus: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = (), skip_self: bool = False, sent_bytes: int = SENT_BYTES, tile: int = 4096) -> DataFrame:
     """(query_id, chunk_id, similarity): for each query every row of corpus that can be among its k nearest.
 
-    queries has query_id, embedding and the key columns; corpus has chunk_id, embedding and the key columns.
-    A stated query set goes out in broadcast blocks of at most ``block`` queries; each task scores its batches by
-    a matrix product and keeps its k best of every query (and what lies within rounding of them), so that what is
-    shuffled grows with queries x tasks, never with queries x corpus. Rows with another key, or the query's own
-    id, are no candidates.
-    """
-    schema = "query_id long, chunk_id long, similarity double"
-    out = None
-    rows = queries.select("query_id", "embedding", *keys).where("embedding is not null").orderBy("query_id").toLocalIterator()
-    held: list = []
+    queries has query_id, embedding and the key columns; corpus has chunk_id, embedding and the key columns; ids are of
+    any type and come back as they are. Rows with another key are no candidates, nor with skip_self those with the
+    query's own id (for queries that are rows of the corpus). Null and zero vectors, and vectors of another
+    length than the queries', have no neighbours.
 
-    def part(chosen: list) -> DataFrame:
-        ids = np.array([r["query_id"] for r in chosen], np.int64)
-        vectors = _unit(np.array([r["embedding"] for r in chosen], np.float64))
-        own = [tuple(r[c] for c in keys) for r in chosen]
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, vectors, own))
+    The corpus is read once. Queries of at most sent_bytes go to every task, which keeps its k best of each; more of
+    them meet the corpus in cells of a query tile and a corpus group, in one shuffle of corpus rows x tiles and
+    queries x groups. What a cell gives grows with its queries only.
+    """
+    schema, types = _schema(queries, corpus)
+    asked, rows = queries.select("query_id", "embedding", *keys).where("embedding is not null"), corpus.select("chunk_id", "embedding", *keys).where("embedding is not null")
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("embedding") * 8 + 64), F.lit(0)).alias("bytes")).first()
+    if not size["n"]:
+        return corpus.sparkSession.createDataFrame([], schema)
+    if size["bytes"] <= sent_bytes:
+        shared = corpus.sparkSession.sparkContext.broadcast(asked.toArrow())
 
         def score(batches):
-            ids, vectors, own = shared.value
-            kept = np.zeros((0, 3))
+            table = shared.value
+            blocks = [Scorer(table.slice(lo, tile), k, keys, skip_self) for lo in range(0, table.num_rows, tile)]
             for b in batches:
-                if not b.num_rows:
-                    continue
-                for lo in range(0, b.num_rows, 2048):  # tiles of bounded size
-                    kept = _add(kept, b.slice(lo, 2048), ids, vectors, own)
-            kept = _shrink(kept, k)
-            if len(kept):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[kept[:, 0].astype(int)]), pa.array(kept[:, 1].astype(np.int64)), pa.array(kept[:, 2])], ["query_id", "chunk_id", "similarity"])
-
-        def _add(kept, b, ids, vectors, own):
-            s = vectors @ _unit(_matrix(b.column("embedding"))).T
-            chunk = b.column("chunk_id").to_numpy(zero_copy_only=False)
-            s[ids[:, None] == chunk[None]] = np.nan
-            if keys:
-                theirs = list(zip(*(b.column(c).to_pylist() for c in keys), strict=True))
-                number = {x: i for i, x in enumerate(dict.fromkeys([*own, *theirs]))}
-                s[np.array([number[x] for x in own])[:, None] != np.array([number[x] for x in theirs])[None]] = np.nan
-            s[np.isnan(s)] = -np.inf
-            m = min(k, s.shape[1])
-            least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
-            q, c = np.nonzero((s >= least[:, None] - 1e-4) & np.isfinite(s))
-            kept = np.concatenate([kept, np.stack([q, chunk[c], s[q, c]], 1)])
-            return _shrink(kept, k) if len(kept) > 8 * k * len(ids) else kept
-
-        return corpus.select("chunk_id", "embedding", *keys).mapInArrow(score, schema)
-
-    for r in rows:
-        held.append(r)
-        if len(held) == block:
-            out = part(held) if out is None else out.unionByName(part(held))
-            held = []
-    if held:
-        out = part(held) if out is None else out.unionByName(part(held))
-    return out if out is not None else corpus.sparkSession.createDataFrame([], schema)
-
-
-def _shrink(rows: np.ndarray, k: int) -> np.ndarray:
-    """The k best rows of each query and those within rounding of the k-th."""
-    rows = rows[np.lexsort((rows[:, 1], -rows[:, 2], rows[:, 0]))]
-    first = np.searchsorted(rows[:, 0], rows[:, 0], side="left")
-    last = np.searchsorted(rows[:, 0], rows[:, 0], side="right")
-    kth = np.minimum(first + k - 1, last - 1)
-    return rows[rows[:, 2] >= rows[kth, 2] - 1e-4] if len(rows) else rows
+                for block in blocks:
+                    block.add(b)
+            for block in blocks:
+                if (out := block.best(types)) is not None:
+                    yield out
+
+        return rows.mapInArrow(score, schema)
+
+    tiles = -(-size["n"] // tile)
+    groups = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    empty = pa.RecordBatch.from_pylist([], pa.schema([("query_id", types["query_id"]), ("chunk_id", types["chunk_id"]), ("similarity", pa.float64())]))
+
+    def cell(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        asked = unpacked(asked)
+        if asked is None or "embedding" not in rows.schema.names:
+            return pa.Table.from_batches([empty])
+        block = Scorer(asked, k, keys, skip_self)
+        block.add(rows)
+        return pa.Table.from_batches([block.best(types) or empty])
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Packed, since both sides of a cogroup may come from one table, whose columns they must not share.
+    left = asked.select("query_id", F.struct("*").alias("asked")).withColumn("tile", F.pmod(F.xxhash64("query_id"), F.lit(tiles)).cast("int")).withColumn("group", every(groups)).drop("query_id")
+    right = rows.withColumn("group", F.pmod(F.xxhash64("chunk_id"), F.lit(groups)).cast("int")).withColumn("tile", every(tiles))
+    return left.groupBy("tile", "group").cogroup(right.groupBy("tile", "group")).applyInArrow(cell, schema)

@@ -10,9 +10,12 @@ from ..functions import text as tx
 from ..functions.vector import best_candidates
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULTS.top_k, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k nearest rows by cosine rounded to four places, ties by id."""
-    found = best_candidates(corpus, queries, k, keys).select("query_id", "chunk_id", F.round("similarity", 4).alias("score"))
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULTS.top_k, keys: tuple[str, ...] = (), skip_self: bool = False) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k nearest rows by cosine rounded to four places, ties by id.
+
+    With skip_self a query does not find the row of its own id.
+    """
+    found = best_candidates(corpus, queries, k, keys, skip_self).select("query_id", "chunk_id", F.round("similarity", 4).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

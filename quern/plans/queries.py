@@ -45,12 +45,12 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return vector_topk(_asked(spark, d), _vectors(spark, d), K)
+    return vector_topk(_asked(spark, d), _vectors(spark, d), K, skip_self=True)
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     """The nearest vectors of the query's own label are what it should find."""
-    return vector_topk(_asked(spark, d), _vectors(spark, d), 3, ("label",)).select("query_id", "chunk_id")
+    return vector_topk(_asked(spark, d), _vectors(spark, d), 3, ("label",), True).select("query_id", "chunk_id")
 
 
 ALL_SCORES = """q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM embeddings WHERE vec_id % 20 = 0),
@@ -76,7 +76,7 @@ def vector_topk_query(spark, d):
 
 @query(f"WITH {ALL_SCORES} SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE ql = cl) WHERE rank <= {K}")
 def vector_topk_by_key(spark, d):
-    return vector_topk(_asked(spark, d), _vectors(spark, d), K, ("label",)).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    return vector_topk(_asked(spark, d), _vectors(spark, d), K, ("label",), True).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 MERGED = f"""{ALL_SCORES}, two AS (SELECT query_id, chunk_id, score, chunk_id % 2 AS src_ord FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, src_ord ORDER BY score DESC, chunk_id) AS rank FROM two),
@@ -85,7 +85,7 @@ m AS (SELECT query_id, chunk_id, score, src_ord, row_number() OVER (PARTITION BY
 
 def _merged(spark, d):
     v = _vectors(spark, d)
-    return merge_sources(*(vector_topk(_asked(spark, d), v.where(f"chunk_id % 2 = {p}"), K) for p in (0, 1)))
+    return merge_sources(*(vector_topk(_asked(spark, d), v.where(f"chunk_id % 2 = {p}"), K, skip_self=True) for p in (0, 1)))
 
 
 @query(f"WITH {MERGED} SELECT query_id, chunk_id, score, src_ord, merged_rank FROM m")
@@ -574,7 +574,7 @@ def template_answer(spark, d):
 
 @query()
 def approx_topk(spark, d):
-    return ann.approx_topk(_asked(spark, d), _vectors(spark, d), K)
+    return ann.approx_topk(_asked(spark, d), _vectors(spark, d), K, skip_self=True)
 
 
 WORDS = lambda c: f"list_filter(regexp_split_to_array({c}, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')"
