@@ -22,16 +22,17 @@ and repeated doc_ids give a row each; other columns are left aside. Empty table:
 from __future__ import annotations
 
 import functools
+import json
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import batch_words, code_batches
 from .common import Scratch, map_batches, parts, table
-from .tokens import BYTE_LETTERS, Encoder, default_path
+from .tokens import BYTE_LETTERS, CUT, Encoder, default_path
 
 #: What is not a visible character: controls, spaces and format characters of any kind.
 _UNSEEN = r"\x00-\x20\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
@@ -87,15 +88,27 @@ class Pair:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
+    @functools.cached_property
+    def by_ranks(self):
+        """tiktoken's merger for A, which is the quicker one for words, if merging in order of ids is what A does; else None."""
+        import tiktoken
+
+        file = json.loads(self.words.tokenizer.to_str())
+        vocab = file["model"]["vocab"]
+        made = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in file["model"]["merges"]]
+        letters = sorted(k for t, k in vocab.items() if len(t) == 1)
+        plain = {b: k for k, b in self.bytes_a.items()}
+        if made != sorted(made) or len(letters) != 256 or [*letters, *made] != sorted(plain.values()):
+            return None
+        return tiktoken.Encoding("a", pat_str=CUT.pattern, mergeable_ranks=plain, special_tokens={})
+
     def encode_a(self, words: list[str]) -> list[list[int]]:
         """Ids of a space and the word."""
         given = [" " + w for w in words]
-        special = [k for k, t in enumerate(given) if any(s in t for s in self.words.added)]
-        out = [np.frombuffer(x, "<u4").tolist() for x in self.words.encode([None if k in set(special) else t for k, t in enumerate(given)] if special else given)]
-        if special:
-            for k, e in zip(special, self.whole.encode_batch([given[k] for k in special], add_special_tokens=False), strict=True):
-                out[k] = e.ids
-        return out
+        if self.by_ranks is None:
+            return [e.ids for e in self.whole.encode_batch(given, add_special_tokens=False)]
+        short, encode = 200, self.by_ranks.encode_ordinary
+        return [encode(t) if len(t) < short else self.whole.encode(t, add_special_tokens=False).ids for t in given]
 
     def encode_b(self, words: list[str]) -> list[list[int]]:
         return self.b.encode(words, num_threads=1)
@@ -186,11 +199,11 @@ def _with_counts(scratch: Scratch, aligned: DataFrame) -> DataFrame:
     return each.join(F.broadcast(pairs) if few else pairs, "link").groupBy("word").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
 
 
-def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, batch_bytes: int = 32 << 20) -> DataFrame:
+def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, batch_bytes: int = 32 << 20, slices: int = 3) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups): a row for each row of docs.
 
     groups: ``a1,a2|b1;a3|b2,b3`` in decimal ids. path_a: a byte-level BPE file of the tokenizers library; path_b: a
-    sentencepiece model. What meets in one task of a batch is about its bytes once more for its codes and its distinct stretches.
+    sentencepiece model. slices: of how many parts of the batches one at a time has shuffle files on the way back. What meets in one task of a batch is about its bytes once more for its codes and its distinct stretches.
     """
     spark, paths = docs.sparkSession, (path_a, path_b)
     scratch = Scratch(spark, "align")
@@ -203,23 +216,41 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     aligned = scratch.settle(align_words(words.repartition(n, "word_id")), once)
     scratch.drop(words)
     numbers = scratch.settle(_with_counts(scratch, aligned))
-    info = scratch.settle(aligned.select("word", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups").join(numbers, "word"))
+    info = scratch.settle(aligned.select("word", "n_a", "n_b", "n_groups", "groups").join(numbers, "word"))
     scratch.drop(aligned, numbers)
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    found = places.drop("n").join(info, "word").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("code", "groups", *names))).alias("x"))
-    found = found.select("batch", *[F.col(f"x.{c}").alias(f"w_{c}") for c in ("groups", *names)])
+    found = _back(scratch, places.drop("n"), info, slices)
+    scratch.drop(info)
+    both = coded.select("batch", "ids", "codes").join(found, "batch", "left")
+    return both.select(F.explode(F.transform(F.arrays_zip("ids", "codes"), _document)).alias("d")).select("d.*")
 
-    def total(codes, name: str):
-        # coalesce: a batch without words has no arrays
-        return F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + F.coalesce(F.get(F.col(f"w_{name}"), c - 1), F.lit(0)))
 
-    def document(d):
-        codes = d["codes"]
-        text = F.array_join(F.transform(codes, lambda c: F.get(F.col("w_groups"), c - 1)), "")
-        return F.struct(d["ids"].alias("doc_id"), *[total(codes, c).alias(c) for c in names], F.rtrim(text, F.lit(";")).alias("groups"))
+NUMBERS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
 
-    both = coded.select("batch", "ids", "codes").join(found, "batch", "left")
-    return both.select(F.explode(F.transform(F.arrays_zip("ids", "codes"), document)).alias("d")).select("d.*")
+
+def _back(scratch: Scratch, places: DataFrame, info: DataFrame, slices: int) -> DataFrame:
+    """(batch, w_groups, w_n_a, ...): for each batch its words' numbers and group strings in the order of their codes."""
+    out = None
+    for k in range(slices):
+        mine = places.filter(F.pmod(F.xxhash64("batch"), F.lit(slices)) == k)
+        found = mine.join(info, "word").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("code", "groups", *NUMBERS))).alias("x"))
+        found = scratch.settle(found.select("batch", *[F.col(f"x.{c}").alias(f"w_{c}") for c in ("groups", *NUMBERS)]))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _document(d: Column) -> Column:
+    """A document's sums over its codes, and its group strings joined; without codes all is zero or empty."""
+    codes = d["codes"]
+
+    def total(name: str) -> Column:
+        return F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + F.coalesce(F.get(F.col(f"w_{name}"), c - 1), F.lit(0)))
+
+    text = F.array_join(F.transform(codes, lambda c: F.get(F.col("w_groups"), c - 1)), "")
+    n_a, n_b, n_groups, n_best, count_sum = (total(c) for c in NUMBERS)
+    # Each end of a token of either side closes one link, and an end of both closes one only.
+    links = (n_a + n_b - n_groups).alias("n_links")
+    named = [x.alias(c) for x, c in zip((n_a, n_b, n_groups, n_best, count_sum), NUMBERS, strict=True)]
+    return F.struct(d["ids"].alias("doc_id"), *named[:3], links, *named[3:], F.rtrim(text, F.lit(";")).alias("groups"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
