@@ -17,14 +17,14 @@ def iso(ts: Column) -> Column:
 
 
 def latest_state(events: DataFrame, job: str = "job_id", at: str = "ts", order: str = "event_id") -> DataFrame:
-    """One row a job from (job, status, ts, event): the last terminal event wins, else the last event.
+    """One row a job from (job, status, ts, event): the last terminal event after the last start wins.
 
-    A terminal state is never left for PROCESSING; one terminal state may follow another. Jobs never seen starting
+    A start of a known id begins its job anew; one terminal state may follow another. Jobs never seen starting
     take no updates.
     """
     done = F.col("status").isin(*TERMINAL)
     e = F.struct(F.col(at).alias("ts"), F.col(order).alias("o"), F.col("status").alias("s"))
-    started = F.min(F.when(F.col("status") == PROCESSING, e))
+    started = F.max(F.when(F.col("status") == PROCESSING, e))
     got = events.groupBy(job).agg(started.alias("first"), F.max(F.when(done, e)).alias("last"), F.count("*").alias("n_events"))
     # Terminal events before the job's start are updates of an unknown job.
     known = got.where(F.col("first").isNotNull())

@@ -72,12 +72,15 @@ def offline_keyword_label(keyword: Column) -> Column:
 
 def keyword_label(keyword: Column, model_label: Column, criteria: Column, failed: Column) -> Column:
     """Offline first, then the model's label; important needs one of the criteria A to D; a failure is not_important."""
-    guarded = F.when(F.coalesce(failed, F.lit(False)), "not_important").when((model_label == "important") & ~F.arrays_overlap(criteria, F.array(*map(F.lit, IMPORTANT_CRITERIA))), "not_important").otherwise(model_label)
+    guarded = F.when(F.coalesce(failed, F.lit(False)), "not_important").when((model_label == "important") & ~F.coalesce(F.exists(criteria, lambda c: c.isin(*IMPORTANT_CRITERIA)), F.lit(False)), "not_important").otherwise(model_label)
     return F.coalesce(offline_keyword_label(keyword), guarded, F.lit("not_important"))
 
 
-def keyword_totals(judged: DataFrame) -> DataFrame:
-    """One row over judged keywords (pr_id, label, background, error): counts, and rates among those that were judged at all."""
+def keyword_totals(judged: DataFrame, prs: DataFrame | None = None) -> DataFrame:
+    """One row over judged keywords (pr_id, label, background, error): counts, and rates among those that were judged at all.
+
+    prs (pr_id) are all pull requests that were judged, so that one without keywords counts too; without it those with keywords are counted.
+    """
     ok = F.col("error").isNull()
     got = judged.agg(
         F.count_distinct("pr_id").alias("pr_count"),
@@ -87,6 +90,8 @@ def keyword_totals(judged: DataFrame) -> DataFrame:
         F.count_if(ok & F.coalesce("background", F.lit(False))).alias("b"),
     )
     rate = lambda c: F.coalesce(F.round(F.col(c) / F.nullif(F.col("total_keywords") - F.col("error_count"), F.lit(0)), 3), F.lit(0.0))
+    if prs is not None:
+        got = got.drop("pr_count").join(F.broadcast(prs.agg(F.count_distinct("pr_id").alias("pr_count"))), how="cross")  # a row each
     return got.select("pr_count", "total_keywords", "error_count", rate("i").alias("important_rate"), rate("b").alias("background_inference_rate"))
 
 

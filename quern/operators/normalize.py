@@ -117,24 +117,40 @@ def string_list(items: Column) -> Column:
     return F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.coalesce(tx.strip(x), F.lit("")) != "")
 
 
-def role_impacts(items: Column) -> Column:
-    """Impacts with a known role; a basis outside the set becomes null."""
+def _refs(x: Column, names: set[str]) -> Column:
+    """The references of an item under the first of their spellings that holds any."""
+    given = [x[c] for c in ("evidenceRefs", "evidence_refs", "evidenceIds") if c in names]
+    filled = [F.when(F.size(c) > 0, c) for c in given]
+    return string_list(F.coalesce(*filled, F.array().cast("array<string>")))
+
+
+def role_impacts(items: Column, team: Column | None = None, spellings: tuple[str, ...] = ("evidenceRefs",)) -> Column:
+    """Impacts with a known role, one of the team's where it has any; a basis outside the set becomes null.
+
+    spellings: under which of evidenceRefs, evidence_refs and evidenceIds the items name their references.
+    """
     there = F.coalesce(items, F.array())
     roles = nfkc_all(F.transform(there, lambda x: x["role"]))
-    made = F.zip_with(there, roles, lambda x, r: F.struct(_role(_key(r)).alias("role"), F.coalesce(x["impact"], F.lit("")).alias("impact"), F.when(tx.nullish(x["basis"]).isin(*BASIS), tx.nullish(x["basis"])).alias("basis"), string_list(x["evidenceRefs"]).alias("evidenceRefs")))
-    return F.filter(made, lambda x: x["role"].isNotNull())
+    made = F.zip_with(there, roles, lambda x, r: F.struct(_role(_key(r)).alias("role"), F.coalesce(x["impact"], F.lit("")).alias("impact"), F.when(tx.nullish(x["basis"]).isin(*BASIS), tx.nullish(x["basis"])).alias("basis"), _refs(x, set(spellings)).alias("evidenceRefs")))
+    return F.filter(made, lambda x: x["role"].isNotNull() & _of_team(x["role"], team))
+
+
+def _of_team(role: Column, team: Column | None) -> Column:
+    """Whether the team has a role; a team that names none has all."""
+    return F.lit(True) if team is None else (F.coalesce(F.size(team), F.lit(0)) < 1) | F.coalesce(F.array_contains(team, role), F.lit(False))
 
 
 REFS = "array<string>"
 
 
-def follow_up_tasks(items: Column) -> Column:
-    """From an array of JSON texts, each a string or an object: blank tasks out, unknown roles null, references kept."""
+def follow_up_tasks(items: Column, team: Column | None = None) -> Column:
+    """From an array of JSON texts, each a string or an object: blank tasks out, roles unknown or outside the team null, references kept."""
     there = F.coalesce(items, F.array().cast("array<string>"))
     roles = nfkc_all(F.transform(there, lambda v: F.get_json_object(v, "$.role")))
     task = lambda v: F.coalesce(F.get_json_object(v, "$.task"), F.when(~v.rlike(r"^\s*\{"), F.regexp_replace(v, r'^\s*"|"\s*$', "")))
-    refs = lambda v: F.coalesce(F.from_json(F.get_json_object(v, "$.evidenceRefs"), REFS), F.array().cast(REFS))
-    made = F.zip_with(there, roles, lambda v, r: F.struct(_role(_key(r)).alias("role"), tx.strip(task(v)).alias("task"), string_list(refs(v)).alias("evidenceRefs")))
+    listed = lambda v, c: F.from_json(F.get_json_object(v, f"$.{c}"), REFS)
+    refs = lambda v: F.coalesce(*[F.when(F.size(listed(v, c)) > 0, listed(v, c)) for c in ("evidenceRefs", "evidence_refs")], F.array().cast(REFS))
+    made = F.zip_with(there, roles, lambda v, r: F.struct(F.when(_of_team(_role(_key(r)), team), _role(_key(r))).alias("role"), tx.strip(task(v)).alias("task"), string_list(refs(v)).alias("evidenceRefs")))
     return F.filter(made, lambda x: F.coalesce(x["task"], F.lit("")) != "")
 
 
@@ -186,7 +202,7 @@ def legacy_lines(given: Column, items: Column, role: str, text: str) -> Column:
 
 def confirmation_items(items: Column, quality_warning: Column, needs: Column, warning_text: str, default_text: str) -> Column:
     """The model's list, the warning where quality is in doubt, a default where something is needed and nothing said."""
-    base = F.concat(string_list(items), F.when(quality_warning, F.array(F.lit(warning_text))).otherwise(F.array().cast("array<string>")))
+    base = F.concat(F.transform(string_list(items), tx.strip), F.when(quality_warning, F.array(F.lit(warning_text))).otherwise(F.array().cast("array<string>")))
     return F.when(needs & (F.size(base) == 0), F.array(F.lit(default_text))).otherwise(base)
 
 

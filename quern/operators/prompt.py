@@ -91,11 +91,19 @@ def query_text(title: Column, diff: Column, most: int = DEFAULTS.query_diff_char
     return F.concat(F.lit("PR Title/Summary: "), F.coalesce(title, F.lit("")), F.lit("\nPR Diff:\n"), F.left(F.coalesce(diff, F.lit("")), F.lit(most)))
 
 
-def query_variant(variant: Column, title: Column, diff: Column, paths: Column, identifiers: Column) -> Column:
-    """prod has the whole diff, prod_capped paths and a cut diff, files+diff paths and added identifiers first."""
+#: Fixed value: characters of a capped query.
+CAP_CHARS = 20_000
+
+
+def query_variant(variant: Column, title: Column, diff: Column, paths: Column, identifiers: Column, cap: int = CAP_CHARS) -> Column:
+    """prod: title and whole diff; prod_capped: with the paths before the diff, which is cut so that the whole has cap characters;
+    files+diff: title, paths and added identifiers, a line each, and any other variant title and paths; blank lines are left out."""
+    listed = F.array_join(paths, " ")
     whole = F.concat(F.lit("PR Title/Summary: "), title, F.lit("\nPR Diff:\n"), diff)
-    listed = F.concat(F.lit("Files: "), F.array_join(paths, ", "), F.lit("\n"))
-    return F.when(variant == "prod", whole).when(variant == "prod_capped", F.concat(listed, query_text(title, diff))).otherwise(F.concat(listed, F.lit("Identifiers: "), F.array_join(identifiers, ", "), F.lit("\n"), query_text(title, diff)))
+    head = F.concat(F.lit("PR Title/Summary: "), title, F.lit("\nChanged files: "), listed, F.lit("\nPR Diff:\n"))
+    lines = F.array(title, listed, F.when(variant == "files+diff", F.array_join(identifiers, " ")).otherwise(""))
+    short = F.array_join(F.filter(lines, lambda x: tx.strip(x) != ""), "\n")
+    return F.when(variant == "prod", whole).when(variant == "prod_capped", F.concat(head, F.left(diff, F.greatest(F.lit(0), F.lit(cap) - F.length(head))))).otherwise(short)
 
 
 def translated_query(translated: Column, title: Column, description: Column) -> Column:
@@ -104,16 +112,32 @@ def translated_query(translated: Column, title: Column, description: Column) ->
     return F.coalesce(F.nullif(tx.strip(translated), F.lit("")), plain)
 
 
-def fit_diff(limit: int, overhead: int, count: Callable[[str], int] | None = None, cut: Callable[[str, int], str] | None = None):
-    """A pandas UDF that trims a diff so that overhead, diff and marker stay within limit tokens."""
-    count, cut = count or (lambda t: len(t.split())), cut or (lambda t, n: " ".join(t.split()[:n]))
-    marker = "\n... (diff truncated)"
-    if overhead > limit:
-        raise PromptTooLarge(overhead, limit)
+#: Fixed value: what ends a diff that was cut.
+CUT_MARKER = "\n\n... (diff truncated to fit token budget)"
 
-    @F.pandas_udf("string")
-    def fit(s: pd.Series) -> pd.Series:
-        room = limit - overhead
-        return s.fillna("").map(lambda t: t if count(t) <= room else cut(t, max(0, room - count(marker))) + marker)
 
-    return fit
+def fit_diff(limit: int, count: Callable[[str], int] | None = None, cut: Callable[[str, int], str] | None = None):
+    """A pandas UDF of (overhead, diff): the diff, trimmed so that it, its marker and the row's other tokens stay within limit.
+
+    Gives struct<diff, error>: where the rest of the prompt and the marker leave no room, or what was trimmed is still
+    too long, the row is refused with an error, the others stay. Without a tokenizer tokens are white-space words.
+    """
+    count, cut = count or (lambda t: len(t.split())), cut or (lambda t, n: " ".join(t.split()[:n]))
+    ending = count(CUT_MARKER)
+
+    def fit(overhead: int, diff: str) -> tuple[str | None, str | None]:
+        n = count(diff)
+        if overhead + n <= limit:
+            return diff, None
+        room = limit - overhead - ending
+        made = cut(diff, room) + CUT_MARKER if room > 0 else None
+        if made is None or overhead + count(made) > limit:
+            return None, str(PromptTooLarge(overhead + n, limit))
+        return made, None
+
+    @F.pandas_udf("diff string, error string")
+    def fitted(overhead: pd.Series, diff: pd.Series) -> pd.DataFrame:
+        rows = [fit(int(o), d) for o, d in zip(overhead, diff.fillna(""), strict=True)]
+        return pd.DataFrame(rows, columns=["diff", "error"], dtype=object)
+
+    return fitted

@@ -27,11 +27,17 @@ def normalize_review(rows: DataFrame, table_name: str = "code_review_vectors") -
         "query_id",
         F.concat(F.lit("cr-"), c("id").cast("string")).alias("chunk_id"),
         F.lit("review").alias("source_type"),
-        F.coalesce(c("dataset_source"), F.lit(table_name)).alias("source"),
-        F.round("score", 4).alias("score"),
+        F.coalesce(F.nullif("dataset_source", F.lit("")), F.lit(table_name)).alias("source"),
+        F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"),
         tx.truthy(c("review_comment"), c("pr_diff"), c("source_code")).alias("text"),
         "orig_idx",
         "has_issue",
+        c("id").cast("string").alias("id"),
+        "dataset_source",
+        "source_code",
+        "pr_diff",
+        "review_comment",
+        F.lit(None).cast("string").alias("file_path"),
     )
 
 
@@ -61,8 +67,8 @@ def sufficiency(hits: DataFrame, threshold: float = DEFAULTS.sim_threshold, leas
     return got.withColumns({"sufficient": enough, "reason": F.when(F.col("retrieved") == 0, "no results").when(enough, "ok").otherwise("insufficient grounding")})
 
 
-def retrieve_with_signals(queries: DataFrame, reviews: DataFrame, repos: DataFrame | None, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def retrieve_with_signals(queries: DataFrame, reviews: DataFrame, repos: DataFrame | None, settings: Settings = DEFAULTS, skip_self: bool = False) -> tuple[DataFrame, DataFrame]:
     """(merged hits of both stores, sufficiency of each query); the repo store is asked only where there is one."""
-    hits = vector_topk(queries, reviews, settings.top_k)
-    merged = merge_sources(hits, vector_topk(queries, repos, settings.top_k)) if repos is not None else hits.withColumns({"src_ord": F.lit(0), "merged_rank": F.col("rank")})
+    hits = vector_topk(queries, reviews, settings.top_k, skip_self=skip_self)
+    merged = merge_sources(hits, vector_topk(queries, repos, settings.top_k, skip_self=skip_self)) if repos is not None else hits.withColumns({"src_ord": F.lit(0), "merged_rank": F.col("rank")})
     return merged, sufficiency(merged, settings.sim_threshold, settings.min_evidence)

@@ -14,14 +14,14 @@ from ..operators.filtering import context_filter, filter_outcome
 from ..operators.retrieval import retrieve_with_signals
 
 
-def analyse(queries: DataFrame, reviews: DataFrame, repos: DataFrame | None = None, settings: Settings = DEFAULTS, mode: str | None = None, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def analyse(queries: DataFrame, reviews: DataFrame, repos: DataFrame | None = None, settings: Settings = DEFAULTS, mode: str | None = None, decisions: DataFrame | None = None, skip_self: bool = False) -> tuple[DataFrame, DataFrame]:
     """(one row a query, its hits with kept).
 
     queries: query_id, diff, embedding. A blank diff retrieves nothing, has confidence 0 and needs confirmation. The
     filter runs before the gate: insufficient queries are filtered too, only generation is spared.
     """
     asked = queries.where(tx.strip(F.coalesce("diff", F.lit(""))) != "")
-    merged, enough = retrieve_with_signals(asked, reviews, repos, settings)
+    merged, enough = retrieve_with_signals(asked, reviews, repos, settings, skip_self)
     ranked = merged.drop("rank").withColumnRenamed("merged_rank", "rank")
     filtered = context_filter(ranked, mode or settings.filter_mode, settings.sim_threshold, decisions=decisions)
     conf = confidence(filtered, settings).select("query_id", "confidence", "quality_warning", "needs_confirmation", "strong_count")

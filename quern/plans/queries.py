@@ -502,7 +502,7 @@ def upsert_latest(spark, d):
 
 NOW = "TIMESTAMP '2024-01-20 00:00:00'"
 JOBS = """e AS (SELECT 'job-' || user_id AS job_id, event_id, ts, CASE WHEN user_id % 4 = 1 THEN 'PROCESSING' WHEN event_type = 'purchase' THEN 'COMPLETED' WHEN event_type = 'error' THEN 'FAILED' WHEN event_type = 'click' AND user_id % 3 <> 0 THEN 'COMPLETED' ELSE 'PROCESSING' END AS status FROM events),
-a AS (SELECT job_id, min((ts, event_id)) FILTER (status = 'PROCESSING') AS f, max((ts, event_id, status)) FILTER (status IN ('COMPLETED', 'FAILED')) AS l, count(*) AS n_events FROM e GROUP BY job_id),
+a AS (SELECT job_id, max((ts, event_id)) FILTER (status = 'PROCESSING') AS f, max((ts, event_id, status)) FILTER (status IN ('COMPLETED', 'FAILED')) AS l, count(*) AS n_events FROM e GROUP BY job_id),
 j AS (SELECT job_id, CASE WHEN l IS NOT NULL AND (l[1] > f[1] OR (l[1] = f[1] AND l[2] > f[2])) THEN l[3] ELSE 'PROCESSING' END AS status, f[1] AS started_at, CASE WHEN l IS NOT NULL AND (l[1] > f[1] OR (l[1] = f[1] AND l[2] > f[2])) THEN l[1] END AS completed_at, n_events FROM a WHERE f IS NOT NULL)"""
 TS = "strftime({c}, '%Y-%m-%dT%H:%M:%SZ')"
 

@@ -72,12 +72,13 @@ def case_load(spark, d):
     return readers.read_cases(spark, path).select("case_id", "query", "gold_chunks", "reference_keywords")
 
 
-@query("""SELECT doc_id AS query_id, 'cr-' || doc_id AS chunk_id, 'review' AS source_type, coalesce(CASE WHEN doc_id % 3 <> 0 THEN source END, 'code_review_vectors') AS source, round(n_chars / 7.0::DOUBLE, 4) AS score,
-CASE WHEN doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN 'a comment' WHEN doc_id % 3 = 0 THEN text ELSE lang END AS text, doc_id % 5 > 1 AS has_issue FROM documents""")
+@query("""SELECT doc_id AS query_id, 'cr-' || doc_id AS chunk_id, 'review' AS source_type, CASE WHEN doc_id % 7 <> 0 AND doc_id % 3 <> 0 THEN source ELSE 'code_review_vectors' END AS source, CASE WHEN doc_id % 11 = 0 THEN 0.0 ELSE round(n_chars / 7.0::DOUBLE, 4) END AS score,
+CASE WHEN doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN 'a comment' WHEN doc_id % 3 = 0 THEN text ELSE lang END AS text, doc_id * 2 AS orig_idx, doc_id % 5 > 1 AS has_issue,
+doc_id::VARCHAR AS id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 <> 0 THEN source END AS dataset_source, lang AS source_code, CASE WHEN doc_id % 3 = 0 THEN text END AS pr_diff, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 2 = 0 THEN 'a comment' END AS review_comment, NULL::VARCHAR AS file_path FROM documents""")
 def review_normalise(spark, d):
     i = F.col("doc_id")
-    rows = read_table(spark, d, "documents").select(i.alias("query_id"), i.alias("id"), (i * 2).alias("orig_idx"), F.when(i % 3 != 0, F.col("source")).alias("dataset_source"), (F.col("n_chars") / 7.0).alias("score"), F.when(i % 5 == 0, "").when(i % 2 == 0, "a comment").alias("review_comment"), F.when(i % 3 == 0, F.col("text")).alias("pr_diff"), F.col("lang").alias("source_code"), (i % 5 > 1).alias("has_issue"))
-    return normalize_review(rows).drop("orig_idx")
+    rows = read_table(spark, d, "documents").select(i.alias("query_id"), i.alias("id"), (i * 2).alias("orig_idx"), F.when(i % 7 == 0, "").when(i % 3 != 0, F.col("source")).alias("dataset_source"), F.when(i % 11 != 0, F.col("n_chars") / 7.0).alias("score"), F.when(i % 5 == 0, "").when(i % 2 == 0, "a comment").alias("review_comment"), F.when(i % 3 == 0, F.col("text")).alias("pr_diff"), F.col("lang").alias("source_code"), (i % 5 > 1).alias("has_issue"))
+    return normalize_review(rows)
 
 
 @query("SELECT doc_id AS query_id, 'repo-' || left(md5(doc_id::VARCHAR), 8) AS chunk_id, 'repo' AS source_type, 'src/' || lang AS source, round(n_chars / 7.0::DOUBLE, 4) AS score, CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS text FROM documents")
@@ -194,18 +195,22 @@ def failure_texts(spark, d):
 
 
 @query(f"""WITH x AS (SELECT doc_id, source AS t, text AS d, CASE doc_id % 3 WHEN 0 THEN 'prod' WHEN 1 THEN 'prod_capped' ELSE 'files+diff' END AS v FROM documents)
-SELECT doc_id, CASE v WHEN 'prod' THEN 'PR Title/Summary: ' || t || chr(10) || 'PR Diff:' || chr(10) || d WHEN 'prod_capped' THEN 'Files: a.py, b.py' || chr(10) || 'PR Title/Summary: ' || t || chr(10) || 'PR Diff:' || chr(10) || left(d, 4000)
-ELSE 'Files: a.py, b.py' || chr(10) || 'Identifiers: run' || chr(10) || 'PR Title/Summary: ' || t || chr(10) || 'PR Diff:' || chr(10) || left(d, 4000) END AS q, CASE WHEN doc_id % 2 = 0 THEN 'en ' || t ELSE {STRIP("t || ' '")} END AS translated FROM x""")
+SELECT doc_id, CASE v WHEN 'prod' THEN 'PR Title/Summary: ' || t || chr(10) || 'PR Diff:' || chr(10) || d WHEN 'prod_capped' THEN left('PR Title/Summary: ' || t || chr(10) || 'Changed files: a.py b.py' || chr(10) || 'PR Diff:' || chr(10) || d, 300)
+ELSE t || chr(10) || 'a.py b.py' || chr(10) || 'run' END AS q, CASE WHEN doc_id % 2 = 0 THEN 'en ' || t ELSE {STRIP("t || ' '")} END AS translated FROM x""")
 def query_variants(spark, d):
     i = F.col("doc_id")
     variant = F.when(i % 3 == 0, "prod").when(i % 3 == 1, "prod_capped").otherwise("files+diff")
-    made = prompt.query_variant(variant, F.col("source"), F.col("text"), F.array(F.lit("a.py"), F.lit("b.py")), F.array(F.lit("run")))
+    made = prompt.query_variant(variant, F.col("source"), F.col("text"), F.array(F.lit("a.py"), F.lit("b.py")), F.array(F.lit("run")), 300)
     return read_table(spark, d, "documents").select("doc_id", made.alias("q"), prompt.translated_query(F.when(i % 2 == 0, F.concat(F.lit(" en "), "source")).otherwise(" 　"), F.col("source"), F.lit("")).alias("translated"))
 
 
-@query(f"SELECT doc_id, CASE WHEN len({WORDS('text')}) <= 90 THEN text ELSE array_to_string({WORDS('text')}[1:87], ' ') || chr(10) || '... (diff truncated)' END AS diff FROM documents")
+@query(f"""SELECT doc_id, CASE WHEN o + n <= 100 THEN text WHEN o < 93 THEN array_to_string({WORDS('text')}[1:93 - o], ' ') || chr(10) || chr(10) || '... (diff truncated to fit token budget)' END AS diff,
+CASE WHEN o + n > 100 AND o >= 93 THEN o + n END AS refused FROM (SELECT *, (doc_id % 10) * 11 AS o, len({WORDS('text')}) AS n FROM documents)""")
 def fit_diff(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", prompt.fit_diff(100, 10)("text").alias("diff"))
+    """A budget of 100 tokens, of which the rest of the prompt takes 0 to 99; the marker takes 7."""
+    overhead = F.col("doc_id") % 10 * 11
+    rows = read_table(spark, d, "documents").select("doc_id", prompt.fit_diff(100)(overhead, F.col("text")).alias("x"))
+    return rows.select("doc_id", "x.diff", F.regexp_extract("x.error", r"(\d+)", 1).cast("long").alias("refused"))
 
 
 @query(f"""SELECT doc_id, 'P=' || CASE WHEN doc_id % 2 = 0 THEN source ELSE '(정보 없음)' END || ' T=' || lang || ' B=(정보 없음) F=' || CASE WHEN doc_id % 3 = 0 THEN '  - (없음)' ELSE '  - a.py' || chr(10) || '  - {{b}}.py' END || ' D=' || CASE WHEN {STRIP('text')} = '' THEN '(diff 없음)' ELSE {STRIP('text')} END || ' R=QA, AI C=관련 기존 컨텍스트 없음 L=ko S={{"x"}}' AS prompt,
@@ -230,7 +235,7 @@ def context_fallbacks(spark, d):
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['check ' || source] WHEN doc_id % 2 = 0 THEN ['warning'] WHEN doc_id % 5 = 0 THEN ['look'] ELSE [] END AS items FROM documents WHERE NOT (doc_id % 3 = 0 AND doc_id % 2 = 0) UNION ALL SELECT doc_id, ['check ' || source, 'warning'] FROM documents WHERE doc_id % 6 = 0")
 def confirmation_items(spark, d):
     i = F.col("doc_id")
-    items = F.when(i % 3 == 0, F.array(F.concat(F.lit("check "), "source"), F.lit(" "))).otherwise(F.lit(None).cast("array<string>"))
+    items = F.when(i % 3 == 0, F.array(F.concat(F.lit(" check "), "source", F.lit("\t")), F.lit(" "))).otherwise(F.lit(None).cast("array<string>"))
     return read_table(spark, d, "documents").select("doc_id", normalize.confirmation_items(items, i % 2 == 0, i % 5 == 0, "warning", "look").alias("items"))
 
 
@@ -330,7 +335,7 @@ def grounding_by_label(spark, d):
 SELECT query_id, coalesce(retrieved, 0) AS retrieved, coalesce(above_threshold, 0) AS above_threshold, coalesce(n_kept, 0) AS n_kept, filter_ratio, coalesce(above_threshold >= 1, false) AS sufficient, CASE WHEN retrieved IS NULL THEN 'no results' WHEN above_threshold >= 1 THEN 'ok' ELSE 'insufficient grounding' END AS reason FROM q LEFT JOIN x USING (query_id)""")
 def analysis_trace(spark, d):
     asked = _asked(spark, d).withColumn("diff", F.when(F.col("query_id") % 60 == 0, " 　").otherwise("+x"))
-    trace, _ = analysis.analyse(asked, _vectors(spark, d), None, SETTINGS, "on")
+    trace, _ = analysis.analyse(asked, _vectors(spark, d), None, SETTINGS, "on", skip_self=True)
     return trace.select("query_id", "retrieved", "above_threshold", "n_kept", "filter_ratio", "sufficient", "reason")
 
 

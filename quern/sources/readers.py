@@ -48,7 +48,7 @@ def as_case(raw: DataFrame) -> DataFrame:
     return raw.withColumn("query", query).select(
         F.coalesce(F.nullif("case_id", F.lit("")), F.nullif("id", F.lit("")), F.left("query", F.lit(32))).alias("case_id"),
         "query",
-        F.coalesce("gold_chunks", "gold_ids", none).alias("gold_chunks"),
+        F.when(F.size("gold_chunks") > 0, F.col("gold_chunks")).otherwise(F.coalesce("gold_ids", "gold_chunks", none)).alias("gold_chunks"),
         "reference_answer",
         F.coalesce("reference_keywords", none).alias("reference_keywords"),
         "metadata",

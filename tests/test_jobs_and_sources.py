@@ -22,13 +22,13 @@ def events(spark):
 
 def test_last_terminal_event_wins(spark):
     got = {r["job_id"]: r["status"] for r in jobs.latest_state(events(spark)).collect()}
-    assert got == {"a": "COMPLETED", "b": "PROCESSING", "d": "PROCESSING", "e": "COMPLETED"}
+    assert got == {"a": "COMPLETED", "b": "PROCESSING", "d": "PROCESSING", "e": "PROCESSING"}  # e was submitted again
 
 
 def test_reaping_twice_changes_nothing(spark):
     now = F.lit(T0 + dt.timedelta(minutes=60))
     once = jobs.reap_stale(jobs.latest_state(events(spark)), now)
-    assert {r["job_id"] for r in once.where("reaped").collect()} == {"b"}
+    assert {r["job_id"] for r in once.where("reaped").collect()} == {"b", "e"}
     assert jobs.reap_stale(once.drop("reaped"), now).where("reaped").count() == 0
     assert jobs.reap_stale(jobs.latest_state(events(spark)), now, 0).where("reaped").count() == 0
 
@@ -36,7 +36,7 @@ def test_reaping_twice_changes_nothing(spark):
 def test_purge_takes_terminal_jobs_only(spark):
     state = jobs.latest_state(events(spark))
     now = F.lit(T0 + dt.timedelta(days=3))
-    assert {r["job_id"] for r in jobs.purge_old(state, now, 1).collect()} == {"b", "d"}
+    assert {r["job_id"] for r in jobs.purge_old(state, now, 1).collect()} == {"b", "d", "e"}
     assert jobs.purge_old(state, now, 0).count() == 4
 
 
@@ -49,10 +49,27 @@ def test_stream_agrees_with_the_fold(spark, tmp_path):
     while sum(p["numInputRows"] for p in q.recentProgress) < len(EVENTS) and time.time() < deadline:
         time.sleep(0.5)
     q.stop()
-    got = {r["job_id"]: r["status"] for r in spark.sql("select job_id, max_by(status, struct(completed_at is not null, completed_at)) status from job_stream group by 1").collect()}
+    got = {r["job_id"]: r["status"] for r in spark.sql("select job_id, max_by(status, struct(started_at, completed_at is not null, completed_at)) status from job_stream group by 1").collect()}
     assert got == {r["job_id"]: r["status"] for r in jobs.latest_state(events(spark)).collect()}
 
 
+def test_stream_forgets_jobs_after_the_retention(spark, tmp_path):
+    for k in range(2):
+        events(spark).where(f"event_id % 2 = {k}").coalesce(1).write.json(str(tmp_path / "in"), mode="append")
+    stream = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
+    q = job_states(stream, minutes=100_000_000, days=2 / 86_400).writeStream.format("memory").queryName("job_retention").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    rows, deadline = None, time.time() + 120
+    running = sum(r["status"] == "PROCESSING" for r in jobs.latest_state(events(spark)).collect())
+    while time.time() < deadline:
+        done = sum(p["numInputRows"] for p in q.recentProgress) >= len(EVENTS)
+        rows = q.lastProgress["stateOperators"][0]["numRowsTotal"] if done and q.lastProgress["stateOperators"] else None
+        if rows == running:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert rows == running  # only jobs that still run are kept
+
+
 def test_cases(spark, tmp_path):
     path = tmp_path / "c.jsonl"
     path.write_text('{"case_id": "x", "query": "q", "gold_chunks": ["a"]}\n\n{"question": "what", "gold_ids": ["b"], "reference_keywords": ["k"]}\n')

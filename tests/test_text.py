@@ -139,3 +139,37 @@ def test_adapters_share_their_columns(spark):
 def test_chunks_overlap(spark):
     df = spark.createDataFrame([(1, " ".join(map(str, range(10)))), (2, ""), (3, None)], "id int, text string")
     assert [r["chunk"] for r in ingest.chunk_words(df, size=4, overlap=1).orderBy("id", "chunk_idx").collect()] == ["0 1 2 3", "3 4 5 6", "6 7 8 9"]
+
+
+def test_items_of_a_team_and_their_spellings(spark):
+    items = spark.createDataFrame([([("be", "i", "guess", ["e1"], None, ["x"]), ("qa", "j", None, [], [" ", "e2"], None), ("qa", "k", None, None, None, ["e3"]), ("painter", "l", None, None, None, None)], ["QA"], [])], "i array<struct<role: string, impact: string, basis: string, evidenceRefs: array<string>, evidence_refs: array<string>, evidenceIds: array<string>>>, team array<string>, none array<string>")
+    names = ("evidenceRefs", "evidence_refs", "evidenceIds")
+    of = lambda team: [(x["role"], x["impact"], x["evidenceRefs"]) for x in items.select(normalize.role_impacts(F.col("i"), team, names)).first()[0]]
+    assert of(F.col("team")) == [("QA", "j", ["e2"]), ("QA", "k", ["e3"])]
+    assert of(F.col("none")) == of(None) == [("\ubc31\uc5d4\ub4dc", "i", ["e1"]), ("QA", "j", ["e2"]), ("QA", "k", ["e3"])]
+    tasks = spark.createDataFrame([(['"write"', '{"role": "be", "task": "a", "evidence_refs": ["e1"]}', '{"role": "qa", "task": "b", "evidenceRefs": [], "evidence_refs": ["e2"]}'], ["QA"])], "t array<string>, team array<string>")
+    got = tasks.select(normalize.follow_up_tasks(F.col("t"), F.col("team"))).first()[0]
+    assert [(x["role"], x["task"], x["evidenceRefs"]) for x in got] == [(None, "write", []), (None, "a", ["e1"]), ("QA", "b", ["e2"])]
+
+
+def test_important_needs_a_criterion_that_is_there(spark):
+    from quern.operators.judges import keyword_label, keyword_totals
+
+    rows = [("caching layer", "important", c) for c in (None, [], ["E"], [None], [None, "B"], ["A"])]
+    df = spark.createDataFrame(rows, "k string, l string, c array<string>")
+    assert [r[0] for r in df.select(keyword_label(F.col("k"), F.col("l"), F.col("c"), F.lit(None).cast("boolean"))).collect()] == ["not_important"] * 4 + ["important"] * 2
+    judged = spark.createDataFrame([(1, "important", False, None)], "pr_id long, label string, background boolean, error string")
+    prs = spark.createDataFrame([(1,), (2,), (3,)], "pr_id long")
+    assert keyword_totals(judged, prs).first()["pr_count"] == 3 and keyword_totals(judged).first()["pr_count"] == 1
+    assert keyword_totals(judged.limit(0), prs.limit(0)).first()["pr_count"] == 0
+
+
+def test_cases_take_the_first_gold_list_that_holds_any(spark):
+    from quern import schemas
+    from quern.sources.readers import as_case
+
+    rows = [("a", "q", [], ["x"]), ("b", "q", ["y"], ["x"]), ("c", "q", None, ["x"]), ("d", "q", [], None), ("e", "q", None, None)]
+    names = spark.createDataFrame([], schemas.CASE).columns
+    df = spark.createDataFrame(rows, "case_id string, query string, gold_chunks array<string>, gold_ids array<string>")
+    df = df.unionByName(spark.createDataFrame([], schemas.CASE), allowMissingColumns=True).select(*names)
+    assert {r.case_id: r.gold_chunks for r in as_case(df).collect()} == {"a": ["x"], "b": ["y"], "c": ["x"], "d": [], "e": []}
