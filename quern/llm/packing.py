@@ -2,7 +2,9 @@
 
 A document's ids (with an end id) are cut into full pieces of the sequence
 length and one remainder. Remainders are counted in a histogram of length
-classes (``width`` tokens wide). A linear program over patterns (how many pieces of
+classes (``width`` tokens wide). If whole remainders would pad more than ``waste`` of the sequences that the
+tokens need at least, as those of 1025 tokens or very short ones do, remainders are cut at powers of two down to
+``finest``, classes are one token wide, and the same program packs the parts. A linear program over patterns (how many pieces of
 each class lie in one sequence) is solved on the driver by column generation: a
 knapsack dynamic program over the duals prices new patterns until none improves.
 Patterns are rounded down, what is left is placed first-fit by falling class, and
@@ -115,37 +117,69 @@ def solve(sizes: np.ndarray, demand: np.ndarray, room: int, most: int = 20_000,
     return found + [(b[1], 1) for b in bins]
 
 
-def cut_pieces(df: DataFrame, id_col: str, text_col: str, length: int, tokenizer: str | None, end_id: int) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) for every piece."""
+PIECE = "start long, length long, ids_crc32 long"
+
+
+def binary_parts(start: int, n: int, length: int, finest: int) -> list[tuple[int, int]]:
+    """(start, length) of the parts of a remainder: powers of two, falling, and a rest below finest."""
+    out, size = [], length
+    while n >= finest and size >= finest:
+        if n >= size:
+            out.append((start, size))
+            start, n = start + size, n - size
+        size //= 2
+    return [*out, (start, n)] if n else out
+
+
+def cut_pieces(df: DataFrame, id_col: str, text_col: str, length: int, tokenizer: str | None, end_id: int, finest: int) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, parts) for every piece; parts: of a remainder, as it would be cut, if that is not as it is."""
     end = int(end_id).to_bytes(4, "little")
+    part = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
     def run(batch: pa.RecordBatch, codec: Encoder):
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         for at in range(0, batch.num_rows, 1024):
-            rows = []
+            rows, parts = [], []
             for d, data in zip(ids[at : at + 1024], codec.encode(texts.slice(at, 1024).to_pylist()), strict=True):
                 data += end
                 n = len(data) // 4
-                rows += [(d, s, min(length, n - s), zlib.crc32(data[4 * s : 4 * (s + length)]), n) for s in range(0, n, length)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                for s in range(0, n, length):
+                    k = min(length, n - s)
+                    rows.append((d, s, k, zlib.crc32(data[4 * s : 4 * (s + k)]), n))
+                    cut = binary_parts(s, k, length, finest) if k < length else []
+                    parts.append([(a, m, zlib.crc32(data[4 * a : 4 * (a + m)])) for a, m in cut] if len(cut) > 1 else None)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(parts, part)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "parts"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", lambda: encoder(tokenizer))
+    return map_batches(rows, run, f"doc_id long, {PIECE}, doc_tokens long, parts array<struct<{PIECE.replace(' long', ': long')}>>", lambda: encoder(tokenizer))
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, width: int = 8, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, width: int = 8, tokenizer: str | None = None, end_id: int = 1, waste: float = 0.01, finest: int = 16) -> DataFrame:
     """The pieces of every document with their sequence and their place in it."""
     spark = df.sparkSession
     scratch, shards = Scratch(spark, "packing"), max(4, parts(spark) // 4)
-    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("int")
-    cls = F.ceil(F.col("length") / width).cast("int")
-    pieces = scratch.write(cut_pieces(df, id_col, text_col, length, tokenizer, end_id).withColumns({"cls": cls, "shard": shard}))
-    counts = scratch.write(pieces.groupBy("cls", "shard").agg(F.count("*").alias("n")))
-    totals = sorted((r["cls"], r["n"]) for r in counts.groupBy("cls").agg(F.sum("n").alias("n")).collect())  # at most length/width rows
-    sizes, demand = np.array([c for c, _ in totals], np.int64), np.array([n for _, n in totals], np.int64)
+    pieces = scratch.write(cut_pieces(df, id_col, text_col, length, tokenizer, end_id, finest))
+
+    def counted(pieces: DataFrame, width: int) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray, int]:
+        shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("int")
+        pieces = pieces.withColumns({"cls": F.ceil(F.col("length") / width).cast("int"), "shard": shard})
+        counts = scratch.write(pieces.groupBy("cls", "shard").agg(F.count("*").alias("n"), F.sum("length").alias("tokens")))
+        totals = sorted(tuple(r) for r in counts.groupBy("cls").agg(F.sum("n"), F.sum("tokens")).collect())  # at most length/width rows
+        return pieces, counts, *np.array(totals, np.int64).reshape(-1, 3).T[:2], sum(t for _, _, t in totals)
+
+    whole = pieces.drop("parts")
+    pieces_, counts, sizes, demand, tokens = counted(whole, width)
+    patterns = solve(sizes, demand, length // width)
+    least = -(-tokens // length)
+    if sum(times for _, times in patterns) > max((1 + waste) * least, least + 1):
+        cut = F.coalesce("parts", F.array(F.struct("start", "length", "ids_crc32")))
+        width = 1
+        pieces_, counts, sizes, demand, tokens = counted(pieces.select("doc_id", "doc_tokens", F.explode(cut).alias("p")).select("doc_id", "p.*", "doc_tokens"), width)
+        patterns = solve(sizes, demand, length)
+    pieces = pieces_
     plan: dict[int, list] = {int(c): [] for c in sizes}
     filled, first = dict.fromkeys(plan, 0), 0
-    for pattern, times in solve(sizes, demand, length // width):
+    for pattern, times in patterns:
         for i in np.flatnonzero(pattern):
             c, k = int(sizes[i]), int(pattern[i])
             plan[c].append((filled[c], k, first))

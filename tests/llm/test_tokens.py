@@ -130,3 +130,38 @@ def test_store_query_columns(spark, odd, plain, tmp_path):
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(got, key=lambda r: r[1]) == want
+
+
+def padding(df, length=2048):
+    rows = df.select("sequence_id", "length", "offset").collect()
+    ends = {}
+    for r in rows:
+        ends[r.sequence_id] = max(ends.get(r.sequence_id, 0), r.offset + r.length)
+    assert sum(r.length for r in rows) == sum(ends.values()) and max(ends.values()) <= length
+    return 1 - sum(ends.values()) / (len(ends) * length)
+
+
+def test_binary_parts():
+    for n in range(1, 2048):
+        cut = packing.binary_parts(7, n, 2048, 16)
+        assert cut[0][0] == 7 and sum(k for _, k in cut) == n and all(a + k == b for (a, k), (b, _) in zip(cut, cut[1:]))
+        assert all(k & (k - 1) == 0 for _, k in cut[:-1]) and (cut[-1][1] < 16 or cut[-1][1] & (cut[-1][1] - 1) == 0)
+
+
+@pytest.mark.parametrize("kind", ["1025", "1040", "700", "10", "1..40", "5..100", "log-normal", "63"])
+def test_packing_pads_little_at_any_length(spark, plain, kind):
+    """A text of n words that are one id each gives n + 1 ids."""
+    rng = np.random.default_rng(4)
+    lengths = {"1025": [1024] * 400, "1040": [1039] * 400, "700": [699] * 500, "10": [9] * 40_000, "63": [62] * 12_000, "1..40": rng.integers(0, 40, 20_000), "5..100": rng.integers(4, 100, 6000), "log-normal": np.minimum(rng.lognormal(4.3, 0.7, 5000), 4000).astype(int)}[kind]
+    df = spark.createDataFrame([(i, " the" * int(n)) for i, n in enumerate(lengths)], "doc_id long, text string").repartition(4)
+    out = packing.pack(df).cache()
+    assert out.agg({"length": "sum"}).first()[0] == sum(int(n) + 1 for n in lengths)
+    assert padding(out) < 0.01
+    ids = dict(enumerate(plain(" the" * int(n)) + [1] for n in lengths[:100]))
+    seen = {}
+    for r in out.where("doc_id < 100").collect():
+        want = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()
+        assert (r.ids_crc32, r.doc_tokens) == (zlib.crc32(want), len(ids[r.doc_id]))
+        seen.setdefault(r.doc_id, []).append((r.start, r.length))
+    for d, cuts in seen.items():
+        assert [a for a, _ in sorted(cuts)] == [sum(k for _, k in sorted(cuts)[:i]) for i in range(len(cuts))] and sum(k for _, k in cuts) == len(ids[d])
