@@ -80,23 +80,47 @@ def aggregate_runs(cases: DataFrame) -> DataFrame:
 
 
 def verdicts(aggregates: DataFrame, baseline: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """Every other run against the baseline: did confidence rise, and did quality with it."""
+    """Every other run against the baseline: did confidence rise, and did quality with it, with reasons and warnings.
+
+    What was not measured (null, or a column that aggregates lack) speaks neither for nor against a run; a reason says
+    so. Quality is faithfulness, else groundedness.
+    """
+    there = set(aggregates.columns)
+    of = lambda row, c: F.col(f"{row}.{c}") if c in there else F.lit(None).cast("double")
+    quality = lambda row: F.coalesce(of(row, "faithfulness"), of(row, "groundedness"))
+    delta = lambda c: F.round(of("o", c) - of("b", c), 4)
     base = aggregates.where(F.col("run") == baseline)
-    delta = lambda c: F.round(F.col(f"o.{c}") - F.col(f"b.{c}"), 4)
     joined = aggregates.where(F.col("run") != baseline).alias("o").crossJoin(F.broadcast(base).alias("b"))  # one row each
     got = joined.select(
         F.col("o.run").alias("run"),
         delta("confidence").alias("confidence_delta"),
         delta("post_precision").alias("precision_delta"),
         delta("post_recall").alias("recall_change"),
-        F.col("o.recall_delta").alias("recall_delta"),
-        F.col("o.false_deletion").alias("false_deletion"),
-        F.col("o.filter_ratio").alias("filter_ratio"),
+        F.round(quality("o") - quality("b"), 4).alias("quality_delta"),
+        of("o", "recall_delta").alias("recall_delta"),
+        of("o", "false_deletion").alias("false_deletion"),
+        of("o", "filter_ratio").alias("filter_ratio"),
     )
-    up, harm = F.col("confidence_delta") > 0, (F.coalesce("recall_delta", F.lit(0.0)) < 0) | (F.coalesce("false_deletion", F.lit(0.0)) > 0)
-    known = (F.coalesce("precision_delta", F.lit(0.0)) >= 0) & (F.coalesce("recall_delta", F.lit(0.0)) >= 0)
-    verdict = F.when(up & harm, "fake_confidence").when(up & known, "improved").otherwise("no_gain")
-    return got.withColumns({"verdict": verdict, "ratio_warning": F.col("filter_ratio") > settings.filter_ratio_warn})
+    at_least = lambda c: F.coalesce(F.col(c) >= 0, F.lit(True))
+    less, deleted = F.coalesce(F.col("recall_delta") < 0, F.lit(False)), F.coalesce(F.col("false_deletion") > 0, F.lit(False))
+    up, harm = F.coalesce(F.col("confidence_delta") > 0, F.lit(False)), less | deleted
+    verdict = F.when(up & harm, "fake_confidence").when(up & at_least("precision_delta") & at_least("quality_delta"), "improved").otherwise("no_gain")
+    is_ = lambda v: F.col("verdict") == v
+    number = lambda c: F.col(c).cast("string")
+    reasons = [
+        F.when(less, F.concat(F.lit("recall fell by the filter: "), number("recall_delta"))),
+        F.when(deleted, F.concat(F.lit("the filter removed gold chunks: "), number("false_deletion"))),
+        F.when(is_("fake_confidence"), "confidence rose while information was lost; lower the threshold"),
+        F.when(is_("improved"), "confidence rose and no information was lost"),
+        F.when(is_("improved") & F.col("precision_delta").isNull(), "precision was not measured"),
+        F.when(is_("improved") & F.col("quality_delta").isNull(), "answer quality was not measured"),
+        F.when(is_("no_gain") & ~up, "confidence did not rise"),
+        F.when(is_("no_gain") & harm, "information was lost"),
+    ]
+    high = F.coalesce(F.col("filter_ratio") > settings.filter_ratio_warn, F.lit(False))
+    warning = F.when(high, F.concat(F.lit("check retrieval: filter ratio "), number("filter_ratio"), F.lit(f" > {settings.filter_ratio_warn}")))
+    said = lambda items: F.filter(F.array(*items), lambda x: x.isNotNull())
+    return got.withColumn("verdict", verdict).withColumns({"ratio_warning": high, "reasons": said(reasons), "warnings": said([warning])})
 
 
 def error_stage(has_gold: Column, gold_retrieved: Column, gold_in_top_k: Column, gold_kept: Column, scores: dict[str, Column], answer: Column, judged: Column, settings: Settings = DEFAULTS) -> Column:

@@ -206,7 +206,7 @@ def eval_comparison(spark, d):
 @query(f"""{COMPARE}, v AS (SELECT o.run, round(o.confidence - b.confidence, 4) AS confidence_delta, round(o.post_precision - b.post_precision, 4) AS precision_delta, round(o.post_recall - b.post_recall, 4) AS recall_change, o.recall_delta, o.false_deletion, o.filter_ratio FROM agg o, agg b WHERE b.run = 'mean_off' AND o.run <> 'mean_off')
 SELECT *, CASE WHEN confidence_delta > 0 AND (recall_delta < 0 OR false_deletion > 0) THEN 'fake_confidence' WHEN confidence_delta > 0 AND precision_delta >= 0 AND recall_delta >= 0 THEN 'improved' ELSE 'no_gain' END AS verdict, filter_ratio > 0.8 AS ratio_warning FROM v""")
 def fake_confidence_verdict(spark, d):
-    return ev.verdicts(_aggregates(spark, d), "mean_off", SETTINGS)
+    return ev.verdicts(_aggregates(spark, d), "mean_off", SETTINGS).drop("quality_delta", "reasons", "warnings")
 
 
 STAGE_SQL = f"""WITH {HITS}, {GOLD}, {FILTERED}, x AS (SELECT f.query_id, count(*) FILTER (g.chunk_id IS NOT NULL) > 0 AS got, count(*) FILTER (g.chunk_id IS NOT NULL AND rank <= 3) > 0 AS in_top, count(*) FILTER (g.chunk_id IS NOT NULL AND kept) > 0 AS kept, max(score) AS top FROM f LEFT JOIN g ON g.query_id = f.query_id AND g.chunk_id = f.chunk_id GROUP BY 1),

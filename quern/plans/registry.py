@@ -1,6 +1,6 @@
 """Registered queries and the DuckDB SQL that checks them."""
 
-from . import records, stores  # noqa: F401  register their queries
+from . import generated, records, stores  # noqa: F401  register their queries
 from .queries import ORACLE_SQL, QUERIES, flagship
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
