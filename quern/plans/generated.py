@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import generation as gen
+from ..operators import record
+from ..sources.readers import read_table
 from .queries import COMPARE, COVER, PAIRS, R4, SETTINGS, STOP, TOKENS, _aggregates, _pairs, query
 
 
@@ -60,3 +62,19 @@ def verdict_reasons(spark, d):
     quality = F.create_map(*[F.lit(x) for i, n in enumerate(names, 1) for x in (n, i / 10)])
     got = ev.verdicts(agg.withColumn("faithfulness", quality[F.col("run")]), "mean_off", SETTINGS)
     return got.select("run", "quality_delta", "verdict", F.size("reasons").alias("n_reasons"), F.size("warnings").alias("n_warnings"))
+
+
+@query("""SELECT doc_id, lang AS summary, least(100, n_chars) AS risk, CASE WHEN doc_id % 4 = 0 THEN ['read ' || source] ELSE ['read ' || source, text] END AS tasks, CASE WHEN doc_id % 4 = 0 THEN [NULL] ELSE [NULL, 'QA'] END AS roles,
+CASE WHEN doc_id % 4 = 0 THEN ['$.followUpTasks[1]: BIGINT'] ELSE [] END || CASE WHEN doc_id % 3 = 0 THEN ['$.source: unknown field'] ELSE [] END AS errors FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) = text AND text <> ''""")
+def record_variants(spark, d):
+    """Records of mixed types made from the texts: plain tasks beside objects, numbers where objects belong, unknown fields."""
+    i = F.col("doc_id")
+    docs = read_table(spark, d, "documents").where("trim(BOTH ' \\t\\n\\r' FROM text) = text and text <> ''")
+    field = lambda name, value: F.concat(F.lit(f'"{name}": '), value)
+    text = lambda c: F.to_json(F.struct(F.col(c).alias("x")))
+    quoted = lambda c: F.regexp_extract(text(c), r'(?s)^\{"x":(.*)\}$', 1)
+    second = F.when(i % 4 == 0, i.cast("string")).otherwise(F.concat(F.lit('{"role": "Tester", "task": '), quoted("text"), F.lit("}")))
+    parts = [field("summary", quoted("lang")), field("riskScore", F.col("n_chars").cast("string")), field("followUpTasks", F.concat(F.lit('["read '), "source", F.lit('", '), second, F.lit("]")))]
+    raw = F.concat(F.lit("{"), F.concat_ws(", ", *parts, F.when(i % 3 == 0, field("source", F.lit("null")))), F.lit("}"))
+    got = record.parse(docs.select("doc_id", raw.alias("raw")))
+    return got.select("doc_id", "summary", F.col("riskScore").cast("long").alias("risk"), F.transform("followUpTasks", lambda x: x["task"]).alias("tasks"), F.transform("followUpTasks", lambda x: x["role"]).alias("roles"), "errors")
