@@ -221,7 +221,9 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     found = _back(scratch, places.drop("n"), info, slices)
     scratch.drop(info)
     both = coded.select("batch", "ids", "codes").join(found, "batch", "left")
-    return both.select(F.explode(F.transform(F.arrays_zip("ids", "codes"), _document)).alias("d")).select("d.*")
+    rows = both.select(F.explode(F.transform(F.arrays_zip("ids", "codes"), _document)).alias("d")).select("d.*")
+    # Each end of a token of either side closes one link, and an end of both closes one only.
+    return rows.withColumn("n_links", F.col("n_a") + F.col("n_b") - F.col("n_groups")).select("doc_id", *NUMBERS[:3], "n_links", *NUMBERS[3:], "groups")
 
 
 NUMBERS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
@@ -246,11 +248,7 @@ def _document(d: Column) -> Column:
         return F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + F.coalesce(F.get(F.col(f"w_{name}"), c - 1), F.lit(0)))
 
     text = F.array_join(F.transform(codes, lambda c: F.get(F.col("w_groups"), c - 1)), "")
-    n_a, n_b, n_groups, n_best, count_sum = (total(c) for c in NUMBERS)
-    # Each end of a token of either side closes one link, and an end of both closes one only.
-    links = (n_a + n_b - n_groups).alias("n_links")
-    named = [x.alias(c) for x, c in zip((n_a, n_b, n_groups, n_best, count_sum), NUMBERS, strict=True)]
-    return F.struct(d["ids"].alias("doc_id"), *named[:3], links, *named[3:], F.rtrim(text, F.lit(";")).alias("groups"))
+    return F.struct(d["ids"].alias("doc_id"), *[total(c).alias(c) for c in NUMBERS], F.rtrim(text, F.lit(";")).alias("groups"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
