@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
+from ..operators import chunking
 from ..operators import evaluate as ev
 from ..operators import generation as gen
 from ..operators import record
@@ -78,3 +80,13 @@ def record_variants(spark, d):
     raw = F.concat(F.lit("{"), F.concat_ws(", ", *parts, F.when(i % 3 == 0, field("source", F.lit("null")))), F.lit("}"))
     got = record.parse(docs.select("doc_id", raw.alias("raw")))
     return got.select("doc_id", "summary", F.col("riskScore").cast("long").alias("risk"), F.transform("followUpTasks", lambda x: x["task"]).alias("tasks"), F.transform("followUpTasks", lambda x: x["role"]).alias("roles"), "errors")
+
+
+@query("SELECT doc_id, length(text) AS reach, 0 AS over, 0 AS gaps FROM documents WHERE text <> ''")
+def chunk_boundaries(spark, d):
+    """Chunks at text boundaries reach from a text's start to its end, leave no gap and keep the budget."""
+    cut = chunking.chunk_text(read_table(spark, d, "documents").select("doc_id", "text"), size=64, overlap=8)
+    order = Window.partitionBy("doc_id").orderBy("chunk_idx")
+    gap = F.col("start") > F.coalesce(F.lag("end").over(order), F.lit(0))
+    seen = cut.withColumn("gap", gap).groupBy("doc_id")
+    return seen.agg(F.max("end").alias("reach"), F.count_if(F.size(F.filter(F.split("chunk", r"\s+"), lambda w: w != "")) > 64).alias("over"), F.count_if("gap").alias("gaps"))
