@@ -49,6 +49,8 @@ ORNAMENT = "".join(c for c in EDGE if c not in LEET)
 NUMBER = re.compile(r"[$€£+(!|]*\d[\d.,:/%()+-]*[€£$%]?[)!|]*")
 SEPARATORS = " .-_*~'`,"
 SWAP, DROP, SPLIT, SHRINK, KEEP = 0.7, 0.5, 1.0, 0.3, 6.0
+#: Characters of a token after which the lattice behind is settled.
+SETTLE = 256
 SIZE = 64
 
 
@@ -100,13 +102,18 @@ class CharModel:
     def decode(self, token: str) -> str:
         """The likeliest restored spelling; word breaks are spaces."""
         log, n = self.log, len(token)
-        paths: list[dict] = [{} for _ in range(n + 1)]
-        paths[0][(0, 0)] = (0.0, None, "")
+        paths: dict[int, dict] = {0: {(0, 0): (0.0, None, "")}}
+        done: list[str] = []
+        due = SETTLE
         for i in range(n):
-            if not paths[i]:
+            here = paths.get(i)
+            if not here:
                 continue
+            if i >= due:
+                self._settle(paths, i, done)
+                here, due = paths[i], i + SETTLE
             arcs = self._arcs(token, i)
-            for state, (score, _, _) in paths[i].items():
+            for state, (score, _, _) in here.items():
                 for step, out, cost in arcs:
                     a, b = state
                     s = score - cost
@@ -114,17 +121,42 @@ class CharModel:
                         c = int(CLASSES[min(ord(ch), len(CLASSES) - 1)])
                         s += float(log[a, b, c])
                         a, b = b, c
-                    to = paths[i + step]
+                    to = paths.setdefault(i + step, {})
                     if (a, b) not in to or s > to[(a, b)][0]:
                         to[(a, b)] = (s, (i, state), out)
         end = max(paths[n], key=lambda st: (paths[n][st][0] + float(log[st[0], st[1], 0]), st))
-        out, at = [], (n, end)
-        while at is not None and at[0] > 0:
-            _, back, o = paths[at[0]][at[1]]
+        return "".join([*done, self._written(paths, (n, end))])
+
+    @staticmethod
+    def _written(paths: dict[int, dict], at: tuple | None) -> str:
+        """What the path to a node writes since its root, the node without one before it."""
+        out = []
+        while at is not None:
+            _, at, o = paths[at[0]][at[1]]
             out.append(o)
-            at = back
         return "".join(reversed(out))
 
+    def _settle(self, paths: dict[int, dict], i: int, done: list[str]) -> None:
+        """Forgets what all paths share: the last node that every path goes through becomes the root, what it wrote is done.
+
+        So a token of any length keeps the lattice since that node only, and the result stays the exact one.
+        """
+        front = {(p, st) for p, states in paths.items() if p >= i for st in states}
+        while len(front) > 1:
+            node = max(front)
+            before = paths[node[0]][node[1]][1]
+            if before is None:
+                return
+            front.remove(node)
+            front.add(before)
+        p, state = front.pop()
+        if paths[p][state][1] is None:
+            return
+        done.append(self._written(paths, (p, state)))
+        for q in [q for q in paths if q < p]:
+            del paths[q]
+        paths[p] = {state: (paths[p][state][0], None, "")} if p < i else paths[p] | {state: (paths[p][state][0], None, "")}
+
     @staticmethod
     def _arcs(token: str, i: int) -> list[tuple[int, str, float]]:
         ch = token[i]

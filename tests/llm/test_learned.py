@@ -302,3 +302,28 @@ def test_language_query_is_the_mean_over_a_texts_windows(spark, tmp_path, odd, d
     got = [(r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 3)) for r in langid.query(spark, str(tmp_path)).collect()]
     assert sorted(map(str, (x[:3] for x in got))) == sorted(map(str, (x[:3] for x in want)))
     assert all(abs(g[3] - w[3]) <= 0.002 for g, w in zip(sorted(got, key=str), sorted(want, key=str), strict=True))
+
+
+def test_settled_lattices_decode_the_same_in_bounded_memory(monkeypatch):
+    import random
+    import tracemalloc
+
+    counts = np.zeros(toxicity.SIZE**3, np.int64)
+    toxicity.count_trigrams(["the idiot said that these stupid things are not the same as those others " * 5], counts)
+    model = toxicity.CharModel(counts)
+    r = random.Random(3)
+    texts = ["".join(r.choice("abdeiost013457$@!.-*_ é") for _ in range(r.randint(1, 400))) for _ in range(40)] + ["a" * 900 + "1d10t" * 60, "0" * 500, ".-" * 300, "i" * 5 + "1" * 700]
+    monkeypatch.setattr(toxicity, "SETTLE", 10**9)
+    whole = [model.decode(t) for t in texts]
+    for settle in (1, 7, 64):
+        monkeypatch.setattr(toxicity, "SETTLE", settle)
+        assert [model.decode(t) for t in texts] == whole
+    monkeypatch.setattr(toxicity, "SETTLE", 256)
+    token = "".join(r.choice("0123456789abcdef") for _ in range(20_000))
+    peaks = []
+    for n in (5000, 20_000):
+        tracemalloc.start()
+        model.decode(token[:n])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0]
