@@ -32,11 +32,17 @@ def main() -> None:
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - began
 
+    def calibration() -> float:
+        """Seconds of a fixed sum, so that machines can be told apart."""
+        began = time.perf_counter()
+        sum(range(20_000_000))
+        return round(time.perf_counter() - began, 3)
+
     times = {}
     for name in HEADLINE:
         once(name)  # compiles the plan's code
         times[name] = round(statistics.median(once(name) for _ in range(3)), 3)
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": folder.rstrip("/").rpartition("sf")[2]}))
+    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "cpus": int(cpus), "calibration": calibration(), "sf": folder.rstrip("/").rpartition("sf")[2]}))
     spark.stop()
 
 
