@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -29,7 +31,17 @@ def _folder(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(conf or 'file://' + tempfile.mkdtemp(prefix='quern-')).rstrip('/')}/io-{uuid.uuid4().hex[:12]}"
+    root = (conf or "file://" + tempfile.mkdtemp(prefix="quern-")).rstrip("/")
+    path = f"{root}/io-{uuid.uuid4().hex[:12]}"
+    atexit.register(_forget, spark, path if conf else root)  # results are lazy and may read it until then
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the process ends; of no effect where the session has ended before."""
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
