@@ -45,19 +45,19 @@ def parse_record(raw: Column) -> Column:
     return F.when(ok, F.from_json(raw, RECORD))
 
 
+#: An ending that leaves something before it. None is the end of another, so at most one of them matches.
+ROLE_ENDING = rf"(?s)(?<=.)(?:{'|'.join(ROLE_SUFFIXES)})\z"
+#: The role of each key; those that stand for no single role have none.
+ROLE_OF_KEY = {name: role for role, names in ROLE_ALIASES.items() for name in names if name not in AMBIGUOUS_ROLES}
+
+
 def _key(text: Column) -> Column:
-    text = F.regexp_replace(F.lower(tx.strip(F.coalesce(text, F.lit("")))), SEPARATORS, "")
-    out = text
-    for s in reversed(ROLE_SUFFIXES):
-        out = F.when(text.endswith(s) & (F.char_length(text) > len(s)), F.left(text, F.char_length(text) - len(s))).otherwise(out)
-    return out
+    """Each step takes the one before it once: the expression grows with its steps, not with their product."""
+    return F.regexp_replace(F.regexp_replace(F.lower(tx.strip(F.coalesce(text, F.lit("")))), SEPARATORS, ""), ROLE_ENDING, "")
 
 
 def _role(key: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for role, names in ROLE_ALIASES.items():
-        out = F.when(key.isin(*names), role).otherwise(out)
-    return F.when((key == "") | key.isin(*AMBIGUOUS_ROLES), F.lit(None).cast("string")).otherwise(out)
+    return F.element_at(F.create_map(*[F.lit(x) for pair in ROLE_OF_KEY.items() for x in pair]), key)
 
 
 def _nfkc(s: pd.Series) -> pd.Series:
@@ -88,6 +88,11 @@ def normalize_role(c: Column) -> Column:
     return _role(role_key(c))
 
 
+def roles_of(names: Column) -> Column:
+    """normalize_role of each name of an array; null gives an empty one."""
+    return F.transform(nfkc_all(names), lambda n: _role(_key(n)))
+
+
 def role_of(text: str | None) -> str | None:
     """normalize_role for one value on the driver."""
     key = re.sub(SEPARATORS, "", unicodedata.normalize("NFKC", text or "").strip().lower())
@@ -97,12 +102,12 @@ def role_of(text: str | None) -> str | None:
 
 def resolved_roles(roles: Column) -> Column:
     """Distinct roles in first-seen order; unresolved names are left out."""
-    return F.array_distinct(F.filter(F.transform(nfkc_all(roles), lambda r: _role(_key(r))), lambda r: r.isNotNull()))
+    return F.array_distinct(F.filter(roles_of(roles), lambda r: r.isNotNull()))
 
 
 def unresolved_roles(roles: Column) -> Column:
     """Distinct names, stripped, that stand for no role."""
-    pairs = F.zip_with(F.coalesce(roles, F.array().cast("array<string>")), nfkc_all(roles), lambda r, n: F.struct(tx.strip(r).alias("r"), _role(_key(n)).alias("role")))
+    pairs = F.zip_with(F.coalesce(roles, F.array().cast("array<string>")), roles_of(roles), lambda r, role: F.struct(tx.strip(r).alias("r"), role.alias("role")))
     return F.array_distinct(F.transform(F.filter(pairs, lambda p: (F.coalesce(p["r"], F.lit("")) != "") & p["role"].isNull()), lambda p: p["r"]))
 
 

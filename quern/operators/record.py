@@ -72,11 +72,10 @@ def parse(df: DataFrame, raw: str = "raw", team: str | None = None) -> DataFrame
     objects = lambda f: F.filter(items_of(c(f)), lambda x: kind(x) == "OBJECT")
     df = df.withColumns({"_tasks": F.filter(F.transform(items_of(c("followUpTasks")), task), lambda x: x["task"] != ""), "_impacts": F.transform(objects("roleImpacts"), impact)})
     # Normal form KC has no built-in function: one Arrow call for the names of all items.
-    df = df.withColumns({"_task_roles": nz.nfkc_all(F.transform("_tasks", lambda x: x["role"])), "_impact_roles": nz.nfkc_all(F.transform("_impacts", lambda x: x["role"]))})
-    role = lambda r: nz._role(nz._key(r))
+    df = df.withColumns({"_task_roles": nz.roles_of(F.transform("_tasks", lambda x: x["role"])), "_impact_roles": nz.roles_of(F.transform("_impacts", lambda x: x["role"]))})
     mine = lambda r: F.when(nz._of_team(r, here), r)
-    tasks = F.zip_with("_tasks", "_task_roles", lambda x, r: F.struct(mine(role(r)).alias("role"), x["task"].alias("task"), x["evidenceRefs"].alias("evidenceRefs")))
-    impacts = F.zip_with("_impacts", "_impact_roles", lambda x, r: F.struct(mine(role(r)).alias("role"), x["impact"].alias("impact"), F.when(x["basis"].isin(*nz.BASIS), x["basis"]).alias("basis"), x["evidenceRefs"].alias("evidenceRefs")))
+    tasks = F.zip_with("_tasks", "_task_roles", lambda x, r: F.struct(mine(r).alias("role"), x["task"].alias("task"), x["evidenceRefs"].alias("evidenceRefs")))
+    impacts = F.zip_with("_impacts", "_impact_roles", lambda x, r: F.struct(mine(r).alias("role"), x["impact"].alias("impact"), F.when(x["basis"].isin(*nz.BASIS), x["basis"]).alias("basis"), x["evidenceRefs"].alias("evidenceRefs")))
 
     fields = {f: tx.nullish(text_of(c(f))) for f in TEXTS} | {f: texts_of(c(f)) for f in TEXT_LISTS}
     fields |= {
