@@ -135,8 +135,8 @@ def role_impacts(items: Column, team: Column | None = None, spellings: tuple[str
     spellings: under which of evidenceRefs, evidence_refs and evidenceIds the items name their references.
     """
     there = F.coalesce(items, F.array())
-    roles = nfkc_all(F.transform(there, lambda x: x["role"]))
-    made = F.zip_with(there, roles, lambda x, r: F.struct(_role(_key(r)).alias("role"), F.coalesce(x["impact"], F.lit("")).alias("impact"), F.when(tx.nullish(x["basis"]).isin(*BASIS), tx.nullish(x["basis"])).alias("basis"), _refs(x, set(spellings)).alias("evidenceRefs")))
+    roles = roles_of(F.transform(there, lambda x: x["role"]))
+    made = F.zip_with(there, roles, lambda x, r: F.struct(r.alias("role"), F.coalesce(x["impact"], F.lit("")).alias("impact"), F.when(tx.nullish(x["basis"]).isin(*BASIS), tx.nullish(x["basis"])).alias("basis"), _refs(x, set(spellings)).alias("evidenceRefs")))
     return F.filter(made, lambda x: x["role"].isNotNull() & _of_team(x["role"], team))
 
 
