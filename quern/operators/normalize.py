@@ -150,12 +150,12 @@ REFS = "array<string>"
 
 def follow_up_tasks(items: Column, team: Column | None = None) -> Column:
     """From an array of JSON texts, each a string or an object: blank tasks out, roles unknown or outside the team null, references kept."""
-    there = F.coalesce(items, F.array().cast("array<string>"))
-    roles = nfkc_all(F.transform(there, lambda v: F.get_json_object(v, "$.role")))
+    there = F.coalesce(items, F.array().cast(REFS))
+    roles = roles_of(F.transform(there, lambda v: F.get_json_object(v, "$.role")))
     task = lambda v: F.coalesce(F.get_json_object(v, "$.task"), F.when(~v.rlike(r"^\s*\{"), F.regexp_replace(v, r'^\s*"|"\s*$', "")))
     listed = lambda v, c: F.from_json(F.get_json_object(v, f"$.{c}"), REFS)
-    refs = lambda v: F.coalesce(*[F.when(F.size(listed(v, c)) > 0, listed(v, c)) for c in ("evidenceRefs", "evidence_refs")], F.array().cast(REFS))
-    made = F.zip_with(there, roles, lambda v, r: F.struct(F.when(_of_team(_role(_key(r)), team), _role(_key(r))).alias("role"), tx.strip(task(v)).alias("task"), string_list(refs(v)).alias("evidenceRefs")))
+    lists = lambda v: F.filter(F.array(listed(v, "evidenceRefs"), listed(v, "evidence_refs")), lambda x: F.size(x) > 0)
+    made = F.zip_with(there, roles, lambda v, r: F.struct(F.when(_of_team(r, team), r).alias("role"), tx.strip(task(v)).alias("task"), string_list(F.get(lists(v), 0)).alias("evidenceRefs")))
     return F.filter(made, lambda x: F.coalesce(x["task"], F.lit("")) != "")
 
 
