@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,22 +51,68 @@ def _ids(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _order(ids: np.ndarray) -> np.ndarray:
+    """Numbers that order ids as Spark does, nulls first."""
+    if ids.dtype != object:
+        return ids
+    there = np.array([x is not None for x in ids], bool)
+    known = np.empty(int(there.sum()), object)
+    known[:] = [tuple(x.values()) if isinstance(x, dict) else x for x in ids[there]]
+    out = np.zeros(len(ids), np.int64)
+    out[there] = np.unique(known, return_inverse=True)[1] + 1
+    return out
+
+
+def _places(s: np.ndarray) -> np.ndarray:
+    """Ten thousand times the values rounded to four places as round() does: halves of the decimal text away from zero."""
+    x = np.abs(s) * 1e4
+    n = np.floor(x + 0.5)
+    for i in np.flatnonzero(np.abs(x - np.floor(x) - 0.5) < 1e-6):
+        n[i] = int(Decimal(repr(float(abs(s[i])))).scaleb(4).quantize(Decimal(1), ROUND_HALF_UP))
+    return (np.sign(s) * n).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """Random projections of unit vectors cut into buckets: a row is looked at if it shares one with the query and lies within radius of it."""
+
+    tables: int
+    width: float
+    radius: float
+    seed: int = 1
+
+    def of(self, unit: np.ndarray) -> np.ndarray:
+        d = np.random.default_rng(self.seed).standard_normal((unit.shape[1], self.tables))
+        return np.floor(np.nan_to_num(unit @ (d / np.sqrt((d * d).sum(0)))) / self.width).astype(np.int32)
+
+    def leave_out(self, s: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> None:
+        shared = np.zeros(s.shape, bool)
+        for t in range(self.tables):
+            shared |= mine[:, t, None] == theirs[None, :, t]
+        s[~shared | (s <= 1 - self.radius**2 / 2)] = np.nan
+
+
 class Scorer:
-    """The best rows for a block of queries, fed with batches of a corpus; holds a bounded number of rows a query."""
+    """The k best rows for a block of queries, fed with batches of a corpus; holds a bounded number of rows a query, however many tie.
+
+    The order is that of the cosine rounded to four places, then of the id, as in the window over all blocks' rows.
+    """
 
-    def __init__(self, queries: pa.Table, k: int, keys: tuple[str, ...] = (), skip_self: bool = False):
+    def __init__(self, queries: pa.Table, k: int, keys: tuple[str, ...] = (), skip_self: bool = False, near: Buckets | None = None):
         queries = queries.combine_chunks()
         column = lambda c: pa.concat_arrays(queries.column(c).chunks) if queries.num_rows else pa.array([], queries.schema.field(c).type)
-        self.k, self.keys, self.skip_self = k, keys, skip_self
+        self.k, self.keys, self.skip_self, self.near = k, keys, skip_self, near
         self.ids, self.vectors = _ids(column("query_id")), _unit(_matrix(column("embedding")))
         self.own = list(zip(*(column(c).to_pylist() for c in keys), strict=True))
-        self.q, self.s, self.chunk = np.zeros(0, np.int64), np.zeros(0), None
+        self.buckets = near.of(self.vectors) if near and len(self.ids) else None
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, similarity, chunk
+        self.size, self.least = 0, np.full(len(self.ids), -np.inf)  # what a row must reach to be among the k best
 
     def add(self, rows: pa.RecordBatch | pa.Table) -> None:
         """Scores rows (chunk_id, embedding, keys) in tiles of bounded size."""
         for b in rows.to_batches() if isinstance(rows, pa.Table) else [rows]:
-            for lo in range(0, b.num_rows, 2048):
-                self._tile(b.slice(lo, 2048))
+            for lo in range(0, b.num_rows, TILE):
+                self._tile(b.slice(lo, TILE))
 
     def _tile(self, b: pa.RecordBatch) -> None:
         if not len(self.ids):
@@ -79,32 +128,43 @@ class Scorer:
             of = list(zip(*(b.column(c).to_pylist() for c in self.keys), strict=True))
             number = {x: i for i, x in enumerate(dict.fromkeys([*self.own, *of]))}
             s[np.array([number[x] for x in self.own])[:, None] != np.array([number[x] for x in of])[None]] = np.nan
-        s[np.isnan(s)] = -np.inf
-        m = min(self.k, s.shape[1])
-        least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
-        q, c = np.nonzero((s >= least[:, None] - SLACK) & np.isfinite(s))
-        self.q, self.s = np.concatenate([self.q, q]), np.concatenate([self.s, s[q, c]])
-        self.chunk = chunk[c] if self.chunk is None else np.concatenate([self.chunk, chunk[c]])
-        if len(self.q) > 8 * self.k * len(self.ids):
+        if self.near:
+            self.near.leave_out(s, self.buckets, self.near.of(theirs))
+        s[np.isinf(s)] = np.nan
+        new = np.flatnonzero(np.isneginf(self.least))
+        if len(new) and self.k < s.shape[1]:
+            first = s[new]
+            first[np.isnan(first)] = -np.inf
+            self.least[new] = np.partition(first, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k] - SLACK
+        q, c = np.nonzero(s >= self.least[:, None])
+        self.held.append((q, s[q, c], chunk[c]))
+        self.size += len(q)
+        if self.size > max(4 * self.k * len(self.ids), 1 << 16):
             self._shrink()
 
     def _shrink(self) -> None:
-        """Keeps the k best rows of each query and those within rounding of the k-th."""
-        order = np.lexsort((-self.s, self.q))
-        q, s = self.q[order], self.s[order]
-        first, last = np.searchsorted(q, q, "left"), np.searchsorted(q, q, "right")
-        keep = s >= s[np.minimum(first + self.k - 1, last - 1)] - SLACK
-        self.q, self.s, self.chunk = q[keep], s[keep], self.chunk[order][keep]
+        """Keeps the k best rows of each query."""
+        q, s, chunk = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        n = _places(s)
+        order = np.lexsort((_order(chunk), -n, q))
+        q, n = q[order], n[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        last, keep = place == self.k - 1, order[place < self.k]
+        self.least[q[last]] = (n[last] - 0.5) / 1e4 - 1e-9
+        self.held, self.size = [(q[place < self.k], s[keep], chunk[keep])], len(keep)
 
     def best(self, types: dict[str, pa.DataType]) -> pa.RecordBatch | None:
-        if not len(self.q):
+        if not self.size:
             return None
         self._shrink()
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.q], types["query_id"]), pa.array(self.chunk, types["chunk_id"]), pa.array(self.s, pa.float64())], ["query_id", "chunk_id", "similarity"])
+        q, s, chunk = self.held[0]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q], types["query_id"]), pa.array(chunk, types["chunk_id"]), pa.array(s, pa.float64())], ["query_id", "chunk_id", "similarity"])
 
 
-#: Scores closer than this to the k-th are kept, so that rounding to four places decides later on all that it may touch.
-SLACK = 1e-4
+#: Rows less similar than the k-th by more than this round to less at four places.
+SLACK = 1.1e-4
+#: Rows that are scored at once.
+TILE = 512
 #: Most bytes of query vectors that are sent to every task at once.
 SENT_BYTES = 64 << 20
 
@@ -121,13 +181,13 @@ def _schema(queries: DataFrame, corpus: DataFrame) -> tuple[str, dict[str, pa.Da
     return f"query_id {kinds['query_id'].simpleString()}, chunk_id {kinds['chunk_id'].simpleString()}, similarity double", {c: to_arrow_type(t) for c, t in kinds.items()}
 
 
-def best_candidates(corpus: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = (), skip_self: bool = False, sent_bytes: int = SENT_BYTES, tile: int = 4096) -> DataFrame:
-    """(query_id, chunk_id, similarity): for each query every row of corpus that can be among its k nearest.
+def best_candidates(corpus: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = (), skip_self: bool = False, sent_bytes: int = SENT_BYTES, tile: int = 4096, near: Buckets | None = None) -> DataFrame:
+    """(query_id, chunk_id, similarity): for each query the k nearest rows of each task's or cell's share of corpus, by cosine at four places, then by id.
 
     queries has query_id, embedding and the key columns; corpus has chunk_id, embedding and the key columns; ids are of
     any type and come back as they are. Rows with another key are no candidates, nor with skip_self those with the
     query's own id (for queries that are rows of the corpus). Null and zero vectors, and vectors of another
-    length than the queries', have no neighbours.
+    length than the queries', have no neighbours. With near only rows that share a bucket are looked at.
 
     The corpus is read once. Queries of at most sent_bytes go to every task, which keeps its k best of each; more of
     them meet the corpus in cells of a query tile and a corpus group, in one shuffle of corpus rows x tiles and
@@ -143,7 +203,7 @@ def best_candidates(corpus: DataFrame, queries: DataFrame, k: int, keys: tuple[s
 
         def score(batches):
             table = shared.value
-            blocks = [Scorer(table.slice(lo, tile), k, keys, skip_self) for lo in range(0, table.num_rows, tile)]
+            blocks = [Scorer(table.slice(lo, tile), k, keys, skip_self, near) for lo in range(0, table.num_rows, tile)]
             for b in batches:
                 for block in blocks:
                     block.add(b)
@@ -161,7 +221,7 @@ def best_candidates(corpus: DataFrame, queries: DataFrame, k: int, keys: tuple[s
         asked = unpacked(asked)
         if asked is None or "embedding" not in rows.schema.names:
             return pa.Table.from_batches([empty])
-        block = Scorer(asked, k, keys, skip_self)
+        block = Scorer(asked, k, keys, skip_self, near)
         block.add(rows)
         return pa.Table.from_batches([block.best(types) or empty])
 
