@@ -101,8 +101,9 @@ def keyed_store(spark, d):
 def stream_ingest(spark, d):
     """Files as micro-batches; the last batch is lost before its commit and comes again."""
     path, docs = _folder(spark), read_table(spark, d, "documents").select("doc_id", "text", "n_chars")
-    docs.repartition(4, "doc_id").write.json(f"{path}/in")
-    source = lambda: stream.stream_files(spark, f"{path}/in", "doc_id long, text string, n_chars long", files_a_batch=1)
+    files = 4 * -(-docs.rdd.getNumPartitions() // 4)  # four batches, of as many files as the input has parts
+    docs.repartition(files, "doc_id").write.json(f"{path}/in")
+    source = lambda: stream.stream_files(spark, f"{path}/in", "doc_id long, text string, n_chars long", files_a_batch=files // 4)
     sink, tried = stream.batch_sink(f"{path}/out"), []
 
     def dies_once(batch, number):
