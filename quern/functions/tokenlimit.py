@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 
+#: Values of an Arrow batch that are Python objects at once.
+SLICE = 256
 
-def count_tokens(encode: Callable[[str], list] | None = None):
-    enc = encode or str.split
 
-    @F.pandas_udf("int")
-    def count(s: pd.Series) -> pd.Series:
-        return s.fillna("").map(lambda t: len(enc(t))).astype("int32")
+def by_slices(of: Callable[[str], object], kind: pa.DataType):
+    """A UDF of texts (null: empty), which are Python objects a slice at a time, not a whole Arrow batch."""
+
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in it:
+            done = [pa.array([of(t or "") for t in a.slice(lo, SLICE).to_pylist()], kind) for lo in range(0, len(a), SLICE)]
+            yield pa.concat_arrays(done) if done else pa.array([], kind)
+
+    return F.arrow_udf(run, {pa.string(): "string", pa.int32(): "int"}[kind])
 
-    return count
+
+def count_tokens(encode: Callable[[str], list] | None = None):
+    enc = encode or str.split
+    return by_slices(lambda t: len(enc(t)), pa.int32())
 
 
 def truncate_to_limit(limit: int = DEFAULTS.embed_input_tokens, step: int = DEFAULTS.truncate_step, encode: Callable[[str], list] | None = None, decode: Callable[[list], str] | None = None):
@@ -37,8 +46,4 @@ def truncate_to_limit(limit: int = DEFAULTS.embed_input_tokens, step: int = DEFA
             keep -= step
         return ""
 
-    @F.pandas_udf("string")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.fillna("").map(fit)
-
-    return cut
+    return by_slices(fit, pa.string())
