@@ -21,16 +21,19 @@ BREAK = b"."
 
 
 class _Codes(dict):
-    """Codes of the words of one tag; what it has not seen gets the batch's next code."""
+    """Codes of the words of one tag; what it has not seen gets the batch's next code.
 
-    def __init__(self, batch: _Batch, tag: str | None):
+    It knows the batch's lists and not the batch: a circle of references would keep each batch until Python looks for circles.
+    """
+
+    def __init__(self, words: list, tags: list, tag: str | None):
         super().__init__({BREAK: 0})
-        self.batch, self.tag = batch, tag
+        self.words, self.tags, self.tag = words, tags, tag
 
     def __missing__(self, word):
-        self.batch.words.append(word)
-        self.batch.tags.append(self.tag)
-        code = self[word] = len(self.batch.words)
+        self.words.append(word)
+        self.tags.append(self.tag)
+        code = self[word] = len(self.words)
         return code
 
 
@@ -41,7 +44,7 @@ class _Batch:
     def add(self, doc_id: int | None, tag: str | None, words: Sequence, size: int) -> None:
         codes = self.by_tag.get(tag)
         if codes is None:
-            codes = self.by_tag[tag] = _Codes(self, tag)
+            codes = self.by_tag[tag] = _Codes(self.words, self.tags, tag)
         self.ids.append(doc_id)
         self.codes.append(np.fromiter(map(codes.__getitem__, words), np.int32, len(words)))
         self.size += size + 64

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import BREAK, batch_words, code_batches
-from .common import Scratch, parts, table
+from .common import LARGE_ROWS, SMALL_BATCHES, Scratch, parts, table
 
 LONGEST = 4
 #: Fixed values of the rule: where pieces end, what parts words.
@@ -104,24 +104,28 @@ def _dictionary(scratch: Scratch, words: DataFrame, least: int) -> DataFrame:
     return kept.withColumn("part", part).join(F.broadcast(offsets), "part").select((F.col("start") + F.col("at") % (1 << 33) + 1).alias("id"), "lang", "word", "f")
 
 
-def _blocks(coded: DataFrame, ids: DataFrame) -> DataFrame:
+def shown_keys(hi: np.ndarray, lo: np.ndarray, batch: int) -> bytes:
+    """Some of a batch's sorted keys, evenly spaced from a start of its own, or else all batches would show about the same keys."""
+    shown = np.empty(min(256, len(hi)), KEYS)
+    start = batch * 0x9E3779B97F4A7C15 % (1 << 64) / (1 << 64)
+    some = np.minimum(((np.arange(len(shown)) + start) * (len(hi) / max(1, len(shown)))).astype(np.int64), len(hi) - 1)
+    shown["hi"], shown["lo"] = hi[some], lo[some]
+    return shown.tobytes()
+
+
+def _blocks(coded: DataFrame, places: DataFrame) -> DataFrame:
     """(batch, keys, block, shown): each batch's sorted keys, and some of them evenly spaced."""
 
-    def run(batches):
-        for b in batches:
-            for row in range(b.num_rows):
-                codes = b.column("codes")[row].values.flatten().to_numpy(zero_copy_only=False)
-                at, of = ([] if b.column(c)[row].values is None else b.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("at", "of"))
-                lookup = np.zeros(int(codes.max(initial=0)) + 1, np.uint64)
-                if len(at):
-                    lookup[at] = of
-                keys = run_lengths(*pack(lookup[codes]))
-                shown = np.empty(min(256, len(keys[0])), KEYS)
-                some = np.arange(len(shown)) * len(keys[0]) // max(1, len(shown))
-                shown["hi"], shown["lo"] = keys[0][some], keys[1][some]
-                yield pa.RecordBatch.from_pydict({"batch": pa.array([b.column("batch")[row].as_py()], pa.int64()), "keys": pa.array([len(keys[0])], pa.int64()), "block": pa.array([to_block(*keys)], pa.binary()), "shown": pa.array([shown.tobytes()], pa.binary())})
+    def run(key: tuple, batch: pa.Table, ids: pa.Table) -> pa.Table:
+        codes = batch.column("codes")[0].values.flatten().to_numpy(zero_copy_only=False)
+        lookup = np.zeros(int(codes.max(initial=0)) + 1, np.uint64)
+        lookup[ids.column("code").to_numpy()] = ids.column("id").to_numpy()
+        keys = run_lengths(*pack(lookup[codes]))
+        at = key[0].as_py()
+        return pa.table({"batch": pa.array([at], pa.int64()), "keys": pa.array([len(keys[0])], pa.int64()), "block": pa.array([to_block(*keys)], pa.binary()), "shown": pa.array([shown_keys(keys[0], keys[1], at)], pa.binary())})
 
-    return coded.select("batch", "codes").join(ids, "batch", "left").select("batch", "codes", "at", "of").mapInArrow(run, "batch long, keys long, block binary, shown binary")
+    ids = places.select(F.col("batch").alias("of"), "code", "id").groupBy("of")
+    return coded.select("batch", "codes").groupBy("batch").cogroup(ids).applyInArrow(run, "batch long, keys long, block binary, shown binary")
 
 
 def _bounds(blocks: DataFrame, ranges: int) -> np.ndarray:
@@ -161,18 +165,16 @@ def _deal(blocks: DataFrame, bounds: np.ndarray) -> DataFrame:
 
 def phrase_runs(hi: np.ndarray, lo: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted keys with counts: the ids (a row each of four) and counts of phrases that occur often or lie at either end."""
-    ids = np.stack([hi >> np.uint64(32), hi & MASK, lo >> np.uint64(32), lo & MASK], 1)
     found, counts = [], []
-    for words in range(2, LONGEST + 1):
-        new = np.concatenate([[True], (ids[1:, :words] != ids[:-1, :words]).any(1)])
-        first = np.flatnonzero(new)
+    third = MASK << np.uint64(32)
+    for rest, end in ((np.zeros_like(lo), hi), (lo & third, lo & third), (lo, lo & MASK)):  # third and fourth word of phrases of 2, 3 and 4, and their last
+        first = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (rest[1:] != rest[:-1])]))
         total = np.add.reduceat(n, first)
         keep = total >= least
         keep[[0, -1]] = True
-        keep &= ids[first, words - 1] != 0
-        rows = ids[first[keep]]
-        rows[:, words:] = 0
-        found.append(rows)
+        keep &= end[first] != 0
+        of, rest = hi[first[keep]], rest[first[keep]]
+        found.append(np.stack([of >> np.uint64(32), of & MASK, rest >> np.uint64(32), rest & MASK], 1))
         counts.append(total[keep])
     return np.concatenate(found), np.concatenate(counts)
 
@@ -196,18 +198,17 @@ def phrase_counts(docs: DataFrame, least: int = 30, scratch: Scratch | None = No
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "collocations")
     named = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    coded = scratch.settle(code_batches(named, words_and_breaks, "lang"))
+    coded = scratch.settle(code_batches(named, words_and_breaks, "lang"), SMALL_BATCHES, LARGE_ROWS)
     words = batch_words(coded).withColumnRenamed("tag", "lang")
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     dictionary = scratch.write(_dictionary(scratch, words, least))
     sizes = scratch.settle(sizes)
     places = words.select("batch", "code", "lang", "word").join(dictionary.select("lang", "word", "id"), ["lang", "word"])
-    ids = places.groupBy("batch").agg(F.collect_list(F.struct("code", "id")).alias("x")).select("batch", F.col("x.code").alias("at"), F.col("x.id").alias("of"))
-    blocks = scratch.settle(_blocks(coded, ids))
+    blocks = scratch.settle(_blocks(coded, places), SMALL_BATCHES, LARGE_ROWS)
     scratch.drop(coded)
     keys = blocks.agg(F.sum("keys")).first()[0] or 0
     dealt = _deal(blocks, _bounds(blocks, max(parts(spark) if keys > 50_000 else 1, -(-keys // range_keys))))
-    phrases = scratch.settle(_count(dealt, least).groupBy(*W).agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
+    phrases = scratch.settle(_count(dealt, least).groupBy(*W).agg(F.sum("f").alias("f")).filter(F.col("f") >= least), SMALL_BATCHES)
     scratch.drop(blocks)
     return dictionary, phrases, sizes
 

@@ -58,6 +58,11 @@ def session_conf(spark: SparkSession, settings: dict[str, str]) -> Iterator[None
 #: Shuffle files go as soon as the written table is there, since nothing else reads them.
 TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
+#: For tables whose rows are megabytes: Parquet counts bytes after 100 rows only, and its reader holds up to 4096 rows of a row group.
+LARGE_ROWS = {"parquet.block.row.count.limit": "1"}
+#: What goes to and from Python at once, besides one row of any size.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 
 class Scratch:
     """Written tables in the shared folder, so that lineage is cut and a lost executor loses nothing.
@@ -78,18 +83,18 @@ class Scratch:
         with contextlib.suppress(Exception):
             self._delete(self.root)
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**(options or {})).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def settle(self, df: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
+    def settle(self, df: DataFrame, settings: dict[str, str] | None = None, options: dict[str, str] | None = None) -> DataFrame:
         """write(), more densely, after which the shuffle files of df are deleted."""
         with session_conf(self.spark, TIDY | {"spark.sql.parquet.compression.codec": "zstd"} | (settings or {})):
-            return self.write(df)
+            return self.write(df, options)
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later step reads."""

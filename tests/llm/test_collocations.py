@@ -1,8 +1,12 @@
 """Phrase collocations against counting in plain Python."""
+import functools
+import gc
 import re
+import weakref
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from quern.llm import batches, collocations
@@ -82,3 +86,44 @@ def test_batches_give_their_texts_back(spark, odd):
             got[doc_id, tuple(b"." if c == 0 else r["words"][c - 1].encode() for c in codes)] += 1
         assert list(np.bincount(np.concatenate([np.array(c) for c in r["codes"]]), minlength=len(r["words"]) + 1)[1:]) == r["counts"]
     assert got == Counter((r.doc_id, tuple(collocations.words_and_breaks(r.text or ""))) for r in odd.collect())
+
+
+def test_batches_go_without_a_search_for_circles():
+    gc.disable()
+    try:
+        batch = batches._Batch()
+        batch.add(1, "en", [b"a", b"b", b"a", b"."], 7)
+        gone = weakref.ref(batch)
+        assert batch.row(0).column("counts")[0].as_py() == [2, 1]
+        del batch
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
+def test_ranges_are_even_beyond_the_keys_that_one_batch_shows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{k}" for k in rng.integers(0, 60, 4000))
+    dealt = []
+    monkeypatch.setattr(collocations, "_deal", lambda blocks, bounds, f=collocations._deal: dealt.append(f(blocks, bounds)) or dealt[0])
+    monkeypatch.setattr(collocations.Scratch, "drop", lambda *a: None)
+    df = spark.createDataFrame([(k, text, "en") for k in range(12)], "doc_id long, text string, lang string").repartition(12, "doc_id")
+    monkeypatch.setattr(collocations, "code_batches", functools.partial(batches.code_batches, most_bytes=1000))
+    _, phrases, _ = collocations.phrase_counts(df, least=2, range_keys=50)
+    sizes = Counter()
+    for r in dealt[0].collect():
+        sizes[r["range"]] += len(collocations.from_block(r["block"])[0])
+    assert sum(sizes.values()) > 40_000 and max(sizes.values()) <= 150
+    words = text.split()
+    assert phrases.count() == sum(len(set(zip(*(words[i:] for i in range(k))))) for k in (2, 3, 4))
+
+
+def test_tables_of_batches_have_a_row_group_each(spark, documents, monkeypatch):
+    kept = []
+    monkeypatch.setattr(collocations.Scratch, "drop", lambda self, *frames: kept.extend(frames))
+    monkeypatch.setattr(collocations, "code_batches", functools.partial(batches.code_batches, most_bytes=20_000))
+    collocations.phrase_counts(documents.coalesce(2), least=10)
+    for df in kept:
+        files = [pq.ParquetFile(f.removeprefix("file://")) for f in df.inputFiles()]
+        assert all(f.metadata.row_group(k).num_rows == 1 for f in files for k in range(f.num_row_groups))
+    assert kept[0].count() > 2 * len(kept[0].inputFiles())
